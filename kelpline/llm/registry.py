@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, quality, secrets, warc
+from . import bpe, chat, fingerprints, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
     "op2_secret_scans": secrets.query,
     "op3_preference_formatting": chat.query,
     "op4_warc_revisits": warc.query,
+    "op5_bpe_transducer": bpe.query,
+    "op7_best_fit_packing": packing.query,
     "op9_quality_outliers": quality.query,
 }
 
