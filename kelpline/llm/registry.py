@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, packing, quality, secrets, warc
+from . import bpe, chat, fingerprints, packing, pii, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_preference_formatting": chat.query,
     "op4_warc_revisits": warc.query,
     "op5_bpe_transducer": bpe.query,
+    "op6_feistel_pseudonyms": pii.query,
     "op7_best_fit_packing": packing.query,
     "op9_quality_outliers": quality.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
