@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, packing, pii, quality, secrets, toxicity, warc
+from . import bpe, chat, fingerprints, jaccard, packing, pii, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe_transducer": bpe.query,
     "op6_feistel_pseudonyms": pii.query,
     "op7_best_fit_packing": packing.query,
+    "op8_jaccard_join": jaccard.query,
     "op9_quality_outliers": quality.query,
     "op10_toxicity": toxicity.query,
 }

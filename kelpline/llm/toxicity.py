@@ -307,15 +307,17 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network |
 CHARS = 2_000_000
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, sample_of: DataFrame | None = None) -> DataFrame:
     """docs plus score (0 to 1), the worst window's; texts alone are read, no other column.
 
+    sample_of (docs if not given) has the doc_id and text that labels refer to.
+
     A null or empty text is a window without words. Where labels lack one of the classes every score is 0.
     Null ids and repeated rows stay, other columns too; an empty table gives no rows. No shuffle of texts
     but that of the sample; the network is a few MB whatever the corpus.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(learned(docs, labels, most))
+    shared = spark.sparkContext.broadcast(learned(docs if sample_of is None else sample_of, labels, most))
     state: dict[str, Scorer] = {}
 
     @F.pandas_udf("double")
