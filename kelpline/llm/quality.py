@@ -159,10 +159,13 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that judge() keeps, with their own columns."""
-    stats = settled(_measured(docs))
-    rows = _measured(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    return _judged(rows, *estimate(stats)).where("kept").select("__row.*")
+    """The documents that judge() keeps, with their own columns.
+
+    They are written once beside their counts, so nothing is counted twice and the estimate reads counts alone.
+    """
+    rows = settled(_measured(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__row")))
+    groups, factors = estimate(rows.drop("__row"))
+    return _judged(rows, groups, factors).where("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
