@@ -13,6 +13,9 @@ at most (1 - t) / (1 + t) * (|x| + |y|). Three steps, none of which drops a link
    size, and no further from them in distance to the first pivot than a link is long (triangle inequality).
 3. Components of the links found.
 
+Before sets are fetched for a comparison, a coarser metric bounds it: sets cut into equal slices of the shingle
+space are vectors of counts, and what their counts differ by in sum is at most the sets' distance.
+
 Equal sets are one class before all that, so copies cost nothing.
 """
 
@@ -102,8 +105,26 @@ def _prefix(sets: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return sets[np.argsort(counts[(sets >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[:reach]]
 
 
+def _counts(sets: np.ndarray) -> bytes:
+    """How many shingles each slice holds (255: as many or more); a power of two of slices, n / 8 to n / 4."""
+    bits = max(4, (len(sets) // 8).bit_length())
+    return np.minimum(np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the distance of two sets from their counts; the finer one is folded to the other's slices."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    # sums of capped counts would not bound anything, so capped slices of the finer one count for nothing
+    n = min(len(x), len(y))
+    capped = np.zeros(n, bool)
+    for v in (x, y):
+        capped |= (v.reshape(n, -1) == 255).any(1)
+    diff = np.abs(x.reshape(n, -1).sum(1) - y.reshape(n, -1).sum(1))
+    return int(diff[~capped].sum())
+
+
 def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, c (the set's digest, null if empty) and its regions, settled."""
+    """doc_id, n, c (the set's digest, null if empty), its regions and its counts, settled."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,29 +133,30 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for text in batch["text"]:
                 sets = shingles(text, width)
                 digest = int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True) if len(sets) else None
-                out.append((len(sets), digest, _prefix(sets, shared.value, percent).view(np.int64)))
-            made = pd.DataFrame(out, columns=["n", "c", "regions"]).astype({"c": "Int64"})
+                out.append((len(sets), digest, _prefix(sets, shared.value, percent).view(np.int64), _counts(sets)))
+            made = pd.DataFrame(out, columns=["n", "c", "regions", "v"]).astype({"c": "Int64"})
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield made
 
-    return settled(_texts(docs).mapInPandas(rows, "doc_id long, n long, c long, regions array<long>"))
+    return settled(_texts(docs).mapInPandas(rows, "doc_id long, n long, c long, regions array<long>, v binary"))
 
 
-def _members(own: DataFrame) -> DataFrame:
+def _members(classes: DataFrame) -> DataFrame:
     """(r, c, n): the classes that meet in a region, each set of classes once; lone ones are in no list."""
-    classes = own.where("c is not null").groupBy("c").agg(F.first("n").alias("n"), F.first("regions").alias("regions"))
     placed = classes.select("c", "n", F.explode("regions").alias("s"))
     at = W.partitionBy("s")
     met = placed.select("s", "c", "n", F.count("*").over(at).alias("k"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).over(at).alias("h")).where("k > 1")
     return met.select(F.xxhash64("k", F.col("h").cast("string")).alias("r"), "c", "n").distinct()
 
 
-def _sets(docs: DataFrame, own: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(c, x): the whole sets of the classes that meet others, from one document of each."""
-    wanted = members.select("c").distinct()
-    reps = own.select("c", "doc_id").where("c is not null").join(_small(wanted), "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    # rows that repeat an id may have other texts: what isn't wanted is dropped below
-    texts = _texts(docs).join(_small(settled(reps)), "doc_id", "left_semi")
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id), F.lit(-(2**63)).cast("long"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(c, x): the whole sets of the wanted classes, from the text of one document of each."""
+    reps = settled(classes.join(_small(wanted), "c", "left_semi").select(_key("rep").alias("k")).distinct())
+    texts = _texts(docs).withColumn("k", _key("doc_id")).join(_small(reps), "k", "left_semi")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,7 +167,8 @@ def _sets(docs: DataFrame, own: DataFrame, members: DataFrame, width: int) -> Da
                     out.append((int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True), sets.tobytes()))
             yield pd.DataFrame(out, columns=["c", "x"])
 
-    return settled(texts.select("text").mapInPandas(rows, "c long, x binary").dropDuplicates(["c"]))
+    # rows that repeat an id may have other texts, which are not wanted
+    return settled(texts.select("text").mapInPandas(rows, "c long, x binary").join(_small(wanted), "c", "left_semi").dropDuplicates(["c"]))
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -157,6 +180,18 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts don't rule a link out."""
+
+    @F.pandas_udf("long")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_apart(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
+
+    own = classes.select("c", "n", "v")
+    joined = pairs.join(own.toDF("b", "nb", "vb"), "b").join(own.toDF("a", "na", "va"), "a")
+    return joined.where((100 + percent) * apart("va", "vb") <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) plus i and u, the sizes of intersection and union of their sets."""
 
@@ -169,55 +204,46 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(int((both[1:] == both[:-1]).sum()))
         return pd.Series(out, dtype="int64")
 
-    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    used = sets.join(_small(settled(ids)), "c", "left_semi")
-    joined = pairs.join(used.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").join(used.select(F.col("c").alias("a"), "x"), "a")
+    joined = pairs.join(sets.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").join(sets.select(F.col("c").alias("a"), "x"), "a")
     joined = joined.select("a", "b", common("x", "y").alias("i"), ((F.octet_length("x") + F.octet_length("y")) / 8).cast("long").alias("total"))
     return joined.select("a", "b", "i", (F.col("total") - F.col("i")).alias("u"))
 
 
 def _links(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links between classes that join all linked ones, by rounds of pivots in every region."""
-    spark = docs.sparkSession
-    members = settled(_members(own).withColumn("d", F.lit(None).cast("double")).withColumn("done", F.lit(False)))
-    links = spark.createDataFrame([], "a long, b long")
-    if members.isEmpty():
-        return links
-    sets = _sets(docs, own, members, width)
-    pivots, roots, reach = 1, None, (100 - percent) / 100 + 1e-9
+    found = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("v").alias("v"))
+    classes = settled(found)
+    members = settled(_members(classes).withColumn("d", F.lit(None).cast("double")))
+    links, pivots, roots = docs.sparkSession.createDataFrame([], "a long, b long"), 1, None
+    reach = (100 - percent) / 100 + 1e-9
     while True:
         rows = members.withColumn("root", F.col("c")) if roots is None else join_small(members, roots, ["c"]).withColumn("root", F.coalesce("root", "c"))
-        # a region of one component, or whose members have all been pivots, is done
+        # a region of one component is done
         at = W.partitionBy("r")
         rows = rows.withColumn("alive", F.min("root").over(at) < F.max("root").over(at)).where("alive").drop("alive")
-        rows = rows.withColumn("turn", F.row_number().over(at.orderBy("done", F.xxhash64("c", F.lit(pivots)))))
-        rows = settled(rows.withColumn("pivot", (F.col("turn") <= pivots) & ~F.col("done")))
+        rows = settled(rows.withColumn("pivot", F.row_number().over(at.orderBy(F.xxhash64("c"))) <= pivots))
+        forget(members)
+        if rows.isEmpty():
+            return links
         chosen = rows.where("pivot").select("r", F.col("c").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("root").alias("ra"))
         met = rows.join(chosen, "r").where((F.col("c") != F.col("a")) & (F.col("root") != F.col("ra")) & _fits(F.col("n"), F.col("na"), percent))
         met = met.where(F.col("d").isNull() | F.col("da").isNull() | (F.abs(F.col("d") - F.col("da")) <= reach))
-        pairs = settled(met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct())
-        if pairs.isEmpty() and pivots > 1 and rows.where("not done").isEmpty():
-            break
+        pairs = settled(_near(met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct(), classes, percent))
+        wanted = settled(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
+        sets = _sets(docs, classes, wanted, width)
         tested = settled(_compared(pairs, sets))
-        linked = tested.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
-        links = settled(links.unionByName(linked))
-        rest = rows.select("r", "c", "n", "d", (F.col("done") | F.col("pivot")).alias("done"))
+        forget(sets)
+        links = settled(links.unionByName(tested.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")))
+        # a pivot has met all others of its region: only those that were none go on
+        rest = rows.where("not pivot").select("r", "c", "n", "d")
         if pivots == 1:
-            # the distance to a region's first pivot narrows all later rounds (null: sizes ruled a link out)
-            far = tested.select("a", "b", (1 - F.col("i") / F.col("u")).alias("dist"))
-            first = rows.join(chosen.select("r", "a"), "r").select("r", "c", "a", "n", F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y"))
-            rest = first.join(far.select(F.col("a").alias("x"), F.col("b").alias("y"), "dist"), ["x", "y"], "left")
-            rest = rest.select("r", "c", "n", F.when(F.col("c") == F.col("a"), F.lit(0.0)).otherwise(F.col("dist")).alias("d"), (F.col("c") == F.col("a")).alias("done"))
+            # the distance to a region's first pivot narrows all later rounds (null where something cheaper ruled the link out)
+            far = tested.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("i") / F.col("u")).alias("dist"))
+            first = rest.join(chosen.select("r", "a"), "r").select("r", "c", "n", F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y"))
+            rest = first.join(far, ["x", "y"], "left").select("r", "c", "n", F.col("dist").alias("d"))
         members = settled(rest)
-        # pairs of two former pivots have met, so a region lives while a member was none
-        open_ = W.partitionBy("r")
-        members = settled(members.withColumn("open", F.min("done").over(open_)).where(~F.col("open")).drop("open"))
-        if members.isEmpty():
-            break
         roots = settled(components(links).select(F.col("node").alias("c"), "root"))
         pivots *= 4
-    forget(sets)
-    return links
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
