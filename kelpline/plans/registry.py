@@ -1,4 +1,8 @@
-"""Queries of the library's own operators by name, and their SQL."""
+"""All queries outside the training-data subpackage, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import scores, search
+
+QUERIES = {**search.QUERIES, **scores.QUERIES}
+ORACLES = {**search.ORACLES, **scores.ORACLES}
