@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, salted_group_min, settled
+from .common import BROADCAST_ROWS, forget, salted_group_min, settled
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _least_neighbours(near: DataFrame, few: bool) -> DataFrame:
+    """near (a, b) plus m, the least b of each a: by broadcast where the edges were counted to be few, else in slices."""
+    if few:
+        return near.join(F.broadcast(near.groupBy("a").agg(F.min("b").alias("m"))), "a")
+    return salted_group_min(near, ["a"], "b", "m", unique="b")
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """One star step: neighbours of a node (all, or the smaller ones) are linked to its least neighbour instead."""
     if large:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = salted_group_min(near, ["a"], "b", "m", unique="b").withColumn("m", F.least("a", "m"))
+        least = _least_neighbours(near, few).withColumn("m", F.least("a", "m"))
         moved = least.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = salted_group_min(near, ["a"], "b", "m", unique="b")
+        least = _least_neighbours(near, few)
         moved = least.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return moved.where("a <> b").distinct()
 
@@ -27,13 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars alternate until nothing moves (about the logarithm of the longest chain); stars of
     any size are met in slices. An empty table gives no rows; loops are ignored.
     """
+    # tables hold distinct (a, b) with a > b: equal sizes and equal sums of hashes are the same sets
+    sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = settled(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        new = settled(_star(_star(edges, True), False))
-        # both hold distinct (a, b) with a > b: equal sizes and equal sums of hashes are the same sets
-        sign = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (edges, new)]
+    before = sign(edges)
+    while before[0]:
+        few = 2 * before[0] <= BROADCAST_ROWS
+        new = settled(_star(_star(edges, True, few), False, few))
+        after = sign(new)
         forget(edges)
         edges = new
-        if sign[0] == sign[1]:
+        if before == after:
             break
+        before = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,7 +9,7 @@ at most (1 - t) / (1 + t) * (|x| + |y|). Three steps, none of which drops a link
    also copied to the regions of its next shingles, as many as a link lets differ: |x| - ceil(t |x|) of them.
 2. Recursion. In a region one set becomes its pivot and is compared exactly with the others. Those it links
    are one component and need no comparison among each other. What is left of the region is taken up again
-   by more pivots, four times as many each round, whose partners must be of another component, of a fitting
+   by more pivots, sixteen times as many each round, whose partners must be of another component, of a fitting
    size, and no further from them in distance to the first pivot than a link is long (triangle inequality).
 3. Components of the links found.
 
@@ -38,6 +38,8 @@ WIDTH, PERCENT = 3, 90
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Bits of the histogram that ranks shingles (4 MB whatever the corpus), and parts that it is summed in.
 BITS, PARTS = 20, 64
+#: Times as many pivots of a region each round.
+MORE = 16
 #: Words that a worker remembers the hashes of.
 REMEMBERED = 1_000_000
 
@@ -55,8 +57,8 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of `width` words; of all words if they are fewer; none without words.
+def runs(text: str | None, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of `width` words, in order; of all words if they are fewer; none without words.
 
     Words are what white space of ASCII divides, A-Z in lower case.
     """
@@ -69,7 +71,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     for k in range(size):
         h = (h ^ (h >> _S)) * _M1 + own[k : len(own) - size + 1 + k]
     h = (h ^ (h >> _S)) * _M2
-    return np.unique(h ^ (h >> _S))
+    return h ^ (h >> _S)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct hashes of runs()."""
+    return np.unique(runs(text, width))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -77,13 +84,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of the corpus fall into each of 2^BITS buckets: summed per task, then in PARTS parts."""
+    """How many runs of words of the corpus fall into each of 2^BITS buckets: summed per task, then in PARTS parts."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
+            waiting, n = [], 0
             for text in batch["text"]:
-                np.add.at(total, (shingles(text, width) >> np.uint64(64 - BITS)).astype(np.int64), 1)
+                waiting.append((runs(text, width) >> np.uint64(64 - BITS)).astype(np.int32))
+                n += len(waiting[-1])
+                if n >= 1 << BITS:
+                    total += np.bincount(np.concatenate(waiting), minlength=1 << BITS).astype(np.uint32)
+                    waiting, n = [], 0
+            if n:
+                total += np.bincount(np.concatenate(waiting), minlength=1 << BITS).astype(np.uint32)
         yield pd.DataFrame({"part": range(PARTS), "counts": [p.tobytes() for p in np.split(total, PARTS)]})
 
     def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,7 +148,8 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sets = shingles(text, width)
                 digest = int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True) if len(sets) else None
                 out.append((len(sets), digest, _prefix(sets, shared.value, percent).view(np.int64), _counts(sets)))
-            made = pd.DataFrame(out, columns=["n", "c", "regions", "v"]).astype({"c": "Int64"})
+            made = pd.DataFrame([(n, *rest) for n, _, *rest in out], columns=["n", "regions", "v"])
+            made.insert(1, "c", pd.array([c for _, c, *_ in out], "Int64"))  # inferred beside a null it would be rounded to a double
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield made
 
@@ -209,12 +224,24 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "i", (F.col("total") - F.col("i")).alias("u"))
 
 
-def _links(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links between classes that join all linked ones, by rounds of pivots in every region."""
+def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots (c, root) after more links (a, b): only what the links touch is looked at again."""
+    if roots is None:
+        return settled(components(links).select(F.col("node").alias("c"), "root"))
+    for side in "ab":
+        known = roots.select(F.col("c").alias(side), F.col("root").alias("__r"))
+        links = links.join(known, side, "left").select(F.coalesce("__r", side).alias(side), "b" if side == "a" else "a")
+    moved = settled(components(links))
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("__r")), "root", "left").select("c", F.coalesce("__r", "root").alias("root"))
+    return settled(old.unionByName(moved.select(F.col("node").alias("c"), "root")).dropDuplicates(["c"]))
+
+
+def _roots(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """(c, root) of all linked classes, by rounds of pivots in every region."""
     found = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("v").alias("v"))
     classes = settled(found)
     members = settled(_members(classes).withColumn("d", F.lit(None).cast("double")))
-    links, pivots, roots = docs.sparkSession.createDataFrame([], "a long, b long"), 1, None
+    pivots, roots = 1, None
     reach = (100 - percent) / 100 + 1e-9
     while True:
         rows = members.withColumn("root", F.col("c")) if roots is None else join_small(members, roots, ["c"]).withColumn("root", F.coalesce("root", "c"))
@@ -224,16 +251,15 @@ def _links(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
         rows = settled(rows.withColumn("pivot", F.row_number().over(at.orderBy(F.xxhash64("c"))) <= pivots))
         forget(members)
         if rows.isEmpty():
-            return links
+            return docs.sparkSession.createDataFrame([], "c long, root long") if roots is None else roots
         chosen = rows.where("pivot").select("r", F.col("c").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("root").alias("ra"))
         met = rows.join(chosen, "r").where((F.col("c") != F.col("a")) & (F.col("root") != F.col("ra")) & _fits(F.col("n"), F.col("na"), percent))
         met = met.where(F.col("d").isNull() | F.col("da").isNull() | (F.abs(F.col("d") - F.col("da")) <= reach))
         pairs = settled(_near(met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct(), classes, percent))
-        wanted = settled(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
-        sets = _sets(docs, classes, wanted, width)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        sets = _sets(docs, classes, settled(wanted), width)
         tested = settled(_compared(pairs, sets))
         forget(sets)
-        links = settled(links.unionByName(tested.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")))
         # a pivot has met all others of its region: only those that were none go on
         rest = rows.where("not pivot").select("r", "c", "n", "d")
         if pivots == 1:
@@ -242,8 +268,10 @@ def _links(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
             first = rest.join(chosen.select("r", "a"), "r").select("r", "c", "n", F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y"))
             rest = first.join(far, ["x", "y"], "left").select("r", "c", "n", F.col("dist").alias("d"))
         members = settled(rest)
-        roots = settled(components(links).select(F.col("node").alias("c"), "root"))
-        pivots *= 4
+        links = tested.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+        if not links.isEmpty():
+            roots = _joined_roots(roots, links)
+        pivots *= MORE
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -256,12 +284,11 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     meet others are few enough to be asked for by broadcast; copies are counted in slices of their class.
     """
     own = _classes(docs, width, percent)
-    links = _links(docs, own, width, percent)
+    roots = _roots(docs, own, width, percent)
     ids = own.select("doc_id", "n", "c")
     lone = ids.where("c is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     full = salted_group_min(ids.where("c is not null"), ["c"], "doc_id", "least", unique="doc_id")
-    roots = components(links).withColumnRenamed("node", "c")
-    least = settled(roots.join(own.where("c is not null").select("c", "doc_id").join(_small(settled(roots.select("c").distinct())), "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("least")), "c"))
+    least = settled(roots.join(own.where("c is not null").select("c", "doc_id").join(_small(roots.select("c")), "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("least")), "c"))
     named = settled(salted_group_min(least, ["root"], "least", "linked", unique="c").select("c", "linked"))
     found = join_small(full, named, ["c"])
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.least("least", "linked").alias("component_id")).unionByName(lone)
