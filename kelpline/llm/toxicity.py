@@ -8,9 +8,9 @@ a bounded sample of labelled texts, of which only the worst window learns in eac
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -174,18 +174,18 @@ class Network:
         return g, dx
 
 
-def _prior(found: list[set], labels: np.ndarray) -> tuple[list, np.ndarray]:
-    """Items of at least LEAST_TEXTS texts, and the log odds that their texts are toxic, row 0 for all others."""
-    counts = [Counter(), Counter()]
+def _prior(found: Iterable[np.ndarray], n: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items (below n, each once a text) of at least LEAST_TEXTS texts, and the log odds that their texts are toxic, row 0 for all others."""
+    counts = np.zeros((2, n), np.int64)
     for items, y in zip(found, labels, strict=True):
-        counts[int(y)].update(items)
+        counts[y, items] += 1
+    kept = np.flatnonzero(counts.sum(0) >= LEAST_TEXTS)
     n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    kept = sorted(i for i in counts[0].keys() | counts[1].keys() if counts[0][i] + counts[1][i] >= LEAST_TEXTS)
-    odds = [np.log((counts[1][i] + 1) / (n1 + 2)) - np.log((counts[0][i] + 1) / (n0 + 2)) for i in kept]
+    odds = np.log((counts[1, kept] + 1) / (n1 + 2)) - np.log((counts[0, kept] + 1) / (n0 + 2))
     return kept, np.array([0, *odds], np.float32) / 3
 
 
-def _indexed(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _indexed(texts: Iterable[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words ('' first), each window's word indices and mask, and the text that each window is of."""
     known: dict[str, int] = {"": 0}
     rows, masks, owners = [], [], []
@@ -205,16 +205,24 @@ def train(texts: list[str | None], labels: list[int]) -> Network | None:
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
-    split = [words_of(t) for t in texts]
-    words, rows, mask, owner = _indexed(split)
+    words, rows, mask, owner = _indexed(words_of(t) for t in texts)
+    ends = np.searchsorted(owner, np.arange(len(y) + 1))
+    texts_words = [np.unique(rows[a:b][mask[a:b] > 0]) for a, b in zip(ends, ends[1:])]
+    texts_words = [w[w > 0] for w in texts_words]
+    kept_words, word_prior = _prior(texts_words, len(words), y)
     h, first = grams(words)
-    last = [*first[1:], len(h)]
-    kept_words, word_prior = _prior([set(w) for w in split], y)
-    mine = [h[a:b].tolist() for a, b in zip(first, last, strict=True)]
-    index = {w: i for i, w in enumerate(words)}
-    kept_grams, gram_prior = _prior([{g for w in set(s) for g in mine[index[w]]} for s in split], y)
-    del mine
-    net = Network({w: i + 1 for i, w in enumerate(kept_words)}, np.array(kept_grams or [0], np.uint64), word_prior, gram_prior if kept_grams else np.zeros(2, np.float32))
+    known, placed = np.unique(h, return_inverse=True)
+    sizes = np.diff(np.append(first, len(h)))
+
+    def grams_of(own: np.ndarray) -> np.ndarray:
+        """The distinct n-grams of some words, as places in known."""
+        n = sizes[own]
+        return np.unique(placed[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+
+    kept_grams, gram_prior = _prior(map(grams_of, texts_words), len(known), y)
+    some = len(kept_grams) > 0
+    net = Network({words[i]: k + 1 for k, i in enumerate(kept_words.tolist())}, known[kept_grams] if some else np.zeros(1, np.uint64), word_prior, gram_prior if some else np.zeros(2, np.float32))
+    del h, known, placed, texts_words
     own, chars, first = net.reads(words)
     last = np.append(first[1:], len(chars))
     speed = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -225,7 +233,7 @@ def train(texts: list[str | None], labels: list[int]) -> Network | None:
         speed[name][at] += grad * grad
         net.p[name][at] -= RATE * grad / np.sqrt(speed[name][at] + 1e-8)
 
-    weight = np.maximum(word_prior[own], np.maximum.reduceat(gram_prior[chars], first)) if kept_grams else word_prior[own]
+    weight = np.maximum(word_prior[own], np.maximum.reduceat(gram_prior[chars], first)) if some else word_prior[own]
     score = np.where(mask > 0, weight[rows], -9).max(1)
     # each text's worst window learns; the counts choose it at first, then the network itself
     for _ in range(EPOCHS):
@@ -295,12 +303,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network | None:
-    """A network from at most `most` labelled rows that aren't held out."""
+    """A network from at most `most` labelled rows that aren't held out, trained by one task."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = sorted(texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])  # `most` rows
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    sample = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # `most` rows
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches]).sort_values("doc_id")
+        yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
+
+    return pickle.loads(sample.repartition(1).mapInPandas(fit, "model binary").first()["model"])
 
 
 #: Characters of texts that are scored together.
