@@ -313,7 +313,8 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network |
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches]).sort_values("doc_id")
         yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
 
-    return pickle.loads(sample.repartition(1).mapInPandas(fit, "model binary").first()["model"])
+    model = sample.repartition(1).mapInPandas(fit, "model binary").first()
+    return None if model is None else pickle.loads(model["model"])
 
 
 #: Characters of texts that are scored together.
