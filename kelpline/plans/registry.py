@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scores, search
+from . import gates, scores, search
 
-QUERIES = {**search.QUERIES, **scores.QUERIES}
-ORACLES = {**search.ORACLES, **scores.ORACLES}
+QUERIES = {**search.QUERIES, **scores.QUERIES, **gates.QUERIES}
+ORACLES = {**search.ORACLES, **scores.ORACLES, **gates.ORACLES}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import similarity as S
 from kelpline.functions import text as X
-from kelpline.operators import audit, consensus, extract, facts, merge, metrics, resolve, search, state
+from kelpline.operators import audit, consensus, extract, facts, merge, metrics, predicates, resolve, search, state
 from kelpline.sources import catalog
 
 
@@ -141,3 +141,43 @@ def test_sources(spark, tmp_path):
 def test_variants(spark):
     rows = spark.createDataFrame([("dior homme  intense",), ("",)], "q string")
     assert [r[0] for r in rows.select(search.query_variants(F.col("q"))).collect()] == [["dior homme intense", "dior homme", "homme intense", "dior intense", "homme", "intense"], [""]]
+
+
+def _column(spark, values, schema, column):
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], f"i int, {schema}")
+    return [r[0] for r in rows.orderBy("i").select(column).collect()]
+
+
+def test_junk_accords(spark):
+    values = [("14.9K", None), ("Summer", None), ("Online shops offers", None), ("Fragrance  Composition", None), ("BAL À VERSAILLES", "Bal a Versailles"), ("Amber", "amber"), ("Woody", "Amber"), (None, "x"), (" ", None)]
+    got = _column(spark, values, "l string, n string", predicates.junk_accord(F.col("l"), F.col("n"), known=("amber",)))
+    assert got == [True, True, True, True, True, False, False, True, True]
+
+
+def test_identities(spark):
+    real = _column(spark, [("2017",), ("342 votes",), ("212",), ("4711x",), ("x",), (None,), ("L'Air",)], "t string", predicates.looks_real(F.col("t")))
+    assert real == [False, False, True, True, False, False, True]
+    pairs = [("Creed", "Creed Suicide"), ("Aventus", "Creed"), ("and Gabbana", "Dolce"), ("Creed", "creed"), (None, "Creed"), ("x", None)]
+    assert _column(spark, pairs, "n string, h string", predicates.house_echo(F.col("n"), F.col("h"))) == [True, False, False, True, False, False]
+    assert _column(spark, pairs, "n string, h string", predicates.safe_identity(F.col("n"), F.col("h"))) == [False, True, False, False, False, False]
+    stubs = [("Chanel", "chanel", None, [], ""), ("Chanel", "No 5", None, [], ""), ("Chanel", "Chanel", "EDP", [], ""), ("Chanel", "Chanel", "unknown", [" ", "Rose"], ""), ("Chanel", "Chanel", None, None, "u"), (None, None, None, None, None)]
+    assert _column(spark, stubs, "b string, n string, c string, x array<string>, u string", predicates.junk_stub(*map(F.col, "bncxu"))) == [True, False, False, False, False, False]
+
+
+def test_non_perfumes(spark):
+    values = [("Mango Body Butter", "X", "", ""), ("Mango Body Butter", "X", "https://www.fragrantica.com/perfume/a/b", ""), ("Dummy", "X", "https://www.fragrantica.com/perfume/a/b", ""), ("Rose", "Pull & Bear", None, None), ("Rose", "The Body-Shop", "", "https://parfumo.net/Perfumes/x"), ("Bubble Bath", None, None, None)]
+    got = _column(spark, values, "n string, h string, f string, p string", predicates.non_perfume(F.col("n"), F.col("h"), F.col("f"), F.col("p"), F.lit(None).cast("string"))["reason"])
+    assert got == ["non-perfume product token: 'body butter'", "", "test/placeholder identity", "body-care brand, no real perfume page", "", ""]
+
+
+def test_rows_cleaned(spark):
+    accords = [(["warm  spicy", "Warm Spicy", "14.9K", None, "", "x" * 25, "amber"],), (None,)]
+    assert _column(spark, accords, "a array<string>", predicates.accords_cleaned(F.col("a"))) == [["Warm Spicy", "Amber"], None]
+    assert _column(spark, [("floral  CHYPERE",), ("",), (None,)], "f string", predicates.family_cleaned(F.col("f"))) == ["Floral Chypre", "", None]
+    assert _column(spark, [(" 2019 ",), ("19x",), (None,)], "y string", predicates.year_cleaned(F.col("y"))) == [2019, None, None]
+
+
+def test_query_gates(spark):
+    asked = [("d g", ["D&G", "dolce gabbana"]), ("dolce light", ["dolce"]), ("", ["x"]), (None, None)]
+    assert _column(spark, asked, "q string, f array<string>", predicates.brand_only(F.col("q"), F.col("f"))) == [True, False, False, False]
+    assert _column(spark, [("Creed Silver Mountain Water",), ("one",), (None,), ("a bc",)], "q string", predicates.variants(F.col("q"))) == [["creed silver mountain water", "creed silver", "silver mountain", "mountain water", "creed water", "mountain", "silver", "creed"], ["one"], [], ["a bc"]]
