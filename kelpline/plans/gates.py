@@ -63,14 +63,6 @@ def brand_only_queries(spark, d):
     return t(spark, d, "part").select("p_partkey", P.brand_only(F.col("p_name"), forms).alias("brand_only"))
 
 
-@query("query_variants", f"""WITH q AS (SELECT p_partkey, {_TOK.format("p_name || ' ' || p_type")} AS tok FROM part),
-  v AS (SELECT p_partkey, list_filter(list_concat([array_to_string(tok, ' ')], CASE WHEN len(tok) >= 2 THEN list_concat(list_transform(range(1, len(tok)), lambda i: CASE WHEN length(tok[i]) >= 3 AND length(tok[i + 1]) >= 3 THEN tok[i] || ' ' || tok[i + 1] END), [tok[1] || ' ' || tok[-1]],
-    list_transform(list_sort(list_transform(list_filter(tok, lambda x: length(x) >= 5), lambda x, i: {{'n': -length(x), 'i': i, 'x': x}})), lambda s: s.x)) ELSE [] END), lambda x: x IS NOT NULL AND x <> '') AS l FROM q)
-  SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:8], '|') AS variants FROM v""")
-def query_variants(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.array_join(P.variants(F.concat_ws(" ", "p_name", "p_type")), "|").alias("variants"))
-
-
 @query("non_perfume_flags", """SELECT page_id, pos, pos = 0 AND NOT contains(lower(url), 'fragrantica.com/perfume/') AS flag, CASE WHEN pos = 0 AND NOT contains(lower(url), 'fragrantica.com/perfume/') THEN 'non-perfume product token: ''shampoo''' ELSE '' END AS reason
   FROM (SELECT page_id, url, unnest([0, 1])::INTEGER AS pos FROM pages)""")
 def non_perfume_flags(spark, d):

@@ -6,3 +6,6 @@ from . import gates, scores, search
 
 QUERIES = {**search.QUERIES, **scores.QUERIES, **gates.QUERIES}
 ORACLES = {**search.ORACLES, **scores.ORACLES, **gates.ORACLES}
+
+if len(QUERIES) != len(search.QUERIES) + len(scores.QUERIES) + len(gates.QUERIES):
+    raise ValueError("two queries have one name")
