@@ -3,8 +3,9 @@
 Every text gives exact counts (Python-free). Their transformed vector is judged against the documents of
 the same language and source by a minimum covariance determinant estimate: from medians and spreads,
 concentration steps keep the three quarters nearest by Mahalanobis distance and estimate mean and
-covariance from them again. A document is rejected where its distance to that estimate is beyond
-what a normal law would give once in a million.
+covariance from them again. Every statistic of a document also has the noise of a count in a text of its
+size, so one repeated line among five weighs less than ten among fifty. A document is rejected where its
+distance to that estimate is beyond what a normal law would give once in a thousand.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from .common import join_small, settled, table
 
 #: Share of a group that the estimate rests on, and rounds of concentration.
 CORE, ROUNDS = 0.75, 4
-#: Quantiles of the chi-squared law with 5 degrees of freedom (fixed values): at CORE, and at 1 - 1e-6.
-CHI2_CORE, CHI2_CUT = 6.6257, 35.8882
+#: Quantiles of the chi-squared law with 5 degrees of freedom (fixed values): at CORE, and at 0.999.
+CHI2_CORE, CHI2_CUT = 6.6257, 20.5150
 #: Sources of a language with fewer documents are judged together.
 LEAST_GROUP = 40
-#: Spread that each transformed statistic is granted at least; without it a statistic that is
-#: the same almost everywhere would reject any other value.
-FLOOR = (0.30, 0.10, 0.60, 1.20, 1.20)
+#: Spread between documents that each transformed statistic is granted at least: a tenth of the length, a
+#: twentieth of the word length, a quarter percent (0.05 squared) for shares. A document's noise comes on top.
+FLOOR = (0.10, 0.05, 0.05, 0.05, 0.05)
+#: Words that one chance repeat of two windows covers.
+REPEAT = 6
 #: Steps of a distance's logarithm in the histogram that finds the core's radius.
 STEPS = 16
 DIMS = len(FLOOR)
@@ -66,12 +69,16 @@ def _stats(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def _vector(rows: DataFrame) -> DataFrame:
-    """rows plus x0 ... x4: logarithms of length, word length and the shares in percent; base_failed."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    share = lambda part, whole: F.log1p(100.0 * F.col(part) / F.greatest(whole, F.lit(1)).cast("double"))
-    xs = (F.log1p(F.col("n_words").cast("double")), F.log1p(F.col("word_chars") / words), share("n_symbols", F.col("word_chars")), share("n_dup_lines", F.col("__n_lines")), share("n_repeat_words", F.col("n_words")))
+    """rows plus x0 ... x4: logarithms of length and word length, roots of the shares; their noise e0 ... e4; base_failed.
+
+    The root of a count has a deviation of a half whatever the count; words have lengths that deviate by half their mean.
+    """
+    size = lambda whole: F.greatest(F.col(whole), F.lit(1)).cast("double")
+    words, chars, lines = size("n_words"), size("word_chars"), size("__n_lines")
+    xs = (F.log1p(F.col("n_words").cast("double")), F.log1p(F.col("word_chars") / words), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / lines), F.sqrt(F.col("n_repeat_words") / words))
+    es = (1 / F.sqrt(words), 0.5 / F.sqrt(words), 0.5 / F.sqrt(chars), 0.5 / F.sqrt(lines), 0.5 * F.sqrt(REPEAT / words))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumns({**{f"x{i}": x for i, x in enumerate(xs)}, "base_failed": failed})
+    return rows.withColumns({**{f"x{i}": x for i, x in enumerate(xs)}, **{f"e{i}": e for i, e in enumerate(es)}, "base_failed": failed})
 
 
 def _factors(est: DataFrame) -> DataFrame:
@@ -85,11 +92,11 @@ def _factors(est: DataFrame) -> DataFrame:
 
 
 def _distances(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """rows plus their squared Mahalanobis distance d2 (null where the group has no estimate)."""
+    """rows plus their squared Mahalanobis distance d2, each pivot widened by the document's noise (null where the group has no estimate)."""
     rows = join_small(rows, factors, ["g_lang", "g_source"])
     for i in range(DIMS):
         rest = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)], F.lit(0.0))
-        rows = rows.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
+        rows = rows.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - rest) / F.sqrt(F.col(f"l{i}{i}") * F.col(f"l{i}{i}") + F.col(f"e{i}") * F.col(f"e{i}")))
     rows = rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)]))
     return rows.drop(*[c for c in factors.columns if c[0] in "ml"], *[f"y{i}" for i in range(DIMS)])
 
@@ -113,7 +120,7 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def estimate(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(groups, factors): which sources stand alone, and each group's centre, Cholesky factor and width.
 
-    stats needs lang, source and x0 ... x4 and is read once a round, so it should be settled().
+    stats needs lang, source, x0 ... x4 and e0 ... e4 and is read once a round, so it should be settled().
     """
     key = {"__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__source": F.coalesce(F.col("source").cast("string"), F.lit(""))}
     groups = settled(stats.withColumns(key).groupBy("__lang", "__source").agg((F.count("*") >= LEAST_GROUP).alias("large")))

@@ -178,6 +178,20 @@ def test_quality_rejects_what_lies_far_out(spark):
     assert not got[999] and sum(got.values()) >= 118
 
 
+def test_quality_rejects_moderate_junk_of_each_statistic(spark):
+    rng = random.Random(6)
+    word = lambda n=7: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    text = lambda n, size=7: "\n".join(" ".join(word(size) for _ in range(10)) for _ in range(n // 10))
+    rows = [(i, text(rng.randrange(150, 300, 10))) for i in range(150)]
+    rows += [(1000, text(200) + "\n" + text(10).replace(" ", "\n", 1)), (1001, "x\n" + text(150) + "\nx")]  # one more or one repeated line is no junk
+    junk = {"long": text(1200), "long words": text(200, 11), "symbols": text(200).replace(" ", " # "), "lines": text(200).replace("\n", "\nsame\n"), "repeats": text(140) + "\n" + "\n".join([text(30)] * 2)}
+    junk["symbols"] = junk["symbols"].replace(" # ", " ", 60)
+    rows += [(2000 + i, t) for i, t in enumerate(junk.values())]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert {k: (got[2000 + i]["kept"], got[2000 + i]["base_failed"]) for i, k in enumerate(junk)} == dict.fromkeys(junk, (False, False))
+    assert got[1000]["kept"] and got[1001]["kept"] and sum(got[i]["kept"] for i in range(150)) >= 149
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     mild, bad = [f"word{i}" for i in range(80)], ["grolk", "vexhat", "spitten"]
