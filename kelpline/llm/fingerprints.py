@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: The Mersenne prime 2^31 - 1, whose remainders need a shift and an addition only.
 PRIME = np.uint64(2**31 - 1)
 BASES = (1_000_003_579 % (2**31 - 1), 777_767_777)
-#: Code points of the spans that a fingerprint samples.
-SPAN = 24
+#: Code points of the spans that a fingerprint samples: the first, and each shorter one down to an eighth of the text.
+SPANS = (24, 12, 6, 3, 2, 1)
 #: Bins of a fingerprint's sketch: the least sample of each bin is kept, 16 bits of it.
 BINS = 64
 EMPTY = 0xFFFF
@@ -107,9 +107,15 @@ class Prefixes:
         return (int(self.h[0][-1]) << 31) | int(self.h[1][-1])
 
 
-def sketch(text: Prefixes) -> np.ndarray:
+def sketches(text: Prefixes) -> list[np.ndarray]:
+    """A sketch for each length of SPANS down to the first that is at most an eighth of the text (or a single code point)."""
+    levels = next((i for i, length in enumerate(SPANS) if 8 * length <= text.n), len(SPANS) - 1) + 1
+    return [sketch(text, length) for length in SPANS[:levels]]
+
+
+def sketch(text: Prefixes, length: int) -> np.ndarray:
     """The 16 bits kept of the least sample in each bin; EMPTY where a bin has none."""
-    x = text.spans(SPAN)
+    x = text.spans(length)
     x = (x ^ (x >> _S33)) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> _S29)) * np.uint64(0xC4CEB9FE1A85EC53)
     least = np.full(BINS, np.uint64(2**64 - 1))
@@ -119,35 +125,36 @@ def sketch(text: Prefixes) -> np.ndarray:
     return kept
 
 
-def written(text: Prefixes, bins: np.ndarray) -> str:
-    """n_chars, the whole text's hash and the sketch, in hexadecimal: the fingerprint as a string."""
-    return f"{text.n:x}.{text.whole():016x}.{bins.astype('>u2').tobytes().hex()}"
+def written(text: Prefixes, bins: list[np.ndarray]) -> str:
+    """n_chars, the whole text's hash and the sketches by falling length of SPANS, in hexadecimal: the fingerprint as a string."""
+    return ".".join([f"{text.n:x}", f"{text.whole():016x}", *(x.astype(">u2").tobytes().hex() for x in bins)])
 
 
 def fingerprint(text: str | None) -> str:
     own = Prefixes.of(text)
-    return written(own, sketch(own))
+    return written(own, sketches(own))
 
 
 def likeness(a: str, b: str) -> float:
     """Share of spans in common, 0 to 1, from two fingerprints alone: 1 for equal texts, 0 against an empty one.
 
-    The sketches estimate the Jaccard index J of the two span sets; 2J / (1 + J) is the shared part of
-    an average text.
+    The sketches of the shortest spans that both have estimate the Jaccard index J of the two span sets;
+    2J / (1 + J) is the shared part of an average text.
     """
-    if a.rpartition(".")[0] == b.rpartition(".")[0]:
+    own, other = a.split("."), b.split(".")
+    if own[:2] == other[:2]:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.rpartition(".")[2]), ">u2") for f in (a, b))
-    return _shared(x, y)
+    return _shared(*([np.frombuffer(bytes.fromhex(x), ">u2") for x in f[2:]] for f in (own, other)))
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> float:
+def _shared(own: list[np.ndarray], other: list[np.ndarray]) -> float:
+    *_, (x, y) = zip(own, other)  # the longer list's last lengths are of no use
     used = int(((x != EMPTY) | (y != EMPTY)).sum())
     j = int(((x == y) & (x != EMPTY)).sum()) / used if used else 0.0
     return 2 * j / (1 + j)
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, prefix_edited long, prefix_next long"
 
 
 def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,29 +166,31 @@ def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bucket, guest, doc_id, text = row
             if last is not None and last[0] == bucket:
                 own, text = Prefixes.of(text), text or ""
-                bins = sketch(own)
+                bins = sketches(own)
                 out.append(_edited(*last[1:], own, bins, text))
                 last = None if guest else (bucket, doc_id, own, bins, text)
             elif not guest:
                 own = Prefixes.of(text)
-                last = (bucket, doc_id, own, sketch(own), text or "")
+                last = (bucket, doc_id, own, sketches(own), text or "")
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")]).astype({"doc_id": "Int64"})
 
 
-def _edited(doc_id, own: Prefixes, bins: np.ndarray, text: str, following: Prefixes, next_bins: np.ndarray, next_text: str) -> tuple:
+def _edited(doc_id, own: Prefixes, bins: list[np.ndarray], text: str, following: Prefixes, next_bins: list[np.ndarray], next_text: str) -> tuple:
     kept = own.n - own.n // 4
     tail = next_text[: own.n // 4]
     edited = own.spliced(kept, codes(tail))
-    edited_bins = sketch(edited)
+    edited_bins = sketches(edited)
     near = [1.0 if (x.n, x.whole()) == (own.n, own.whole()) else _shared(bins, b) for x, b in ((edited, edited_bins), (following, next_bins))]
     sha = hashlib.sha256((text[:kept] + tail).encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc_id, own.n, sha, written(own, bins), written(edited, edited_bins), *near)
+    return (doc_id, own.n, sha, written(own, bins), written(edited, edited_bins), *near, own.extension(0, edited, 0), own.extension(0, following, 0))
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of the text whose last quarter the start of the next document replaces.
 
+    near_ is their likeness to the edited and to the next text, prefix_ the longest common prefix with either.
+
     Documents follow each other by doc_id (nulls first; rows of one id by a hash of their texts), the first
     follows the last. A null text is empty; repeated rows stay; an empty table gives no rows; other columns
     are ignored. One shuffle of the texts: ids are cut into ranges at approximate quantiles, and the first

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -40,6 +41,18 @@ def test_fingerprints(spark):
     assert got[6]["near_edited"] > 0.5 and fingerprints.edited_neighbours(rows.limit(0)).count() == 0
 
 
+def test_fingerprints_of_short_texts(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (*range(4, 31), 40, 100, 191, 192, 250, 3000)]
+    got = {r["doc_id"]: r for r in fingerprints.edited_neighbours(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        after, cut, r = texts[(i + 1) % len(texts)], len(text) // 4, got[i]
+        edited = text[: len(text) - cut] + after[:cut]
+        assert 0.3 < r["near_edited"] <= 1 and r["near_edited"] == fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == fingerprints.likeness(r["fingerprint"], got[(i + 1) % len(texts)]["fingerprint"]) and (r["near_next"] == 0 or len(text) < 50)
+        assert [r["prefix_edited"], r["prefix_next"]] == [len(os.path.commonprefix([text, x])) for x in (edited, after)]
+
+
 def test_prefix_hashes():
     a, b = "xxabcdefyy", "abcdezz"
     x, y = fingerprints.Prefixes.of(a), fingerprints.Prefixes.of(b)
