@@ -278,8 +278,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     """doc_id, n_shingles and component_id of every document: the smallest doc_id that links lead to.
 
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets. Null or empty
-    texts and those without words have no shingles and are linked with nothing; rows that repeat an id are
-    one document with all their links; a null id is never anyone's component, and alone it has itself (null);
+    texts and those without words have no shingles and are linked with nothing; rows that repeat an id are each
+    judged by their own text, so components that hold one id may have one name; a null id is never anyone's component, and alone it has itself (null);
     an empty table gives no rows; other columns are ignored. Texts are never shuffled while the sets that
     meet others are few enough to be asked for by broadcast; copies are counted in slices of their class.
     """
@@ -295,12 +295,21 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
 
 def unique_documents(docs: DataFrame, width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT) -> DataFrame:
-    """One document of each component (the one of smallest id; of rows that repeat it, one text), with its own columns."""
-    found = classes(docs, width, percent)
-    dropped = settled(found.where("doc_id <> component_id").select("doc_id").distinct())
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("__id"))
-    kept = own.join(_small(dropped.withColumnRenamed("doc_id", "__id")), "__id", "left_anti")
-    return kept.select("row.*")
+    """One row of each component, with its own columns: that of smallest id, null ids last.
+
+    Rows of one id are told apart by a hash of their texts, then by a row key that is written before it is
+    used; so rows that repeat an id are copies where their texts are linked, and documents of their own where not.
+    Rows without shingles are linked with nothing and all stay.
+    """
+    rows = settled(docs.select(F.monotonically_increasing_id().alias("__k"), F.struct(*[docs[c] for c in docs.columns]).alias("row")))
+    found = settled(classes(rows.select(F.col("__k").alias("doc_id"), F.col("row.text").alias("text")), width, percent).select(F.col("doc_id").alias("__k"), F.col("component_id").alias("__c")))
+    several = settled(found.where("__k <> __c").select("__c").distinct())
+    members = found.join(_small(several), "__c", "left_semi")
+    doc_id = F.col("row.doc_id").cast("long")
+    at = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("text"), F.col("__k").alias("k"))
+    members = settled(rows.select("__k", at.alias("__at")).join(_small(members), "__k"))
+    dropped = settled(salted_group_min(members, ["__c"], "__at", "__least", unique="__k").where("__k <> __least.k").select("__k"))
+    return rows.join(_small(dropped), "__k", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -68,6 +68,13 @@ def test_unique_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, (_, root) in sorted(want.items()) if root == i]
 
 
+def test_unique_documents_decides_by_row(spark):
+    a, b, c, d = ("one two three four five six", "red green blue black white grey", "north south east west up down", "dog cat cow pig hen fox")
+    rows = [(7, a), (7, a), (9, a.upper()), (None, a), (None, b), (None, b), (7, c), (8, c), (5, c), (5, d), (None, None)]
+    kept = jaccard.unique_documents(spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, __n int").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(7, a), (None, b), (5, c), (5, d), (None, None)], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(200, rng.randint(200, 260)) for _ in range(50)]
