@@ -27,6 +27,8 @@ WINDOW, STRIDE = 32, 16
 WORD_DIMS, CHAR_DIMS, HIDDEN, ATTENTION = 4, 8, 8, 8
 #: Lengths of the character n-grams (bytes, word borders included), and texts that one must occur in to have an embedding.
 GRAMS, LEAST_TEXTS = (3, 4, 5, 6), 3
+#: Bytes of a word; longer ones are several.
+LONGEST = 64
 EPOCHS, STEPS, BATCH, RATE = 3, 250, 64, 0.05
 #: Words that a worker remembers, and windows that it scores together.
 REMEMBERED, BLOCK = 300_000, 2048
@@ -34,12 +36,23 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The words of a text; one of more than LONGEST bytes is cut into parts that overlap, so that no n-gram is lost."""
+    found = _WORD.findall((text or "").lower())
+    if all(4 * len(w) <= LONGEST for w in found):
+        return found
+    return [part for w in found for part in _parts(w)]
+
+
+def _parts(word: str) -> list[str]:
+    if 4 * len(word) <= LONGEST or len(word.encode("utf-8", "surrogatepass")) <= LONGEST:
+        return [word]
+    size, shared = LONGEST if word.isascii() else LONGEST // 4, max(GRAMS) - 1
+    return [word[i : i + size] for i in range(0, len(word) - shared, size - shared)]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all n-grams of all words, and where each word's begin; every word has one at least."""
-    raw = [b"\x02" + w.encode("utf-8", "surrogatepass")[:64] + b"\x03" for w in words]
+    raw = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
     first = np.cumsum(sizes) - sizes

@@ -225,6 +225,16 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.predict(docs, known.limit(0)).collect()} == {0.0}
 
 
+def test_long_words_keep_all_n_grams():
+    for word in ("x" * 64, "abcdefg" * 9 + "h", "é" * 32, "ab" * 200 + "grolk", "東京大学院生" * 40 + "悪口雑言", "a" * 60 + "ü" * 7, "".join(random.Random(2).choices("abcdeé東", k=901))):
+        parts, data = toxicity.words_of(word), word.encode()
+        assert (parts == [word]) == (len(data) <= 64) and all(len(p.encode()) <= 64 for p in parts)
+        cut = {p.encode()[i : i + 6] for p in parts for i in range(len(p.encode()) - 5)}
+        assert {data[i : i + 6] for i in range(len(data) - 5)} <= cut
+        inner = lambda w: set(toxicity.grams([w])[0].tolist())
+        assert inner(word) <= set().union(*map(inner, parts))
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         covered = {i + k for i in toxicity.windows(n) for k in range(toxicity.WINDOW)}
