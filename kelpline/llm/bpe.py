@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import io
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_batches, shared_file, table
 
 #: Words in the lexicon: the most frequent of the whole corpus. Others are merged, so no result depends on it.
 LEXICON = 32_768
@@ -259,10 +259,11 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
         for batch in batches:
             for text in batch["text"]:
                 counts.update(split(text))
-            if len(counts) > REMEMBERED:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                counts = Counter()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                if len(counts) > REMEMBERED:
+                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                    counts = Counter()
+        if counts:  # a frame without words would have no text column
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     words = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(counted, "word string, n long")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
@@ -293,10 +294,11 @@ def round_trip(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> DataFra
     """
     merges = Merges(vocabulary)
     data = compiled((w.encode("utf-8", "surrogatepass"), merges.merged(w.encode("utf-8", "surrogatepass"))) for w in frequent_words(docs, most))
+    made = io.BytesIO()
+    np.save(made, data)
     name = f"lexicon-{hashlib.sha256(data.tobytes()).hexdigest()[:24]}.npy"
-    path = os.path.join(tempfile.mkdtemp(prefix="kelpline-"), name)
-    np.save(path, data)
-    docs.sparkSession.sparkContext.addFile(path)  # a few MB, fetched once by each executor
+    # a few MB, fetched once by each executor; the path follows from the content, so a later run registers the same one
+    docs.sparkSession.sparkContext.addFile(shared_file(docs.sparkSession, name, made.getvalue()))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(vocabulary, name)
@@ -308,10 +310,10 @@ def round_trip(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> DataFra
                     text = encoder.decoded(ids).encode("utf-8", "surrogatepass")
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
                 done = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                done.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
+                done.insert(0, "doc_id", part["doc_id"].to_numpy())
                 yield done
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(rows, ROUND_TRIP)
+    return by_batches(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rows, ROUND_TRIP)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

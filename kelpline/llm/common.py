@@ -2,45 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.sources.tables import forget, settled, shared_root, table  # noqa: F401
+
 #: Most rows of a side that is broadcast after its size was checked; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Slices of a key that may hold a third of all rows.
 SALTS = 64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_root(spark)}/kelpline-{uuid.uuid4().hex}"
+
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """The path of data in the shared folder; name should say what it holds (by a digest), as one that is there is not written again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/kelpline-files/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path.toString()}.{uuid.uuid4().hex}")
+        out = files.create(part)
+        out.write(data)
+        out.close()
+        if not files.rename(part, path) and not files.exists(path):
+            raise OSError(f"cannot write {path.toString()}")
+    return files.makeQualified(path).toString()
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="kelpline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/kelpline-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a settled() table that no later result reads."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/kelpline-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def by_batches(rows: DataFrame, function: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """rows.mapInPandas(function, schema), with the long columns `ids` as text on their way through Python.
+
+    pandas would make doubles of longs beside a null, and those above 2^53 would become other ids.
+    """
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    out = rows.withColumns({c: F.col(c).cast("long").cast("string") for c in ids if c in rows.columns})
+    made = out.mapInPandas(function, ", ".join(f"{n} {'string' if n in ids else t}" for n, t in fields))
+    return made.select(*[F.col(n).cast("long").alias(n) if n in ids else n for n, _ in fields])
 
 
 def salted_group_min(rows: DataFrame, keys: list[str], value: str, out: str, unique: str | None = None, salts: int = SALTS) -> DataFrame:

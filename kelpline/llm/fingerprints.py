@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_batches, table
+
 #: The Mersenne prime 2^31 - 1, whose remainders need a shift and an addition only.
 PRIME = np.uint64(2**31 - 1)
 BASES = (1_000_003_579 % (2**31 - 1), 777_767_777)
@@ -173,7 +175,7 @@ def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 own = Prefixes.of(text)
                 last = (bucket, doc_id, own, sketches(own), text or "")
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EDITED.split(", ")])
 
 
 def _edited(doc_id, own: Prefixes, bins: list[np.ndarray], text: str, following: Prefixes, next_bins: list[np.ndarray], next_text: str) -> tuple:
@@ -210,8 +212,8 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.col("into").alias("bucket"), F.lit(True).alias("guest"))
     placed = rows.join(guests, "k", "left").withColumn("at", F.explode(F.when(F.col("into").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     placed = placed.select("at.bucket", "at.guest", "k", "doc_id", "text")
-    ordered = placed.repartition(ranges, "bucket").sortWithinPartitions("bucket", "guest", "k", F.xxhash64("text"))
-    return ordered.select("bucket", "guest", "doc_id", "text").mapInPandas(_followed, EDITED)
+    ordered = placed.repartitionById(ranges, "bucket").sortWithinPartitions("bucket", "guest", "k", F.xxhash64("text"))
+    return by_batches(ordered.select("bucket", "guest", "doc_id", "text"), _followed, EDITED)
 
 
 def _range_of(key, bounds: list[int]):
@@ -226,4 +228,4 @@ def _range_of(key, bounds: list[int]):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return edited_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return edited_neighbours(table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED, _L, _N
-from .common import settled, table
+from .common import by_batches, settled, table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
@@ -74,14 +74,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
             block = (batch["text"].str.len().cumsum() // BLOCK).to_numpy()
             for b in np.unique(block):
                 part, out = batch[block == b], []
-                for doc_id, ids in zip(part["doc_id"].astype("Int64"), ids_of.encoded(part["text"].tolist()), strict=True):
+                for doc_id, ids in zip(part["doc_id"], ids_of.encoded(part["text"].tolist()), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         out.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(rows, PIECES)
+    return by_batches(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), rows, PIECES)
 
 
 class Pattern(NamedTuple):
@@ -180,9 +180,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
             want = batch["length"].to_numpy() << 40 | batch["rank"].to_numpy()
             at = np.searchsorted(key, want, "right") - 1
             batch["sequence_id"], batch["offset"] = base[at] + want - key[at], offset[at]
-            yield batch.drop(columns="rank").astype({"doc_id": "Int64"})
+            yield batch.drop(columns="rank")
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(rows, PLACES)
+    return by_batches(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), rows, PLACES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

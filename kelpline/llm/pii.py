@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_batches, table
 
 #: Key of the query; a job passes its own.
 KEY = b"kelpline example key"
@@ -264,10 +264,10 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 kinds = [k for _, _, k in found]
                 out.append((len(found), *map(kinds.count, KINDS), ",".join(f"{k}:{s}:{e}" for s, e, k in found), hashlib.sha256((new or "").encode("utf-8", "surrogatepass")).hexdigest(), new))
             made = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")][1:])
-            made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(rows, OUT)
+    return by_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), rows, OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

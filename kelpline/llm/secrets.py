@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import by_batches, table
 
 
 class Rule(NamedTuple):
@@ -339,9 +339,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = find(text)
                 own = [x for x in found if x[1] in base]
                 out.append((*(sum(x[1] == k for x in own) for k in base), hashlib.sha256(_spans(own, RULES).encode()).hexdigest(), _spans(found, RULES)))
-            yield pd.concat([batch["doc_id"].astype("Int64"), pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")][1:])], axis=1)
+            yield pd.concat([batch["doc_id"], pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")][1:])], axis=1)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(rows, FOUND)
+    return by_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), rows, FOUND)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import salted_group_min, shared_dir, table
+from .common import by_batches, salted_group_min, shared_dir, table
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_BYTES = 0
@@ -128,12 +128,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     length = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     if kind == "response":
                         digest, length = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-                    page, refers = (int(headers[k]) if k in headers else None for k in ("X-Page-Id", "X-Refers-To-Page-Id"))
+                    page, refers = (headers.get(k) for k in ("X-Page-Id", "X-Refers-To-Page-Id"))
                     out.append((page, length, digest, kind, refers, headers.get("WARC-Target-URI")))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORDS.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInPandas(parsed, RECORDS)
+    return by_batches(files.select("content"), parsed, RECORDS, ("page_id", "refers_to"))
 
 
 def archived(pages: DataFrame) -> DataFrame:
