@@ -14,6 +14,8 @@ from kelpline.sources.tables import forget, settled, shared_root, table  # noqa:
 BROADCAST_ROWS = 200_000
 #: Slices of a key that may hold a third of all rows.
 SALTS = 64
+#: A key is hot where it has this share of the rows or more, so there are no more hot keys than its inverse.
+HOT = 1 / 200
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,3 +69,18 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     cut = rows.withColumn("__salt", F.floor(F.rand(7) * salts).cast("int"))
     wide = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return cut.join(wide, [*keys, "__salt"], how).drop("__salt")
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """rows joined with side, which has one row a key (or a few) where rows may have a third of all: hot keys of rows are met by broadcast.
+
+    The hot keys are counted (hot gives key and k if they are known already): at most 1 / HOT of them, whatever
+    the table, so what is broadcast is bounded. rows and side should be settled, as both are read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("k")) if hot is None else hot
+    total = counts.agg(F.sum("k")).first()[0] or 0
+    found = [r[key] for r in counts.where((F.col("k") >= HOT * total) & (F.col("k") >= SALTS)).select(key).collect()]  # 1 / HOT keys at most
+    if not found:
+        return rows.join(side, [key, *extra], how)
+    few = F.col(key).isin(found)
+    return rows.where(few).join(F.broadcast(side.where(few)), [key, *extra], how).unionByName(rows.where(~few).join(side.where(~few), [key, *extra], how))

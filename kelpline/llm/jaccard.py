@@ -1,28 +1,30 @@
 """Exact Jaccard join of shingle sets in metric space.
 
-Sets are points under the symmetric difference |x - y| + |y - x|, and a link of similarity t is a distance of
-at most (1 - t) / (1 + t) * (|x| + |y|). Three steps, none of which drops a link:
-
-1. Regions. The pivots are the shingles, ranked by how rare they are (a bounded histogram over the whole
-   corpus ranks them). A set's Voronoi region is that of its rarest shingle. A shingle that only one of two
-   sets holds shifts a rank by one, so by the triangle inequality linked sets meet in a region once each is
-   also copied to the regions of its next shingles, as many as a link lets differ: |x| - ceil(t |x|) of them.
-2. Recursion. In a region one set becomes its pivot and is compared exactly with the others. Those it links
-   are one component and need no comparison among each other. What is left of the region is taken up again
-   by more pivots, sixteen times as many each round, whose partners must be of another component, of a fitting
-   size, and no further from them in distance to the first pivot than a link is long (triangle inequality).
-3. Components of the links found.
+Sets are points under the symmetric difference |x - y| + |y - x|; a link of similarity t is a distance of at most
+(1 - t) / (1 + t) * (|x| + |y|), never more than reach(x) = (1 - t) / t * |x|. Equal sets are one class before all
+that, so copies cost nothing. Four steps, none of which drops a link:
+
+1. A first cut that is a prefix filter, not yet a Voronoi diagram: random texts all lie about as far from each
+   other, so nearest pivots alone would copy every set to every region. A set goes to the regions of its
+   n - ceil(t n) + 1 rarest shingles, where linked sets must meet.
+2. Pivots. In every region the set of highest rank (its rare shingles are those of many others: it is the likely
+   original) becomes the pivot. As the ranks are of the whole corpus, a set meets few different pivots though it
+   is in many regions. Sets within twice their reach of a pivot form its Voronoi region; those it links are one
+   component and aren't compared among each other.
+3. Recursion in a pivot's region. x and y are as far apart as their differences from the pivot, which are small
+   sets: they are joined by a prefix filter of their own, on the rarest differences first. Two sets that share
+   none cannot be linked unless the pivot links both, so copies that were edited apart meet no more.
+4. Sets beyond a pivot's region are compared by more pivots from among them. By the triangle inequality those that
+   the pivot holds closely can't reach them; only those at its boundary are copied there.
 
 Before sets are fetched for a comparison, a coarser metric bounds it: sets cut into equal slices of the shingle
 space are vectors of counts, and what their counts differ by in sum is at most the sets' distance.
-
-Equal sets are one class before all that, so copies cost nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,16 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, join_small, salted_group_min, settled, table
+from .common import BROADCAST_ROWS, by_batches, forget, join_hot, join_small, salted_group_min, settled, table
 from .components import components
 
 #: Words of a shingle and least similarity in percent: the query's, then those of near-duplicate stages.
 WIDTH, PERCENT = 3, 90
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
-#: Bits of the histogram that ranks shingles (4 MB whatever the corpus), and parts that it is summed in.
+#: Bits of the histogram that ranks shingles (8 MB whatever the corpus), and parts that it is summed in.
 BITS, PARTS = 20, 64
-#: Times as many pivots of a region each round.
-MORE = 16
+#: Pivots of a region in the first round of a recursion, and times as many each round after it.
+MORE = 32
+#: Bits of a class id below its rank.
+PLACE = 53
 #: Words that a worker remembers the hashes of.
 REMEMBERED = 1_000_000
 
@@ -112,16 +116,29 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     return np.concatenate([found.get(p, np.zeros((1 << BITS) // PARTS, np.int64)) for p in range(PARTS)])
 
 
-def _prefix(sets: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The set's rarest shingles: its own region and those that linked sets may have as theirs."""
+def _digest(sets: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; None for the empty one."""
+    return hashlib.blake2b(sets.tobytes(), digest_size=16).digest() if len(sets) else None
+
+
+def _prefix(sets: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The set's rarest shingles, of which linked sets share one, and its rank: how common these are, 0 to 1023.
+
+    Shingles that the corpus has once are left out after that, and all of a set too small to be linked with another.
+    """
     n = len(sets)
+    if 100 * n < percent * (n + 1):
+        return sets[:0], 0
     reach = n - -(-percent * n // 100) + 1
-    return sets[np.argsort(counts[(sets >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")[:reach]]
+    common = counts[(sets >> np.uint64(64 - BITS)).astype(np.int64)]
+    first = np.argsort(common, kind="stable")[:reach]
+    rank = min(1023, int(25 * np.log2(1 + common[first].astype(float)).mean()))
+    return sets[first[common[first] > 1]], rank
 
 
-def _counts(sets: np.ndarray) -> bytes:
-    """How many shingles each slice holds (255: as many or more); a power of two of slices, n / 8 to n / 4."""
-    bits = max(4, (len(sets) // 8).bit_length())
+def _counts(sets: np.ndarray, percent: int) -> bytes:
+    """How many shingles each slice holds (255: as many or more); a power of two of slices, more of them where links are longer."""
+    bits = max(4, (len(sets) // (8 if percent >= 90 else 2)).bit_length())
     return np.minimum(np.bincount((sets >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -137,95 +154,110 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(diff[~capped].sum())
 
 
-def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, c (the set's digest, null if empty), its regions and its counts, settled."""
+def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n, digest (null if empty), the set's regions, rank and counts, settled."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 sets = shingles(text, width)
-                digest = int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True) if len(sets) else None
-                out.append((len(sets), digest, _prefix(sets, shared.value, percent).view(np.int64), _counts(sets)))
-            made = pd.DataFrame([(n, *rest) for n, _, *rest in out], columns=["n", "regions", "v"])
-            made.insert(1, "c", pd.array([c for _, c, *_ in out], "Int64"))  # inferred beside a null it would be rounded to a double
-            made.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield made
+                regions, rank = _prefix(sets, shared.value, percent)
+                out.append((doc_id, len(sets), _digest(sets), rank, regions.view(np.int64), _counts(sets, percent)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "rank", "regions", "v"])
 
-    return settled(_texts(docs).mapInPandas(rows, "doc_id long, n long, c long, regions array<long>, v binary"))
+    return settled(by_batches(_texts(docs), rows, "doc_id long, n long, digest binary, rank long, regions array<long>, v binary"))
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(r, c, n): the classes that meet in a region, each set of classes once; lone ones are in no list."""
-    placed = classes.select("c", "n", F.explode("regions").alias("s"))
-    at = W.partitionBy("s")
-    met = placed.select("s", "c", "n", F.count("*").over(at).alias("k"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).over(at).alias("h")).where("k > 1")
-    return met.select(F.xxhash64("k", F.col("h").cast("string")).alias("r"), "c", "n").distinct()
+def _classes(own: DataFrame) -> DataFrame:
+    """c, digest, n, rep (an id of a document that has it), regions and v of every distinct set; ids rise with the rank."""
+    found = own.where("digest is not null").groupBy("digest").agg(F.min(_key("doc_id")).alias("rep"), *[F.first(x).alias(x) for x in ("n", "rank", "regions", "v")])
+    place = F.monotonically_increasing_id()
+    return settled(found.select((F.shiftleft("rank", PLACE) + place).alias("c"), "digest", "n", "rep", "regions", "v"))
 
 
 def _key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id), F.lit(-(2**63)).cast("long"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _fits(a: Column, b: Column, percent: int) -> Column:
+    """Sizes whose sets may still be linked."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _first_cut(classes: DataFrame) -> DataFrame:
+    """s, c, n and p, the pivot, of every set in a region of several."""
+    placed = classes.select("c", "n", F.explode("regions").alias("s"))
+    tops = settled(placed.groupBy("s").agg(F.count("*").alias("k"), F.max("c").alias("p")).where("k > 1"))
+    met = settled(join_hot(placed, tops, "s", hot=tops.select("s", "k")).select("s", "c", "n", "p"))
+    forget(tops)
+    return met
+
+
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(c, x): the whole sets of the wanted classes, from the text of one document of each."""
-    reps = settled(classes.join(_small(wanted), "c", "left_semi").select(_key("rep").alias("k")).distinct())
+    own = settled(classes.join(_small(wanted), "c", "left_semi").select("c", "digest", "rep"))
+    reps = settled(own.select(F.col("rep").alias("k")).distinct())
     texts = _texts(docs).withColumn("k", _key("doc_id")).join(_small(reps), "k", "left_semi")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                sets = shingles(text, width)
-                if len(sets):
-                    out.append((int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True), sets.tobytes()))
-            yield pd.DataFrame(out, columns=["c", "x"])
+            made = [shingles(text, width) for text in batch["text"]]
+            out = [(_digest(x), x.tobytes()) for x in made if len(x)]
+            if out:
+                yield pd.DataFrame(out, columns=["digest", "x"])
 
     # rows that repeat an id may have other texts, which are not wanted
-    return settled(texts.select("text").mapInPandas(rows, "c long, x binary").join(_small(wanted), "c", "left_semi").dropDuplicates(["c"]))
-
+    found = settled(texts.select("text").mapInPandas(rows, "digest binary, x binary").join(_small(own.select("c", "digest")), "digest").select("c", "x").dropDuplicates(["c"]))
+    forget(own)
+    forget(reps)
+    return found
 
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
-
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Sizes whose sets may still be linked."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose counts don't rule a link out."""
+def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> DataFrame:
+    """pairs (a, b) of fitting sizes whose counts don't put them more than `times` reaches of b apart, settled."""
 
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_apart(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
 
     own = classes.select("c", "n", "v")
-    joined = pairs.join(own.toDF("b", "nb", "vb"), "b").join(own.toDF("a", "na", "va"), "a")
-    return joined.where((100 + percent) * apart("va", "vb") <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    joined = join_hot(join_hot(pairs, own.toDF("a", "na", "va"), "a"), own.toDF("b", "nb", "vb"), "b")
+    joined = joined.where(_fits(F.col("na"), F.col("nb"), percent)) if times == 1 else joined
+    return settled(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) plus i and u, the sizes of intersection and union of their sets."""
+def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, times: int) -> DataFrame:
+    """a, b, their sizes and their distance d of the pairs that the sets leave within `times` reaches of b; e: the differences."""
+    close = _within(pairs, classes, percent, times)
+    sets = _sets(docs, classes, settled(close.select(F.explode(F.array("a", "b")).alias("c")).distinct()), width)
+
+    @F.pandas_udf("array<long>")
+    def differences(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(x, y, strict=True)], dtype=object)
+
+    joined = join_hot(join_hot(close, sets.toDF("a", "xa"), "a"), sets.toDF("b", "xb"), "b").select("a", "b", "na", "nb", differences("xa", "xb").alias("e"))
+    found = settled(joined.withColumn("d", F.size("e").cast("long")).where(percent * F.col("d") <= times * (100 - percent) * F.col("nb")))
+    forget(close)
+    forget(sets)
+    return found
 
-    @F.pandas_udf("long")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-            both.sort(kind="stable")
-            out.append(int((both[1:] == both[:-1]).sum()))
-        return pd.Series(out, dtype="int64")
 
-    joined = pairs.join(sets.select(F.col("c").alias("b"), F.col("x").alias("y")), "b").join(sets.select(F.col("c").alias("a"), "x"), "a")
-    joined = joined.select("a", "b", common("x", "y").alias("i"), ((F.octet_length("x") + F.octet_length("y")) / 8).cast("long").alias("total"))
-    return joined.select("a", "b", "i", (F.col("total") - F.col("i")).alias("u"))
+def _linked(percent: int) -> Column:
+    """Whether sets of sizes na and nb at distance d have a similarity of percent / 100 or more."""
+    both = (F.col("na") + F.col("nb") - F.col("d")) / 2
+    return 100 * both >= percent * (F.col("na") + F.col("nb") - both)
 
 
-def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Roots (c, root) after more links (a, b): only what the links touch is looked at again."""
+    if links.isEmpty():
+        return roots
     if roots is None:
         return settled(components(links).select(F.col("node").alias("c"), "root"))
     for side in "ab":
@@ -236,42 +268,93 @@ def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return settled(old.unionByName(moved.select(F.col("node").alias("c"), "root")).dropDuplicates(["c"]))
 
 
-def _roots(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
-    """(c, root) of all linked classes, by rounds of pivots in every region."""
-    found = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regions").alias("regions"), F.first("v").alias("v"))
-    classes = settled(found)
-    members = settled(_members(classes).withColumn("d", F.lit(None).cast("double")))
-    pivots, roots = 1, None
-    reach = (100 - percent) / 100 + 1e-9
+def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("c"))
+    return join_small(rows, roots, ["c"]).withColumn("root", F.coalesce("root", "c"))
+
+
+def _alive(rows: DataFrame) -> DataFrame:
+    """The rows of regions r where a set that must be compared (must) may still meet one of another component, settled."""
+    rows = settled(rows)
+    regions = settled(rows.groupBy("r").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("must").cast("int")).alias("any")).where("low < high and any = 1").select("r", "k"))
+    left = settled(join_hot(rows, regions, "r", hot=regions).drop("k"))
+    forget(rows)
+    forget(regions)
+    return left
+
+
+def _rounds(rows: DataFrame, roots: DataFrame | None, compare: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Roots after every must row of a region r has met all others there, by pivots chosen among the must rows.
+
+    rows: f (the frame), r, c, n, must. compare takes distinct pairs (f, a, b) and gives the links (a, b) among them. A region
+    that becomes one component is done. Pivots are the greatest ids of hashed slots, so no region is ever gathered or sorted.
+    """
+    slots = MORE
     while True:
-        rows = members.withColumn("root", F.col("c")) if roots is None else join_small(members, roots, ["c"]).withColumn("root", F.coalesce("root", "c"))
-        # a region of one component is done
-        at = W.partitionBy("r")
-        rows = rows.withColumn("alive", F.min("root").over(at) < F.max("root").over(at)).where("alive").drop("alive")
-        rows = settled(rows.withColumn("pivot", F.row_number().over(at.orderBy(F.xxhash64("c"))) <= pivots))
-        forget(members)
+        rows = _alive(_with_roots(rows, roots))
         if rows.isEmpty():
-            return docs.sparkSession.createDataFrame([], "c long, root long") if roots is None else roots
-        chosen = rows.where("pivot").select("r", F.col("c").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("root").alias("ra"))
-        met = rows.join(chosen, "r").where((F.col("c") != F.col("a")) & (F.col("root") != F.col("ra")) & _fits(F.col("n"), F.col("na"), percent))
-        met = met.where(F.col("d").isNull() | F.col("da").isNull() | (F.abs(F.col("d") - F.col("da")) <= reach))
-        pairs = settled(_near(met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct(), classes, percent))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        sets = _sets(docs, classes, settled(wanted), width)
-        tested = settled(_compared(pairs, sets))
-        forget(sets)
-        # a pivot has met all others of its region: only those that were none go on
-        rest = rows.where("not pivot").select("r", "c", "n", "d")
-        if pivots == 1:
-            # the distance to a region's first pivot narrows all later rounds (null where something cheaper ruled the link out)
-            far = tested.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("i") / F.col("u")).alias("dist"))
-            first = rest.join(chosen.select("r", "a"), "r").select("r", "c", "n", F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y"))
-            rest = first.join(far, ["x", "y"], "left").select("r", "c", "n", F.col("dist").alias("d"))
-        members = settled(rest)
-        links = tested.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
-        if not links.isEmpty():
-            roots = _joined_roots(roots, links)
-        pivots *= MORE
+            return roots
+        chosen = settled(rows.where("must").groupBy("f", "r", F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("c", "root")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp")))
+        met = join_hot(rows, chosen, "r").where("c <> p and root <> rp")
+        roots = _joined_roots(roots, compare(settled(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct())))
+        done = chosen.select("r", F.col("p").alias("c"), F.lit(True).alias("__done"))
+        rows = rows.join(done, ["r", "c"], "left").withColumn("must", F.col("must") & F.col("__done").isNull()).drop("__done", "root")
+        slots *= MORE
+
+
+def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame | None:
+    """Roots after the sets of every pivot's region are joined by their differences from it (near: p, c, np, n, d, e, linked).
+
+    A set that the pivot doesn't link and any other set y that is linked with it share a difference: without one,
+    d(x) + d(y) <= k (|x| + |y|) and d(x) > k (|x| + |p|), k = (1 - t) / (1 + t) < 1, would give d(y) < k (|y| - |p|) <= k d(y).
+    By the same sums it shares d(x) - reach(x) of them at least, and y more than (d(y) - k max(0, |y| - |p|)) / 2 of its own.
+    """
+    far = settled(near.where(~F.col("linked")).select("p").distinct())
+    near = settled(near.join(_small(far), "p", "left_semi"))
+    k = (100 - percent) / (100 + percent)
+    rest = F.col("d") - F.floor((F.col("d") - k * F.greatest(F.lit(0), F.col("n") - F.col("np"))) / 2 - 1e-9)
+    wide = F.least(F.col("d"), F.floor(F.col("n") * (100 - percent) / percent + 1e-9) + 1)
+    placed = settled(near.select("p", "c", "n", F.when(F.col("linked"), rest).otherwise(wide).alias("prefix"), (~F.col("linked")).alias("must"), F.explode("e").alias("s")))
+    often = settled(placed.groupBy("p", "s").agg(F.count("*").alias("k"), F.max("must").alias("any")).withColumn("r", F.xxhash64("p", "s")))
+    ranked = join_hot(placed.withColumn("r", F.xxhash64("p", "s")), often.select("p", "s", "k", "any", "r"), "r", extra=("p", "s"), hot=often.select("r", "k"))
+    ranked = ranked.withColumn("at", F.row_number().over(W.partitionBy("p", "c").orderBy("k", "s"))).where("at <= prefix and k > 1 and any")
+    rows = ranked.select(F.col("p").alias("f"), "r", "c", "n", "must")
+
+    @F.pandas_udf("long")
+    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], dtype="int64")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            own = near.select(F.col("p").alias("f"), F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("e").alias(f"e{side}"))
+            pairs = pairs.join(own, ["f", side])
+        found = pairs.withColumn("d", F.size("ea") + F.size("eb") - 2 * shared("ea", "eb"))
+        return settled(found.where(_linked(percent)).select("a", "b"))
+
+    return _rounds(rows, roots, compare)
+
+
+def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(c, root) of all linked classes."""
+    met = _first_cut(classes)
+    pairs = settled(met.where("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct())
+    near = _compared(docs, classes, pairs, width, percent, 2).withColumn("linked", _linked(percent))
+    near = near.select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("na").alias("np"), F.col("nb").alias("n"), "d", "e", "linked")
+    forget(pairs)
+    roots = _joined_roots(None, near.where("linked").select(F.col("p").alias("a"), F.col("c").alias("b")))
+    roots = _differences_joined(near, roots, percent)
+    # beyond a pivot's region; within it, whom it holds by less than t reaches is out of reach of those beyond
+    held = near.select("p", "c", (100 * F.col("d") <= (100 - percent) * F.col("n")).alias("held"))
+    rest = met.where("c <> p").join(held, ["p", "c"], "left").where("held is null or not held")
+    rest = rest.select(F.lit(0).cast("long").alias("f"), F.col("s").alias("r"), "c", "n", F.col("held").isNull().alias("must"))
+
+    def compare(far: DataFrame) -> DataFrame:
+        return _compared(docs, classes, far.select("a", "b"), width, percent, 1).where(_linked(percent)).select("a", "b")
+
+    roots = _rounds(rest, roots, compare)
+    forget(met)
+    return docs.sparkSession.createDataFrame([], "c long, root long") if roots is None else roots
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -283,15 +366,16 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     an empty table gives no rows; other columns are ignored. Texts are never shuffled while the sets that
     meet others are few enough to be asked for by broadcast; copies are counted in slices of their class.
     """
-    own = _classes(docs, width, percent)
-    roots = _roots(docs, own, width, percent)
-    ids = own.select("doc_id", "n", "c")
-    lone = ids.where("c is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = salted_group_min(ids.where("c is not null"), ["c"], "doc_id", "least", unique="doc_id")
-    least = settled(roots.join(own.where("c is not null").select("c", "doc_id").join(_small(roots.select("c")), "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("least")), "c"))
-    named = settled(salted_group_min(least, ["root"], "least", "linked", unique="c").select("c", "linked"))
-    found = join_small(full, named, ["c"])
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.least("least", "linked").alias("component_id")).unionByName(lone)
+    own = _measured(docs, width, percent)
+    found = _classes(own)
+    roots = _roots(docs, found, width, percent)
+    named = settled(roots.join(found.select("c", "digest"), "c").select("digest", "root"))
+    ids = own.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    lone = ids.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # a component of one class has the class for its root
+    full = join_small(ids.where("digest is not null"), named, ["digest"]).withColumn("root", F.coalesce(F.col("root").cast("string"), F.hex("digest")))
+    full = salted_group_min(full, ["root"], "doc_id", "component_id", unique="doc_id")
+    return full.select("doc_id", "n_shingles", "component_id").unionByName(lone)
 
 
 def unique_documents(docs: DataFrame, width: int = STAGE_WIDTH, percent: int = STAGE_PERCENT) -> DataFrame:

@@ -53,6 +53,50 @@ def test_equals_all_pairs(spark, seed, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute(docs, width, percent)
 
 
+def family(seed, words, copies, cut, changed):
+    """An original and copies that lose a run of words or have some changed: near it, not always linked with it."""
+    rng = random.Random(seed)
+    base = [f"b{seed}x{i}" for i in range(words)]
+    out = [base]
+    for k in range(copies):
+        text = list(base)
+        at = rng.choice((0, words // 3, words // 2)) + rng.randrange(4)
+        del text[at : at + rng.randint(*cut)]
+        for i in range(rng.randint(*changed)):
+            text[rng.randrange(len(text))] = f"n{seed}c{k}x{i}"
+        out.append(text)
+    return [" ".join(x) for x in out]
+
+
+def test_copies_that_their_original_does_not_link(spark):
+    texts = family(1, 120, 40, (8, 22), (0, 1)) + family(2, 200, 30, (0, 40), (0, 3)) + family(3, 90, 30, (4, 18), (0, 0))
+    docs = list(enumerate(texts))
+    random.Random(9).shuffle(docs)
+    want = brute(docs, 3, 90)
+    assert len({root for _, root in want.values()}) > 10  # some are linked with each other alone
+    found = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == want
+
+
+def test_near_copies_are_met_through_their_original(spark):
+    """2000 near copies of one text: a link each with the original, not with each other."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 2001):
+        text = list(base)
+        text[rng.randrange(60)] = f"new{i}"
+        docs.append((i, " ".join(text)))
+    asked = []
+    kept = jaccard._compared
+    jaccard._compared = lambda docs, classes, pairs, *rest: asked.append(pairs.count()) or kept(docs, classes, pairs, *rest)
+    try:
+        found = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    finally:
+        jaccard._compared = kept
+    assert {r["component_id"] for r in found} == {0} and sum(asked) < 4 * len(docs)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c"), (7, "a b c"), (7, "a b c"), (None, None), (3, "A B  C")]
     found = jaccard.classes(spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, c string"))
