@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, shared_file, table
+from .common import by_batches, forget, settled, shared_file, table
 
 #: Words in the lexicon: the most frequent of the whole corpus. Others are merged, so no result depends on it.
 LEXICON = 32_768
@@ -252,7 +252,10 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The most frequent words of all texts, ties by the word: counted per task first, then by a shuffle of counts."""
+    """The most frequent words of all texts, `most` at most: as many classes of like counts as that has room for.
+
+    Words are counted per task first, then by a shuffle of counts; no task and not the driver sees more than the words it returns.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -266,8 +269,17 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
             yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
 
     words = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(counted, "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.collect()]  # `most` rows
+    counts = settled(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(64 * F.log2("n")).cast("int")))
+    steps = sorted(((r["step"], r["k"]) for r in counts.groupBy("step").agg(F.count("*").alias("k")).collect()), reverse=True)  # 64 a power of two
+    total, low = 0, None
+    for step, k in steps:
+        total += k
+        if total > most:
+            break
+        low = step
+    found = [] if low is None else [r["word"] for r in counts.where(F.col("step") >= low).select("word").collect()]  # `most` rows
+    forget(counts)
+    return found
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

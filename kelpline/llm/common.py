@@ -63,7 +63,7 @@ def salted_group_min(rows: DataFrame, keys: list[str], value: str, out: str, uni
 
 
 def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Joins one row per key onto rows: by broadcast if small was counted to be small, else salted."""
+    """Joins a row or a few per key onto rows: by broadcast if small was counted to be small, else salted."""
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), keys, how)
     cut = rows.withColumn("__salt", F.floor(F.rand(7) * salts).cast("int"))

@@ -1,11 +1,13 @@
 """Quality rules and robust multivariate outliers, in DataFrame functions alone.
 
-Every text gives exact counts (Python-free). Their transformed vector is judged against the documents of
-the same language and source by a minimum covariance determinant estimate: from medians and spreads,
-concentration steps keep the three quarters nearest by Mahalanobis distance and estimate mean and
-covariance from them again. Every statistic of a document also has the noise of a count in a text of its
-size, so one repeated line among five weighs less than ten among fifty. A document is rejected where its
-distance to that estimate is beyond what a normal law would give once in a thousand.
+Every text gives exact counts (Python-free). Their transformed vectors are judged, per language and source, by a
+minimum covariance determinant estimate: from several starts, concentration steps keep the three quarters of a
+group that lie nearest by Mahalanobis distance and estimate mean and covariance from them again; of the starts
+the one of least determinant is concentrated further. The estimate is scaled to what a normal law has at its
+core's radius, and shrunk towards its language's by a weight of some documents, so that a group of any size
+has one. A document is rejected where its distance is beyond what a normal law would give once in a thousand;
+every statistic also has the noise of a count in a text of its size, so one repeated line among five weighs
+less than ten among fifty.
 """
 
 from __future__ import annotations
@@ -17,21 +19,22 @@ from pyspark.sql import functions as F
 
 from .common import join_small, settled, table
 
-#: Share of a group that the estimate rests on, and rounds of concentration.
-CORE, ROUNDS = 0.75, 4
+#: Share of a group that the estimate rests on, concentration steps of every start, and further ones of the best.
+CORE, FIRST_STEPS, LAST_STEPS = 0.75, 2, 3
 #: Quantiles of the chi-squared law with 5 degrees of freedom (fixed values): at CORE, and at 0.999.
 CHI2_CORE, CHI2_CUT = 6.6257, 20.5150
-#: Sources of a language with fewer documents are judged together.
-LEAST_GROUP = 40
+#: Documents that a language's estimate counts for beside a group's own.
+SHARED = 20
 #: Spread between documents that each transformed statistic is granted at least: a tenth of the length, a
 #: twentieth of the word length, a quarter percent (0.05 squared) for shares. A document's noise comes on top.
 FLOOR = (0.10, 0.05, 0.05, 0.05, 0.05)
 #: Words that one chance repeat of two windows covers.
 REPEAT = 6
-#: Steps of a distance's logarithm in the histogram that finds the core's radius.
-STEPS = 16
+#: Steps of a distance's logarithm in the histogram that finds the core; its last step counts by the share that the core still needs.
+STEPS = 32
 DIMS = len(FLOOR)
 SPACES = "\t\n\x0b\f\r"
+KEYS = ["g_lang", "g_source"]
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -81,70 +84,128 @@ def _vector(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**{f"x{i}": x for i, x in enumerate(xs)}, **{f"e{i}": e for i, e in enumerate(es)}, "base_failed": failed})
 
 
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(DIMS) for j in range(i + 1)]
+
+
+def _sum(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns, F.lit(0.0))
+
+
 def _factors(est: DataFrame) -> DataFrame:
-    """Groups with m0 ... and v_ij to groups with m0 ... and the Cholesky factor l_ij, each pivot at least its floor."""
-    for i in range(DIMS):
-        for j in range(i + 1):
-            rest = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
-            value = F.col(f"v{i}{j}") - rest
-            est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOOR[i] ** 2))) if i == j else value / F.col(f"l{j}{j}"))
-    return est.select("g_lang", "g_source", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)], *[c for c in ("wide",) if c in est.columns])
+    """est (m0 ..., v_ij) plus the Cholesky factor l_ij, each pivot at least its floor, and the logarithm of its determinant."""
+    for i, j in _pairs():
+        value = F.col(f"v{i}{j}") - _sum([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)])
+        est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOOR[i] ** 2))) if i == j else value / F.col(f"l{j}{j}"))
+    return est.withColumn("log_det", _sum([2 * F.log(f"l{i}{i}") for i in range(DIMS)]))
+
 
+def _moments(weight: Column, name: str) -> list[Column]:
+    """Weighted sums that give a mean and a covariance."""
+    products = [F.sum(weight * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"{name}s{i}{j}") for i, j in _pairs()]
+    return [F.sum(weight).alias(f"{name}w"), *[F.sum(weight * F.col(f"x{i}")).alias(f"{name}t{i}") for i in range(DIMS)], *products]
 
-def _distances(rows: DataFrame, factors: DataFrame) -> DataFrame:
-    """rows plus their squared Mahalanobis distance d2, each pivot widened by the document's noise (null where the group has no estimate)."""
-    rows = join_small(rows, factors, ["g_lang", "g_source"])
+
+def _estimated(name: str = "") -> list[Column]:
+    """m and v from _moments(); those of nothing are null."""
+    mean = [F.try_divide(f"{name}t{i}", f"{name}w") for i in range(DIMS)]
+    return [*[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(F.try_divide(f"{name}s{i}{j}", f"{name}w") - mean[i] * mean[j]).alias(f"v{i}{j}") for i, j in _pairs()]]
+
+
+def _distances(rows: DataFrame, factors: DataFrame, noise: bool = False) -> DataFrame:
+    """rows, once for each of their group's estimates, plus their squared Mahalanobis distance d2; noise widens each pivot by the document's."""
+    rows = join_small(rows, factors.drop("log_det", *[f"v{i}{j}" for i, j in _pairs()]), KEYS)
     for i in range(DIMS):
-        rest = reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)], F.lit(0.0))
-        rows = rows.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - rest) / F.sqrt(F.col(f"l{i}{i}") * F.col(f"l{i}{i}") + F.col(f"e{i}") * F.col(f"e{i}")))
-    rows = rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)]))
-    return rows.drop(*[c for c in factors.columns if c[0] in "ml"], *[f"y{i}" for i in range(DIMS)])
+        rest = _sum([F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)])
+        pivot = F.sqrt(F.col(f"l{i}{i}") * F.col(f"l{i}{i}") + F.col(f"e{i}") * F.col(f"e{i}")) if noise else F.col(f"l{i}{i}")
+        rows = rows.withColumn(f"y{i}", (F.col(f"x{i}") - F.col(f"m{i}") - rest) / pivot)
+    rows = rows.withColumn("d2", _sum([F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)]))
+    return rows.drop(*[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _pairs()], *[f"y{i}" for i in range(DIMS)])
 
 
-def _radii(distances: DataFrame) -> DataFrame:
-    """For each group the histogram step that closes its core: counts of (group, step) are all that moves."""
-    steps = distances.withColumn("b", F.floor(STEPS * F.log(F.col("d2") + 1e-6)).cast("int"))
-    counts = steps.groupBy("g_lang", "g_source", "b").agg(F.count("*").alias("n"))
-    pairs = counts.groupBy("g_lang", "g_source").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"))  # a few hundred steps at most
-    state = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("b")), lambda a, x: F.struct((a["s"] + x["n"]).alias("s"), F.when(a["s"] < CORE * F.col("n"), x["b"]).otherwise(a["b"]).alias("b")))
-    return pairs.select("g_lang", "g_source", state["b"].alias("edge"))
+def _step_of(d2: Column) -> Column:
+    return F.floor(STEPS * F.log(d2 + 1e-6)).cast("int")
 
 
-def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows plus g_lang and g_source, the group that judges them: small sources of a language share ''."""
-    rows = rows.withColumns({"__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
-    rows = join_small(rows, groups, ["__lang", "__source"])
-    return rows.withColumn("g_lang", F.col("__lang")).withColumn("g_source", F.when(F.col("large"), F.col("__source")).otherwise(F.lit(""))).drop("__lang", "__source", "large")
+def _cores(far: DataFrame) -> DataFrame:
+    """For each estimate the histogram step `edge` that closes its core and the share of it that is in: only counts of steps are moved."""
+    counts = far.groupBy(*KEYS, "start", _step_of(F.col("d2")).alias("b")).agg(F.count("*").alias("n"))
+    steps = counts.groupBy(*KEYS, "start").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"))  # some hundred steps at most
+    core = F.ceil(CORE * F.col("n"))
+    state = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("b"), F.lit(0.0).alias("share")), lambda a, x: F.when(a["s"] < core, F.struct((a["s"] + x["n"]).alias("s"), x["b"].alias("b"), F.least(F.lit(1.0), (core - a["s"]) / x["n"]).alias("share"))).otherwise(a))
+    return steps.select(*KEYS, "start", "n", state.alias("z")).select(*KEYS, "start", "n", F.col("z.b").alias("edge"), F.col("z.share").alias("share"))
 
 
-def estimate(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(groups, factors): which sources stand alone, and each group's centre, Cholesky factor and width.
+def _concentrated(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """The estimates from the cores of others: one concentration step, settled."""
+    far = _distances(rows, factors)
+    near = join_small(far, settled(_cores(far)), [*KEYS, "start"], "inner")
+    b = _step_of(F.col("d2"))
+    weight = F.when(b < F.col("edge"), 1.0).when(b == F.col("edge"), F.col("share")).otherwise(0.0)
+    sums = near.withColumn("weight", weight).where("weight > 0").groupBy(*KEYS, "start").agg(*_moments(F.col("weight"), ""))
+    return settled(_factors(sums.select(*KEYS, "start", *_estimated())))
 
-    stats needs lang, source, x0 ... x4 and e0 ... e4 and is read once a round, so it should be settled().
-    """
-    key = {"__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__source": F.coalesce(F.col("source").cast("string"), F.lit(""))}
-    groups = settled(stats.withColumns(key).groupBy("__lang", "__source").agg((F.count("*") >= LEAST_GROUP).alias("large")))
-    rows = _grouped(stats, groups)
-    keys = ["g_lang", "g_source"]
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIMS)])
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows plus g_lang and g_source; nulls are not the empty name."""
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return rows.withColumns({"g_lang": named("lang"), "g_source": named("source")})
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates of every group: medians with quartiles, all rows, and those between the outer tenths of every statistic."""
+    marks = [0.1, 0.25, 0.5, 0.75, 0.9]
+    quantiles = settled(rows.groupBy(*KEYS).agg(*[F.percentile_approx(f"x{i}", marks, 1000).alias(f"q{i}") for i in range(DIMS)]))
+    inner = reduce(lambda a, b: a & b, [F.col(f"x{i}").between(F.col(f"q{i}")[0], F.col(f"q{i}")[4]) for i in range(DIMS)])
+    sums = settled(join_small(rows, quantiles, KEYS).groupBy(*KEYS).agg(*_moments(F.lit(1.0), "a"), *_moments(inner.cast("double"), "b")))
     # a normal law has its quartiles 1.349 standard deviations apart
-    diagonal = {f"v{i}{j}": F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(i + 1)}
-    factors = settled(_factors(middle.withColumns({**{f"m{i}": F.col(f"q{i}")[1] for i in range(DIMS)}, **diagonal})))
-    for _ in range(ROUNDS):
-        far = _distances(rows, factors)
-        edges = settled(_radii(far))
-        near = join_small(far, edges, keys, "inner").where(F.floor(STEPS * F.log(F.col("d2") + 1e-6)) <= F.col("edge"))
-        sums = near.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-        factors = settled(_factors(sums.withColumns({f"v{i}{j}": F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(DIMS) for j in range(i + 1)})))
-    # consistency: the core's radius should be what a normal law has there
-    edges = _radii(_distances(rows, factors)).select(*keys, F.greatest(F.lit(1.0), F.exp((F.col("edge") + 1.0) / STEPS) / CHI2_CORE).alias("wide"))
-    return groups, settled(factors.join(edges, keys))
+    spread = [F.pow((F.col(f"q{i}")[3] - F.col(f"q{i}")[1]) / 1.349, 2).alias(f"v{i}{j}") if i == j else F.lit(0.0).alias(f"v{i}{j}") for i, j in _pairs()]
+    found = quantiles.select(*KEYS, F.lit(0).alias("start"), *[F.col(f"q{i}")[2].alias(f"m{i}") for i in range(DIMS)], *spread)
+    for k, name in enumerate("ab", 1):
+        found = found.unionByName(sums.where(F.col(f"{name}w") > 0).select(*KEYS, F.lit(k).alias("start"), *_estimated(name)))
+    return settled(_factors(found))
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """Every group's estimate (m, v, l, log_det) of least determinant, its size n and its width: what its core's radius is of a normal law's.
+
+    rows (g_lang, g_source, x0 ...) are read twice a step, so they should be settled.
+    """
+    factors = _starts(rows)
+    for _ in range(FIRST_STEPS):
+        factors = _concentrated(rows, factors)
+    best = factors.groupBy(*KEYS).agg(F.min(F.struct("log_det", "start")).alias("best")).select(*KEYS, F.col("best.start").alias("start"))
+    factors = settled(factors.join(F.broadcast(best), [*KEYS, "start"], "left_semi"))  # one row a group, as factors has
+    for _ in range(LAST_STEPS):
+        factors = _concentrated(rows, factors)
+    cores = _cores(_distances(rows, factors)).select(*KEYS, "n", F.greatest(F.lit(1.0), F.exp((F.col("edge") + 1.0) / STEPS) / CHI2_CORE).alias("wide"))
+    return settled(factors.join(cores, KEYS))
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """Every group's centre and Cholesky factor: its minimum covariance determinant, shrunk towards that of its language.
+
+    A language's covariance is the mean of its groups' and of what their centres differ by.
+    """
+    own = minimum_determinant(rows)
+    scaled = own.select(*KEYS, "n", *[f"m{i}" for i in range(DIMS)], *[(F.col(f"v{i}{j}") * F.col("wide")).alias(f"v{i}{j}") for i, j in _pairs()])
+    mean = lambda x: F.sum(F.col("n") * x) / F.sum("n")
+    second = [mean(F.col(f"v{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"z{i}{j}") for i, j in _pairs()]
+    whole = scaled.groupBy("g_lang").agg(*[mean(F.col(f"m{i}")).alias(f"c{i}") for i in range(DIMS)], *second)
+    joined = join_small(scaled, settled(whole), ["g_lang"])
+    mixed = lambda a, b: (F.col("n") * a + SHARED * b) / (F.col("n") + SHARED)
+    centre = [mixed(F.col(f"m{i}"), F.col(f"c{i}")).alias(f"m{i}") for i in range(DIMS)]
+    return settled(_factors(joined.select(*KEYS, *centre, *[mixed(F.col(f"v{i}{j}"), F.col(f"z{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}")).alias(f"v{i}{j}") for i, j in _pairs()])))
+
+
+def _judged(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    rows = _distances(_grouped(rows), factors, noise=True).withColumn("distance", F.sqrt("d2"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CHI2_CUT))
 
 
-def _judged(rows: DataFrame, groups: DataFrame, factors: DataFrame) -> DataFrame:
-    rows = _distances(_grouped(rows, groups), factors)
-    rows = rows.withColumn("distance", F.sqrt(F.col("d2") / F.col("wide")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance") * F.col("distance"), F.lit(0.0)) <= CHI2_CUT))
+def _placed(stats: DataFrame) -> DataFrame:
+    """What the estimate reads."""
+    return _grouped(stats).select(*KEYS, *[f"x{i}" for i in range(DIMS)])
 
 
 def _measured(docs: DataFrame, *kept: Column) -> DataFrame:
@@ -157,12 +218,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept is false then,
     else whether the robust distance is within the cut. Null or empty texts have no words and fail; null
-    languages and sources are groups of their own; repeated rows count each; an empty table gives no rows;
-    columns other than doc_id, text, lang and source are ignored. Groups meet in partial sums only.
+    languages and sources are groups of their own; a group of few documents is judged mostly by its language;
+    repeated rows count each; an empty table gives no rows; columns other than doc_id, text, lang and source
+    are ignored. Groups meet in partial sums only.
     """
     stats = settled(_measured(docs, F.col("doc_id").cast("long").alias("doc_id")))
-    judged = _judged(stats, *estimate(stats))
-    return judged.select("doc_id", *STATS, "base_failed", "kept", "distance")
+    return _judged(stats, estimate(_placed(stats))).select("doc_id", *STATS, "base_failed", "kept", "distance")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -171,8 +232,7 @@ def keep(docs: DataFrame) -> DataFrame:
     They are written once beside their counts, so nothing is counted twice and the estimate reads counts alone.
     """
     rows = settled(_measured(docs, F.struct(*[docs[c] for c in docs.columns]).alias("__row")))
-    groups, factors = estimate(rows.drop("__row"))
-    return _judged(rows, groups, factors).where("kept").select("__row.*")
+    return _judged(rows, estimate(_placed(rows))).where("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

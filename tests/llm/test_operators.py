@@ -236,6 +236,54 @@ def test_quality(docs):
     assert quality.keep(docs).columns == docs.columns and quality.judge(docs.limit(0)).count() == 0
 
 
+def numpy_determinant(x):
+    """Centre and log determinant of the least of plain concentrations from the operator's starts and from twenty random ones."""
+    n, h = len(x), -(-3 * len(x) // 4)
+
+    def factor(cov):
+        low = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i + 1):
+                v = cov[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(v, quality.FLOOR[i] ** 2)) if i == j else v / low[j, j]
+        return low
+
+    def concentrated(m, cov, rounds):
+        for _ in range(rounds):
+            y = np.linalg.solve(factor(cov), (x - m).T)
+            near = x[np.argsort((y * y).sum(0), kind="stable")[:h]]
+            m, cov = near.mean(0), np.cov(near.T, bias=True)
+        return 2 * np.log(np.diag(factor(cov))).sum(), m, cov
+
+    q = np.quantile(x, [0.1, 0.25, 0.5, 0.75, 0.9], axis=0)
+    inner = x[((x >= q[0]) & (x <= q[4])).all(1)]
+    starts = [(q[2], np.diag(((q[3] - q[1]) / 1.349) ** 2)), (x.mean(0), np.cov(x.T, bias=True)), (inner.mean(0), np.cov(inner.T, bias=True))]
+    found = min((concentrated(m, c, 5) for m, c in starts), key=lambda r: r[0])
+    rng = np.random.default_rng(1)
+    some = [x[rng.choice(n, 6, replace=False)] for _ in range(20)]
+    return found, min(concentrated(s.mean(0), np.cov(s.T, bias=True), 10)[0] for s in some)
+
+
+def test_minimum_determinant_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g, (n, bad) in enumerate([(200, 0), (300, 60), (81, 15), (500, 120)]):
+        mix = rng.normal(0, 0.5, (5, 5))
+        good = rng.normal(0, 1, (n - bad, 5)) @ mix + rng.normal(0, 3, 5)
+        groups[f"={g}"] = np.concatenate([good, rng.normal(0, 0.3, (bad, 5)) + good.mean(0) + 8])
+    groups["=one"] = rng.normal(0, 1, (1, 5))
+    rows = spark.createDataFrame([("=en", g, *map(float, x)) for g, own in groups.items() for x in own], "g_lang string, g_source string, " + ", ".join(f"x{i} double" for i in range(5)))
+    got = {r["g_source"]: r for r in quality.minimum_determinant(rows).collect()}
+    assert set(got) == set(groups)
+    for g, own in groups.items():
+        if len(own) > 1:
+            (log_det, centre, cov), random_starts = numpy_determinant(own)
+            r = got[g]
+            assert abs(r["log_det"] - log_det) < 0.15 and r["log_det"] < random_starts + 0.15 and r["n"] == len(own)
+            assert np.allclose([r[f"m{i}"] for i in range(5)], centre, atol=0.15 * np.sqrt(np.diag(cov)).max())
+    assert np.allclose([got["=one"][f"m{i}"] for i in range(5)], groups["=one"][0])
+
+
 def test_quality_rejects_what_lies_far_out(spark):
     rng = random.Random(2)
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
