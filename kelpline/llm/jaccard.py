@@ -44,43 +44,84 @@ BITS, PARTS = 20, 64
 MORE = 32
 #: Bits of a class id below its rank.
 PLACE = 53
-#: Words that a worker remembers the hashes of.
-REMEMBERED = 1_000_000
+#: Bytes of texts that are hashed together.
+BLOCK = 1 << 20
 
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(32)
+#: Bytes that part words: white space of ASCII.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[32, *range(9, 14)]] = False
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return made
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _S)) * _M1
+    x = (x ^ (x >> _S)) * _M2
+    return x ^ (x >> _S)
 
 
-_WORDS = _Words()
+#: A random number for each byte, A-Z as a-z, and for each place in a word (further ones are computed).
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64))
+_BYTES[65:91] = _BYTES[97:123]
+_PLACES = _mixed(np.arange(1 << 20, (1 << 20) + 4096, dtype=np.uint64))
 
 
-def runs(text: str | None, width: int) -> np.ndarray:
-    """64-bit hashes of all runs of `width` words, in order; of all words if they are fewer; none without words.
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some bytes and where they start: sums of byte times place, mixed."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = _INSIDE[raw]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    at = np.flatnonzero(inside)
+    place = at - np.repeat(starts, sizes)
+    keys = _PLACES[place] if sizes.max() <= len(_PLACES) else _mixed(place.astype(np.uint64) + np.uint64(1 << 20))
+    sums = np.add.reduceat(_BYTES[raw[at]] * keys, np.cumsum(sizes) - sizes)
+    return _mixed(sums + sizes.astype(np.uint64) * _M2), starts
 
-    Words are what white space of ASCII divides, A-Z in lower case.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    size = min(width, len(own))
-    h = np.full(len(own) - size + 1, np.uint64(size))
+
+def _joined(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    h = np.full(len(words) - size + 1, np.uint64(size))
     for k in range(size):
-        h = (h ^ (h >> _S)) * _M1 + own[k : len(own) - size + 1 + k]
+        h = (h ^ (h >> _S)) * _M1 + words[k : len(words) - size + 1 + k]
     h = (h ^ (h >> _S)) * _M2
     return h ^ (h >> _S)
 
 
+def runs(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of all its runs of `width` words, in order; of all words if they are fewer; none without words.
+
+    Words are what white space of ASCII divides, A-Z in lower case. All texts are hashed in one pass.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    words, starts = _words(b" ".join(raw))
+    ends = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    at = np.searchsorted(starts, ends).tolist()
+    whole = _joined(words, width) if len(words) >= width else words[:0]
+    out = []
+    for a, b in zip(at, at[1:]):
+        n = b - a
+        out.append(whole[a : b - width + 1] if n >= width else _joined(words[a:b], n) if n else words[:0])
+    return out
+
+
+def blocks(texts: list[str | None]) -> Iterator[list[int]]:
+    """Places of texts that are hashed together: about BLOCK characters, one text at least."""
+    part, size = [], 0
+    for i, text in enumerate(texts):
+        part.append(i)
+        size += len(text or "")
+        if size >= BLOCK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of runs()."""
-    return np.unique(runs(text, width))
+    return np.unique(runs([text], width)[0])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -93,15 +134,10 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            waiting, n = [], 0
-            for text in batch["text"]:
-                waiting.append((runs(text, width) >> np.uint64(64 - BITS)).astype(np.int32))
-                n += len(waiting[-1])
-                if n >= 1 << BITS:
-                    total += np.bincount(np.concatenate(waiting), minlength=1 << BITS).astype(np.uint32)
-                    waiting, n = [], 0
-            if n:
-                total += np.bincount(np.concatenate(waiting), minlength=1 << BITS).astype(np.uint32)
+            texts = batch["text"].tolist()
+            for part in blocks(texts):
+                found = np.concatenate(runs([texts[i] for i in part], width))
+                np.add.at(total, (found >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
         yield pd.DataFrame({"part": range(PARTS), "counts": [p.tobytes() for p in np.split(total, PARTS)]})
 
     def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,12 +196,14 @@ def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                sets = shingles(text, width)
-                regions, rank = _prefix(sets, shared.value, percent)
-                out.append((doc_id, len(sets), _digest(sets), rank, regions.view(np.int64), _counts(sets, percent)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "rank", "regions", "v"])
+            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
+            for part in blocks(texts):
+                out = []
+                for i, found in zip(part, runs([texts[i] for i in part], width), strict=True):
+                    sets = np.unique(found)
+                    regions, rank = _prefix(sets, shared.value, percent)
+                    out.append((ids[i], len(sets), _digest(sets), rank, regions.view(np.int64), _counts(sets, percent)))
+                yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "rank", "regions", "v"])
 
     return settled(by_batches(_texts(docs), rows, "doc_id long, n long, digest binary, rank long, regions array<long>, v binary"))
 
@@ -207,10 +245,12 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [shingles(text, width) for text in batch["text"]]
-            out = [(_digest(x), x.tobytes()) for x in made if len(x)]
-            if out:
-                yield pd.DataFrame(out, columns=["digest", "x"])
+            texts = batch["text"].tolist()
+            for part in blocks(texts):
+                made = map(np.unique, runs([texts[i] for i in part], width))
+                out = [(_digest(x), x.tobytes()) for x in made if len(x)]
+                if out:
+                    yield pd.DataFrame(out, columns=["digest", "x"])
 
     # rows that repeat an id may have other texts, which are not wanted
     found = settled(texts.select("text").mapInPandas(rows, "digest binary, x binary").join(_small(own.select("c", "digest")), "digest").select("c", "x").dropDuplicates(["c"]))
