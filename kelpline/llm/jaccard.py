@@ -28,11 +28,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_batches, forget, join_hot, join_small, salted_group_min, settled, table
+from .common import BROADCAST_ROWS, forget, join_hot, join_small, salted_group_min, settled, table
 from .components import components
 
 #: Words of a shingle and least similarity in percent: the query's, then those of near-duplicate stages.
@@ -65,12 +66,16 @@ _BYTES[65:91] = _BYTES[97:123]
 _PLACES = _mixed(np.arange(1 << 20, (1 << 20) + 4096, dtype=np.uint64))
 
 
-def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some bytes and where they start: sums of byte times place, mixed."""
-    raw = np.frombuffer(data, np.uint8)
+def _words(raw: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some bytes and where they start: sums of byte times place, mixed. A word ends where a text begins (firsts)."""
     inside = _INSIDE[raw]
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    # one place more, so that each word's end is a place as well
+    begins, ends = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+    begins[:-1], ends[1:] = inside, inside
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[firsts] = True
+    starts, stops = (np.flatnonzero(x) for x in (begins & (~ends | cut), ends & (~begins | cut)))
+    sizes = stops - starts
     if not len(starts):
         return np.zeros(0, np.uint64), starts
     at = np.flatnonzero(inside)
@@ -89,15 +94,10 @@ def _joined(words: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> _S)
 
 
-def runs(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """For each text the 64-bit hashes of all its runs of `width` words, in order; of all words if they are fewer; none without words.
-
-    Words are what white space of ASCII divides, A-Z in lower case. All texts are hashed in one pass.
-    """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    words, starts = _words(b" ".join(raw))
-    ends = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    at = np.searchsorted(starts, ends).tolist()
+def _runs(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each text, raw[offsets[i] : offsets[i + 1]], the 64-bit hashes of its runs of words."""
+    words, starts = _words(raw, offsets)
+    at = np.searchsorted(starts, offsets).tolist()
     whole = _joined(words, width) if len(words) >= width else words[:0]
     out = []
     for a, b in zip(at, at[1:]):
@@ -106,22 +106,34 @@ def runs(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(texts: list[str | None]) -> Iterator[list[int]]:
-    """Places of texts that are hashed together: about BLOCK characters, one text at least."""
-    part, size = [], 0
-    for i, text in enumerate(texts):
-        part.append(i)
-        size += len(text or "")
-        if size >= BLOCK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def runs(text: str | None, width: int) -> np.ndarray:
+    """64-bit hashes of all runs of `width` words, in order; of all words if they are fewer; none without words.
+
+    Words are what white space of ASCII divides, A-Z in lower case.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return _runs(raw, np.array([0, len(raw)]), width)[0]
+
+
+def blocks(texts: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(place of the first, runs of each) of texts that are hashed together: about BLOCK bytes, one text at least.
+
+    The texts' own UTF-8 is read where it lies; a null is empty.
+    """
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
+        yield first, _runs(raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first], width)
+        first = end
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct hashes of runs()."""
-    return np.unique(runs([text], width)[0])
+    return np.unique(runs(text, width))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -131,14 +143,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
     """How many runs of words of the corpus fall into each of 2^BITS buckets: summed per task, then in PARTS parts."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in blocks(texts):
-                found = np.concatenate(runs([texts[i] for i in part], width))
-                np.add.at(total, (found >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
-        yield pd.DataFrame({"part": range(PARTS), "counts": [p.tobytes() for p in np.split(total, PARTS)]})
+            for _, found in blocks(batch.column("text"), width):
+                np.add.at(total, (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(total, PARTS)])], ["part", "counts"])
 
     def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((1 << BITS) // PARTS, np.int64)
@@ -147,7 +157,7 @@ def rarity(docs: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(counts, np.uint32 if len(counts) == 4 * len(total) else np.int64)
         yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
-    parts = _texts(docs).select("text").mapInPandas(counted, "part int, counts binary")
+    parts = _texts(docs).select("text").mapInArrow(counted, "part int, counts binary")
     found = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in parts.groupBy("part").applyInPandas(summed, "part int, counts binary").collect()}  # PARTS rows
     return np.concatenate([found.get(p, np.zeros((1 << BITS) // PARTS, np.int64)) for p in range(PARTS)])
 
@@ -194,18 +204,22 @@ def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, digest (null if empty), the set's regions, rank and counts, settled."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].tolist(), batch["text"].tolist()
-            for part in blocks(texts):
-                out = []
-                for i, found in zip(part, runs([texts[i] for i in part], width), strict=True):
-                    sets = np.unique(found)
-                    regions, rank = _prefix(sets, shared.value, percent)
-                    out.append((ids[i], len(sets), _digest(sets), rank, regions.view(np.int64), _counts(sets, percent)))
-                yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "rank", "regions", "v"])
-
-    return settled(by_batches(_texts(docs), rows, "doc_id long, n long, digest binary, rank long, regions array<long>, v binary"))
+            for first, found in blocks(batch.column("text"), width):
+                sets = [np.unique(x) for x in found]
+                regions, ranks = zip(*(_prefix(x, shared.value, percent) for x in sets))
+                columns = [
+                    batch.column("doc_id").slice(first, len(sets)),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([_digest(x) for x in sets], pa.binary()),
+                    pa.array(ranks, pa.int64()),
+                    pa.array([x.view(np.int64) for x in regions], pa.list_(pa.int64())),
+                    pa.array([_counts(x, percent) for x in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "rank", "regions", "v"])
+
+    return settled(_texts(docs).mapInArrow(rows, "doc_id long, n long, digest binary, rank long, regions array<long>, v binary"))
 
 
 def _classes(own: DataFrame) -> DataFrame:
@@ -243,17 +257,14 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
     reps = settled(own.select(F.col("rep").alias("k")).distinct())
     texts = _texts(docs).withColumn("k", _key("doc_id")).join(_small(reps), "k", "left_semi")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in blocks(texts):
-                made = map(np.unique, runs([texts[i] for i in part], width))
-                out = [(_digest(x), x.tobytes()) for x in made if len(x)]
-                if out:
-                    yield pd.DataFrame(out, columns=["digest", "x"])
+            for _, found in blocks(batch.column("text"), width):
+                sets = [x for x in map(np.unique, found) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "x"])
 
     # rows that repeat an id may have other texts, which are not wanted
-    found = settled(texts.select("text").mapInPandas(rows, "digest binary, x binary").join(_small(own.select("c", "digest")), "digest").select("c", "x").dropDuplicates(["c"]))
+    found = settled(texts.select("text").mapInArrow(rows, "digest binary, x binary").join(_small(own.select("c", "digest")), "digest").select("c", "x").dropDuplicates(["c"]))
     forget(own)
     forget(reps)
     return found
