@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.sources.tables import forget, settled, shared_root, table  # noqa: F401
+from kelpline.sources.tables import settled, shared_root, table  # noqa: F401
+from kelpline.sources.tables import forget as _delete
 
 #: Most rows of a side that is broadcast after its size was checked; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -23,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/kelpline-{uuid.uuid4().hex}"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df kept by the executors while it is read again: for small tables between two settled() ones.
+
+    What a lost executor held is made anew from the last settled table; forget() ends it.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def forget(df: DataFrame) -> None:
+    """Ends a held() table, or deletes the files of a settled() one, that no later result reads."""
+    if df.storageLevel.useDisk or df.storageLevel.useMemory:
+        df.unpersist()
+    else:
+        _delete(df)
+
+
 def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     """The path of data in the shared folder; name should say what it holds (by a digest), as one that is there is not written again."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/kelpline-files/{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, salted_group_min, settled
+from .common import BROADCAST_ROWS, forget, held, salted_group_min, settled
 
 
 def _least_neighbours(near: DataFrame, few: bool) -> DataFrame:
@@ -32,19 +32,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): each linked node's least reachable node, from edges (a, b) of longs.
 
     Large and small stars alternate until nothing moves (about the logarithm of the longest chain); stars of
-    any size are met in slices. An empty table gives no rows; loops are ignored.
+    any size are met in slices. An empty table gives no rows; loops are ignored. The result is settled().
     """
     # tables hold distinct (a, b) with a > b: equal sizes and equal sums of hashes are the same sets
     sign = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = settled(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = held(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = sign(edges)
     while before[0]:
         few = 2 * before[0] <= BROADCAST_ROWS
-        new = settled(_star(_star(edges, True, few), False, few))
+        made = _star(_star(edges, True, few), False, few)
+        new = settled(made.coalesce(2) if few else made)  # a plan that refers to itself four times a round must be cut each round
         after = sign(new)
         forget(edges)
         edges = new
         if before == after:
             break
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = settled(found.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    forget(edges)
+    return roots

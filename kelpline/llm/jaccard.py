@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, join_hot, join_small, salted_group_min, settled, table
+from .common import BROADCAST_ROWS, forget, held, join_hot, join_small, salted_group_min, settled, table
 from .components import components
 
 #: Words of a shingle and least similarity in percent: the query's, then those of near-duplicate stages.
@@ -245,7 +245,7 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 def _first_cut(classes: DataFrame) -> DataFrame:
     """s, c, n and p, the pivot, of every set in a region of several."""
     placed = classes.select("c", "n", F.explode("regions").alias("s"))
-    tops = settled(placed.groupBy("s").agg(F.count("*").alias("k"), F.max("c").alias("p")).where("k > 1"))
+    tops = held(placed.groupBy("s").agg(F.count("*").alias("k"), F.max("c").alias("p")).where("k > 1"))
     met = settled(join_hot(placed, tops, "s", hot=tops.select("s", "k")).select("s", "c", "n", "p"))
     forget(tops)
     return met
@@ -253,8 +253,8 @@ def _first_cut(classes: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(c, x): the whole sets of the wanted classes, from the text of one document of each."""
-    own = settled(classes.join(_small(wanted), "c", "left_semi").select("c", "digest", "rep"))
-    reps = settled(own.select(F.col("rep").alias("k")).distinct())
+    own = held(classes.join(_small(wanted), "c", "left_semi").select("c", "digest", "rep"))
+    reps = held(own.select(F.col("rep").alias("k")).distinct())
     texts = _texts(docs).withColumn("k", _key("doc_id")).join(_small(reps), "k", "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
 
 
 def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> DataFrame:
-    """pairs (a, b) of fitting sizes whose counts don't put them more than `times` reaches of b apart, settled."""
+    """pairs (a, b) of fitting sizes whose counts don't put them more than `times` reaches of b apart, held."""
 
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -280,13 +280,15 @@ def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> D
     own = classes.select("c", "n", "v")
     joined = join_hot(join_hot(pairs, own.toDF("a", "na", "va"), "a"), own.toDF("b", "nb", "vb"), "b")
     joined = joined.where(_fits(F.col("na"), F.col("nb"), percent)) if times == 1 else joined
-    return settled(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
+    return held(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
 
 
 def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, times: int) -> DataFrame:
     """a, b, their sizes and their distance d of the pairs that the sets leave within `times` reaches of b; e: the differences."""
     close = _within(pairs, classes, percent, times)
-    sets = _sets(docs, classes, settled(close.select(F.explode(F.array("a", "b")).alias("c")).distinct()), width)
+    wanted = held(close.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    sets = _sets(docs, classes, wanted, width)
+    forget(wanted)
 
     @F.pandas_udf("array<long>")
     def differences(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -310,11 +312,11 @@ def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame | None
     if links.isEmpty():
         return roots
     if roots is None:
-        return settled(components(links).select(F.col("node").alias("c"), "root"))
+        return components(links).select(F.col("node").alias("c"), "root")
     for side in "ab":
         known = roots.select(F.col("c").alias(side), F.col("root").alias("__r"))
         links = links.join(known, side, "left").select(F.coalesce("__r", side).alias(side), "b" if side == "a" else "a")
-    moved = settled(components(links))
+    moved = components(links)
     old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("__r")), "root", "left").select("c", F.coalesce("__r", "root").alias("root"))
     return settled(old.unionByName(moved.select(F.col("node").alias("c"), "root")).dropDuplicates(["c"]))
 
@@ -327,8 +329,8 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def _alive(rows: DataFrame) -> DataFrame:
     """The rows of regions r where a set that must be compared (must) may still meet one of another component, settled."""
-    rows = settled(rows)
-    regions = settled(rows.groupBy("r").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("must").cast("int")).alias("any")).where("low < high and any = 1").select("r", "k"))
+    rows = held(rows)
+    regions = held(rows.groupBy("r").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("must").cast("int")).alias("any")).where("low < high and any = 1").select("r", "k"))
     left = settled(join_hot(rows, regions, "r", hot=regions).drop("k"))
     forget(rows)
     forget(regions)
@@ -346,9 +348,9 @@ def _rounds(rows: DataFrame, roots: DataFrame | None, compare: Callable[[DataFra
         rows = _alive(_with_roots(rows, roots))
         if rows.isEmpty():
             return roots
-        chosen = settled(rows.where("must").groupBy("f", "r", F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("c", "root")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp")))
+        chosen = held(rows.where("must").groupBy("f", "r", F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("c", "root")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp")))
         met = join_hot(rows, chosen, "r").where("c <> p and root <> rp")
-        roots = _joined_roots(roots, compare(settled(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct())))
+        roots = _joined_roots(roots, compare(held(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct())))
         done = chosen.select("r", F.col("p").alias("c"), F.lit(True).alias("__done"))
         rows = rows.join(done, ["r", "c"], "left").withColumn("must", F.col("must") & F.col("__done").isNull()).drop("__done", "root")
         slots *= MORE
@@ -361,13 +363,13 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
     d(x) + d(y) <= k (|x| + |y|) and d(x) > k (|x| + |p|), k = (1 - t) / (1 + t) < 1, would give d(y) < k (|y| - |p|) <= k d(y).
     By the same sums it shares d(x) - reach(x) of them at least, and y more than (d(y) - k max(0, |y| - |p|)) / 2 of its own.
     """
-    far = settled(near.where(~F.col("linked")).select("p").distinct())
+    far = held(near.where(~F.col("linked")).select("p").distinct())
     near = settled(near.join(_small(far), "p", "left_semi"))
     k = (100 - percent) / (100 + percent)
     rest = F.col("d") - F.floor((F.col("d") - k * F.greatest(F.lit(0), F.col("n") - F.col("np"))) / 2 - 1e-9)
     wide = F.least(F.col("d"), F.floor(F.col("n") * (100 - percent) / percent + 1e-9) + 1)
     placed = settled(near.select("p", "c", "n", F.when(F.col("linked"), rest).otherwise(wide).alias("prefix"), (~F.col("linked")).alias("must"), F.explode("e").alias("s")))
-    often = settled(placed.groupBy("p", "s").agg(F.count("*").alias("k"), F.max("must").alias("any")).withColumn("r", F.xxhash64("p", "s")))
+    often = held(placed.groupBy("p", "s").agg(F.count("*").alias("k"), F.max("must").alias("any")).withColumn("r", F.xxhash64("p", "s")))
     ranked = join_hot(placed.withColumn("r", F.xxhash64("p", "s")), often.select("p", "s", "k", "any", "r"), "r", extra=("p", "s"), hot=often.select("r", "k"))
     ranked = ranked.withColumn("at", F.row_number().over(W.partitionBy("p", "c").orderBy("k", "s"))).where("at <= prefix and k > 1 and any")
     rows = ranked.select(F.col("p").alias("f"), "r", "c", "n", "must")
@@ -381,7 +383,7 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
             own = near.select(F.col("p").alias("f"), F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("e").alias(f"e{side}"))
             pairs = pairs.join(own, ["f", side])
         found = pairs.withColumn("d", F.size("ea") + F.size("eb") - 2 * shared("ea", "eb"))
-        return settled(found.where(_linked(percent)).select("a", "b"))
+        return held(found.where(_linked(percent)).select("a", "b"))
 
     return _rounds(rows, roots, compare)
 
@@ -389,15 +391,15 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(c, root) of all linked classes."""
     met = _first_cut(classes)
-    pairs = settled(met.where("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct())
+    pairs = held(met.where("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct())
     near = _compared(docs, classes, pairs, width, percent, 2).withColumn("linked", _linked(percent))
     near = near.select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("na").alias("np"), F.col("nb").alias("n"), "d", "e", "linked")
     forget(pairs)
     roots = _joined_roots(None, near.where("linked").select(F.col("p").alias("a"), F.col("c").alias("b")))
     roots = _differences_joined(near, roots, percent)
     # beyond a pivot's region; within it, whom it holds by less than t reaches is out of reach of those beyond
-    held = near.select("p", "c", (100 * F.col("d") <= (100 - percent) * F.col("n")).alias("held"))
-    rest = met.where("c <> p").join(held, ["p", "c"], "left").where("held is null or not held")
+    inner = near.select("p", "c", (100 * F.col("d") <= (100 - percent) * F.col("n")).alias("held"))
+    rest = met.where("c <> p").join(inner, ["p", "c"], "left").where("held is null or not held")
     rest = rest.select(F.lit(0).cast("long").alias("f"), F.col("s").alias("r"), "c", "n", F.col("held").isNull().alias("must"))
 
     def compare(far: DataFrame) -> DataFrame:

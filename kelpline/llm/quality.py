@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, settled, table
+from .common import held, join_small, settled, table
 
 #: Share of a group that the estimate rests on, concentration steps of every start, and further ones of the best.
 CORE, FIRST_STEPS, LAST_STEPS = 0.75, 2, 3
@@ -139,7 +139,7 @@ def _cores(far: DataFrame) -> DataFrame:
 def _concentrated(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """The estimates from the cores of others: one concentration step, settled."""
     far = _distances(rows, factors)
-    near = join_small(far, settled(_cores(far)), [*KEYS, "start"], "inner")
+    near = join_small(far, held(_cores(far)), [*KEYS, "start"], "inner")
     b = _step_of(F.col("d2"))
     weight = F.when(b < F.col("edge"), 1.0).when(b == F.col("edge"), F.col("share")).otherwise(0.0)
     sums = near.withColumn("weight", weight).where("weight > 0").groupBy(*KEYS, "start").agg(*_moments(F.col("weight"), ""))
@@ -155,9 +155,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """Three estimates of every group: medians with quartiles, all rows, and those between the outer tenths of every statistic."""
     marks = [0.1, 0.25, 0.5, 0.75, 0.9]
-    quantiles = settled(rows.groupBy(*KEYS).agg(*[F.percentile_approx(f"x{i}", marks, 1000).alias(f"q{i}") for i in range(DIMS)]))
+    quantiles = held(rows.groupBy(*KEYS).agg(*[F.percentile_approx(f"x{i}", marks, 1000).alias(f"q{i}") for i in range(DIMS)]))
     inner = reduce(lambda a, b: a & b, [F.col(f"x{i}").between(F.col(f"q{i}")[0], F.col(f"q{i}")[4]) for i in range(DIMS)])
-    sums = settled(join_small(rows, quantiles, KEYS).groupBy(*KEYS).agg(*_moments(F.lit(1.0), "a"), *_moments(inner.cast("double"), "b")))
+    sums = held(join_small(rows, quantiles, KEYS).groupBy(*KEYS).agg(*_moments(F.lit(1.0), "a"), *_moments(inner.cast("double"), "b")))
     # a normal law has its quartiles 1.349 standard deviations apart
     spread = [F.pow((F.col(f"q{i}")[3] - F.col(f"q{i}")[1]) / 1.349, 2).alias(f"v{i}{j}") if i == j else F.lit(0.0).alias(f"v{i}{j}") for i, j in _pairs()]
     found = quantiles.select(*KEYS, F.lit(0).alias("start"), *[F.col(f"q{i}")[2].alias(f"m{i}") for i in range(DIMS)], *spread)
@@ -192,7 +192,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     mean = lambda x: F.sum(F.col("n") * x) / F.sum("n")
     second = [mean(F.col(f"v{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"z{i}{j}") for i, j in _pairs()]
     whole = scaled.groupBy("g_lang").agg(*[mean(F.col(f"m{i}")).alias(f"c{i}") for i in range(DIMS)], *second)
-    joined = join_small(scaled, settled(whole), ["g_lang"])
+    joined = join_small(scaled, held(whole), ["g_lang"])
     mixed = lambda a, b: (F.col("n") * a + SHARED * b) / (F.col("n") + SHARED)
     centre = [mixed(F.col(f"m{i}"), F.col(f"c{i}")).alias(f"m{i}") for i in range(DIMS)]
     return settled(_factors(joined.select(*KEYS, *centre, *[mixed(F.col(f"v{i}{j}"), F.col(f"z{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}")).alias(f"v{i}{j}") for i, j in _pairs()])))
