@@ -39,6 +39,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def best_ratios(tokens: pd.Series, targets: pd.Series) -> pd.Series:
+    """For each token of an array the best sequence ratio with one of the targets, 0 without targets; null arrays are empty."""
+
+    def one(own, others) -> list[float]:
+        others = [] if others is None else list(others)
+        return [1.0 if t in others else max((_ratio(t, o) for o in others), default=0.0) for t in ([] if own is None else own)]
+
+    return pd.Series([one(a, b) for a, b in zip(tokens, targets, strict=True)], dtype=object)
+
+
 def _covered(query: list[str], target: list[str]) -> float:
     """Mean over the query's tokens of the best: 1 if equal, 0.92 if one begins the other (4 letters), else their ratio."""
     if not query or not target:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
 
 import pandas as pd
@@ -11,30 +10,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ZERO_WIDTH = re.compile("[​-‍﻿]")
+#: Remains of broken encodings in scraped texts, in the order they go, and what they become.
+REMAINS = (
+    (r"(?i)proven[^a-z]*al\s+", ""),
+    (r"(?i)ylang[^a-z]lang", "ylang-ylang"),
+    ("\ufffd", ""),
+    ("&#65533;", ""),
+    (r"\?\(?\?\?\)?", ""),
+)
+#: Characters without width.
+ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff\ufe00-\ufe0f]"
+#: French particles that lose their vowel, the letters they lose it before, and words that slugs glue together.
+PARTICLES, VOWELS = ("d", "l"), "aeiouyh"
+GLUED = {
+    "dhermes": "d'Hermes", "dorsay": "d'Orsay", "dissey": "d'Issey", "lhomme": "L'Homme", "leau": "L'Eau",
+    "lair": "L'Air", "linterdit": "L'Interdit", "linstant": "L'Instant", "lartisan": "L'Artisan",
+}
 
 
-def _clean(text: str | None) -> str:
-    return " ".join(_ZERO_WIDTH.sub("", html.unescape(text or "")).split())
+def _column(text: Column | str) -> Column:
+    return F.col(text) if isinstance(text, str) else text
 
 
-def _identity(text: str | None) -> str:
-    value = unicodedata.normalize("NFKD", _clean(text).lower())
-    value = "".join(c for c in value if not unicodedata.combining(c)).replace("&", " and ")
-    value = re.sub(r"\bno\s+(\d+)\b", r"no\1", re.sub(r"\bn\s*[°ºo]?\s*(\d+)\b", r"no \1", value))
-    return " ".join(re.sub(r"[^a-z0-9\s]", " ", value).split())
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Entities resolved; a null is empty."""
+    return text.map(lambda x: html.unescape(x) if x and "&" in x else x or "")
 
 
 @F.pandas_udf(T.StringType())
-def clean(text: pd.Series) -> pd.Series:
-    """SF1: entities resolved, zero-width characters gone, white space collapsed; a null is empty."""
-    return text.map(_clean)
+def unaccented(text: pd.Series) -> pd.Series:
+    """Compatibility forms without combining marks; a null is empty."""
+    return text.map(lambda x: x or "" if not x or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_identity(text: pd.Series) -> pd.Series:
+def clean(text: Column | str) -> Column:
+    """SF1: entities resolved, remains of broken encodings and zero-width characters gone, white space collapsed; a null is empty."""
+    out = unescaped(_column(text))
+    for pattern, new in REMAINS:
+        out = F.regexp_replace(out, pattern, new)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, ZERO_WIDTH, ""), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def normalize_identity(text: Column | str) -> Column:
     """SF2: lower case without accents, & as and, numbers as no5, letters and digits only; a null is empty."""
-    return text.map(_identity)
+    plain = F.replace(unaccented(F.lower(clean(text))), F.lit("&"), F.lit(" and "))
+    numbered = F.regexp_replace(plain, r"(?U)\bn\s*[°ºo]?\s*(\d+)\b", "no$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(numbered, r"(?U)\bno\s+(\d+)\b", "no$1"), "[^a-z0-9]+", " "))
 
 
 def audit_key(text: Column) -> Column:
@@ -53,12 +75,18 @@ def blank_to_null(text: Column) -> Column:
 
 
 def vote_count(text: Column) -> Column:
-    """SC5: '1.2k', '1,234' and '3m' as whole votes; 0 where there is no number."""
-    plain = F.regexp_replace(F.lower(text), "[, ]", "")
-    number = F.regexp_extract(plain, r"^(\d+(?:\.\d+)?)([km]?)(?![\d.])", 1)
-    unit = F.regexp_extract(plain, r"^(\d+(?:\.\d+)?)([km]?)(?![\d.])", 2)
+    """SC5: the first number of a text as whole votes, with k for thousands and m for millions; 0 where there is none."""
+    plain, number = F.replace(F.lower(text), F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)\s*([km]?)"
+    unit = F.regexp_extract(plain, number, 2)
     factor = F.when(unit == "k", 1_000).when(unit == "m", 1_000_000).otherwise(1)
-    return F.coalesce(number.try_cast("decimal(18,3)") * factor, F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_extract(plain, number, 1).try_cast("double") * factor, F.lit(0)).cast("long")
+
+
+def launch_year(text: Column, brand: Column, name: Column) -> Column:
+    """SF5: the latest year in a text that is no word of the brand or name; empty where there is none."""
+    years = F.regexp_extract_all(clean(text), F.lit(r"(?U)\b((?:17|18|19|20)\d{2})\b"), F.lit(1))
+    own = F.concat(F.split(normalize_identity(brand), " "), F.split(normalize_identity(name), " "))
+    return F.coalesce(F.array_max(F.array_except(years, own)), F.lit(""))
 
 
 def canonical_url(url: Column) -> Column:
@@ -77,9 +105,29 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
 
 
+def title(text: Column) -> Column:
+    """Every run of letters with a capital first letter, the rest in lower case."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), F.initcap), "")
+
+
+def elided(text: Column) -> Column:
+    """SF4: the apostrophes of French elisions that slugs lost: d and l before a vowel, and words known to be glued."""
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    low = lambda i: F.lower(F.get(words, i))
+    joins = lambda i: F.coalesce(low(i).isin(*PARTICLES) & F.get(words, i + 1).rlike(f"(?i)^[{VOWELS}]"), F.lit(False))
+    glued = F.create_map(*[F.lit(x) for kv in GLUED.items() for x in kv])
+
+    def one(word: Column, i: Column) -> Column:
+        particle = F.when(i == 0, F.upper(word)).otherwise(F.lower(word))
+        return F.when(joins(i), F.concat(particle, F.lit("'"), F.get(words, i + 1))).when(~joins(i - 1), F.coalesce(F.try_element_at(glued, F.lower(word)), word))
+
+    return F.array_join(F.array_compact(F.transform(words, one)), " ")
+
+
 def title_from_slug(slug: Column) -> Column:
-    """SF4: hyphens and underscores part words, each with a capital first letter."""
-    return F.initcap(F.trim(F.regexp_replace(slug, "[-_]+", " ")))
+    """SF4: a slug's words in title case, with the apostrophes of elisions; a null is empty."""
+    plain = F.try_url_decode(F.replace(F.coalesce(slug, F.lit("")), F.lit("+"), F.lit("%2B")))
+    return elided(title(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(plain, slug), "[-_]+", " "), r"\s+", " "))))
 
 
 def error_bucket(error: Column) -> Column:

@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import audit_key
+from . import predicates as P
+
+
+# What a stored row may say, and marks of a broken encoding.
+CONCENTRATIONS = (
+    "Eau de Cologne", "Eau Fraiche", "Eau de Toilette", "Eau de Parfum", "Parfum", "Extrait", "Elixir", "Aftershave",
+    "Body Spray", "Body Mist", "Perfume Oil", "Soie de Parfum",
+)
+GENDERS = ("Masculine", "Feminine", "Unisex")
+FAMILY_WORDS = (
+    "Floral", "Amber", "Woody", "Fresh", "Aromatic", "Citrus", "Chypre", "Fougere", "Gourmand", "Leather", "Aquatic", "Green",
+    "Fruity", "Spicy", "Musk", "Powdery", "Sweet", "Animalic", "Smoky", "Balsamic", "Mossy", "Conifer", "Marine", "Earthy", "White", "Oriental",
+)
+DEPRECATED_FAMILIES = ("oriental",)
+MOJIBAKE = ("\ufffd", "Ã", "Â", "â€", "ðŸ")
+#: Words of a page that get into the texts of its reviews.
+INTERFACE = r"\b(?:show all reviews|reply|like|dislike|report)\b"
 
 
 def tags(rules: dict[str, Column]) -> Column:
@@ -17,16 +34,68 @@ def identity_rules(name: Column, brand: Column) -> dict[str, Column]:
     """The rules of SF30 on name and brand."""
     n, b = F.coalesce(F.trim(name), F.lit("")), F.coalesce(F.trim(brand), F.lit(""))
     parts = F.array_remove(F.array_distinct(F.transform(F.split(F.lower(n), "[|]"), F.trim)), "")
+    both = F.concat_ws(" ", b, n)
     return {
         "brand_missing": b == "",
         "name_missing": n == "",
-        "identity_mojibake": F.regexp_like(F.concat_ws(" ", b, n), F.lit("Ã|â€|�")),
-        "name_equals_brand": (n != "") & (F.lower(n) == F.lower(b)),
+        "identity_mojibake": F.exists(F.array(*[F.lit(m) for m in MOJIBAKE]), lambda m: F.contains(both, m)),
+        "name_equals_brand": (n != "") & (b != "") & (F.lower(n) == F.lower(b)),
         "name_self_dup": F.contains(n, F.lit("|")) & (F.size(parts) == 1),
         "name_has_year": F.regexp_like(n, F.lit(r"\b(19|20)\d{2}\b")),
     }
 
 
+def row_rules(row: dict[str, Column], today: Column | None = None) -> dict[str, Column]:
+    """All 24 rules of SF30 on a stored row, in the order that they are reported in.
+
+    row has brand, name, source_url, accords (array of strings), family, concentration, gender and year (text); a year is a
+    number as text where year_is_text says so. today is the date that years are held against (the present one if not given).
+    """
+    blank = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*P.NO_FAMILY)
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    own = identity_rules(row["name"], row["brand"])
+    url, accords, family = said(row["source_url"]), row["accords"], row["family"]
+    good = F.filter(accords, lambda a: ~P.accord_junk(a))
+    low = F.lower(F.trim(family))
+    unknown, deprecated, typo = blank(family), low.isin(*DEPRECATED_FAMILIES), low.isin(*P.FAMILY_TYPOS)
+    words = F.filter(F.split(F.trim(family), r"\s+"), lambda w: w != "")
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    year = F.trim(row["year"]).try_cast("int")
+    latest = F.year(F.current_date() if today is None else today) + 1
+    return {
+        **{k: own[k] for k in ("brand_missing", "name_missing", "identity_mojibake")},
+        "source_url_malformed": (url != "") & ~url.rlike(r"^(?i:https?)://[^/?#]+"),
+        "accord_junk": F.size(good) < F.size(accords),
+        "accord_case": F.exists(good, lambda a: a != P.accord_title(a)),
+        "accords_empty": F.size(accords) == 0,
+        "single_accord": (F.size(accords) > 0) & (F.size(good) == 1),
+        "accords_missing": accords.isNull(),
+        "family_unknown": unknown,
+        "family_deprecated": ~unknown & deprecated,
+        "family_typo": ~unknown & ~deprecated & typo,
+        "family_case": ~unknown & ~deprecated & ~typo & (family != P.family_cleaned(family)),
+        "family_unexpected": ~unknown & F.exists(words, lambda w: ~capital(w).isin(*FAMILY_WORDS)),
+        "concentration_unknown": blank(row["concentration"]),
+        "concentration_unexpected": ~blank(row["concentration"]) & ~said(row["concentration"]).isin(*CONCENTRATIONS),
+        "gender_missing": blank(row["gender"]),
+        "gender_unexpected": ~blank(row["gender"]) & ~said(row["gender"]).isin(*GENDERS),
+        "year_string": row["year_is_text"] & F.trim(row["year"]).rlike(r"^\d+$"),
+        "year_range": (year < 1800) | (year > latest),
+        **{k: own[k] for k in ("name_equals_brand", "name_self_dup", "name_has_year")},
+    }
+
+
+def review_copies(rows: DataFrame, scope: list[str], text: str, row_id: str, width: int | None = None, least: int = 30) -> DataFrame:
+    """AG33: the first row and the number of each group of reviews that say the same; those of fewer than `least` characters go.
+
+    Words of the page's interface don't count. width, for short reviews, compares that many characters alone; the whole text if not given.
+    """
+    key = F.trim(F.regexp_replace(F.regexp_replace(audit_key(F.col(text)), INTERFACE, " "), " +", " "))
+    key = key if width is None else F.substring(key, 1, width)
+    keyed = rows.select(*scope, row_id, key.alias("__k")).where(F.length("__k") >= least)
+    return keyed.groupBy(*scope, F.sha2("__k", 256).alias("__h")).agg(F.min(row_id).alias(row_id), F.count("*").alias("copies")).drop("__h")
+
+
 def histogram(rows: DataFrame, column: str = "issues") -> DataFrame:
     """AG6: how many rows carry each tag."""
     return rows.select(F.explode(column).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -46,6 +46,12 @@ def parsed(html: str | None) -> _Page:
     return page
 
 
+def _by_text_id(pages: DataFrame, rows: Callable, schema: str) -> DataFrame:
+    """Pages through a function, ids as text on the way: pandas would round large ones beside a null."""
+    made = pages.select(F.col("page_id").cast("string").alias("page_id"), "html").mapInPandas(rows, f"page_id string, {schema}")
+    return made.withColumn("page_id", F.col("page_id").cast("long"))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """HX7: (page_id, pos, href), each address of a page once, in order of first sight."""
 
@@ -54,7 +60,7 @@ def links(pages: DataFrame) -> DataFrame:
             out = [(p, i, h) for p, html in zip(batch["page_id"], batch["html"], strict=True) for i, h in enumerate(dict.fromkeys(parsed(html).links))]
             yield pd.DataFrame(out, columns=["page_id", "pos", "href"])
 
-    return pages.select("page_id", "html").mapInPandas(rows, "page_id long, pos long, href string")
+    return _by_text_id(pages, rows, "pos long, href string")
 
 
 def facts(pages: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def facts(pages: DataFrame) -> DataFrame:
                 out.append((p, " ".join("".join(page.title).split()), page.description, page.lang, len(" ".join(page.text).split())))
             yield pd.DataFrame(out, columns=["page_id", "title", "description", "lang", "n_words"])
 
-    return pages.select("page_id", "html").mapInPandas(rows, "page_id long, title string, description string, lang string, n_words long")
+    return _by_text_id(pages, rows, "title string, description string, lang string, n_words long")
 
 
 def cheapest_offer(payloads: DataFrame, key: str, payload: str) -> DataFrame:

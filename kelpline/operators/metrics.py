@@ -14,7 +14,7 @@ SILLAGE = {"Intimate": 55, "Moderate": 80, "Strong": 85, "Enormous": 70}
 VALUE = {"Way Overpriced": 20, "Overpriced": 40, "Ok": 60, "Good Value": 80, "Great Value": 100}
 #: Weights of the blended scores.
 PERFORMANCE = {"longevity": 0.60, "sillage": 0.40}
-INTEREST = {"want": 0.60, "retention": 0.25, "popularity": 0.15}
+INTEREST = {"popularity": 0.60, "want": 0.25, "retention": 0.15}
 HEADLINE = {"rating": 0.45, "sentiment": 0.20, "performance": 0.15, "value": 0.10, "interest": 0.10}
 BANDS = ((85, "Crowd Favorite"), (70, "Well Liked"), (55, "Generally Liked"), (40, "Mixed Reception"))
 LOWEST = "Polarizing"
@@ -45,7 +45,7 @@ def blend(parts: dict[str, Column], weights: dict[str, float]) -> Column:
 def interest(have: Column, had: Column, want: Column) -> Column:
     """AG15: struct of want and retention ratios, a logarithmic popularity up to 100, and their blend."""
     n = have + had + want
-    want_ratio, kept = F.try_divide(want.cast("double"), n.cast("double")), F.try_divide(have.cast("double"), (have + had).cast("double"))
+    want_ratio, kept = F.try_divide(want.cast("double"), (have + want).cast("double")), F.try_divide(have.cast("double"), (have + had).cast("double"))
     popularity = F.least(F.lit(100.0), F.log10(n.cast("double") + 1) / 5 * 100)
     score = F.when(n > 0, blend({"want": want_ratio * 100, "retention": kept * 100, "popularity": popularity}, INTEREST))
     return F.struct(want_ratio.alias("want_ratio"), kept.alias("retention_ratio"), popularity.alias("popularity_index"), score.alias("score"))

@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import settled
+from ..sources.tables import forget, settled
 
 #: Least scores of a match by kind of source, and of names that differ in few words.
 NATIVE, CATALOG, RELATED, SUBSET = 0.74, 0.76, 0.78, 0.66
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, block: list[str], score: Column, least: float) -> DataFrame:
-    """Pairs that share a block key and score enough. Skewed blocks are split by AQE's join."""
-    return left.join(right, block).withColumn("score", score).where(F.col("score") >= least)
+def blocked_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, block: list[str], share: float) -> DataFrame:
+    """(left_id, right_id) of rows of one block whose names share rare enough 3-grams: the candidates of a fuzzy match.
+
+    A name offers its rarest grams, as many as leave less than `share` of them; two names that share that part
+    of either's grams have one in common there (a prefix filter). Repeated names are compared once, so pairs are of
+    distinct names; a gram that many names have is only offered by names with none rarer.
+    """
+    named = lambda rows, side: rows.select(*block, F.lower(name).alias("__name")).distinct().withColumn("__side", F.lit(side))
+    padded = F.concat(F.lit("  "), F.col("__name"), F.lit(" "))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
+    rows = settled(named(left, 0).unionByName(named(right, 1)).withColumn("__g", grams))
+    placed = rows.select(*block, "__name", "__side", F.size("__g").alias("__n"), F.explode("__g").alias("__gram"))
+    often = placed.groupBy(*block, "__gram").agg(F.count("*").alias("__k"))
+    at = W.partitionBy(*block, "__name", "__side").orderBy("__k", "__gram")
+    offered = settled(placed.join(often, [*block, "__gram"]).withColumn("__at", F.row_number().over(at)).where(F.col("__at") <= F.col("__n") - F.ceil(share * F.col("__n")) + 1))
+    a, b = (offered.where(F.col("__side") == k).select(*block, "__gram", F.col("__name").alias(f"__{k}")) for k in (0, 1))
+    met = a.join(b, [*block, "__gram"]).select(*block, "__0", "__1").distinct()
+    own = lambda rows, k, i: rows.select(*block, F.lower(name).alias(f"__{k}"), i)
+    return met.join(own(left, 0, left_id), [*block, "__0"]).join(own(right, 1, right_id), [*block, "__1"]).select(left_id, right_id)
+
+
+def best_match(pairs: DataFrame, left: str, right: str, score: Column, least: float) -> DataFrame:
+    """Each left's right of the best score of at least `least`, ties by the smaller right; partial maxima before the shuffle."""
+    scored = pairs.withColumn("__s", score).where(F.col("__s") >= least)
+    best = scored.groupBy(left).agg(F.max(F.struct(F.col("__s").alias("s"), (-F.col(right)).alias("r"))).alias("b"))
+    return best.select(left, (-F.col("b.r")).alias(right), F.col("b.s").alias("score"))
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, order: str, score: str = "score") -> DataFrame:
@@ -21,28 +45,34 @@ def one_to_one(pairs: DataFrame, left: str, right: str, order: str, score: str =
 
     Every right prefers the earliest left, so taking turns equals proposals in rounds: each left without a
     partner proposes to its best candidate, each right keeps the earliest of its proposals for good or until
-    an earlier left comes, and pairs that were turned down go. Rounds are joins over what is left.
+    an earlier left comes, and pairs that were turned down go. Rounds are joins over what is left. order has one value a left
+    (the least counts where it has several).
     """
     open_pairs = settled(pairs.select(left, right, order, score))
+    before = open_pairs.count()
     while True:
-        wish = open_pairs.groupBy(left).agg(F.min_by(right, F.struct(-F.col(score), F.col(right))).alias(right), F.first(order).alias(order))
+        wish = open_pairs.groupBy(left).agg(F.min_by(right, F.struct(-F.col(score), F.col(right))).alias(right), F.min(order).alias(order))
         held = wish.groupBy(right).agg(F.min(F.struct(order, left)).alias("h"))
         held = held.select(right, F.col(f"h.{order}").alias("__o"), F.col(f"h.{left}").alias("__l"))
         # a right that holds a proposal turns down all lefts after it
         kept = open_pairs.join(held, right, "left").where(F.col("__o").isNull() | (F.struct(order, left) <= F.struct("__o", "__l")))
         kept = settled(kept.drop("__o", "__l"))
-        if kept.count() == open_pairs.count():
+        after = kept.count()
+        if after == before:
+            forget(kept)
             found = wish.select(left, right)
             return open_pairs.join(found, [left, right]).drop(order)
-        open_pairs = kept
+        forget(open_pairs)
+        open_pairs, before = kept, after
 
 
 def fallback_lookup(rows: DataFrame, index: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:
-    """J6, J9, SRC10: the value of the first of several keys that the index knows; rows keep their place."""
-    rows = rows.withColumn("__row", F.monotonically_increasing_id())
-    probes = rows.select("__row", F.posexplode(F.array(*keys)).alias("pos", key)).where(F.col(key).isNotNull())
-    hits = probes.join(index.select(key, value), key).groupBy("__row").agg(F.min_by(value, "pos").alias(value))
-    return rows.join(hits, "__row", "left").drop("__row")
+    """J6, J9, SRC10: rows plus the value of the first of several keys that the index knows (of repeated keys the least value); a null key knows nothing."""
+    known = index.groupBy(key).agg(F.min(value).alias(value))
+    for i, k in enumerate(keys):
+        rows = rows.join(known.select(F.col(key).alias(k), F.col(value).alias(f"__v{i}")), k, "left")
+    found = [f"__v{i}" for i in range(len(keys))]
+    return rows.withColumn(value, F.coalesce(*found)).drop(*found)
 
 
 def unambiguous(index: DataFrame, key: str, entry: str) -> DataFrame:

@@ -11,40 +11,50 @@ CAP, BRAND_CAP = 24, 50
 
 
 def matches(text: Column, query: Column) -> Column:
-    """PF4: one or two characters match whole words alone, longer queries any part (% and _ are wildcards)."""
-    short = (F.length(query) <= 2) & ~F.contains(query, F.lit(" "))
-    word = F.concat(F.lit(r"(?i)(^|[^\p{Alnum}])\Q"), query, F.lit(r"\E([^\p{Alnum}]|$)"))
-    return F.when(short, F.regexp_like(text, word)).otherwise(F.like(F.lower(text), F.concat(F.lit("%"), F.lower(query), F.lit("%"))))
+    """PF4: one token of one or two characters matches whole words alone, other queries any part; a blank one nothing.
+
+    % and _ are wildcards and a backslash takes the next character as it stands; in short queries all stand for themselves.
+    """
+    q = F.trim(query)
+    short = (F.length(q) <= 2) & ~q.rlike(r"\s")
+    word = F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])"), F.regexp_replace(q, r"([^\p{L}\p{N}])", r"\\$1"), F.lit(r"([^\p{L}\p{N}]|$)"))
+    # LIKE knows a backslash before %, _ and itself alone
+    part = F.regexp_replace(F.concat(F.lit("%"), F.lower(q), F.lit("%")), r"(\\[%_\\])|\\(.)", "$1$2")
+    return F.when(q == "", F.lit(False)).when(short, F.regexp_like(text, word)).otherwise(F.like(F.lower(text), part))
 
 
-def tier(query: Column, name: Column, brand: Column) -> Column:
-    """0 exact name, 1 name begins so, 2 in the name, 3 in the brand, 4 in brand and name together; null if nowhere."""
+def tier(query: Column, name: Column, brand: Column, forms: tuple[str, ...] = ()) -> Column:
+    """0 the brand has an alias form of the query, 1 brand and name together match, 2 the name, 3 the brand, 4 name and brand; null if nothing.
+
+    forms are alias forms of a brand; those of fewer than three letters are left out, as are all for a short query.
+    """
     both, flipped = F.concat_ws(" ", brand, name), F.concat_ws(" ", name, brand)
-    q = F.lower(query)
-    return (
-        F.when(F.lower(name) == q, 0)
-        .when(F.startswith(F.lower(name), q), 1)
-        .when(matches(name, query), 2)
-        .when(matches(brand, query), 3)
-        .when(matches(both, query) | matches(flipped, query), 4)
-    )
+    long = [f.strip() for f in forms if len(f.strip()) >= 3]
+    alias = F.lit(False)
+    for form in long:
+        alias = alias | F.contains(F.lower(brand), F.lit(form.lower()))
+    q = F.trim(query)
+    asked = (F.length(q) > 2) | q.rlike(r"\s")
+    return F.when(asked & alias, 0).when(matches(both, query), 1).when(matches(name, query), 2).when(matches(brand, query), 3).when(matches(flipped, query), 4)
 
 
-def search(catalog: DataFrame, query: str, key: str, name: str, brand: str, cap: int = CAP) -> DataFrame:
-    """PF2, W2, TK2: the best `cap` rows for one query by tier, then key; a top-k, so no global sort."""
-    found = catalog.withColumn("tier", tier(F.lit(query), F.col(name), F.col(brand))).where("tier is not null")
-    return found.orderBy("tier", key).limit(cap)
+def search(catalog: DataFrame, query: str, key: str, name: str, brand: str, seen: str, cap: int = 15, forms: tuple[str, ...] = ()) -> DataFrame:
+    """PF2, W2: the best rows for one query by tier, then the latest seen (ties by key), 1 to 50 of them: a top-k, so no global sort."""
+    found = catalog.withColumn("tier", tier(F.lit(query), F.col(name), F.col(brand), forms)).where("tier is not null")
+    return found.orderBy("tier", F.desc(seen), key).limit(max(1, min(cap, BRAND_CAP)))
 
 
-def search_batch(catalog: DataFrame, queries: DataFrame, key: str, name: str, brand: str, cap: int = CAP) -> DataFrame:
+def search_batch(catalog: DataFrame, queries: DataFrame, key: str, name: str, brand: str, seen: str, cap: int = CAP, most: int = 10_000) -> DataFrame:
     """The same for a stated set of queries (query_id, query): a block of queries against all rows.
 
-    queries should be small enough to be broadcast, which is Spark's choice by its size; the window's partial
+    The set is counted and must have `most` queries at most, so what is broadcast is bounded; the window's partial
     top-k keeps `cap` rows of a query in each task before the shuffle.
     """
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} queries: search them in blocks")
     t = tier(F.col("query"), F.col(name), F.col(brand))
-    found = catalog.join(queries, t.isNotNull()).withColumn("tier", t)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("tier", key)).cast("long")
+    found = catalog.join(F.broadcast(queries), t.isNotNull()).withColumn("tier", t)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("tier", F.desc(seen), key)).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= cap)
 
 

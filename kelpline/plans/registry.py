@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import gates, scores, search
+from . import gates, records, scores, search
 
-QUERIES = {**search.QUERIES, **scores.QUERIES, **gates.QUERIES}
-ORACLES = {**search.ORACLES, **scores.ORACLES, **gates.ORACLES}
+PLANS = (search, scores, gates, records)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
-if len(QUERIES) != len(search.QUERIES) + len(scores.QUERIES) + len(gates.QUERIES):
+if len(QUERIES) != sum(len(plan.QUERIES) for plan in PLANS):
     raise ValueError("two queries have one name")

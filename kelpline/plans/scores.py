@@ -69,8 +69,8 @@ def max_normalized(spark, d):
 
 
 @query("community_interest", """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS have, count(*) FILTER (event_type = 'signup') AS had, count(*) FILTER (event_type = 'view') AS want FROM events GROUP BY 1),
-  r AS (SELECT *, have + had + want AS n, want::DOUBLE / nullif(have + had + want, 0) AS w, have::DOUBLE / nullif(have + had, 0) AS k, least(100.0::DOUBLE, log10(have + had + want + 1.0::DOUBLE) / 5 * 100) AS p FROM c)
-  SELECT user_id, round(w, 4) AS want_ratio, round(k, 4) AS retention_ratio, round(p, 3) AS popularity_index, CASE WHEN n > 0 THEN round((coalesce(w * 100 * 0.6::DOUBLE, 0) + coalesce(k * 100 * 0.25::DOUBLE, 0) + p * 0.15::DOUBLE) / (0.6 + CASE WHEN k IS NULL THEN 0 ELSE 0.25 END + 0.15)::DOUBLE, 4) END AS score FROM r""")
+  r AS (SELECT *, have + had + want AS n, want::DOUBLE / nullif(have + want, 0) AS w, have::DOUBLE / nullif(have + had, 0) AS k, least(100.0::DOUBLE, log10(have + had + want + 1.0::DOUBLE) / 5 * 100) AS p FROM c)
+  SELECT user_id, round(w, 4) AS want_ratio, round(k, 4) AS retention_ratio, round(p, 3) AS popularity_index, CASE WHEN n > 0 THEN round((p * 0.6::DOUBLE + coalesce(w * 100 * 0.25::DOUBLE, 0) + coalesce(k * 100 * 0.15::DOUBLE, 0)) / (0.6::DOUBLE + CASE WHEN w IS NULL THEN 0 ELSE 0.25::DOUBLE END + CASE WHEN k IS NULL THEN 0 ELSE 0.15::DOUBLE END), 4) END AS score FROM r""")
 def community_interest(spark, d):
     count = lambda kind: F.count(F.when(F.col("event_type") == kind, 1))
     c = t(spark, d, "events").groupBy("user_id").agg(count("purchase").alias("have"), count("signup").alias("had"), count("view").alias("want"))
@@ -151,10 +151,9 @@ def dup_scoped(spark, d):
     return audit.duplicates(t(spark, d, "documents"), ["lang", "source"], "text", "doc_id")
 
 
-@query("near_dup_reviews", "SELECT lang, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, lang, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))[:420] AS k FROM documents) WHERE length(k) >= 30 GROUP BY lang, k")
+@query("near_dup_reviews", r"SELECT lang, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '\b(show all reviews|reply|like|dislike|report)\b', ' ', 'g'), ' +', ' ', 'g')) AS k FROM documents) WHERE length(k) >= 30 GROUP BY lang, k")
 def near_dup_reviews(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", "lang", F.substring(X.audit_key(F.col("text")), 1, 420).alias("k")).where("length(k) >= 30")
-    return rows.groupBy("lang", F.sha2("k", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
+    return audit.review_copies(t(spark, d, "documents"), ["lang"], "text", "doc_id")
 
 
 @query("snapshot_diff", "WITH a AS (SELECT DISTINCT o_orderpriority AS tag, o_custkey AS r FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), b AS (SELECT DISTINCT o_orderpriority AS tag, o_custkey AS r FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') SELECT coalesce(a.tag, b.tag) AS tag, count(*) FILTER (b.r IS NULL) AS resolved, count(*) FILTER (a.r IS NULL) AS added, count(*) FILTER (a.r IS NOT NULL AND b.r IS NOT NULL) AS persistent FROM a FULL JOIN b ON a.tag = b.tag AND a.r = b.r GROUP BY 1")
@@ -174,10 +173,10 @@ def trust_coalesce(spark, d):
 _BATCH = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS prio, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS status FROM orders"
 
 
-@query("upsert_merge", f"WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS prio, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, lower(prio) AS prio, status FROM ({_BATCH}) WHERE o_orderkey % 5 = 0) SELECT o_orderkey, coalesce(n.o_custkey, o.o_custkey) AS o_custkey, coalesce(n.prio, o.prio) AS prio, coalesce(n.status, o.status) AS status FROM o FULL JOIN n USING (o_orderkey)")
+@query("upsert_merge", f"WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS prio, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 > 0), n AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, lower(prio) AS prio, status FROM ({_BATCH}) WHERE o_orderkey % 5 = 0) SELECT o_orderkey, coalesce(n.o_custkey, o.o_custkey) AS o_custkey, coalesce(n.prio, o.prio) AS prio, coalesce(n.status, o.status) AS status FROM o FULL JOIN n USING (o_orderkey)")
 def upsert_merge(spark, d):
     rows = t(spark, d, "orders")
-    old = rows.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"))
+    old = rows.where("o_orderkey % 2 = 0 or o_orderkey % 5 > 0").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"))
     new = rows.where("o_orderkey % 5 = 0").selectExpr("o_orderkey", "o_custkey + 1 AS o_custkey", "lower(CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END) AS prio", "CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS status")
     return merge.upsert(old, new, "o_orderkey")
 

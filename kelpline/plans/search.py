@@ -22,15 +22,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-_TIER = """CASE WHEN lower({n}) = lower({q}) THEN 0 WHEN starts_with(lower({n}), lower({q})) THEN 1
-  WHEN lower({n}) LIKE '%' || lower({q}) || '%' THEN 2 WHEN lower({b}) LIKE '%' || lower({q}) || '%' THEN 3
-  WHEN lower({b} || ' ' || {n}) LIKE '%' || lower({q}) || '%' OR lower({n} || ' ' || {b}) LIKE '%' || lower({q}) || '%' THEN 4 END"""
+_TIER = """CASE WHEN {b} || ' ' || {n} ILIKE '%' || {q} || '%' THEN 1 WHEN {n} ILIKE '%' || {q} || '%' THEN 2
+  WHEN {b} ILIKE '%' || {q} || '%' THEN 3 WHEN {n} || ' ' || {b} ILIKE '%' || {q} || '%' THEN 4 END"""
 _PART_TIER = lambda q: _TIER.format(n="p_name", b="p_brand", q=q)
 
 
-@query("search_tiered", f"SELECT p_partkey, p_name, p_brand, tier FROM (SELECT p_partkey, p_name, p_brand, {_PART_TIER(chr(39) + 'ring' + chr(39))} AS tier FROM part) WHERE tier IS NOT NULL ORDER BY tier, p_partkey LIMIT 24")
+@query("search_tiered", f"SELECT p_partkey, p_name, p_brand, tier FROM (SELECT p_partkey, p_name, p_brand, {_PART_TIER(chr(39) + 'ring' + chr(39))} AS tier, p_retailprice FROM part) WHERE tier IS NOT NULL ORDER BY tier, p_retailprice DESC, p_partkey LIMIT 24")
 def search_tiered(spark, d):
-    return search.search(t(spark, d, "part"), "ring", "p_partkey", "p_name", "p_brand").select("p_partkey", "p_name", "p_brand", "tier")
+    return search.search(t(spark, d, "part"), "ring", "p_partkey", "p_name", "p_brand", "p_retailprice", 24).select("p_partkey", "p_name", "p_brand", "tier")
 
 
 @query("search_short_regex", r"SELECT n_nationkey, n_name FROM nation WHERE regexp_matches(n_name, '(?i)(^|[^a-zA-Z0-9])7([^a-zA-Z0-9]|$)')")
@@ -41,10 +40,10 @@ def search_short_regex(spark, d):
 _ASKED = "(VALUES (1, 'widget'), (2, 'brand#2 small'), (3, 'gear'), (4, 'red%')) q(query_id, query)"
 
 
-@query("search_batch", f"SELECT query_id, p_partkey, tier, rank FROM (SELECT query_id, p_partkey, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, p_partkey) AS rank FROM (SELECT query_id, p_partkey, {_PART_TIER('query')} AS tier FROM part, {_ASKED}) WHERE tier IS NOT NULL) WHERE rank <= 24")
+@query("search_batch", f"SELECT query_id, p_partkey, tier, rank FROM (SELECT query_id, p_partkey, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, p_retailprice DESC, p_partkey) AS rank FROM (SELECT query_id, p_partkey, p_retailprice, {_PART_TIER('query')} AS tier FROM part, {_ASKED}) WHERE tier IS NOT NULL) WHERE rank <= 24")
 def search_batch(spark, d):
     asked = spark.createDataFrame([(1, "widget"), (2, "brand#2 small"), (3, "gear"), (4, "red%")], "query_id int, query string")
-    return search.search_batch(t(spark, d, "part"), asked, "p_partkey", "p_name", "p_brand").select("query_id", "p_partkey", "tier", "rank")
+    return search.search_batch(t(spark, d, "part"), asked, "p_partkey", "p_name", "p_brand", "p_retailprice").select("query_id", "p_partkey", "tier", "rank")
 
 
 @query("search_alias_any", "SELECT p_partkey, p_name FROM part WHERE p_brand ILIKE 'brand#1%' OR p_brand ILIKE '%#25' OR p_name ILIKE '%blue%'")
@@ -70,7 +69,11 @@ def first_nonempty_tier(spark, d):
     return search.first_nonempty_tier([rows.where("o_orderpriority = '1-URGENT'").drop("o_orderpriority"), rows.drop("o_orderpriority")], "k").select("k", "source_tier", "v")
 
 
-@query("query_variants")
+@query("query_variants", """WITH p AS (SELECT p_partkey, string_split(p_brand || ' ' || p_name || ' ' || p_type, ' ') AS w FROM part),
+  v AS (SELECT p_partkey, list_concat([array_to_string(w, ' ')], CASE WHEN len(w) > 2 THEN [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] ELSE [] END, CASE WHEN len(w) > 2 THEN [w[1] || ' ' || w[-1]] ELSE [] END, list_filter(w, lambda x: length(x) >= 5)) AS a FROM p),
+  u AS (SELECT p_partkey, a, unnest(a) AS variant, unnest(range(len(a))) AS k FROM v),
+  f AS (SELECT p_partkey, variant, row_number() OVER (PARTITION BY p_partkey ORDER BY min(k)) - 1 AS pos FROM u GROUP BY p_partkey, variant)
+  SELECT p_partkey, pos::INTEGER AS pos, variant FROM f WHERE pos < 8""")
 def query_variants(spark, d):
     parts = t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("q"))
     return parts.select("p_partkey", F.posexplode(search.query_variants(F.col("q"))).alias("pos", "variant"))
@@ -105,17 +108,20 @@ def best_with_margin(spark, d):
 
 @query("fuzzy_match_ratio")
 def fuzzy_match_ratio(spark, d):
-    c = t(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
-    s = t(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
-    score = F.round(S.sequence_ratio(F.lower("c_name"), F.lower("s_name")), 6)
-    return resolve.fuzzy_pairs(c, s, ["nation"], score, resolve.SUBSET).select("c_custkey", "s_suppkey", "score")
+    c = t(spark, d, "customer").select("c_custkey", F.translate("c_name", "#", "").alias("name"), F.col("c_nationkey").alias("nation"))
+    s = t(spark, d, "supplier").select("s_suppkey", F.translate("s_name", "#", "").alias("name"), F.col("s_nationkey").alias("nation"))
+    pairs = resolve.blocked_pairs(c, s, "c_custkey", "s_suppkey", "name", ["nation"], 0.5)
+    named = pairs.join(c.select("c_custkey", F.lower("name").alias("a")), "c_custkey").join(s.select("s_suppkey", F.lower("name").alias("b")), "s_suppkey")
+    return resolve.best_match(named, "c_custkey", "s_suppkey", F.round(S.sequence_ratio(F.col("a"), F.col("b")), 6), resolve.SUBSET)
 
 
 def _pairs(spark, d):
-    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    """Customers and suppliers of a nation whose balances lie in one or in neighbouring bands of 1200, and within that."""
+    band = lambda c: F.floor(F.col(c) / 1200)
+    c = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), "c_acctbal", F.explode(F.array(band("c_acctbal") - 1, band("c_acctbal"), band("c_acctbal") + 1)).alias("band"))
+    s = t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), "s_acctbal", band("s_acctbal").alias("band"))
     score = F.round(1 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 12000, 6)
-    return resolve.fuzzy_pairs(c.withColumnRenamed("c_nationkey", "n"), s.withColumnRenamed("s_nationkey", "n"), ["n"], score, 0.9)
+    return c.join(s, ["n", "band"]).withColumn("score", score).where("score >= 0.9").drop("band")
 
 
 @query("greedy_one_to_one")
@@ -123,9 +129,10 @@ def greedy_one_to_one(spark, d):
     return resolve.one_to_one(_pairs(spark, d).withColumn("pos", F.col("c_custkey")), "c_custkey", "s_suppkey", "pos")
 
 
-@query("unambiguous_key", "SELECT p_name, min(p_brand) AS p_brand FROM part WHERE p_size > 49 GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@query("unambiguous_key", "SELECT p_name || '|' || p_type || '|' || p_size AS k, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def unambiguous_key(spark, d):
-    return resolve.unambiguous(t(spark, d, "part").where("p_size > 49"), "p_name", "p_brand")
+    keyed = t(spark, d, "part").select(F.concat_ws("|", "p_name", "p_type", F.col("p_size").cast("string")).alias("k"), "p_brand")
+    return resolve.unambiguous(keyed, "k", "p_brand")
 
 
 @query("fallback_lookup", "WITH i AS (SELECT 'n:' || n_name AS k, n_nationkey AS v FROM nation UNION ALL SELECT 'r:' || r_regionkey, -r_regionkey FROM region) SELECT s_suppkey, coalesce(a.v, b.v) AS v FROM supplier LEFT JOIN i a ON a.k = 'n:NATION_' || (s_suppkey % 40) LEFT JOIN i b ON b.k = 'r:' || (s_suppkey % 7)")
@@ -179,14 +186,14 @@ def url_parts(spark, d):
     return t(spark, d, "pages").select("page_id", X.url_host(u).alias("host"), X.url_path(u).alias("path"), X.canonical_url(u).alias("canonical"))
 
 
-@query("vote_count", r"""SELECT o_orderkey, (CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey // 10) * 1000 + (o_orderkey % 10) * 100 WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey * 1000000 ELSE 0 END)::BIGINT AS votes FROM orders""")
+@query("vote_count", r"""SELECT o_orderkey, (CASE o_orderkey % 4 WHEN 0 THEN trunc(((o_orderkey // 10) || '.' || (o_orderkey % 10))::DOUBLE * 1000) WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey * 1000000 ELSE 0 END)::BIGINT AS votes FROM orders""")
 def vote_count(spark, d):
     k = F.col("o_orderkey")
     text = F.when(k % 4 == 0, F.concat((k / 10).cast("long").cast("string"), F.lit("."), (k % 10).cast("string"), F.lit("k"))).when(k % 4 == 1, F.format_number(k, 0)).when(k % 4 == 2, F.concat(k.cast("string"), F.lit("M"))).otherwise(F.lit("none"))
     return t(spark, d, "orders").select("o_orderkey", X.vote_count(text).alias("votes"))
 
 
-@query("row_ids")
+@query("row_ids", """SELECT p_partkey, replace(replace(to_base64(encode('{"n":"' || p_name || '","b":"' || p_brand || '"}')), '+', '-'), '/', '_') AS id, p_name AS name FROM part""")
 def row_ids(spark, d):
     rows = t(spark, d, "part").select("p_partkey", X.row_id(F.struct(F.col("p_name").alias("n"), F.col("p_brand").alias("b"))).alias("id"))
     return rows.select("p_partkey", "id", X.from_row_id(F.col("id"), "n string, b string")["n"].alias("name"))
@@ -223,6 +230,7 @@ def html_lang(spark, d):
 def cheapest_offer(spark, d):
     k = F.col("o_orderkey")
     offer = F.struct(k.alias("title"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"), F.when(k % 2 == 0, F.lit("EUR")).alias("currency"))
-    payload = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), offer.alias("o")))).alias("os"))
-    payload = payload.select("o_custkey", F.to_json(F.struct(F.transform("os", lambda x: x["o"]).alias("organic"))).alias("payload"))
-    return extract.cheapest_offer(payload, "o_custkey", "payload")
+    payload = t(spark, d, "orders").select("o_custkey", k, F.to_json(F.struct(F.array(offer).alias("organic"))).alias("payload"))  # a payload is a page, never a customer's
+    offers = extract.cheapest_offer(payload, "o_orderkey", "payload").join(payload.select("o_custkey", "o_orderkey"), "o_orderkey")
+    best = offers.groupBy("o_custkey").agg(F.min(F.struct("price", "o_orderkey", "currency")).alias("b"))
+    return best.select("o_custkey", "b.price", "b.currency")

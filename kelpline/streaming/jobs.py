@@ -19,9 +19,9 @@ def live_queue(events: DataFrame) -> DataFrame:
         own = tuple(state.get) if state.exists else None
         if own is not None:
             own = (own[0], own[1], own[2], None if own[3] < 0 else own[3])
-        for batch in batches:  # what one trigger brought for one job
-            for event, ts in batch.sort_values(["t", "seq"])[["event", "t"]].itertuples(index=False):
-                own = step(own, event, ts)
+        arrived = pd.concat(list(batches))  # what one trigger brought for one job, in all its chunks
+        for event, ts in arrived.sort_values(["t", "seq"])[["event", "t"]].itertuples(index=False):
+            own = step(own, event, ts)
         state.update((own[0], own[1], own[2], -1.0 if own[3] is None else own[3]))
         yield pd.DataFrame({"job_key": [key[0]], "status": [own[0]], "failure_count": [own[1]], "requests": [own[2]]})
 
