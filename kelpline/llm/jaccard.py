@@ -277,9 +277,11 @@ def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> D
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_apart(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
 
-    own = classes.select("c", "n", "v")
-    joined = join_hot(join_hot(pairs, own.toDF("a", "na", "va"), "a"), own.toDF("b", "nb", "vb"), "b")
-    joined = joined.where(_fits(F.col("na"), F.col("nb"), percent)) if times == 1 else joined
+    sizes, counts = classes.select("c", "n"), classes.select("c", "v")
+    # sizes alone differ by no more than a distance; counts are fetched for the pairs that pass
+    sized = join_hot(join_hot(pairs, sizes.toDF("a", "na"), "a"), sizes.toDF("b", "nb"), "b")
+    sized = held(sized.where(percent * F.abs(F.col("na") - F.col("nb")) <= times * (100 - percent) * F.col("nb")))
+    joined = join_hot(join_hot(sized, counts.toDF("a", "va"), "a"), counts.toDF("b", "vb"), "b")
     return held(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
 
 
@@ -337,20 +339,27 @@ def _alive(rows: DataFrame) -> DataFrame:
     return left
 
 
-def _rounds(rows: DataFrame, roots: DataFrame | None, compare: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def _rounds(rows: DataFrame, roots: DataFrame | None, percent: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Roots after every must row of a region r has met all others there, by pivots chosen among the must rows.
 
     rows: f (the frame), r, c, n, must. compare takes distinct pairs (f, a, b) and gives the links (a, b) among them. A region
     that becomes one component is done. Pivots are the greatest ids of hashed slots, so no region is ever gathered or sorted.
     """
-    slots = MORE
+    slots, spent = MORE, []
     while True:
         rows = _alive(_with_roots(rows, roots))
+        for used in spent:
+            forget(used)
         if rows.isEmpty():
             return roots
-        chosen = held(rows.where("must").groupBy("f", "r", F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")).agg(F.max(F.struct("c", "root")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp")))
-        met = join_hot(rows, chosen, "r").where("c <> p and root <> rp")
-        roots = _joined_roots(roots, compare(held(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct())))
+        slot = F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")
+        chosen = held(rows.where("must").groupBy("f", "r", slot).agg(F.max(F.struct("c", "root", "n")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp"), F.col("p.n").alias("np")))
+        met = join_hot(rows, chosen, "r").where((F.col("c") != F.col("p")) & (F.col("root") != F.col("rp")) & _fits(F.col("n"), F.col("np"), percent))
+        pairs = held(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct())
+        links = compare(pairs)
+        roots = _joined_roots(roots, links)
+        forget(pairs)
+        spent = [chosen, links]
         done = chosen.select("r", F.col("p").alias("c"), F.lit(True).alias("__done"))
         rows = rows.join(done, ["r", "c"], "left").withColumn("must", F.col("must") & F.col("__done").isNull()).drop("__done", "root")
         slots *= MORE
@@ -385,7 +394,7 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
         found = pairs.withColumn("d", F.size("ea") + F.size("eb") - 2 * shared("ea", "eb"))
         return held(found.where(_linked(percent)).select("a", "b"))
 
-    return _rounds(rows, roots, compare)
+    return _rounds(rows, roots, percent, compare)
 
 
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -403,9 +412,9 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     rest = rest.select(F.lit(0).cast("long").alias("f"), F.col("s").alias("r"), "c", "n", F.col("held").isNull().alias("must"))
 
     def compare(far: DataFrame) -> DataFrame:
-        return _compared(docs, classes, far.select("a", "b"), width, percent, 1).where(_linked(percent)).select("a", "b")
+        return held(_compared(docs, classes, far.select("a", "b"), width, percent, 1).where(_linked(percent)).select("a", "b"))
 
-    roots = _rounds(rest, roots, compare)
+    roots = _rounds(rest, roots, percent, compare)
     forget(met)
     return docs.sparkSession.createDataFrame([], "c long, root long") if roots is None else roots
 

@@ -8,6 +8,7 @@ and whoever holds the key can turn them back.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import hmac
@@ -121,14 +122,21 @@ def _ip(key: bytes, value: str, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+#: Country codes of two digits; those that begin with 1 or 7 have one, all others three.
+_TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _country(digits: str) -> int:
+    """How many digits the country code of an international number has."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
 def _phone(key: bytes, value: str, back: bool) -> str | None:
     digits = _only_digits(value)
     if not 8 <= len(digits) <= 15:
         return None
-    head = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)  # the country stays
-    kept = head.end() if head else 0
-    rest = _only_digits(value[kept:])
-    return value[:kept] + _refilled(value[kept:], _digits(key, "phone", rest, back)) if rest else None
+    kept = _country(digits) if value[0] == "+" else 0  # the country stays, however the number is parted
+    return _refilled(value, digits[:kept] + _digits(key, "phone", digits[kept:], back))
 
 
 def _iban_rest(country: str, body: str) -> int:
@@ -214,7 +222,8 @@ _PATTERNS = (
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")),
     ("card", re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")),
     ("number", re.compile(r"(?<![0-9A-Za-z+])[0-9]{13,19}(?![0-9A-Za-z])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])")),
+    # a part of a longer row of groups of digits is no phone: with new digits the row might pass as a card
+    ("phone", re.compile(r"(?<![0-9A-Za-z])(?<![0-9][ .-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[ .-][0-9])|(?<![0-9A-Za-z])\+[0-9]{1,4}(?:[ .-]?[0-9]{2,11}){1,4}(?![0-9A-Za-z]|[ .-][0-9])")),
 )
 _ANY = re.compile("[0-9@]")
 
@@ -229,9 +238,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b, _ in found) and _PSEUDONYM[kind](KEY, m[0], False) is not None:
-                found.append((s, e, kind))
-    return sorted(found)
+            at = bisect.bisect(found, (s, e))
+            free = (not at or found[at - 1][1] <= s) and (at == len(found) or found[at][0] >= e)
+            if free and _PSEUDONYM[kind](KEY, m[0], False) is not None:
+                found.insert(at, (s, e, kind))
+    return found
 
 
 def pseudonymised(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:

@@ -213,8 +213,8 @@ def _indexed(texts: Iterable[list[str]]) -> tuple[list[str], np.ndarray, np.ndar
     return list(known), np.concatenate(rows), np.concatenate(masks), np.concatenate(owners)
 
 
-def train(texts: list[str | None], labels: list[int]) -> Network | None:
-    """Fits a network; None where one of the labels is missing."""
+def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Network | None:
+    """Fits a network; None where one of the labels is missing. Without priors no embedding starts from counts."""
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
@@ -234,6 +234,8 @@ def train(texts: list[str | None], labels: list[int]) -> Network | None:
 
     kept_grams, gram_prior = _prior(map(grams_of, texts_words), len(known), y)
     some = len(kept_grams) > 0
+    if not priors:
+        word_prior, gram_prior = 0 * word_prior, 0 * gram_prior
     net = Network({words[i]: k + 1 for k, i in enumerate(kept_words.tolist())}, known[kept_grams] if some else np.zeros(1, np.uint64), word_prior, gram_prior if some else np.zeros(2, np.float32))
     del h, known, placed, texts_words
     own, chars, first = net.reads(words)
@@ -316,11 +318,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network | None:
-    """A network from at most `most` labelled rows that aren't held out, trained by one task."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """A network from at most `most` labelled rows that aren't held out, trained by one task.
+
+    An id that is labelled more than once is toxic if one of its labels says so; of several texts of an id, that of least hash is read.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # `most` rows
+    met = texts.join(F.broadcast(known), "doc_id")  # `most` ids
+    sample = met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches]).sort_values("doc_id")

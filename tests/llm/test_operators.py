@@ -216,6 +216,27 @@ def test_feistel(docs):
     assert pii.pseudonyms(docs).count() == len(TEXTS) + 2
 
 
+def test_pseudonyms_of_a_whole_table(spark):
+    """Spans, kinds, inversion, and one pseudonym a value across all documents; against the plain function, text by text."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    odd = [" ".join(digits(4) for _ in range(4)) for _ in range(300)] + [f"tel {digits(3)} {digits(3)} {digits(4)}, {digits(3)}-{digits(2)}-{digits(4)} / +49 {digits(3)} {digits(6)} / {digits(16)}" for _ in range(200)]
+    texts = dict(enumerate(odd)) | {1000 + r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    links = {}
+    got = {r["doc_id"]: r for r in pii.pseudonyms(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        new, found = pii.pseudonymised(text)
+        assert got[i]["text"] == new and got[i]["spans"] == ",".join(f"{k}:{s}:{e}" for s, e, k in found) and got[i]["n_values"] == len(found)
+        back, again = pii.pseudonymised(new, back=True)
+        assert back == text and [k for *_, k in again] == [k for *_, k in found]
+        for (s, e, k), (a, b, _) in zip(found, again, strict=True):
+            assert links.setdefault((k, text[s:e]), new[a:b]) == new[a:b]
+    assert len({(k, v) for (k, _), v in links.items()}) == len(links)  # different values stay apart
+    digit = lambda t: re.sub("[^0-9]", "", pii.pseudonymised(t)[0])
+    assert digit("+493012345678") == digit("+49 301 234 5678") == digit("+49 3012 345678") and digit("+493012345678").startswith("49")
+
+
 def plain_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -327,6 +348,39 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.predict(docs, known.limit(0)).collect()} == {0.0}
 
 
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    net = toxicity.Network({"a": 1, "b": 2}, np.zeros(1, np.uint64), np.array([0, 0.5, -0.5], np.float32), np.array([0, 0.2], np.float32))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = rng.normal(0, 1, (3, toxicity.WINDOW, toxicity.WORD_DIMS + toxicity.CHAR_DIMS))
+    mask, y = np.ones((3, toxicity.WINDOW)), np.array([0, 1, 1])
+    mask[1, 5:] = 0
+
+    def loss() -> float:
+        p = net.forward(net.projected(x.reshape(-1, x.shape[2])).reshape(*x.shape[:2], -1), mask).astype(float)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    grads, _ = net.gradients(x, mask, y)
+    for name in grads:
+        at = tuple(rng.integers(0, n) for n in net.p[name].shape)
+        kept, step = net.p[name][at], 1e-3
+        net.p[name][at] = kept + step
+        above = loss()
+        net.p[name][at] = kept - step
+        below = loss()
+        net.p[name][at] = kept
+        assert abs((above - below) / (2 * step) - np.asarray(grads[name])[at]) < 2e-3, name
+
+
+def test_repeated_labels_and_texts(spark):
+    rows = [(i, f"{'grolk' if i % 2 else 'mild'} word{i} text") for i in range(60)]
+    labels = [(i, 1, i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(3, "another text of one id")], "doc_id long, text string")
+    twice = spark.createDataFrame(labels + [(1, 1, 0), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    runs = [sorted((r["doc_id"], r["score"]) for r in toxicity.predict(docs.repartition(n), twice.repartition(n)).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1]
+
+
 def test_long_words_keep_all_n_grams():
     for word in ("x" * 64, "abcdefg" * 9 + "h", "é" * 32, "ab" * 200 + "grolk", "東京大学院生" * 40 + "悪口雑言", "a" * 60 + "ü" * 7, "".join(random.Random(2).choices("abcdeé東", k=901))):
         parts, data = toxicity.words_of(word), word.encode()
