@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def held(df: DataFrame) -> DataFrame:
     """df kept by the executors while it is read again: for small tables between two settled() ones.
 
-    What a lost executor held is made anew from the last settled table; forget() ends it.
+    What a lost executor held is made anew from the last settled table; forget() ends it. Held tables shouldn't be
+    built on each other in long rows: the plans of all of them stay in the driver.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -271,7 +271,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
 
 
 def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> DataFrame:
-    """pairs (a, b) of fitting sizes whose counts don't put them more than `times` reaches of b apart, held."""
+    """pairs (a, b) of fitting sizes whose counts don't put them more than `times` reaches of b apart, settled."""
 
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -282,7 +282,9 @@ def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> D
     sized = join_hot(join_hot(pairs, sizes.toDF("a", "na"), "a"), sizes.toDF("b", "nb"), "b")
     sized = held(sized.where(percent * F.abs(F.col("na") - F.col("nb")) <= times * (100 - percent) * F.col("nb")))
     joined = join_hot(join_hot(sized, counts.toDF("a", "va"), "a"), counts.toDF("b", "vb"), "b")
-    return held(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
+    found = settled(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
+    forget(sized)
+    return found
 
 
 def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, times: int) -> DataFrame:
