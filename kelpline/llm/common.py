@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.sources.tables import settled, shared_root, table  # noqa: F401
@@ -103,3 +103,19 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", hot
         return rows.join(side, [key, *extra], how)
     few = F.col(key).isin(found)
     return rows.where(few).join(F.broadcast(side.where(few)), [key, *extra], how).unionByName(rows.where(~few).join(side.where(~few), [key, *extra], how))
+
+
+def ranked(rows: DataFrame, order: list, out: str) -> DataFrame:
+    """rows plus out, their number from 1 in the order given, without all of them in one task.
+
+    Rows are dealt into ranges of the order, sorted there and written with their place in their range; a range's rows
+    then go on from the count of the ranges before it (one row a range). order should tell equal rows apart,
+    else a large set of them is one range. The result is read from a settled() table.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settled(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    range_of, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = placed.groupBy(range_of.alias("__range")).agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__before"))  # one row a range
+    return placed.withColumn("__range", range_of).join(F.broadcast(starts), "__range").withColumn(out, F.col("__before") + place + 1).drop("__range", "__at", "__before")

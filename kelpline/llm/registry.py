@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, jaccard, packing, pii, quality, secrets, toxicity, warc
+from . import bpe, chat, fingerprints, jaccard, neighbours, packing, pii, quality, resampling, runs, secrets, toxicity, warc
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard.query,
     "op9_quality_outliers": quality.query,
     "op10_toxicity": toxicity.query,
+    "op11_importance_resampling": resampling.query,
+    "op12_periodic_runs": runs.query,
+    "op13_nearest_neighbours": neighbours.query,
 }
 
 ORACLES = {
