@@ -6,10 +6,12 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .steps import computed
+
 #: Remains of broken encodings in scraped texts, in the order they go, and what they become.
 REMAINS = (
     (r"(?i)proven[^a-z]*al\s+", ""),
@@ -44,19 +46,35 @@ def unaccented(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x or "" if not x or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+def _cleaned(plain: Column) -> Column:
+    for pattern, new in REMAINS:
+        plain = F.regexp_replace(plain, pattern, new)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, ZERO_WIDTH, ""), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def _normalized(plain: Column) -> Column:
+    plain = F.replace(plain, F.lit("&"), F.lit(" and "))
+    numbered = F.regexp_replace(plain, r"(?U)\bn\s*[°ºo]?\s*(\d+)\b", "no$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(numbered, r"(?U)\bno\s+(\d+)\b", "no$1"), "[^a-z0-9]+", " "))
+
+
 def clean(text: Column | str) -> Column:
     """SF1: entities resolved, remains of broken encodings and zero-width characters gone, white space collapsed; a null is empty."""
-    out = unescaped(_column(text))
-    for pattern, new in REMAINS:
-        out = F.regexp_replace(out, pattern, new)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, ZERO_WIDTH, ""), r"(?U)[\s\x1c-\x1f]+", " "))
+    return _cleaned(unescaped(_column(text)))
 
 
 def normalize_identity(text: Column | str) -> Column:
     """SF2: lower case without accents, & as and, numbers as no5, letters and digits only; a null is empty."""
-    plain = F.replace(unaccented(F.lower(clean(text))), F.lit("&"), F.lit(" and "))
-    numbered = F.regexp_replace(plain, r"(?U)\bn\s*[°ºo]?\s*(\d+)\b", "no$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(numbered, r"(?U)\bno\s+(\d+)\b", "no$1"), "[^a-z0-9]+", " "))
+    return _normalized(unaccented(F.lower(clean(text))))
+
+
+def with_clean(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """rows plus, for each named text, <name> as clean() gives it and <name>_n as normalize_identity() does, each worked out once."""
+    made = rows.withColumns({k: unescaped(c) for k, c in texts.items()})
+    made = computed(made, {f"{k}_c": _cleaned(F.col(k)) for k in texts})
+    made = made.withColumns({f"{k}_n": unaccented(F.lower(F.col(f"{k}_c"))) for k in texts})
+    made = computed(made, {f"{k}_nn": _normalized(F.col(f"{k}_n")) for k in texts})
+    return made.select(*rows.columns, *[F.col(f"{k}{old}").alias(f"{k}{new}") for old, new in (("_c", ""), ("_nn", "_n")) for k in texts])
 
 
 def audit_key(text: Column) -> Column:

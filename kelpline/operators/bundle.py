@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.steps import computed
 from . import metrics as M
 from . import predicates as P
 
@@ -80,132 +81,169 @@ def dominant(rows: Column) -> Column:
     return F.array_max(named)["label"]
 
 
-def rating(cards: Column) -> Column:
-    """AG10: struct of score, mean stars, share of 4 and 5, votes and basis: the distribution, else the summary's "x / 5"; null without both."""
+def _stated(rows: Column) -> Column:
+    """The first row of a summary that says "x / 5"."""
+    return F.get(F.filter(rows, lambda r: r["value"].rlike(r"[0-5](\.\d+)?\s*/\s*5")), F.lit(0))
+
+
+def _stars(value: Column) -> Column:
+    return F.regexp_extract(value, r"([0-5](?:\.\d+)?)\s*/\s*5", 1).try_cast("double")
+
+
+def with_rating(rows: DataFrame, distribution: str, summary: str, out: str) -> DataFrame:
+    """AG10: rows plus a struct of score, mean stars, share of 4 and 5, votes and basis: of the distribution's rows, else of the summary's "x / 5"; null without both."""
     star = lambda r: F.coalesce(F.trim(r["value"]).try_cast("int"), F.nullif(F.regexp_extract(r["label"], "[1-5]", 0), F.lit("")).try_cast("int"))
-    rows = F.filter(card(cards, "rating distribution"), lambda r: star(r).isNotNull())
-    votes = _total(rows, _votes)
-    mean = _total(rows, lambda r: star(r) * _votes(r)) / votes
-    liked = _total(F.filter(rows, lambda r: star(r).isin(4, 5)), _votes)
-    summary = F.get(F.filter(card(cards, "fragrantica rating"), lambda r: r["value"].rlike(r"[0-5](\.\d+)?\s*/\s*5")), F.lit(0))
-    stated = F.regexp_extract(summary["value"], r"([0-5](?:\.\d+)?)\s*/\s*5", 1).try_cast("double")
-    made = lambda mean, share, votes, basis: F.struct((mean / 5.0 * 100.0).alias("score"), mean.alias("mean"), share.alias("positive_share"), votes.cast("long").alias("votes"), F.lit(basis).alias("basis"))
-    return F.when(votes > 0, made(mean, liked / votes, votes, "rating_distribution")).when(stated.isNotNull(), made(stated, F.lit(None).cast("double"), summary["votes"], "rating_summary"))
-
-
-def performance(cards: Column) -> Column:
-    """AG12: struct of the blended score, both parts, and the dominant labels; null without votes."""
-    long, trail = card(cards, "longevity"), card(cards, "sillage", "projection")
-    a, b = adequacy(long, M.LONGEVITY)["score"], adequacy(trail, M.SILLAGE)["score"]
+    made = computed(rows, {"__starred": F.transform(distribution, lambda r: F.struct(star(r).alias("star"), _votes(r).alias("votes"))), "__stated_value": _stated(F.col(summary))["value"], "__stated_votes": _stated(F.col(summary))["votes"]})
+    known = lambda r: r["star"].isNotNull()
+    sums = lambda worth: F.aggregate(F.filter("__starred", known), F.lit(0.0), lambda s, r: s + worth(r))
+    made = computed(made, {"__votes": sums(_votes), "__sum": sums(lambda r: r["star"] * r["votes"]), "__liked": sums(lambda r: F.when(r["star"].isin(4, 5), r["votes"]).otherwise(0)), "__stars": _stars(F.col("__stated_value"))})
+    each = lambda mean, share, votes, basis: F.struct((mean / 5.0 * 100.0).alias("score"), mean.alias("mean"), share.alias("positive_share"), votes.cast("long").alias("votes"), F.lit(basis).alias("basis"))
+    votes, stars = F.col("__votes"), F.col("__stars")
+    found = F.when(votes > 0, each(F.try_divide("__sum", votes), F.try_divide("__liked", votes), votes, "rating_distribution")).when(stars.isNotNull(), each(stars, F.lit(None).cast("double"), F.col("__stated_votes"), "rating_summary"))
+    return computed(made, {out: found}).drop("__starred", "__stated_value", "__stated_votes", "__votes", "__sum", "__liked", "__stars")
+
+
+def performance(long: Column, trail: Column, a: Column, b: Column) -> Column:
+    """AG12: struct of the blended score, both parts (adequacy() scores a and b of both cards' rows), and the dominant labels; null without votes."""
     score = M.blend({"longevity": a, "sillage": b}, M.PERFORMANCE)
-    return F.when(score.isNotNull(), F.struct(score.alias("score"), a.alias("longevity"), b.alias("sillage"), dominant(long).alias("longevity_label"), dominant(trail).alias("sillage_label")))
+    return F.when(a.isNotNull() | b.isNotNull(), F.struct(score.alias("score"), a.alias("longevity"), b.alias("sillage"), dominant(long).alias("longevity_label"), dominant(trail).alias("sillage_label")))
 
 
-def value(cards: Column) -> Column:
-    """AG13: struct of score and dominant label; null without votes."""
-    rows = card(cards, "price value", "value")
-    score = adequacy(rows, M.VALUE)["score"]
+def value(rows: Column, score: Column) -> Column:
+    """AG13: struct of score (of adequacy()) and dominant label; null without votes."""
     return F.when(score.isNotNull(), F.struct(score.alias("score"), dominant(rows).alias("dominant_label")))
 
 
-def wear(cards: Column, near: float = 0.05) -> Column:
-    """AG14: struct of the one or two seasons of most votes, the time of day, and the votes of both; null without such labels."""
-    rows = card(cards, "when to wear", "season")
+def with_wear(rows: DataFrame, votes: str, out: str, near: float = 0.05) -> DataFrame:
+    """AG14: rows plus a struct of the one or two seasons of most votes, the time of day, and the votes of both; null without such labels."""
 
     def ordered(names: dict[str, str]) -> Column:
         table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-        named = F.transform(rows, lambda r, i: F.struct((-_votes(r)).alias("n"), i.alias("i"), F.try_element_at(table, F.lower(_label(r))).alias("name")))
+        named = F.transform(votes, lambda r, i: F.struct((-_votes(r)).alias("n"), i.alias("i"), F.try_element_at(table, F.lower(_label(r))).alias("name")))
         return F.array_sort(F.filter(named, lambda x: x["name"].isNotNull()))
 
-    seasons, times = ordered(SEASONS), ordered(TIMES)
-    votes = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s - x["n"])
-    total, first, second = votes(seasons), F.get(seasons, F.lit(0)), F.get(seasons, F.lit(1))
-    both = (second["n"] - first["n"]) / total <= near
-    primary = F.when(total > 0, F.when(both, F.array(first["name"], second["name"])).otherwise(F.array(first["name"])))
-    time = F.when(votes(times) > 0, F.get(times, F.lit(0))["name"])
-    found = F.struct(primary.alias("primary_seasons"), time.alias("primary_time"), F.nullif(total, F.lit(0).cast("long")).alias("season_votes"), F.nullif(votes(times), F.lit(0).cast("long")).alias("time_votes"))
-    return F.when((F.size(seasons) > 0) | (F.size(times) > 0), found)
+    made = computed(rows, {"__seasons": ordered(SEASONS), "__times": ordered(TIMES)})
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s - x["n"])
+    made = computed(made, {"__season_votes": total("__seasons"), "__time_votes": total("__times"), **{f"__{k}{i}": F.get("__seasons", F.lit(i))[k] for k in ("n", "name") for i in (0, 1)}})
+    both = F.try_divide(F.col("__n1") - F.col("__n0"), "__season_votes") <= near
+    primary = F.when(F.col("__season_votes") > 0, F.when(both, F.array("__name0", "__name1")).otherwise(F.array("__name0")))
+    time = F.when(F.col("__time_votes") > 0, F.get("__times", F.lit(0))["name"])
+    none = F.lit(0).cast("long")
+    found = F.struct(primary.alias("primary_seasons"), time.alias("primary_time"), F.nullif("__season_votes", none).alias("season_votes"), F.nullif("__time_votes", none).alias("time_votes"))
+    return computed(made, {out: F.when((F.size("__seasons") > 0) | (F.size("__times") > 0), found)}).drop("__seasons", "__times", "__season_votes", "__time_votes", "__n0", "__n1", "__name0", "__name1")
 
 
-def interest(cards: Column) -> Column:
-    """AG15: metrics.interest() of the have, had and want rows; null without votes. Of rows that repeat a label the last counts."""
-    rows = card(cards, "community interest", "wardrobe")
+def with_interest(rows: DataFrame, votes: str, out: str) -> DataFrame:
+    """AG15: rows plus metrics.interest() of the have, had and want rows; null without votes. Of rows that repeat a label the last counts."""
     named = lambda r: F.lower(F.trim(F.coalesce(F.nullif(r["value"], F.lit("")), r["label"], F.lit(""))))
-    votes = lambda name: F.coalesce(_votes(F.try_element_at(F.filter(rows, lambda r: named(r) == name), F.lit(-1))), F.lit(0))
-    have, had, want = votes("have"), votes("had"), votes("want")
-    return F.when(have + had + want > 0, M.interest(have, had, want))
+    count = lambda name: F.coalesce(_votes(F.try_element_at(F.filter(votes, lambda r: named(r) == name), F.lit(-1))), F.lit(0))
+    made = computed(rows, {f"__{k}": count(k) for k in ("have", "had", "want")})
+    have, had, want = (F.col(f"__{k}") for k in ("have", "had", "want"))
+    return computed(made, {out: F.when(have + had + want > 0, M.interest(have, had, want))}).drop("__have", "__had", "__want")
 
 
-def accords(cards: Column, identity: Column, most: int = 7) -> Column:
-    """AG16: struct of all accords by falling share (junk goes, ties keep their order), the first `most`, and a sentence; null without any.
+def with_accords(rows: DataFrame, votes: str, identity: Column, out: str, most: int = 7) -> DataFrame:
+    """AG16: rows plus a struct of all accords by falling share (junk goes, ties keep their order), the first `most`, and a sentence; null without any.
 
     identity is an array of the record's own name and brand, folded, which no accord may be.
     """
-    rows = F.filter(card(cards, "main accord"), lambda r: _label(r) != "")
-    placed = F.transform(rows, lambda r, i: F.struct((-F.coalesce(r["pct"], F.lit(0.0))).alias("o"), i.alias("i"), _label(r).alias("label")))
     own = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-    good = F.array_sort(F.filter(placed, lambda x: ~P.junk_accord(x["label"], folds=own) & ~((own(x["label"]) != "") & F.array_contains(identity, own(x["label"])))))
-    vector = F.transform(good, lambda x: F.struct(x["label"].alias("accord"), F.bround(-x["o"], 2).alias("score")))
-    top = F.transform(F.slice(good, 1, most), lambda x: x["label"])
-    low = F.transform(top, F.lower)
-    head, n = F.get(low, F.lit(0)), F.size(low)
+    placed = F.transform(F.filter(votes, lambda r: _label(r) != ""), lambda r, i: F.struct((-F.coalesce(r["pct"], F.lit(0.0))).alias("o"), i.alias("i"), _label(r).alias("label"), own(_label(r)).alias("own")))
+    made = computed(rows, {"__placed": placed, "__identity": identity})
+    good = F.array_sort(F.filter("__placed", lambda x: ~P.junk_accord(x["label"], folds=own) & ~((x["own"] != "") & F.array_contains("__identity", x["own"]))))
+    made = computed(made, {"__good": good})
+    made = computed(made, {"__top": F.transform(F.slice("__good", 1, most), lambda x: x["label"])})
+    made = computed(made, {"__low": F.transform("__top", F.lower)})
+    low, n = F.col("__low"), F.size("__low")
+    head = F.get(low, F.lit(0))
     tail = F.when(n == 2, F.get(low, F.lit(1))).otherwise(F.concat(F.array_join(F.slice(low, 2, F.greatest(n - 2, F.lit(0))), ", "), F.lit(" and "), F.get(low, n - 1)))
     said = F.when(n == 1, F.concat(F.lit("A predominantly "), head, F.lit(" fragrance."))).otherwise(F.concat(F.lit("A "), head, F.lit(" fragrance with "), tail, F.lit(" facets.")))
-    return F.when(F.size(good) > 0, F.struct(vector.alias("scent_vector"), top.alias("top_accords"), said.alias("summary")))
+    vector = F.transform("__good", lambda x: F.struct(x["label"].alias("accord"), F.bround(-x["o"], 2).alias("score")))
+    found = F.when(F.size("__good") > 0, F.struct(vector.alias("scent_vector"), F.col("__top").alias("top_accords"), said.alias("summary")))
+    return computed(made, {out: found}).drop("__placed", "__identity", "__good", "__top", "__low")
 
 
-def sentiment(consensus: Column) -> Column:
-    """AG11 of a struct (pos, neu, neg) of votes; null without votes."""
-    pos, neu, neg = (F.coalesce(consensus[k].cast("long"), F.lit(0).cast("long")) for k in ("pos", "neu", "neg"))
+def sentiment(pos: Column, neu: Column, neg: Column) -> Column:
+    """AG11 of numbers of votes, a null counts as 0; null without votes."""
+    pos, neu, neg = (F.coalesce(c.cast("long"), F.lit(0).cast("long")) for c in (pos, neu, neg))
     return F.when(pos + neu + neg > 0, F.struct(M.sentiment(pos, neu, pos + neu + neg).alias("score"), (pos + neu + neg).alias("votes")))
 
 
+#: The cards of each group, by what their names hold.
+CARD_OF = {
+    "distribution": ("rating distribution",),
+    "summary": ("fragrantica rating",),
+    "longevity": ("longevity",),
+    "sillage": ("sillage", "projection"),
+    "value": ("price value", "value"),
+    "wear": ("when to wear", "season"),
+    "interest": ("community interest", "wardrobe"),
+    "accords": ("main accord",),
+}
+
+
 def with_bundle(rows: DataFrame, cards: str, consensus: str, notes: str, name: str, brand: str, out: str = "metrics") -> DataFrame:
     """AG18: rows plus the struct of all their metrics: the groups, the headline that blends them, and whether each was there.
 
     notes is a struct of arrays (top, heart, base, flat); it is kept as it is where one of them has a note. No shuffle:
-    votes are read once, then each group is a column that later steps refer to.
+    votes are read once and each card is looked up once; what later steps read is a column of its own.
     """
-    own = rows.withColumns({"__name": P.folded(F.col(name)), "__brand": P.folded(F.col(brand)), "__cards": counted(F.col(cards))})
-    c = F.col("__cards")
-    filled = F.coalesce(F.size(F.concat(*[F.coalesce(F.col(notes)[k], F.array().cast("array<string>")) for k in ("top", "heart", "base", "flat")])) > 0, F.lit(False))
-    groups = {"rating": rating(c), "sentiment": sentiment(F.col(consensus)), "performance": performance(c), "value": value(c), "interest": interest(c)}
-    others = {"wear_profile": wear(c), "main_accords": accords(c, F.array("__name", "__brand")), "notes": F.when(filled, F.col(notes))}
-    found = {**groups, **others}
-    own = own.withColumns({f"__g_{k}": g for k, g in found.items()})
-    head = M.headline({k: F.col(f"__g_{k}")["score"] for k in groups})
+    own = rows.withColumns({"__name": P.folded(F.col(name)), "__brand": P.folded(F.col(brand))})
+    own = computed(own, {"__cards": counted(F.col(cards)), "__mine": F.array("__name", "__brand")})
+    own = computed(own, {f"__c_{k}": card(F.col("__cards"), *names) for k, names in CARD_OF.items()})
+    scores = {k: adequacy(F.col(f"__c_{k}"), worths)["score"] for k, worths in (("longevity", M.LONGEVITY), ("sillage", M.SILLAGE), ("value", M.VALUE))}
+    own = computed(own, {f"__s_{k}": v for k, v in scores.items()})
+    votes, layers = ("pos", "neu", "neg"), ("top", "heart", "base", "flat")
+    own = own.withColumns({**{f"__v_{k}": F.col(consensus)[k] for k in votes}, **{f"__l_{k}": F.col(notes)[k] for k in layers}})
+    filled = F.coalesce(F.size(F.concat(*[F.coalesce(f"__l_{k}", F.array().cast("array<string>")) for k in layers])) > 0, F.lit(False))
+    groups = {
+        "sentiment": sentiment(*[F.col(f"__v_{k}") for k in votes]),
+        "performance": performance(*[F.col(f"__{x}_{k}") for x in "cs" for k in ("longevity", "sillage")]),
+        "value": value(F.col("__c_value"), F.col("__s_value")),
+        "notes": F.when(filled, F.col(notes)),
+    }
+    own = computed(own, {f"__g_{k}": g for k, g in groups.items()})
+    own = with_rating(own, "__c_distribution", "__c_summary", "__g_rating")
+    own = with_interest(own, "__c_interest", "__g_interest")
+    own = with_wear(own, "__c_wear", "__g_wear_profile")
+    own = with_accords(own, "__c_accords", F.col("__mine"), "__g_main_accords")
+    blended, found = ("rating", "sentiment", "performance", "value", "interest"), ("rating", "sentiment", "performance", "value", "interest", "wear_profile", "main_accords", "notes")
+    own = computed(own, {"__head": M.headline({k: F.col(f"__g_{k}")["score"] for k in blended})})
     covered = F.struct(*[F.col(f"__g_{k}").isNotNull().alias(k) for k in found])
-    made = own.withColumn(out, F.struct(head.alias("headline"), *[F.col(f"__g_{k}").alias(k) for k in found], covered.alias("coverage")))
-    return made.drop("__name", "__brand", "__cards", *[f"__g_{k}" for k in found])
+    return own.select(*rows.columns, F.struct(F.col("__head").alias("headline"), *[F.col(f"__g_{k}").alias(k) for k in found], covered.alias("coverage")).alias(out))
 
 
-def scorecard(cards: Column, consensus_pct: Column) -> Column:
-    """AG19: the older card: rating, approval (positive and 0.35 neutral percent), labels scored by their words and weighted by percent.
+def with_scorecard(rows: DataFrame, cards: str, consensus_pct: str, out: str = "scorecard") -> DataFrame:
+    """AG19: rows plus the older card: rating, approval (positive and 0.35 neutral percent), labels scored by their words and weighted by percent.
 
     consensus_pct is a struct (pos, neu) of percents or null. Struct of overall, its four parts, and how many there are.
+    No shuffle; a label's words are read once.
     """
-    cards = counted(cards)
-    summary = F.get(F.filter(card(cards, "fragrantica rating"), lambda r: r["value"].rlike(r"[0-5](\.\d+)?\s*/\s*5")), F.lit(0))["value"]
-    stars = F.regexp_extract(summary, r"([0-5](?:\.\d+)?)\s*/\s*5", 1).try_cast("double") / 5.0 * 100.0
-    liked = consensus_pct["pos"] + consensus_pct["neu"] * NEUTRAL
-    approval = F.when(liked.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), liked)))
-
-    def scored(*needles: str) -> Column:
-        named = F.get(F.filter(cards, lambda c: F.lower(c["card"]).rlike("|".join(needles))), F.lit(0))
-        said = lambda r: F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", named["card"], r["label"])), "[^a-z0-9]+", " "))
-
-        def worth(r: Column) -> Column:
-            out = F.when(F.contains(said(r), F.lit("very weak")), 18.0)
-            for pattern, score in WORDS:
-                out = out.when(said(r).rlike(pattern), float(score))
-            return out
-
-        rows = F.filter(card(cards, *needles), lambda r: worth(r).isNotNull() & (r["pct"] > 0))
-        total = _total(rows, lambda r: r["pct"])
-        return F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), _total(rows, lambda r: worth(r) * r["pct"]) / total)))
-
-    long, trail, price = scored("longevity"), scored("sillage", "projection"), scored("price value", "value")
-    works = M.blend({"a": long, "b": trail}, {"a": 0.5, "b": 0.5})
-    parts = {"rating": stars, "approval": approval, "performance": works, "value": price}
+    groups = {k: CARD_OF[k] for k in ("longevity", "sillage", "value")}
+    own = computed(rows, {"__cards": counted(F.col(cards))})
+    named = lambda needles: F.get(F.filter("__cards", lambda c: F.lower(c["card"]).rlike("|".join(needles))), F.lit(0))
+    own = computed(own, {"__summary": _stated(card(F.col("__cards"), *CARD_OF["summary"]))["value"], **{f"__r_{k}": named(needles)["rows"] for k, needles in groups.items()}, **{f"__h_{k}": F.lower(named(needles)["card"]) for k, needles in groups.items()}})
+    own = own.withColumns({"__pos": F.col(consensus_pct)["pos"], "__neu": F.col(consensus_pct)["neu"]})
+    own = computed(own, {"__liked": F.col("__pos") + F.col("__neu") * NEUTRAL, "__stars": _stars(F.col("__summary")) / 5.0 * 100.0})
+
+    def said(k: str) -> Column:
+        text = lambda r: F.trim(F.regexp_replace(F.concat_ws(" ", f"__h_{k}", F.lower(r["label"])), "[^a-z0-9]+", " "))
+        return F.transform(F.filter(f"__r_{k}", lambda r: r["pct"] > 0), lambda r: F.struct(text(r).alias("said"), r["pct"].alias("pct")))
+
+    def worth(x: Column) -> Column:
+        score = F.when(F.contains(x["said"], F.lit("very weak")), 18.0)
+        for pattern, points in WORDS:
+            score = score.when(x["said"].rlike(pattern), float(points))
+        return F.struct(score.alias("worth"), x["pct"].alias("pct"))
+
+    own = computed(own, {f"__t_{k}": said(k) for k in groups})
+    own = computed(own, {f"__w_{k}": F.filter(F.transform(f"__t_{k}", worth), lambda x: x["worth"].isNotNull()) for k in groups})
+    sums = lambda k, each: F.aggregate(f"__w_{k}", F.lit(0.0), lambda s, x: s + each(x))
+    own = computed(own, {**{f"__a_{k}": sums(k, lambda x: x["worth"] * x["pct"]) for k in groups}, **{f"__b_{k}": sums(k, lambda x: x["pct"]) for k in groups}})
+    within = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)))
+    own = computed(own, {**{f"__p_{k}": F.try_divide(f"__a_{k}", f"__b_{k}") for k in groups}})
+    own = computed(own, {"__approval": within(F.col("__liked")), **{f"__q_{k}": within(F.col(f"__p_{k}")) for k in groups}})
+    own = computed(own, {"__works": M.blend({"a": F.col("__q_longevity"), "b": F.col("__q_sillage")}, {"a": 0.5, "b": 0.5})})
+    parts = {"rating": F.col("__stars"), "approval": F.col("__approval"), "performance": F.col("__works"), "value": F.col("__q_value")}
     used = sum((p.isNotNull().cast("int") for p in parts.values()), F.lit(0))
-    return F.struct(M.blend(parts, SCORECARD).alias("overall"), *[p.alias(k) for k, p in parts.items()], used.alias("n_parts"))
+    return own.select(*rows.columns, F.struct(M.blend(parts, SCORECARD).alias("overall"), *[p.alias(k) for k, p in parts.items()], used.alias("n_parts")).alias(out))

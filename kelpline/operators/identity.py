@@ -6,6 +6,7 @@ they are, so an operator here never shuffles; pairs should come from a blocked j
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
+from ..functions.steps import computed
 
 # Words of a name that tell no fragrance from another, those of a query that must not rank a row, and what answers leave out.
 STOPWORDS = (
@@ -96,7 +98,7 @@ def prepared(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
     clash = [f"{k}{end}" for k in texts for end in ("", "_n") if f"{k}{end}" in rows.columns]
     if clash:
         raise ValueError(f"rows have columns named {clash}")
-    return rows.withColumns({**{k: X.clean(c) for k, c in texts.items()}, **{f"{k}_n": X.normalize_identity(c) for k, c in texts.items()}})
+    return X.with_clean(rows, texts)
 
 
 def words(normal: Column) -> Column:
@@ -108,69 +110,110 @@ def distinctive(tokens: Column) -> Column:
     return F.array_except(tokens, _array(STOPWORDS))
 
 
-def brand_forms(brand: Column) -> Column:
-    """SF8: all forms of a normalized brand, itself first; none for a blank one."""
+@dataclass(frozen=True)
+class Brand:
+    """What is read of a normalized brand: its forms, those without generic words at their end, and the tokens of all forms."""
+
+    normal: Column
+    forms: Column
+    bare: Column
+    words: Column
+
+    @classmethod
+    def of(cls, normal: Column | Brand) -> Brand:
+        if isinstance(normal, Brand):
+            return normal
+        forms = _forms(normal)
+        return cls(normal, forms, _bare(forms), _form_words(forms))
+
+
+def with_brand(rows: DataFrame, normal: str, name: str) -> tuple[DataFrame, Brand]:
+    """rows with what is read of a brand in columns of their own, so that a plan has the table of forms once, however often they are read."""
+    made = computed(rows, {f"{name}_forms": _forms(F.col(normal))})
+    made = computed(made, {f"{name}_bare": _bare(F.col(f"{name}_forms")), f"{name}_words": _form_words(F.col(f"{name}_forms"))})
+    return made, Brand(F.col(normal), *[F.col(f"{name}_{k}") for k in ("forms", "bare", "words")])
+
+
+def _forms(brand: Column) -> Column:
     groups = {form: group for group in ALIASES for form in group}
     table = F.create_map(*[x for form, group in groups.items() for x in (F.lit(form), _array(group))])
     return F.array_remove(F.array_distinct(F.concat(F.array(brand), F.coalesce(F.try_element_at(table, brand), _array(())))), "")
 
 
-def brand_words(brand: Column) -> Column:
+def _bare(forms: Column) -> Column:
+    tail = rf"( ?\b({'|'.join(BRAND_SUFFIXES)}))+$"
+    return F.array_remove(F.array_distinct(F.transform(forms, lambda f: F.regexp_replace(f, tail, ""))), "")
+
+
+def _form_words(forms: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(forms, words)))
+
+
+def brand_forms(brand: Column | Brand) -> Column:
+    """SF8: all forms of a normalized brand, itself first; none for a blank one."""
+    return Brand.of(brand).forms
+
+
+def brand_words(brand: Column | Brand) -> Column:
     """Tokens of all forms of a normalized brand."""
-    return F.array_distinct(F.flatten(F.transform(brand_forms(brand), words)))
+    return Brand.of(brand).words
 
 
-def without_suffixes(brand: Column) -> Column:
+def without_suffixes(brand: Column | Brand) -> Column:
     """SF9: the forms of a normalized brand without generic words at their end."""
-    tail = rf"( ?\b({'|'.join(BRAND_SUFFIXES)}))+$"
-    return F.array_remove(F.array_distinct(F.transform(brand_forms(brand), lambda f: F.regexp_replace(f, tail, ""))), "")
+    return Brand.of(brand).bare
 
 
-def same_brand(a: Column, b: Column) -> Column:
+def same_brand(a: Column | Brand, b: Column | Brand) -> Column:
     """SF9: whether two normalized brands share a form, with or without generic words at its end."""
-    return (a == b) | F.arrays_overlap(brand_forms(a), brand_forms(b)) | F.arrays_overlap(without_suffixes(a), without_suffixes(b))
+    a, b = Brand.of(a), Brand.of(b)
+    return (a.normal == b.normal) | F.arrays_overlap(a.forms, b.forms) | F.arrays_overlap(a.bare, b.bare)
 
 
-def name_words(name: Column, brand: Column, kept: bool = False) -> Column:
+def name_words(name: Column, brand: Column | Brand, kept: bool = False) -> Column:
     """SF6: tokens of a normalized name without those of its brand; kept leaves stop words in."""
     tokens, own = words(name), brand_words(brand)
     return F.array_except(tokens, own) if kept else F.array_except(distinctive(tokens), distinctive(own))
 
 
-def _unconcentrated(name: Column, brand: Column) -> Column:
+def _unconcentrated(name: Column, brand: Column | Brand) -> Column:
     """Tokens with stop words, but without phrases that say a concentration."""
     return name_words(F.regexp_replace(name, CONCENTRATION_PHRASE, " "), brand, kept=True)
 
 
-def gender_groups(name: Column, brand: Column) -> Column:
+def gender_groups(name: Column, brand: Column | Brand) -> Column:
     """SF7: the genders that a normalized name's words stand for, sorted."""
     table = F.create_map(*[F.lit(x) for kv in GENDERS.items() for x in kv])
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(name_words(name, brand, kept=True), lambda t: F.try_element_at(table, t)))))
 
 
-def required_markers(name: Column, brand: Column) -> Column:
+def required_markers(name: Column, brand: Column | Brand) -> Column:
     """SF7: words that a normalized name must share with one of the same fragrance."""
     return F.array_sort(F.array_intersect(_unconcentrated(name, brand), _array(MARKERS)))
 
 
-def line_label(name: Column, normal: Column, first: Column, house: Column) -> Column:
+def _lead(normal: Column) -> Column:
+    """The first distinctive word of a normalized name, empty without one."""
+    return F.coalesce(F.get(distinctive(words(normal)), F.lit(0)), F.lit(""))
+
+
+def line_label(name: Column, normal: Column, first: Column, house: Column | Brand, lead: Column | Brand | None = None) -> Column:
     """The first word of a cleaned name where it names a line of the house, not the house itself; else empty.
 
-    normal and house are normalized, first is the name's first word normalized.
+    normal and house are normalized, first is the name's first word normalized; lead is its first distinctive word, if that is known.
     """
-    tokens = distinctive(words(normal))
-    lead = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
-    fits = (house != "") & (F.size(tokens) >= 2) & (F.length(lead) >= 4) & ~F.array_contains(distinctive(brand_words(house)), lead)
-    return F.when(fits & ~same_brand(lead, house) & (first == lead), F.get(F.split(name, " "), F.lit(0))).otherwise("")
+    lead, house = Brand.of(_lead(normal) if lead is None else lead), Brand.of(house)
+    fits = (house.normal != "") & (F.size(distinctive(words(normal))) >= 2) & (F.length(lead.normal) >= 4) & ~F.array_contains(distinctive(house.words), lead.normal)
+    return F.when(fits & ~same_brand(lead, house) & (first == lead.normal), F.get(F.split(name, " "), F.lit(0))).otherwise("")
 
 
-def same_catalog_brand(house: Column, other: Column, name: Column) -> Column:
-    """SF9: whether a catalogue's brand is the house, or the line of it that a name is of. All are normalized."""
-    first = F.get(F.split(name, " "), F.lit(0))
-    line = line_label(name, name, first, house)
-    found = same_brand(house, other) | ((line != "") & F.contains(other, line))
+def same_catalog_brand(house: Column | Brand, other: Column | Brand, name: Column, line: Column | None = None) -> Column:
+    """SF9: whether a catalogue's brand is the house, or the line of it that a name is of. All are normalized; line is line_label(), if that is known."""
+    house, other = Brand.of(house), Brand.of(other)
+    line = line_label(name, name, F.get(F.split(name, " "), F.lit(0)), house) if line is None else line
+    found = same_brand(house, other) | ((line != "") & F.contains(other.normal, line))
     for key, label in LINES.items():
-        found = found | ((F.contains(name, F.lit(key)) | F.contains(line, F.lit(key))) & ((other == label.lower()) | F.contains(other, F.lit(key))))
+        found = found | ((F.contains(name, F.lit(key)) | F.contains(line, F.lit(key))) & ((other.normal == label.lower()) | F.contains(other.normal, F.lit(key))))
     return found
 
 
@@ -179,19 +222,20 @@ def display_words(text: Column) -> Column:
     return F.array_except(words(text), _array(NOT_DISPLAYED))
 
 
-def brand_only(query: Column, brand: Column) -> Column:
+def brand_only(query: Column | Brand, brand: Column | Brand) -> Column:
     """PF17: whether a brand's forms explain every word of a query, and the query is that brand. Both are normalized."""
-    asked = display_words(query)
+    query, brand = Brand.of(query), Brand.of(brand)
+    asked = display_words(query.normal)
 
     def without(left: Column, form: Column) -> Column:
         own = display_words(form)
         return F.when(_within(own, left), F.array_except(left, own)).otherwise(left)
 
-    rest = F.aggregate(brand_forms(brand), asked, without)
-    return (brand != "") & (F.size(asked) > 0) & (F.size(rest) == 0) & same_brand(query, brand)
+    rest = F.aggregate(brand.forms, asked, without)
+    return (brand.normal != "") & (F.size(asked) > 0) & (F.size(rest) == 0) & same_brand(query, brand)
 
 
-def query_words(query: Column, brand: Column) -> Column:
+def query_words(query: Column, brand: Column | Brand) -> Column:
     """The words of a normalized query that the brand doesn't explain; all of them where none are left."""
     asked = display_words(query)
 
@@ -278,43 +322,23 @@ def with_stripped_name(rows: DataFrame, name: str, house: str, out: str) -> Data
     return made.withColumn(out, stripped_name(F.col("__name"), F.col("__words"), F.col("__house"))).drop("__name", "__house", "__words")
 
 
-def fused_score(query: Column, name: Column, brand: Column) -> Column:
+def phrases(name: Column, brand: Column | Brand) -> Column:
+    """A normalized name, alone and with each form of its brand before and after it."""
+    both = F.transform(brand_forms(brand), lambda f: F.array(F.concat_ws(" ", f, name), F.concat_ws(" ", name, f)))
+    return F.array_remove(F.concat(F.array(name), F.when(name == "", _array(())).otherwise(F.flatten(both))), "")
+
+
+def _best_phrase(query: Column, found: Column) -> Column:
+    return F.when(query == "", 0.0).otherwise(F.coalesce(F.get(S.best_ratios(F.array(query), found), F.lit(0)), F.lit(0.0)))
+
+
+def fused_score(query: Column, name: Column, brand: Column | Brand) -> Column:
     """SF14: the best ratio of a query and a name, alone or with a form of its brand before or after it. All are normalized."""
-    forms = F.when(F.size(brand_forms(brand)) > 0, brand_forms(brand)).otherwise(_array(()))
-    with_brand = F.when(name == "", _array(())).otherwise(F.flatten(F.transform(forms, lambda f: F.array(F.concat_ws(" ", f, name), F.concat_ws(" ", name, f)))))
-    phrases = F.array_remove(F.concat(F.array(name), with_brand), "")
-    return F.when(query == "", 0.0).otherwise(F.coalesce(F.get(S.best_ratios(F.array(query), phrases), F.lit(0)), F.lit(0.0)))
-
-
-def _relevance(q: Column, n: Column, b: Column, nq: Column, nn: Column, nb: Column) -> Column:
-    """relevance() of cleaned texts in lower case, and of the same normalized."""
-    asked, target = F.filter(F.split(q, " "), lambda t: t != ""), F.trim(F.concat_ws(" ", b, n))
-    found = F.filter(F.split(target, " "), lambda t: t != "")
-    filler = lambda t: t.isin(*STOPWORDS, *CONNECTORS)
-    fuzzy = lambda t: ~filler(t) & (F.length(t) >= FUZZY_LETTERS)
-    met = F.zip_with(asked, S.best_ratios(asked, found), lambda t, r: F.struct(t.alias("t"), F.when(F.array_contains(found, t), 1.0).when(fuzzy(t), r).otherwise(0.0).alias("r")))
-    weight = lambda t: F.when(filler(t), FILLER_WEIGHT).otherwise(1.0)
-    total = F.aggregate(asked, F.lit(0.0), lambda s, t: s + weight(t))
-    matched = F.aggregate(met, F.lit(0.0), lambda s, x: s + x["r"] * weight(x["t"]))
-    covered = F.size(F.filter(met, lambda x: ~filler(x["t"]) & (x["r"] >= COVERED)))
-    anchors = F.size(F.filter(asked, lambda t: ~filler(t)))
-    phrase = F.greatest(S.sequence_ratio(q, n), S.sequence_ratio(q, b), S.sequence_ratio(q, target), fused_score(nq, nn, nb))
-    best = F.greatest(matched / total, phrase)
-    remainder = (F.size(F.split(nb, " ")) == 1) & (nb != "") & F.get(F.split(nn, " "), F.lit(0)).isin(*STARTERS)
-    score = F.when(remainder, 0.0).when(brand_only(nq, nb), 1.0).when((F.size(asked) == 0) | (F.size(found) == 0), 0.0)
-    return score.when((anchors > 0) & (covered == 0), F.least(best, F.lit(UNCOVERED_CAP))).when(anchors == 0, phrase).otherwise(best)
+    return _best_phrase(query, phrases(name, brand))
 
 
-def _relevant(score: Column, nq: Column, nn: Column, nb: Column, least: float) -> Column:
-    plain = name_words(nn, nb)
-    target = F.when(F.size(plain) > 0, plain).otherwise(name_words(nn, nb, kept=True))
-    asked = query_words(nq, nb)
-    short = distinctive(asked)
-    asked = F.when((F.size(plain) > 0) & (F.size(short) > 0), short).otherwise(asked)
-    extra, own = F.array_except(asked, target), brand_words(nb)
-    single = (F.size(target) == 1) & F.arrays_overlap(asked, target) & ((F.size(extra) == 0) | ((F.size(own) > 0) & (S.token_coverage(extra, own) >= COVERAGE)))
-    few = (F.size(asked) < 2) | (F.size(target) == 0)
-    return (F.coalesce(score, F.lit(0.0)) >= least) & (brand_only(nq, nb) | few | single | (S.token_coverage(asked, target) >= COVERAGE))
+def _filler(token: Column) -> Column:
+    return token.isin(*STOPWORDS, *CONNECTORS)
 
 
 def with_relevance(rows: DataFrame, query: str, name: str, brand: str, least: float = RESULT_FLOOR) -> DataFrame:
@@ -323,13 +347,46 @@ def with_relevance(rows: DataFrame, query: str, name: str, brand: str, least: fl
     score, 0 to 1, says how well a row answers its query: words count fully, fillers a little; a word may be met by one
     like it. 1 where the query is the row's brand alone; at most 0.5 where none of its distinctive words is met; the
     likeness of whole phrases otherwise or beside. relevant: a score of at least `least`, and the query's own words covered
-    by the name's where it has two or more. Nulls are empty texts.
+    by the name's where it has two or more. Nulls are empty texts. A column score or relevant of rows is refused.
+
+    What several parts of the score read is a column of a step of its own: the plan stays short.
     """
+    clash = [c for c in ("score", "relevant") if c in rows.columns]
+    if clash:
+        raise ValueError(f"rows have columns named {clash}")
     own = prepared(rows, {"__q": F.col(query), "__n": F.col(name), "__b": F.col(brand)})
-    low = [F.lower(c) for c in ("__q", "__n", "__b")]
-    normal = [F.col(f"{c}_n") for c in ("__q", "__n", "__b")]
-    scored = own.withColumn("score", _relevance(*low, *normal))
-    return scored.withColumn("relevant", _relevant(F.col("score"), *normal, least)).drop(*[f"{c}{end}" for c in ("__q", "__n", "__b") for end in ("", "_n")])
+    own, house = with_brand(own, "__b_n", "__b_own")
+    own, wanted = with_brand(own, "__q_n", "__q_own")
+    nq, nn, nb = (F.col(f"{c}_n") for c in ("__q", "__n", "__b"))
+    tokens = lambda c: F.filter(F.split(c, " "), lambda t: t != "")
+    own = computed(own, {"__ql": F.lower("__q"), "__nl": F.lower("__n"), "__bl": F.lower("__b"), "__alone": brand_only(wanted, house)})
+    own = computed(own, {"__target": F.trim(F.concat_ws(" ", "__bl", "__nl")), "__asked": tokens(F.col("__ql"))})
+    own = computed(own, {"__found": tokens(F.col("__target")), "__phrases": phrases(nn, house)})
+    phrase = F.greatest(S.sequence_ratio("__ql", "__nl"), S.sequence_ratio("__ql", "__bl"), S.sequence_ratio("__ql", "__target"), _best_phrase(nq, F.col("__phrases")))
+    own = own.withColumns({"__ratios": S.best_ratios("__asked", "__found"), "__phrase": phrase})
+
+    def met(t: Column, r: Column) -> Column:
+        near = F.when(F.array_contains("__found", t), 1.0).when(~_filler(t) & (F.length(t) >= FUZZY_LETTERS), r).otherwise(0.0)
+        return F.struct(near.alias("r"), _filler(t).alias("filler"), F.when(_filler(t), FILLER_WEIGHT).otherwise(1.0).alias("w"))
+
+    own = computed(own, {"__met": F.zip_with("__asked", "__ratios", met)})
+    total = F.aggregate("__met", F.lit(0.0), lambda s, x: s + x["w"])
+    matched = F.aggregate("__met", F.lit(0.0), lambda s, x: s + x["r"] * x["w"])
+    covered = F.exists("__met", lambda x: ~x["filler"] & (x["r"] >= COVERED))
+    own = computed(own, {"__best": F.greatest(F.try_divide(matched, total), "__phrase"), "__covered": covered, "__anchored": F.exists("__met", lambda x: ~x["filler"])})
+    remainder = (F.size(F.split(nb, " ")) == 1) & (nb != "") & F.get(F.split(nn, " "), F.lit(0)).isin(*STARTERS)
+    empty = (F.size("__asked") == 0) | (F.size("__found") == 0)
+    score = F.when(remainder, 0.0).when(F.col("__alone"), 1.0).when(empty, 0.0).when(~F.col("__anchored"), F.col("__phrase"))
+    own = computed(own, {"score": score.when(~F.col("__covered"), F.least("__best", F.lit(UNCOVERED_CAP))).otherwise(F.col("__best"))})
+    own = computed(own, {"__plain": name_words(nn, house), "__all": name_words(nn, house, kept=True), "__rest": query_words(nq, house)})
+    own = computed(own, {"__short": distinctive(F.col("__rest"))})
+    own = computed(own, {"__own": F.when(F.size("__plain") > 0, F.col("__plain")).otherwise(F.col("__all")), "__left": F.when((F.size("__plain") > 0) & (F.size("__short") > 0), F.col("__short")).otherwise(F.col("__rest"))})
+    own = computed(own, {"__extra": F.array_except("__left", "__own")})
+    own = own.withColumns({"__byname": S.token_coverage("__left", "__own"), "__byhouse": S.token_coverage("__extra", house.words)})
+    single = (F.size("__own") == 1) & F.arrays_overlap("__left", "__own") & ((F.size("__extra") == 0) | ((F.size(house.words) > 0) & (F.col("__byhouse") >= COVERAGE)))
+    few = (F.size("__left") < 2) | (F.size("__own") == 0)
+    fits = (F.coalesce("score", F.lit(0.0)) >= least) & (F.col("__alone") | few | single | (F.col("__byname") >= COVERAGE))
+    return computed(own, {"relevant": fits}).select(*rows.columns, "score", "relevant")
 
 
 def names_score(a: Column, b: Column) -> Column:
@@ -345,37 +402,51 @@ def names_score(a: Column, b: Column) -> Column:
     return score.when(jaccard >= 0.75, LARGE_SHARE).when((jaccard >= 0.55) & (coverage >= 0.70), SHARE).otherwise(0.0)
 
 
-def _sequence_fallback(a: Column, b: Column, own_a: Column, own_b: Column) -> Column:
+def _identity_side(pairs: DataFrame, side: str) -> tuple[DataFrame, Brand]:
+    """pairs plus, for one of their sides, the words and marks of its name and the line that it may be of."""
+    at = f"__{side}"
+    pairs, house = with_brand(pairs, f"{at}brand_n", f"{at}own")
+    name = F.col(f"{at}name_n")
+    pairs = computed(pairs, {f"{at}all": name_words(name, house, kept=True), f"{at}plain": name_words(name, house), f"{at}lean": _unconcentrated(name, house), f"{at}lead": _lead(name)})
+    pairs, lead = with_brand(pairs, f"{at}lead", f"{at}first")
+    table = F.create_map(*[F.lit(x) for kv in GENDERS.items() for x in kv])
+    genders = F.array_sort(F.array_distinct(F.array_compact(F.transform(f"{at}all", lambda t: F.try_element_at(table, t)))))
+    label = line_label(name, name, F.get(F.split(name, " "), F.lit(0)), house, lead)
+    return computed(pairs, {f"{at}genders": genders, f"{at}marks": F.array_sort(F.array_intersect(f"{at}lean", _array(MARKERS))), f"{at}line": label}), house
+
+
+def _sequence_fallback() -> Column:
     """Names whose words don't overlap: the same letters, or as many words of which none begins another, and a high ratio."""
-    left, right = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
-    only_a, only_b = F.array_except(own_a, own_b), F.array_except(own_b, own_a)
+    left, right = F.replace("__aname_n", F.lit(" "), F.lit("")), F.replace("__bname_n", F.lit(" "), F.lit(""))
+    only_a, only_b = F.array_except("__aplain", "__bplain"), F.array_except("__bplain", "__aplain")
     begins = F.exists(only_a, lambda x: F.exists(only_b, lambda y: F.startswith(x, y) | F.startswith(y, x)))
-    ratio = S.sequence_ratio(a, b)
-    return F.when((left == right) & (F.length(left) >= 4), SAME).when((F.size(own_a) == F.size(own_b)) & ~begins & (ratio >= SEQUENCE), ratio).otherwise(0.0)
+    ratio = F.col("__ratio")
+    return F.when((left == right) & (F.length(left) >= 4), SAME).when((F.size("__aplain") == F.size("__bplain")) & ~begins & (ratio >= SEQUENCE), ratio).otherwise(0.0)
 
 
 def with_identity_score(pairs: DataFrame, a: tuple[str, str, str], b: tuple[str, str, str], out: str = "score") -> DataFrame:
     """SF16: pairs plus a score, 0 to 1, of whether their (brand, name, year) columns are one fragrance.
 
     0 where the brands are known and differ, where words of gender or "eau" differ, where the names don't match,
-    or where the years lie more than one apart. Nulls are empty texts.
+    or where the years lie more than one apart. Nulls are empty texts. What several parts of the score read of a
+    side is a column of a step of its own: the plan stays short.
     """
     texts = {f"__{side}{k}": F.col(c).cast("string") for side, columns in (("a", a), ("b", b)) for k, c in zip(("brand", "name", "year"), columns, strict=True)}
-    own = prepared(pairs, texts)
-    ba, na, bb, nb = (F.col(f"__{c}_n") for c in ("abrand", "aname", "bbrand", "bname"))
-    year_a, year_b = F.col("__ayear"), F.col("__byear")
+    own, house_a = _identity_side(prepared(pairs, texts), "a")
+    own, house_b = _identity_side(own, "b")
     unknown = lambda c: c.isin("", "unknown")
-    brands = unknown(ba) | unknown(bb) | same_catalog_brand(ba, bb, na) | same_catalog_brand(bb, ba, nb)
-    marks = (gender_groups(na, ba) == gender_groups(nb, bb)) & (required_markers(na, ba) == required_markers(nb, bb))
-    own_a, own_b = name_words(na, ba), name_words(nb, bb)
-    ratio, both = S.sequence_ratio(na, nb), (F.size(own_a) > 0) & (F.size(own_b) > 0)
-    first = F.when(both, names_score(own_a, own_b)).otherwise(names_score(_unconcentrated(na, ba), _unconcentrated(nb, bb)))
-    second = F.when(both, _sequence_fallback(na, nb, own_a, own_b)).otherwise(F.when(ratio >= SEQUENCE_ALONE, ratio).otherwise(0.0))
-    score = F.when(first > 0, first).otherwise(second)
+    brands = unknown(house_a.normal) | unknown(house_b.normal) | same_catalog_brand(house_a, house_b, F.col("__aname_n"), F.col("__aline")) | same_catalog_brand(house_b, house_a, F.col("__bname_n"), F.col("__bline"))
+    marks = (F.col("__agenders") == F.col("__bgenders")) & (F.col("__amarks") == F.col("__bmarks"))
+    own = own.withColumn("__ratio", S.sequence_ratio("__aname_n", "__bname_n"))
+    own = computed(own, {"__both": (F.size("__aplain") > 0) & (F.size("__bplain") > 0), "__alike": brands & marks})
+    own = computed(own, {f"__{side}used": F.when(F.col("__both"), F.col(f"__{side}plain")).otherwise(F.col(f"__{side}lean")) for side in "ab"})
+    own = computed(own, {"__first": names_score(F.col("__aused"), F.col("__bused")), "__second": F.when(F.col("__both"), _sequence_fallback()).when(F.col("__ratio") >= SEQUENCE_ALONE, F.col("__ratio")).otherwise(0.0)})
+    own = computed(own, {"__score": F.when(F.col("__first") > 0, F.col("__first")).otherwise(F.col("__second"))})
+    year_a, year_b, score = F.col("__ayear"), F.col("__byear"), F.col("__score")
     apart = F.abs(year_a.try_cast("int") - year_b.try_cast("int"))
     dated = (year_a != "") & (year_b != "") & (year_a != year_b)
-    made = F.when(~brands | ~marks | (score == 0) | (dated & (apart.isNull() | (apart > 1))), 0.0).when(dated, score + NEXT_YEAR).when((year_a != "") & (year_a == year_b), score + SAME_YEAR).otherwise(score)
-    return own.withColumn(out, F.greatest(F.lit(0.0), F.least(made, F.lit(1.0)))).drop(*[f"{c}{end}" for c in texts for end in ("", "_n")])
+    made = F.when(~F.col("__alike") | (score == 0) | (dated & (apart.isNull() | (apart > 1))), 0.0).when(dated, score + NEXT_YEAR).when((year_a != "") & (year_a == year_b), score + SAME_YEAR).otherwise(score)
+    return own.withColumn(out, F.greatest(F.lit(0.0), F.least(made, F.lit(1.0)))).select(*pairs.columns, out)
 
 
 def subset_identity(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:

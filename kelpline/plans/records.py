@@ -209,7 +209,8 @@ def metric_bundle(spark, d):
 @query("legacy_scorecard", """WITH l AS (SELECT l_partkey, sum(l_quantity::BIGINT * CASE l_returnflag WHEN 'A' THEN 92 WHEN 'N' THEN 92 ELSE 92 END)::DOUBLE / sum(l_quantity::BIGINT) AS lon, sum(l_quantity::BIGINT * CASE l_linestatus WHEN 'O' THEN 82 ELSE 35 END)::DOUBLE / sum(l_quantity::BIGINT) AS sil FROM lineitem GROUP BY 1)
   SELECT l_partkey, round((lon + sil) / 2, 6) AS performance, 1 AS n_parts FROM l""")
 def legacy_scorecard(spark, d):
-    s = _cards(spark, d).select("l_partkey", bundle.scorecard(F.col("cards"), F.lit(None).cast("struct<pos:double,neu:double>")).alias("s"))
+    rows = _cards(spark, d).withColumn("consensus", F.lit(None).cast("struct<pos:double,neu:double>"))
+    s = bundle.with_scorecard(rows, "cards", "consensus", "s")
     return s.select("l_partkey", F.round("s.performance", 6).alias("performance"), F.col("s.n_parts").alias("n_parts"))
 
 
