@@ -114,6 +114,58 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("https://"), host, path))
 
 
+#: The main source's host, its names in addresses without a scheme, and the address of a perfume there.
+SITE, SITE_NAMES = "https://www.fragrantica.com", r"(?i)^(?:www\.|beta\.)?fragrantica\.com(?:/|$)"
+SITE_PERFUME = r"^https://www\.fragrantica\.com/perfume/[^/]+/[^?#]+-\d+\.html$"
+#: The third source's host and path of a perfume.
+THIRD_SITE, THIRD_PERFUME = "www.parfumo.com", r"(?i)^https://www\.parfumo\.com/(?:perfumes|parfums)/[^/]+/[^/?#]+$"
+
+
+def joined_url(page: Column, href: Column) -> Column:
+    """An address as it stands on a page, whole, without query and fragment."""
+    origin = F.regexp_extract(page, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.regexp_extract(page, r"^https?://[^/?#]+([^?#]*)", 1), "[^/]*$", "")
+    plain = F.regexp_replace(F.trim(href), "[?#].*$", "")
+    whole = F.when(plain.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), plain).when(F.startswith(plain, F.lit("//")), F.concat(F.regexp_extract(page, "^(https?:)", 1), plain))
+    return whole.when(F.startswith(plain, F.lit("/")), F.concat(origin, plain)).otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), plain))
+
+
+def site_url(href: Column) -> Column:
+    """SC1: an address on the main source, whole: its host in full, https there, without query and fragment; empty for a blank one."""
+    plain = F.trim(F.replace(F.coalesce(href, F.lit("")), F.lit("&amp;"), F.lit("&")))
+    named = F.when(~F.contains(plain, F.lit("://")) & plain.rlike(SITE_NAMES), F.concat(F.lit("https://"), plain)).otherwise(plain)
+    whole = joined_url(F.lit(f"{SITE}/"), named)
+    host = F.lower(F.regexp_extract(whole, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/]*)", 1))
+    path = F.regexp_extract(whole, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*(.*)$", 1)
+    here = host.rlike(r"^(.*\.)?fragrantica\.com$")
+    scheme = F.when(here, F.lit("https")).otherwise(F.lower(F.regexp_extract(whole, "^([^:]*):", 1)))
+    return F.when(plain == "", "").otherwise(F.concat(scheme, F.lit("://"), F.when(here, "www.fragrantica.com").otherwise(host), path))
+
+
+def third_url(url: Column) -> Column:
+    """SC1: an address on the third source: https, its host in full, without query, fragment and last slash; empty without a host."""
+    plain = F.trim(F.replace(F.coalesce(url, F.lit("")), F.lit("&amp;"), F.lit("&")))
+    whole = F.when(plain.rlike(r"(?i)^(?:www\.)?parfumo\.com") & ~F.contains(plain, F.lit("://")), F.concat(F.lit("https://"), plain)).otherwise(plain)
+    host = F.lower(F.regexp_extract(whole, r"^[a-zA-Z]+://([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(whole, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    return F.when(host == "", "").otherwise(F.concat(F.lit("https://"), F.when(F.endswith(host, F.lit("parfumo.com")), THIRD_SITE).otherwise(host), path))
+
+
+def brand_in_url(url: Column) -> Column:
+    """SC2: the brand that a perfume's address names; empty without one."""
+    return title_from_slug(F.regexp_extract(url, "/perfume/([^/]+)/", 1))
+
+
+def name_in_url(url: Column) -> Column:
+    """SC2: the name that a perfume's address names; empty without one."""
+    return title_from_slug(F.regexp_extract(url, r"/perfume/[^/]+/([^/]+)-\d+\.html$", 1))
+
+
+def url_key(url: Column) -> Column:
+    """SC2: the number of a perfume's address, else the address; empty for a null."""
+    return F.coalesce(F.nullif(F.regexp_extract(url, r"/[^/]+-(\d+)\.html$", 1), F.lit("")), url, F.lit(""))
+
+
 def url_host(url: Column) -> Column:
     """SC2; null if it isn't a web address."""
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1)), "^www[.]", ""), F.lit(""))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import gates, records, scores, search
+from . import gates, pages, records, scores, search
 
-PLANS = (search, scores, gates, records)
+PLANS = (search, scores, gates, records, pages)
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
