@@ -10,27 +10,46 @@ from ..sources.tables import forget, settled
 
 #: Least scores of a match by kind of source, and of names that differ in few words.
 NATIVE, CATALOG, RELATED, SUBSET = 0.74, 0.76, 0.78, 0.66
+#: Names of a block with one letter mark from which its join is split, and into how many slices.
+HOT_MARK, SLICES = 10_000, 64
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, block: list[str], share: float) -> DataFrame:
-    """(left_id, right_id) of rows of one block whose names share rare enough 3-grams: the candidates of a fuzzy match.
+def _marks(name: Column) -> Column:
+    """A text's letters, each with how many like it came before: as a set, two texts share as many as their letters have in common."""
+    letters = F.filter(F.split(name, ""), lambda c: c != "")
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i), lambda x: x == c)).cast("string")))
 
-    A name offers its rarest grams, as many as leave less than `share` of them; two names that share that part
-    of either's grams have one in common there (a prefix filter). Repeated names are compared once, so pairs are of
-    distinct names; a gram that many names have is only offered by names with none rarer.
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, block: list[str], least: float) -> DataFrame:
+    """(left_id, right_id, a, b): all pairs of rows of one block whose sequence ratio may be `least` or more, with their names in lower case.
+
+    The ratio is 2 M / (n + m), and M, the letters in matching blocks, is at most what the texts have in common as multisets
+    of letters. So a pair of the ratio has a share of (n + m) least / 2 in common, lengths within least / (2 - least) of each
+    other, and a mark (letter and occurrence) in common among the n - ceil(n least / (2 - least)) + 1 rarest of each: nothing is
+    lost. Marks are met in a join on block and mark, with the bound that their places leave; a mark that many names have is split
+    over slices of the left side. Distinct names are compared once. Nulls and empty names match nothing.
     """
-    named = lambda rows, side: rows.select(*block, F.lower(name).alias("__name")).distinct().withColumn("__side", F.lit(side))
-    padded = F.concat(F.lit("  "), F.col("__name"), F.lit(" "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substr(padded, i, F.lit(3))))
-    rows = settled(named(left, 0).unionByName(named(right, 1)).withColumn("__g", grams))
-    placed = rows.select(*block, "__name", "__side", F.size("__g").alias("__n"), F.explode("__g").alias("__gram"))
-    often = placed.groupBy(*block, "__gram").agg(F.count("*").alias("__k"))
-    at = W.partitionBy(*block, "__name", "__side").orderBy("__k", "__gram")
-    offered = settled(placed.join(often, [*block, "__gram"]).withColumn("__at", F.row_number().over(at)).where(F.col("__at") <= F.col("__n") - F.ceil(share * F.col("__n")) + 1))
-    a, b = (offered.where(F.col("__side") == k).select(*block, "__gram", F.col("__name").alias(f"__{k}")) for k in (0, 1))
-    met = a.join(b, [*block, "__gram"]).select(*block, "__0", "__1").distinct()
+    named = lambda rows, side: rows.where(F.length(name) > 0).select(*block, F.lower(name).alias("__name")).distinct().withColumn("__side", F.lit(side))
+    rows = settled(named(left, 0).unionByName(named(right, 1)).withColumn("__marks", _marks(F.col("__name"))))
+    placed = rows.select(*block, "__name", "__side", F.size("__marks").alias("__n"), F.explode("__marks").alias("__mark"))
+    often = placed.groupBy(*block, "__mark").agg(F.count("*").alias("__k"))
+    at = W.partitionBy(*block, "__name", "__side").orderBy("__k", "__mark")
+    share = least / (2 - least)
+    kept = F.col("__at") <= F.col("__n") - F.ceil(share * F.col("__n") - 1e-9) + 1
+    offered = settled(placed.join(often, [*block, "__mark"]).withColumn("__at", F.row_number().over(at)).where(kept))
+    one = lambda k: offered.where(F.col("__side") == k).select(*block, "__mark", F.col("__name").alias(f"__{k}"), F.col("__n").alias(f"__n{k}"), F.col("__at").alias(f"__at{k}"), "__k")
+    slices = F.when(F.col("__k") >= HOT_MARK, SLICES).otherwise(1)
+    a = one(0).withColumn("__slice", F.pmod(F.xxhash64("__0"), slices).cast("int")).drop("__k")
+    b = one(1).withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("__k")
+    needed = F.ceil(least * (F.col("__n0") + F.col("__n1")) / 2 - 1e-9)
+    left_over = 1 + F.least(F.col("__n0") - F.col("__at0"), F.col("__n1") - F.col("__at1"))
+    met = a.join(b, [*block, "__mark", "__slice"]).where((left_over >= needed) & (needed <= F.least("__n0", "__n1"))).select(*block, "__0", "__1").distinct()
+    marked = lambda k: rows.where(F.col("__side") == k).select(*block, F.col("__name").alias(f"__{k}"), F.col("__marks").alias(f"__m{k}"))
+    both = met.join(marked(0), [*block, "__0"]).join(marked(1), [*block, "__1"])
+    near = both.where(2 * F.size(F.array_intersect("__m0", "__m1")) >= least * (F.size("__m0") + F.size("__m1")) - 1e-9).select(*block, "__0", "__1")
     own = lambda rows, k, i: rows.select(*block, F.lower(name).alias(f"__{k}"), i)
-    return met.join(own(left, 0, left_id), [*block, "__0"]).join(own(right, 1, right_id), [*block, "__1"]).select(left_id, right_id)
+    out = near.join(own(left, 0, left_id), [*block, "__0"]).join(own(right, 1, right_id), [*block, "__1"])
+    return out.select(left_id, right_id, F.col("__0").alias("a"), F.col("__1").alias("b"))
 
 
 def best_match(pairs: DataFrame, left: str, right: str, score: Column, least: float) -> DataFrame:

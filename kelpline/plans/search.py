@@ -110,9 +110,8 @@ def best_with_margin(spark, d):
 def fuzzy_match_ratio(spark, d):
     c = t(spark, d, "customer").select("c_custkey", F.translate("c_name", "#", "").alias("name"), F.col("c_nationkey").alias("nation"))
     s = t(spark, d, "supplier").select("s_suppkey", F.translate("s_name", "#", "").alias("name"), F.col("s_nationkey").alias("nation"))
-    pairs = resolve.blocked_pairs(c, s, "c_custkey", "s_suppkey", "name", ["nation"], 0.5)
-    named = pairs.join(c.select("c_custkey", F.lower("name").alias("a")), "c_custkey").join(s.select("s_suppkey", F.lower("name").alias("b")), "s_suppkey")
-    return resolve.best_match(named, "c_custkey", "s_suppkey", F.round(S.sequence_ratio(F.col("a"), F.col("b")), 6), resolve.SUBSET)
+    pairs = resolve.fuzzy_pairs(c, s, "c_custkey", "s_suppkey", "name", ["nation"], resolve.SUBSET)
+    return resolve.best_match(pairs, "c_custkey", "s_suppkey", F.round(S.sequence_ratio(F.col("a"), F.col("b")), 6), resolve.SUBSET)
 
 
 def _pairs(spark, d):

@@ -136,13 +136,6 @@ def test_house_repairs_skip_collisions(spark):
     assert got == {1: ("Aventus", "Creed Aventus", False), 2: ("Sauvage", "x", True)}
 
 
-def test_blocked_pairs_lose_no_match(spark):
-    left = spark.createDataFrame([(i, "n", x) for i, x in enumerate(["supplier 001", "supplier 002", "acme gmbh", "zeta"])], "a int, g string, name string")
-    right = spark.createDataFrame([(i, "n", x) for i, x in enumerate(["supplier 01", "acme gmb", "beta", "zeta"])], "b int, g string, name string")
-    got = {(r["a"], r["b"]) for r in resolve.blocked_pairs(left, right, "a", "b", "name", ["g"], 0.5).collect()}
-    assert {(0, 0), (2, 1), (3, 3)} <= got and (3, 1) not in got
-
-
 def test_review_copies(spark):
     long = "a very good scent that lasts all day "
     rows = spark.createDataFrame([(1, "en", long + "Reply"), (2, "en", long.upper() + "  like"), (3, "en", "short"), (4, "en", long + "but"), (5, "de", long)], "i int, lang string, t string")
