@@ -243,10 +243,10 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _first_cut(classes: DataFrame) -> DataFrame:
-    """s, c, n and p, the pivot, of every set in a region of several."""
+    """s, c and p, the pivot, of every set in a region of several, with their sizes n and np."""
     placed = classes.select("c", "n", F.explode("regions").alias("s"))
-    tops = held(placed.groupBy("s").agg(F.count("*").alias("k"), F.max("c").alias("p")).where("k > 1"))
-    met = settled(join_hot(placed, tops, "s", hot=tops.select("s", "k")).select("s", "c", "n", "p"))
+    tops = held(placed.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("c", "n")).alias("top")).where("k > 1").select("s", "k", F.col("top.c").alias("p"), F.col("top.n").alias("np")))
+    met = settled(join_hot(placed, tops, "s", hot=tops.select("s", "k")).select("s", "c", "n", "p", "np"))
     forget(tops)
     return met
 
@@ -270,17 +270,21 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
     return found
 
 
+def _reached(percent: int, times: int) -> Column:
+    """Whether the sizes na and nb alone leave two sets within `times` reaches of b."""
+    return percent * F.abs(F.col("na") - F.col("nb")) <= times * (100 - percent) * F.col("nb")
+
+
 def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> DataFrame:
-    """pairs (a, b) of fitting sizes whose counts don't put them more than `times` reaches of b apart, settled."""
+    """pairs (a, b, na, nb) whose sizes and counts don't put them more than `times` reaches of b apart, settled."""
 
     @F.pandas_udf("long")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_apart(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
 
-    sizes, counts = classes.select("c", "n"), classes.select("c", "v")
+    counts = classes.select("c", "v")
     # sizes alone differ by no more than a distance; counts are fetched for the pairs that pass
-    sized = join_hot(join_hot(pairs, sizes.toDF("a", "na"), "a"), sizes.toDF("b", "nb"), "b")
-    sized = held(sized.where(percent * F.abs(F.col("na") - F.col("nb")) <= times * (100 - percent) * F.col("nb")))
+    sized = held(pairs.where(_reached(percent, times)).select("a", "b", "na", "nb").distinct())
     joined = join_hot(join_hot(sized, counts.toDF("a", "va"), "a"), counts.toDF("b", "vb"), "b")
     found = settled(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
     forget(sized)
@@ -344,7 +348,7 @@ def _alive(rows: DataFrame) -> DataFrame:
 def _rounds(rows: DataFrame, roots: DataFrame | None, percent: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Roots after every must row of a region r has met all others there, by pivots chosen among the must rows.
 
-    rows: f (the frame), r, c, n, must. compare takes distinct pairs (f, a, b) and gives the links (a, b) among them. A region
+    rows: f (the frame), r, c, n, must. compare takes distinct pairs (f, a, b, and their sizes na, nb) and gives the links (a, b) among them. A region
     that becomes one component is done. Pivots are the greatest ids of hashed slots, so no region is ever gathered or sorted.
     """
     slots, spent = MORE, []
@@ -357,7 +361,9 @@ def _rounds(rows: DataFrame, roots: DataFrame | None, percent: int, compare: Cal
         slot = F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")
         chosen = held(rows.where("must").groupBy("f", "r", slot).agg(F.max(F.struct("c", "root", "n")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp"), F.col("p.n").alias("np")))
         met = join_hot(rows, chosen, "r").where((F.col("c") != F.col("p")) & (F.col("root") != F.col("rp")) & _fits(F.col("n"), F.col("np"), percent))
-        pairs = held(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct())
+        first = F.col("c") > F.col("p")
+        sizes = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(k) for k, x, y in (("na", "n", "np"), ("nb", "np", "n"))]
+        pairs = held(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b"), *sizes).distinct())
         links = compare(pairs)
         roots = _joined_roots(roots, links)
         forget(pairs)
@@ -391,7 +397,7 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
 
     def compare(pairs: DataFrame) -> DataFrame:
         for side in "ab":
-            own = near.select(F.col("p").alias("f"), F.col("c").alias(side), F.col("n").alias(f"n{side}"), F.col("e").alias(f"e{side}"))
+            own = near.select(F.col("p").alias("f"), F.col("c").alias(side), F.col("e").alias(f"e{side}"))
             pairs = pairs.join(own, ["f", side])
         found = pairs.withColumn("d", F.size("ea") + F.size("eb") - 2 * shared("ea", "eb"))
         return held(found.where(_linked(percent)).select("a", "b"))
@@ -402,10 +408,9 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
 def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """(c, root) of all linked classes."""
     met = _first_cut(classes)
-    pairs = held(met.where("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b")).distinct())
+    pairs = met.where("c <> p").select(F.col("p").alias("a"), F.col("c").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"))
     near = _compared(docs, classes, pairs, width, percent, 2).withColumn("linked", _linked(percent))
     near = near.select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("na").alias("np"), F.col("nb").alias("n"), "d", "e", "linked")
-    forget(pairs)
     roots = _joined_roots(None, near.where("linked").select(F.col("p").alias("a"), F.col("c").alias("b")))
     roots = _differences_joined(near, roots, percent)
     # beyond a pivot's region; within it, whom it holds by less than t reaches is out of reach of those beyond
@@ -414,7 +419,7 @@ def _roots(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     rest = rest.select(F.lit(0).cast("long").alias("f"), F.col("s").alias("r"), "c", "n", F.col("held").isNull().alias("must"))
 
     def compare(far: DataFrame) -> DataFrame:
-        return held(_compared(docs, classes, far.select("a", "b"), width, percent, 1).where(_linked(percent)).select("a", "b"))
+        return held(_compared(docs, classes, far, width, percent, 1).where(_linked(percent)).select("a", "b"))
 
     roots = _rounds(rest, roots, percent, compare)
     forget(met)
