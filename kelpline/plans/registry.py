@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import gates, pages, records, repairs, scores, search
+from . import gates, jobs, pages, records, repairs, scores, search
 
-PLANS = (search, scores, gates, records, pages, repairs)
+PLANS = (search, scores, gates, records, pages, repairs, jobs)
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 

@@ -104,3 +104,17 @@ def test_timed_stream(spark, tmp_path):
     want = plain(log, START + dt.timedelta(days=4))
     assert {k: v for k, v in last.items() if k != 99} == {k: (v[3], *v[:3]) for k, v in want.items()}
     assert len({(r["job_key"], r["at"], r["status"], r["requests"], r["failure_count"]) for r in out}) <= len(out)
+
+
+def test_timed_jobs_of_events(spark):
+    """The query on all events equals the plain walk."""
+    from kelpline.plans.jobs import timed_jobs
+
+    sf = "/root/testdata/sf0.001"
+    names = {"view": "enqueue", "click": "claim", "signup": "complete", "purchase": "partial"}
+    log = [(r["user_id"], names.get(r["event_type"], "fail"), r["ts"].replace(microsecond=r["ts"].microsecond // 1000 * 1000, tzinfo=dt.timezone.utc), r["event_id"]) for r in spark.read.parquet(f"{sf}/events.parquet").collect()]
+    want = plain(log, dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc))
+    got = {r["job_key"]: (r["status"], r["failure_count"], r["requests"], r["at"]) for r in timed_jobs(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for k, (status, failures, requests, at) in want.items():
+        assert got[k][:3] == (status, failures, requests) and abs(got[k][3] - at) < 2e-3
