@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(rows: DataFrame, *names: str) -> DataFrame:
+    """rows, which must not have the columns that an operator adds."""
+    clash = [c for c in names if c.lower() in (x.lower() for x in rows.columns)]
+    if clash:
+        raise ValueError(f"rows have columns named {clash}")
+    return rows
+
+
 def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """rows plus columns, which stay columns: the optimizer doesn't paste them into each expression that reads them.
 

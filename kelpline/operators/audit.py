@@ -46,14 +46,15 @@ def identity_rules(name: Column, brand: Column) -> dict[str, Column]:
 
 
 def row_rules(row: dict[str, Column], today: Column | None = None) -> dict[str, Column]:
-    """All 24 rules of SF30 on a stored row, in the order that they are reported in.
+    """The 23 rules of SF30 on a stored row that is an object, in the order that they are reported in; blob_tags() has the 24th.
 
-    row has brand, name, source_url, accords (array of strings), family, concentration, gender and year (text); a year is a
+    row has brand (or, where that is blank, house), name, source_url, accords (array of strings), family, concentration, gender and year (text); a year is a
     number as text where year_is_text says so. today is the date that years are held against (the present one if not given).
     """
     blank = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*P.NO_FAMILY)
     said = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    own = identity_rules(row["name"], row["brand"])
+    brand = F.coalesce(F.nullif(F.trim(row["brand"]), F.lit("")), row["house"]) if "house" in row else row["brand"]
+    own = identity_rules(row["name"], brand)
     url, accords, family = said(row["source_url"]), row["accords"], row["family"]
     good = F.filter(accords, lambda a: ~P.accord_junk(a))
     low = F.lower(F.trim(family))
@@ -85,6 +86,19 @@ def row_rules(row: dict[str, Column], today: Column | None = None) -> dict[str,
     }
 
 
+BLOB = "name string, brand string, house string, source_url string, accords array<string>, family string, concentration string, gender string, year string"
+
+
+def blob_tags(blob: Column, today: Column | None = None) -> Column:
+    """SF30: the tags of a stored row as JSON text, in order: bad_blob alone where it is no object, else those of row_rules()."""
+    kind = F.schema_of_variant(F.try_parse_json(blob))
+    read, year = F.from_json(blob, BLOB), F.get_json_object(blob, "$.year")
+    quoted = F.schema_of_variant(F.try_variant_get(F.try_parse_json(blob), "$.year", "variant")) == "STRING"
+    row = {k: read[k] for k in ("name", "brand", "house", "source_url", "accords", "family", "concentration", "gender")}
+    row |= {"year": year, "year_is_text": F.coalesce(quoted, F.lit(False))}
+    return F.when(F.startswith(kind, F.lit("OBJECT")), tags(row_rules(row, today))).otherwise(F.array(F.lit("bad_blob")))
+
+
 def review_copies(rows: DataFrame, scope: list[str], text: str, row_id: str, width: int | None = None, least: int = 30) -> DataFrame:
     """AG33: the first row and the number of each group of reviews that say the same; those of fewer than `least` characters go.
 

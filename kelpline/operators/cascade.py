@@ -120,6 +120,8 @@ def unknown_years(rows: DataFrame, key: str, brand: str, name: str, title: str,
 
     Of each domain the first row counts; brand and name must have all their words in title or snippet. Rows have a column pos, their order.
     """
+    if "pos" not in rows.columns:
+        raise ValueError("rows need a column pos, their order")
     said = X.normalize_identity(F.concat_ws(" ", F.col(title), F.col(snippet)))
     asked = F.array_remove(F.split(X.normalize_identity(F.concat_ws(" ", F.col(brand), F.col(name))), " "), "")
     host = F.coalesce(X.url_host(F.col(url)), F.lit(""))

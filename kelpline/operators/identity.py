@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from ..functions.steps import computed
+from ..functions.steps import computed, unused
 
 # Words of a name that tell no fragrance from another, those of a query that must not rank a row, and what answers leave out.
 STOPWORDS = (
@@ -95,10 +95,7 @@ def prepared(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
 
     The Arrow functions run here once; array functions cannot hold them.
     """
-    clash = [f"{k}{end}" for k in texts for end in ("", "_n") if f"{k}{end}" in rows.columns]
-    if clash:
-        raise ValueError(f"rows have columns named {clash}")
-    return X.with_clean(rows, texts)
+    return X.with_clean(unused(rows, *[f"{k}{end}" for k in texts for end in ("", "_n")]), texts)
 
 
 def words(normal: Column) -> Column:
@@ -351,10 +348,7 @@ def with_relevance(rows: DataFrame, query: str, name: str, brand: str, least: fl
 
     What several parts of the score read is a column of a step of its own: the plan stays short.
     """
-    clash = [c for c in ("score", "relevant") if c in rows.columns]
-    if clash:
-        raise ValueError(f"rows have columns named {clash}")
-    own = prepared(rows, {"__q": F.col(query), "__n": F.col(name), "__b": F.col(brand)})
+    own = prepared(unused(rows, "score", "relevant"), {"__q": F.col(query), "__n": F.col(name), "__b": F.col(brand)})
     own, house = with_brand(own, "__b_n", "__b_own")
     own, wanted = with_brand(own, "__q_n", "__q_own")
     nq, nn, nb = (F.col(f"{c}_n") for c in ("__q", "__n", "__b"))
@@ -469,8 +463,8 @@ def variant_ok(relevant: Column, score: Column, query: Column, variant: Column,
 
 
 def ranked_candidates(rows: DataFrame, query: str, order: list[Column], tie: str, cap: int | None = None) -> DataFrame:
-    """Rows of each query by several keys, largest first, ties by `tie`; rank from 1, the first `cap` alone if given."""
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*[F.desc_nulls_last(o) for o in order], tie)).cast("long"))
+    """Rows of each query by several keys, largest first, ties by `tie`; rank from 1, the first `cap` alone if given. A column rank is refused."""
+    ranked = unused(rows, "rank").withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(*[F.desc_nulls_last(o) for o in order], tie)).cast("long"))
     return ranked if cap is None else ranked.where(F.col("rank") <= cap)
 
 

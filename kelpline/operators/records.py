@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.steps import unused
 from . import identity as I
 
 #: Hours after which a record is stale, most rows of a page and of a list of commands, and a lease in seconds.
@@ -48,17 +50,28 @@ def json_equals(blob: Column, path: str, value: str) -> Column:
 
 
 def brand_sizes(entries: DataFrame, brand: str, handle: str, shown: int = 5) -> DataFrame:
-    """SRC14: for each brand how many entries it has and its first handles; entries of a hot brand meet as partial counts."""
+    """SRC14: for each brand how many entries it has, the least and the greatest handle, and its first `shown` different handles.
+
+    Entries of a hot brand meet as partial counts, its handles as the first ones of each task. A null handle is none.
+    """
     counts = entries.groupBy(brand).agg(F.count("*").alias("n"), F.min(handle).alias("first_handle"), F.max(handle).alias("last_handle"))
-    return counts
+    order = W.partitionBy(brand).orderBy(handle)
+    first = entries.where(F.col(handle).isNotNull()).select(brand, handle).distinct().withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= shown)
+    named = first.groupBy(brand).agg(F.array_sort(F.collect_list(handle)).alias("handles"))  # `shown` handles
+    met = counts.withColumnRenamed(brand, "__brand").join(named, F.col("__brand").eqNullSafe(named[brand]), "left")
+    return met.select(F.col("__brand").alias(brand), "n", "first_handle", "last_handle", F.coalesce("handles", F.array().cast("array<string>")).alias("handles"))
 
 
 def stale(captured: Column, updated: Column, now: Column, hours: int = TTL_HOURS) -> Column:
-    """PF5: whether a record was captured (else updated) more than `hours` ago; never where it has no readable time or hours isn't positive."""
+    """PF5: whether a record was captured (else updated) more than `hours` ago; never where it has no readable time or hours isn't positive.
+
+    A time without a zone is one of UTC, whatever the session's zone.
+    """
     if hours <= 0:
         return F.lit(False)
     text = F.coalesce(F.nullif(captured, F.lit("")), F.nullif(updated, F.lit("")))
-    at = F.try_to_timestamp(text)
+    timed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    at = F.try_to_timestamp(F.when(timed.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$"), timed).otherwise(F.concat(timed, F.lit("Z"))))
     return F.coalesce(at < now - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))
 
 
@@ -84,15 +97,23 @@ def record_keys(asked: DataFrame, records: DataFrame, row: str) -> DataFrame:
     """MG2: for each asked row the record it belongs to, and how many others its keys lead to that are to be merged into it.
 
     asked: row, fg_url, bn_url, fallback; records: record_key, fg_url, bn_url. A record by the first address comes before
-    one by the second and one by the fallback key (ties by record key); a row that none knows keeps its fallback. Three joins
-    on keys, never one on alternatives.
+    one by the second and one by the fallback key (ties by record key); a row that none knows keeps its fallback. record_key is
+    one row's. Records are reduced to one row a key before any join, so a key that many records share costs no more than
+    another; how many records two addresses lead to is counted by pairs of them.
     """
-    found = None
-    for rank, (mine, its) in enumerate((("fg_url", "fg_url"), ("bn_url", "bn_url"), ("fallback", "record_key"))):
-        hits = asked.where(F.col(mine).isNotNull()).select(row, F.col(mine).alias("__k")).join(records.select(F.col("record_key").alias("__r"), F.col(its).alias("__k")), "__k").select(row, F.struct(F.lit(rank).alias("p"), F.col("__r").alias("r")).alias("h"))
-        found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy(row).agg(F.min("h").alias("h"), (F.count_distinct("h.r") - 1).alias("merged"))
-    return asked.join(best, row, "left").select(row, F.coalesce("h.r", "fallback").alias("record_key"), F.coalesce("merged", F.lit(0)).cast("long").alias("merged"))
+    def least(out: str, *keys: str) -> DataFrame:
+        keyed = records.where(F.col(keys[0]).isNotNull() & F.col(keys[-1]).isNotNull())
+        return keyed.groupBy(*[F.col(k).alias(f"{out}_{i}") for i, k in enumerate(keys)]).agg(F.min("record_key").alias(out), F.count("*").alias(f"{out}_n"))
+
+    first, second, pair = least("__f", "fg_url"), least("__b", "bn_url"), least("__p", "fg_url", "bn_url").drop("__p")
+    own = records.select(F.col("record_key").alias("__o"), F.col("fg_url").alias("__of"), F.col("bn_url").alias("__ob"))
+    met = asked.select(row, F.col("fg_url").alias("__f_0"), F.col("bn_url").alias("__b_0"), "fallback")
+    met = met.join(first, "__f_0", "left").join(second, "__b_0", "left")
+    met = met.join(pair.withColumnsRenamed({"__p_0": "__f_0", "__p_1": "__b_0"}), ["__f_0", "__b_0"], "left").join(own, met["fallback"] == own["__o"], "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    apart = F.col("__o").isNotNull() & ~F.coalesce(F.col("__of") == F.col("__f_0"), F.lit(False)) & ~F.coalesce(F.col("__ob") == F.col("__b_0"), F.lit(False))
+    total = count("__f_n") + count("__b_n") - count("__p_n") + apart.cast("long")
+    return met.select(row, F.coalesce("__f", "__b", "fallback").alias("record_key"), F.greatest(total - 1, F.lit(0)).cast("long").alias("merged"))
 
 
 def house_repairs(records: DataFrame, key: str, name: str, house: str, query: str) -> DataFrame:
@@ -113,8 +134,9 @@ def house_repairs(records: DataFrame, key: str, name: str, house: str, query: st
 def matched_fill(rows: DataFrame, found: DataFrame, house: str, name: str, value: str) -> DataFrame:
     """MG18: rows plus a found value (house, name, value, source) where theirs is blank, by house and name whatever their case; filled says where.
 
-    A found value that is null only marks the row as ambiguous.
+    A found value that is null only marks the row as ambiguous. Columns filled and ambiguous of rows are refused.
     """
+    unused(rows, "filled", "ambiguous")
     own = lambda c: F.lower(F.trim(F.col(c)))
     known = found.select(own(house).alias("__h"), own(name).alias("__n"), F.col(value).alias("__v"), F.col("source").alias("__s")).groupBy("__h", "__n").agg(F.min(F.struct("__v", "__s")).alias("__f"), F.lit(True).alias("__there"))
     joined = rows.withColumns({"__h": own(house), "__n": own(name)}).join(known, ["__h", "__n"], "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.steps import unused
+
 #: Most rows of an answer; of one for a query that names a brand alone.
 CAP, BRAND_CAP = 24, 50
 
@@ -40,27 +42,28 @@ def tier(query: Column, name: Column, brand: Column, forms: tuple[str, ...] = ()
 
 def search(catalog: DataFrame, query: str, key: str, name: str, brand: str, seen: str, cap: int = 15, forms: tuple[str, ...] = ()) -> DataFrame:
     """PF2, W2: the best rows for one query by tier, then the latest seen (ties by key), 1 to 50 of them: a top-k, so no global sort."""
-    found = catalog.withColumn("tier", tier(F.lit(query), F.col(name), F.col(brand), forms)).where("tier is not null")
+    found = unused(catalog, "tier").withColumn("tier", tier(F.lit(query), F.col(name), F.col(brand), forms)).where("tier is not null")
     return found.orderBy("tier", F.desc(seen), key).limit(max(1, min(cap, BRAND_CAP)))
 
 
-def search_batch(catalog: DataFrame, queries: DataFrame, key: str, name: str, brand: str, seen: str, cap: int = CAP, most: int = 10_000) -> DataFrame:
+def search_batch(catalog: DataFrame, queries: DataFrame, key: str, name: str, brand: str, seen: str, cap: int = CAP, most: int = 1_000) -> DataFrame:
     """The same for a stated set of queries (query_id, query): a block of queries against all rows.
 
-    The set is counted and must have `most` queries at most, so what is broadcast is bounded; the window's partial
-    top-k keeps `cap` rows of a query in each task before the shuffle.
+    The set is counted and must have `most` queries at most, so what is broadcast is bounded; each row is held against each of
+    them, so the work is rows times queries. The window's partial top-k keeps `cap` rows of a query in each task before
+    the shuffle. Columns tier, rank, query and query_id of the catalogue are refused.
     """
     if queries.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} queries: search them in blocks")
     t = tier(F.col("query"), F.col(name), F.col(brand))
-    found = catalog.join(F.broadcast(queries), t.isNotNull()).withColumn("tier", t)
+    found = unused(catalog, "tier", "rank", "query", "query_id").join(F.broadcast(queries), t.isNotNull()).withColumn("tier", t)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("tier", F.desc(seen), key)).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
 def first_nonempty_tier(tiers: list[DataFrame], key: str) -> DataFrame:
     """SO1: for each key the rows of the first table that has any."""
-    rows = tiers[0].withColumn("source_tier", F.lit(0))
+    rows = unused(tiers[0], "source_tier").withColumn("source_tier", F.lit(0))
     for i, more in enumerate(tiers[1:], 1):
         rows = rows.unionByName(more.withColumn("source_tier", F.lit(i)))
     best = rows.groupBy(key).agg(F.min("source_tier").alias("source_tier"))

@@ -48,9 +48,9 @@ def wardrobe_filter(spark, d):
     return t(spark, d, "events").where(records.json_equals(F.col("props"), "$.k", "7")).select("event_id")
 
 
-@query("brand_entries", "SELECT p_brand, count(*) AS n, min(p_name) AS first_handle, max(p_name) AS last_handle FROM part GROUP BY p_brand")
+@query("brand_entries", "SELECT p_brand, count(*) AS n, min(p_name) AS first_handle, max(p_name) AS last_handle, array_to_string(list_slice(list_sort(list_distinct(list(p_name))), 1, 5), '|') AS handles FROM part GROUP BY p_brand")
 def brand_entries(spark, d):
-    return records.brand_sizes(t(spark, d, "part"), "p_brand", "p_name")
+    return records.brand_sizes(t(spark, d, "part"), "p_brand", "p_name").withColumn("handles", F.array_join("handles", "|"))
 
 
 @query("stale_records", "SELECT event_id, event_id % 7 > 0 AND ts < TIMESTAMP '2024-01-24 00:00:00' AS stale FROM events")
@@ -68,7 +68,7 @@ def no_source_lines(spark, d):
 
 
 @query("record_key_search", """WITH r AS (SELECT 'k' || lpad(c_custkey::VARCHAR, 9, '0') AS record_key, 'f' || c_custkey AS fg, 'b' || (c_custkey % 50) AS bn FROM customer),
-  a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'f' || o_custkey END AS fg, CASE WHEN o_orderkey % 2 = 0 THEN 'b' || (o_orderkey % 60) END AS bn, 'k' || lpad(o_custkey::VARCHAR, 9, '0') AS fallback FROM orders WHERE o_orderkey % 400 < 40 OR o_orderkey % 2 = 1),
+  a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'f' || o_custkey END AS fg, CASE WHEN o_orderkey % 2 = 0 THEN 'b' || (o_orderkey % 60) END AS bn, 'k' || lpad(o_custkey::VARCHAR, 9, '0') AS fallback FROM orders),
   h AS (SELECT o_orderkey, 0 AS p, record_key FROM a JOIN r ON a.fg = r.fg UNION ALL SELECT o_orderkey, 1, record_key FROM a JOIN r ON a.bn = r.bn UNION ALL SELECT o_orderkey, 2, record_key FROM a JOIN r ON a.fallback = record_key),
   b AS (SELECT o_orderkey, arg_min(record_key, (p, record_key)) AS record_key, count(DISTINCT record_key) - 1 AS merged FROM h GROUP BY 1)
   SELECT a.o_orderkey, coalesce(b.record_key, a.fallback) AS record_key, coalesce(b.merged, 0) AS merged FROM a LEFT JOIN b USING (o_orderkey)""")
@@ -76,8 +76,7 @@ def record_key_search(spark, d):
     padded = lambda c: F.concat(F.lit("k"), F.lpad(F.col(c).cast("string"), 9, "0"))
     known = t(spark, d, "customer").select(padded("c_custkey").alias("record_key"), F.concat(F.lit("f"), "c_custkey").alias("fg_url"), F.concat(F.lit("b"), F.col("c_custkey") % 50).alias("bn_url"))
     k = F.col("o_orderkey")
-    rows = t(spark, d, "orders").where((k % 400 < 40) | (k % 2 == 1))
-    asked = rows.select(k, F.when(k % 3 == 0, F.concat(F.lit("f"), "o_custkey")).alias("fg_url"), F.when(k % 2 == 0, F.concat(F.lit("b"), k % 60)).alias("bn_url"), padded("o_custkey").alias("fallback"))
+    asked = t(spark, d, "orders").select(k, F.when(k % 3 == 0, F.concat(F.lit("f"), "o_custkey")).alias("fg_url"), F.when(k % 2 == 0, F.concat(F.lit("b"), k % 60)).alias("bn_url"), padded("o_custkey").alias("fallback"))
     return records.record_keys(asked, known, "o_orderkey")
 
 
@@ -328,3 +327,20 @@ def ranked_urls(spark, d):
     urls = F.array(*[F.lit(f"https://s.org/p/{x}") for x in ("x", "red", "red-blue")])
     rows = t(spark, d, "pages").select("page_id", F.posexplode(urls).alias("pos", "url"))
     return payloads.ranked_urls(rows, "page_id", "url", "pos", F.lit("Red Blue")).select("page_id", "url", "rank")
+
+
+@query("blob_audit", r"""WITH r AS (SELECT p_partkey AS k, p_size, p_name, p_brand, p_type FROM part)
+  SELECT k AS p_partkey, CASE WHEN k % 9 = 0 THEN 'bad_blob' ELSE array_to_string(list_filter([CASE WHEN k % 11 = 0 THEN 'brand_missing' END, CASE WHEN k % 5 = 0 THEN 'source_url_malformed' END, CASE WHEN k % 7 = 2 THEN 'accord_junk' END, CASE WHEN k % 7 = 1 THEN 'accord_case' END, CASE WHEN k % 7 = 0 THEN 'accords_empty' END,
+    CASE WHEN k % 7 IN (1, 2) THEN 'single_accord' END, CASE WHEN k % 7 > 3 THEN 'accords_missing' END, 'family_unknown', CASE WHEN p_type NOT IN ('Parfum', 'Extrait') THEN 'concentration_unexpected' END, 'gender_missing',
+    CASE WHEN k % 2 = 0 THEN 'year_string' END, CASE WHEN p_size + 1790 < 1800 THEN 'year_range' END], lambda x: x IS NOT NULL), ',') END AS issues FROM r""")
+def blob_audit(spark, d):
+    """Stored rows as JSON made of every part; one in nine is no object or broken."""
+    k, text = F.col("p_partkey"), lambda name, c: F.concat(F.lit(f'"{name}": "'), c, F.lit('"'))
+    accords = F.when(k % 7 == 0, "[]").when(k % 7 == 1, '["woody"]').when(k % 7 == 2, '["Woody", "12%"]').when(k % 7 == 3, '["Woody", "Warm Spicy"]')
+    year = (F.col("p_size") + 1790).cast("string")
+    fields = F.concat_ws(
+        ", ", text("name", F.col("p_name")), F.when(k % 11 == 0, '"brand": " "').when(k % 2 == 0, text("house", F.col("p_brand"))).otherwise(text("brand", F.col("p_brand"))), F.when(k % 5 == 0, '"source_url": "www.x.org/a"'),
+        F.concat(F.lit('"accords": '), accords), text("concentration", F.col("p_type")), F.concat(F.lit('"year": '), F.when(k % 2 == 0, F.concat(F.lit('"'), year, F.lit('"'))).otherwise(year)),
+    )
+    blob = F.when(k % 27 == 0, "[1]").when(k % 9 == 0, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
+    return t(spark, d, "part").select("p_partkey", F.array_join(audit.blob_tags(blob, F.lit("2024-01-31").cast("date")), ",").alias("issues"))

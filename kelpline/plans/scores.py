@@ -181,11 +181,11 @@ def upsert_merge(spark, d):
     return merge.upsert(old, new, "o_orderkey")
 
 
-@query("upsert_guarded", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN p_name ELSE upper(p_name) END AS p_name FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 > 0")
+@query("upsert_guarded", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN p_name ELSE upper(p_name) END AS p_name FROM part")
 def upsert_guarded(spark, d):
     rows = t(spark, d, "part")
     old = rows.where("p_partkey % 2 = 0").selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'old' END AS url", "CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS p_name")
-    new = rows.where("p_partkey % 3 > 0").selectExpr("p_partkey", "'new' AS url", "upper(p_name) AS p_name")
+    new = rows.where("p_partkey % 3 > 0 or p_partkey % 2 = 1").selectExpr("p_partkey", "'new' AS url", "upper(p_name) AS p_name")
     return merge.upsert(old, new, "p_partkey", guard="url").drop("url")
 
 

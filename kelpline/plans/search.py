@@ -147,8 +147,9 @@ def fallback_lookup(spark, d):
   round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6)::DOUBLE AS overlap FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE len(list_intersect(a.w, b.w)) > 0""")
 def token_jaccard(spark, d):
     k = t(spark, d, "part").select("p_brand", "p_name").distinct().withColumn("w", X.tokens(F.col("p_name")))
-    pairs = k.withColumnRenamed("p_name", "left_name").join(k.select("p_brand", F.col("p_name").alias("right_name"), F.col("w").alias("v")), "p_brand").where("left_name < right_name")
-    return pairs.where(F.arrays_overlap("w", "v")).select("p_brand", "left_name", "right_name", F.round(S.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"), F.round(S.overlap(F.col("w"), F.col("v")), 6).alias("overlap"))
+    a, b = (k.select("p_brand", F.col("p_name").alias(n), F.col("w").alias(v), F.explode("w").alias("word")) for n, v in (("left_name", "w"), ("right_name", "v")))
+    pairs = a.join(b, ["p_brand", "word"]).where("left_name < right_name").drop("word").distinct()  # names meet by the words that they share
+    return pairs.select("p_brand", "left_name", "right_name", F.round(S.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"), F.round(S.overlap(F.col("w"), F.col("v")), 6).alias("overlap"))
 
 
 _TYPOS = ["smal rign", "red widgte", "blu gear", "larg bolt"]
