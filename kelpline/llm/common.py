@@ -90,15 +90,30 @@ def join_small(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return cut.join(wide, [*keys, "__salt"], how).drop("__salt")
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, side: str | None = None) -> tuple[dict, dict]:
+    """The hot keys and the rows of each side, of counts (key, k, and side if there are several): {side: keys}, {side: rows}.
+
+    One job where no key is hot; the keys are 1 / HOT a side at most.
+    """
+    by = [] if side is None else [side]
+    sums = counts.groupBy(*by).agg(F.sum("k").alias("n"), F.max("k").alias("most")).collect()  # one row a side
+    total = {r[side] if side else None: r["n"] or 0 for r in sums}
+    found = {}
+    for r in sums:
+        own = r[side] if side else None
+        if r["n"] and r["most"] >= SALTS and r["most"] >= HOT * r["n"]:
+            mine = counts if side is None else counts.where(F.col(side) == own)
+            found[own] = [x[key] for x in mine.where((F.col("k") >= HOT * r["n"]) & (F.col("k") >= SALTS)).select(key).collect()]
+    return found, total
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", hot: list | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """rows joined with side, which has one row a key (or a few) where rows may have a third of all: hot keys of rows are met by broadcast.
 
-    The hot keys are counted (hot gives key and k if they are known already): at most 1 / HOT of them, whatever
-    the table, so what is broadcast is bounded. rows and side should be settled, as both are read twice.
+    hot are the hot keys if they are known already, else they are counted: at most 1 / HOT of them, whatever the table, so
+    what is broadcast is bounded. rows and side should be settled, as both are read twice.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("k")) if hot is None else hot
-    total = counts.agg(F.sum("k")).first()[0] or 0
-    found = [r[key] for r in counts.where((F.col("k") >= HOT * total) & (F.col("k") >= SALTS)).select(key).collect()]  # 1 / HOT keys at most
+    found = hot_keys(rows.groupBy(key).agg(F.count("*").alias("k")), key)[0].get(None, []) if hot is None else hot
     if not found:
         return rows.join(side, [key, *extra], how)
     few = F.col(key).isin(found)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, held, join_hot, join_small, salted_group_min, settled, table
+from .common import BROADCAST_ROWS, forget, held, hot_keys, join_hot, join_small, salted_group_min, settled, table
 from .components import components
 
 #: Words of a shingle and least similarity in percent: the query's, then those of near-duplicate stages.
@@ -246,16 +246,18 @@ def _first_cut(classes: DataFrame) -> DataFrame:
     """s, c and p, the pivot, of every set in a region of several, with their sizes n and np."""
     placed = classes.select("c", "n", F.explode("regions").alias("s"))
     tops = held(placed.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("c", "n")).alias("top")).where("k > 1").select("s", "k", F.col("top.c").alias("p"), F.col("top.n").alias("np")))
-    met = settled(join_hot(placed, tops, "s", hot=tops.select("s", "k")).select("s", "c", "n", "p", "np"))
+    met = settled(join_hot(placed, tops, "s", hot=hot_keys(tops, "s")[0].get(None, [])).select("s", "c", "n", "p", "np"))
     forget(tops)
     return met
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(c, x): the whole sets of the wanted classes, from the text of one document of each."""
-    own = held(classes.join(_small(wanted), "c", "left_semi").select("c", "digest", "rep"))
-    reps = held(own.select(F.col("rep").alias("k")).distinct())
-    texts = _texts(docs).withColumn("k", _key("doc_id")).join(_small(reps), "k", "left_semi")
+    # no more documents and digests than classes: one count bounds all three
+    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
+    own = held(classes.join(small(wanted), "c", "left_semi").select("c", "digest", "rep"))
+    reps = own.select(F.col("rep").alias("k")).distinct()
+    texts = _texts(docs).withColumn("k", _key("doc_id")).join(small(reps), "k", "left_semi")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,12 +266,18 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "x"])
 
     # rows that repeat an id may have other texts, which are not wanted
-    found = settled(texts.select("text").mapInArrow(rows, "digest binary, x binary").join(_small(own.select("c", "digest")), "digest").select("c", "x").dropDuplicates(["c"]))
+    found = settled(texts.select("text").mapInArrow(rows, "digest binary, x binary").join(small(own.select("c", "digest")), "digest").select("c", "x").dropDuplicates(["c"]))
     forget(own)
-    forget(reps)
     return found
 
 
+def _hot_sides(pairs: DataFrame) -> dict[str, list]:
+    """The hot ids of a and of b among pairs, counted together."""
+    sides = pairs.select(F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("c")) for x in "ab"])).alias("x")).groupBy("x.side", "x.c").agg(F.count("*").alias("k"))
+    found, _ = hot_keys(sides, "c", "side")
+    return {x: found.get(x, []) for x in "ab"}
+
+
 def _reached(percent: int, times: int) -> Column:
     """Whether the sizes na and nb alone leave two sets within `times` reaches of b."""
     return percent * F.abs(F.col("na") - F.col("nb")) <= times * (100 - percent) * F.col("nb")
@@ -285,7 +293,8 @@ def _within(pairs: DataFrame, classes: DataFrame, percent: int, times: int) -> D
     counts = classes.select("c", "v")
     # sizes alone differ by no more than a distance; counts are fetched for the pairs that pass
     sized = held(pairs.where(_reached(percent, times)).select("a", "b", "na", "nb").distinct())
-    joined = join_hot(join_hot(sized, counts.toDF("a", "va"), "a"), counts.toDF("b", "vb"), "b")
+    hot = _hot_sides(sized)
+    joined = join_hot(join_hot(sized, counts.toDF("a", "va"), "a", hot=hot["a"]), counts.toDF("b", "vb"), "b", hot=hot["b"])
     found = settled(joined.where(percent * apart("va", "vb") <= times * (100 - percent) * F.col("nb")).select("a", "b", "na", "nb"))
     forget(sized)
     return found
@@ -302,7 +311,8 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     def differences(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([np.setxor1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True) for a, b in zip(x, y, strict=True)], dtype=object)
 
-    joined = join_hot(join_hot(close, sets.toDF("a", "xa"), "a"), sets.toDF("b", "xb"), "b").select("a", "b", "na", "nb", differences("xa", "xb").alias("e"))
+    hot = _hot_sides(close)
+    joined = join_hot(join_hot(close, sets.toDF("a", "xa"), "a", hot=hot["a"]), sets.toDF("b", "xb"), "b", hot=hot["b"]).select("a", "b", "na", "nb", differences("xa", "xb").alias("e"))
     found = settled(joined.withColumn("d", F.size("e").cast("long")).where(percent * F.col("d") <= times * (100 - percent) * F.col("nb")))
     forget(close)
     forget(sets)
@@ -335,14 +345,15 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return join_small(rows, roots, ["c"]).withColumn("root", F.coalesce("root", "c"))
 
 
-def _alive(rows: DataFrame) -> DataFrame:
-    """The rows of regions r where a set that must be compared (must) may still meet one of another component, settled."""
+def _alive(rows: DataFrame) -> tuple[DataFrame | None, list]:
+    """The rows of regions r where a set that must be compared (must) may still meet one of another component, settled, and the hot regions; None without any."""
     rows = held(rows)
     regions = held(rows.groupBy("r").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.col("must").cast("int")).alias("any")).where("low < high and any = 1").select("r", "k"))
-    left = settled(join_hot(rows, regions, "r", hot=regions).drop("k"))
+    hot, total = hot_keys(regions, "r")
+    left = settled(join_hot(rows, regions, "r", hot=hot.get(None, [])).drop("k")) if total.get(None) else None
     forget(rows)
     forget(regions)
-    return left
+    return left, hot.get(None, [])
 
 
 def _rounds(rows: DataFrame, roots: DataFrame | None, percent: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
@@ -353,14 +364,14 @@ def _rounds(rows: DataFrame, roots: DataFrame | None, percent: int, compare: Cal
     """
     slots, spent = MORE, []
     while True:
-        rows = _alive(_with_roots(rows, roots))
+        rows, hot = _alive(_with_roots(rows, roots))
         for used in spent:
             forget(used)
-        if rows.isEmpty():
+        if rows is None:
             return roots
         slot = F.pmod(F.xxhash64("c"), F.lit(slots)).alias("slot")
         chosen = held(rows.where("must").groupBy("f", "r", slot).agg(F.max(F.struct("c", "root", "n")).alias("p")).select("r", F.col("p.c").alias("p"), F.col("p.root").alias("rp"), F.col("p.n").alias("np")))
-        met = join_hot(rows, chosen, "r").where((F.col("c") != F.col("p")) & (F.col("root") != F.col("rp")) & _fits(F.col("n"), F.col("np"), percent))
+        met = join_hot(rows, chosen, "r", hot=hot).where((F.col("c") != F.col("p")) & (F.col("root") != F.col("rp")) & _fits(F.col("n"), F.col("np"), percent))
         first = F.col("c") > F.col("p")
         sizes = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(k) for k, x, y in (("na", "n", "np"), ("nb", "np", "n"))]
         pairs = held(met.select("f", F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b"), *sizes).distinct())
@@ -387,7 +398,7 @@ def _differences_joined(near: DataFrame, roots: DataFrame | None, percent: int)
     wide = F.least(F.col("d"), F.floor(F.col("n") * (100 - percent) / percent + 1e-9) + 1)
     placed = settled(near.select("p", "c", "n", F.when(F.col("linked"), rest).otherwise(wide).alias("prefix"), (~F.col("linked")).alias("must"), F.explode("e").alias("s")))
     often = held(placed.groupBy("p", "s").agg(F.count("*").alias("k"), F.max("must").alias("any")).withColumn("r", F.xxhash64("p", "s")))
-    ranked = join_hot(placed.withColumn("r", F.xxhash64("p", "s")), often.select("p", "s", "k", "any", "r"), "r", extra=("p", "s"), hot=often.select("r", "k"))
+    ranked = join_hot(placed.withColumn("r", F.xxhash64("p", "s")), often.select("p", "s", "k", "any", "r"), "r", extra=("p", "s"), hot=hot_keys(often, "r")[0].get(None, []))
     ranked = ranked.withColumn("at", F.row_number().over(W.partitionBy("p", "c").orderBy("k", "s"))).where("at <= prefix and k > 1 and any")
     rows = ranked.select(F.col("p").alias("f"), "r", "c", "n", "must")
 
