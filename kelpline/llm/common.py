@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -67,6 +68,18 @@ def by_batches(rows: DataFrame, function: Callable, schema: str, ids: tuple[str,
     return made.select(*[F.col(n).cast("long").alias(n) if n in ids else n for n, _ in fields])
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """What is run in here sends Python at most so many rows at a time: for rows that may each be large. The session's own number is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key, "10000"))
+    spark.conf.set(key, str(rows if before <= 0 else min(before, rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def salted_group_min(rows: DataFrame, keys: list[str], value: str, out: str, unique: str | None = None, salts: int = SALTS) -> DataFrame:
     """rows plus out, the smallest value of its group, without a hot group meeting in one task.
 

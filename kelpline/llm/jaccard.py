@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, forget, held, hot_keys, join_hot, join_small, salted_group_min, settled, table
+from .common import BROADCAST_ROWS, forget, held, hot_keys, join_hot, join_small, salted_group_min, settled, small_batches, table
 from .components import components
 
 #: Words of a shingle and least similarity in percent: the query's, then those of near-duplicate stages.
@@ -41,6 +41,8 @@ WIDTH, PERCENT = 3, 90
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Bits of the histogram that ranks shingles (8 MB whatever the corpus), and parts that it is summed in.
 BITS, PARTS = 20, 64
+#: Pairs of whole sets that a Python worker holds at once.
+PAIRS = 512
 #: Pivots of a region in the first round of a recursion, and times as many each round after it.
 MORE = 32
 #: Bits of a class id below its rank.
@@ -313,7 +315,8 @@ def _compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
     hot = _hot_sides(close)
     joined = join_hot(join_hot(close, sets.toDF("a", "xa"), "a", hot=hot["a"]), sets.toDF("b", "xb"), "b", hot=hot["b"]).select("a", "b", "na", "nb", differences("xa", "xb").alias("e"))
-    found = settled(joined.withColumn("d", F.size("e").cast("long")).where(percent * F.col("d") <= times * (100 - percent) * F.col("nb")))
+    with small_batches(docs.sparkSession, PAIRS):
+        found = settled(joined.withColumn("d", F.size("e").cast("long")).where(percent * F.col("d") <= times * (100 - percent) * F.col("nb")))
     forget(close)
     forget(sets)
     return found
