@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import keys, ladder
+from ..operators import asked, facts, keys, ladder
 from ..sources.tables import table as t
 from ..streaming import timers
 
@@ -100,3 +100,45 @@ def accepted_candidates(spark, d):
     other = kinds.select("p_brand", "w", F.concat_ws(" ", "p_name", F.when(F.col("y") == 2001, "eau").when(F.col("y") == 2002, "intense")).alias("other"), F.col("y").alias("z"))
     pairs = kinds.join(other, ["p_brand", "w"]).withColumn("house", F.col("p_brand"))
     return ladder.accepted(pairs, ("house", "p_name", "y"), ("p_brand", "other", "z")).where("accepted").select("p_brand", "p_name", "y", "other", "z")
+
+
+_FACT_RULES = {"name": "k % 31 = 0", "house": "k % 29 = 0", "year": "k % 4 = 0", "gender": "k % 5 = 0 AND k % 3 > 0", "concentration": "k % 7 = 0", "family": "k % 6 <> 1", "main_accords": "k % 6 NOT IN (1, 2)", "wear_profile": "k % 4 < 2", "performance_score": "k % 2 = 0", "value_score": "k % 3 = 0", "community_interest_score": "k % 5 < 4", "notes": "k % 8 > 1", "reviews": "k % 9 > 2"}
+
+
+@query("record_facts", "WITH p AS (SELECT p_partkey AS k FROM part) SELECT k AS p_partkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _FACT_RULES.items()) + "], lambda x: x IS NOT NULL), ',') AS absent FROM p")
+def record_facts(spark, d):
+    """Stored records made of every part, with the facts that its key leaves out."""
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    obj = lambda *fields: text("{", F.concat_ws(", ", *fields), "}")
+    sex = F.when(k % 3 == 0, '{"gender": "Men"}').otherwise('{"gender": "Unisex / Unspecified"}')
+    fg = obj(F.when(k % 7 > 0, text('"concentration": "', F.col("p_type"), '"')), text('"raw_identity": ', sex), F.when(k % 8 == 0, text('"notes": {"top": ["", "', F.col("p_name"), '"]}')), F.when(k % 9 == 1, '"reviews": [{"text": " "}, {"text": "good"}]'))
+    bn = obj(F.when(k % 8 == 1, '"notes": {"flat": ["x"]}').otherwise('"notes": {"heart": [" ", null]}'), F.when(k % 9 == 2, '"reviews": [{"text": "fine"}]'), F.when(k % 9 == 0, '"reviews": [{"text": "also"}]'))
+    accords = F.when(k % 6 == 1, '"top_accords": ["14.9K", "Woody"]').when(k % 6 == 2, '"scent_vector": [{"accord": "odd", "score": 9}]').when(k % 6 == 3, '"top_accords": ["14.9K", " "]').otherwise('"top_accords": []')
+    wear = F.when(k % 4 == 2, '{"primary_seasons": ["Universal", "Winter"]}').when(k % 4 == 3, '{"primary_time": "Night"}').when(k % 4 == 1, '{"primary_seasons": ["universal"]}').otherwise("{}")
+    flag = lambda name, c: text(f'"{name}": ', F.when(c, "true").otherwise("false"))
+    covered = obj(flag("performance_score", k % 2 == 1), flag("value_score", k % 3 > 0), F.when(k % 5 == 4, '"community_interest_score": true'))
+    metrics = obj(text('"main_accords": {', accords, "}"), text('"wear_profile": ', wear), text('"source_coverage": ', covered))
+    rows = t(spark, d, "part").select(
+        "p_partkey", F.when(k % 31 == 0, " ").otherwise(F.col("p_name")).alias("name"), F.when(k % 29 == 0, "N/A").otherwise(F.col("p_brand")).alias("house"), F.when(k % 4 > 0, F.col("p_size").cast("string")).alias("year"),
+        F.when(k % 5 > 0, "Women").otherwise("Unknown").alias("gender"), fg.alias("fg"), bn.alias("bn"), metrics.alias("m"),
+    )
+    made = facts.with_fact_status(rows, {"name": "name", "house": "house", "year": "year", "gender": "gender", "fg_raw": "fg", "bn_raw": "bn", "derived_metrics": "m"})
+    return made.select("p_partkey", F.array_join("absent", ",").alias("absent"))
+
+
+@query("fact_questions", """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_brand || ' ' || p_name AS n FROM part)
+  SELECT p_partkey, CASE k WHEN 0 THEN 'year' WHEN 1 THEN 'concentration' WHEN 2 THEN 'family' WHEN 3 THEN 'gender' END AS field, CASE k WHEN 0 THEN 'release year' WHEN 1 THEN 'strength' WHEN 2 THEN 'scent family' WHEN 3 THEN 'Gender' END AS label, CASE WHEN k < 4 THEN n END AS target FROM p""")
+def fact_questions(spark, d):
+    k, n = F.col("p_partkey") % 6, F.concat_ws(" ", "p_brand", "p_name")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    asks = F.when(k == 0, text("What is the release year of  the ", n, "?")).when(k == 1, text("whats the strength ", n)).when(k == 2, text(n, " scent family!")).when(k == 3, text("Gender for a ", n)).when(k == 4, text("Year of ", n)).otherwise(n)
+    return asked.with_fact_question(t(spark, d, "part").select("p_partkey", asks.alias("query")), "query").select("p_partkey", "field", "label", "target")
+
+
+@query("search_texts", """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_brand AS b, p_name AS n FROM part), q AS (SELECT *, list_filter(string_split(CASE k WHEN 0 THEN 'Lattafa Perfumes ' || n || ' ' || b WHEN 1 THEN b || ' ' || n WHEN 2 THEN 'Initio Parfums Privés ' || n ELSE n || ' ' || b END, ' '), lambda x: x <> '') AS w FROM p)
+  SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(list_transform(w[1:i - 1], lambda x: lower(x)), lower(w[i]))), lambda i: w[i]), ' ') AS search_text FROM q""")
+def search_texts(spark, d):
+    k, n, b = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_brand")
+    typed = F.when(k == 0, F.concat_ws(" ", F.lit("Lattafa  Perfumes"), n, F.lit("Eau de Parfum Intense"), b)).when(k == 1, F.concat_ws(" ", b, n, F.lit("EDT"), n)).when(k == 2, F.concat_ws(" ", F.lit("initio"), n)).otherwise(F.concat_ws(" ", n, b, F.upper(b)))
+    return asked.with_search_text(t(spark, d, "part").select("p_partkey", typed.alias("query")), "query").select("p_partkey", "search_text")
