@@ -247,3 +247,20 @@ def with_scorecard(rows: DataFrame, cards: str, consensus_pct: str, out: str = "
     parts = {"rating": F.col("__stars"), "approval": F.col("__approval"), "performance": F.col("__works"), "value": F.col("__q_value")}
     used = sum((p.isNotNull().cast("int") for p in parts.values()), F.lit(0))
     return own.select(*rows.columns, F.struct(M.blend(parts, SCORECARD).alias("overall"), *[p.alias(k) for k, p in parts.items()], used.alias("n_parts")).alias(out))
+
+
+SCENT = "struct<scent_vector:array<struct<accord:string,score:double>>,top_accords:array<string>,summary:string>"
+
+
+def sanitized(rows: DataFrame, scent: str, name: str, brand: str, out: str = "changed", most: int = 7) -> DataFrame:
+    """MG25: rows whose stored accords (a struct of scent_vector, top_accords and summary) are without junk and the record's own identity,
+    the vector by falling score, the top ones and the sentence made of it anew; out says whether that changed anything. A null stays one,
+    as does a struct without a vector."""
+    own = rows.withColumns({"__vector": F.col(scent)["scent_vector"], "__old": F.to_json(scent), "__name": P.folded(F.col(name)), "__brand": P.folded(F.col(brand))})
+    as_rows = F.transform("__vector", lambda x: F.struct(x["accord"].alias("label"), F.lit(None).cast("string").alias("value"), x["score"].alias("pct"), F.lit(None).cast("string").alias("count"), F.lit(0).cast("bigint").alias("votes")))
+    own = computed(own, {"__rows": F.coalesce(as_rows, F.array().cast(ROWS))})
+    made = with_accords(own, "__rows", F.array("__name", "__brand"), "__new", most)
+    new = F.coalesce(F.col("__new"), F.struct(F.array().cast("array<struct<accord:string,score:double>>").alias("scent_vector"), F.array().cast("array<string>").alias("top_accords"), F.lit(None).cast("string").alias("summary")))
+    kept = F.when(F.col("__vector").isNull(), F.col(scent)).otherwise(new.cast(SCENT))
+    made = made.withColumn("__kept", kept)
+    return made.select(*[F.col("__kept").alias(scent) if c == scent else F.col(c) for c in rows.columns], F.coalesce(~F.to_json("__kept").eqNullSafe(F.col("__old")), F.lit(False)).alias(out))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asked, facts, keys, ladder
+from ..functions import text as X
+from ..operators import asked, consensus, facts, gates, keys, ladder
 from ..sources.tables import table as t
 from ..streaming import timers
 
@@ -142,3 +143,54 @@ def search_texts(spark, d):
     k, n, b = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_brand")
     typed = F.when(k == 0, F.concat_ws(" ", F.lit("Lattafa  Perfumes"), n, F.lit("Eau de Parfum Intense"), b)).when(k == 1, F.concat_ws(" ", b, n, F.lit("EDT"), n)).when(k == 2, F.concat_ws(" ", F.lit("initio"), n)).otherwise(F.concat_ws(" ", n, b, F.upper(b)))
     return asked.with_search_text(t(spark, d, "part").select("p_partkey", typed.alias("query")), "query").select("p_partkey", "search_text")
+
+
+@query("release_years", """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, replace(p_brand, '#', ' ') AS b, p_name AS n, 1950 + p_size AS y FROM part)
+  SELECT p_partkey, y::INT AS year, 'site' || (p_partkey % 3) || '.org' AS domain FROM p WHERE k IN (0, 1)""")
+def release_years(spark, d):
+    """Snippets that every part's key makes: two of six state its own release, others a flanker's, a prefix's, an update's and none."""
+    k, b, n, y = F.col("p_partkey") % 6, F.replace("p_brand", F.lit("#"), F.lit(" ")), F.col("p_name"), (F.col("p_size") + 1950).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    said = F.when(k == 0, text("News. ", b, " ", n, " was launched in ", y, ". More in 1999!")).when(k == 1, text(F.upper(n), " first introduced during ", y)).when(k == 2, text(n, " Elixir was released in ", y, "."))
+    said = said.when(k == 3, text("Gold ", n, " was released in ", y)).when(k == 4, text(n, " was released in ", y, ", updated in 2020")).otherwise(text(n, " is of ", y))
+    rows = t(spark, d, "part").select("p_partkey", b.alias("brand"), n.alias("name"), text("About ", b).alias("title"), said.alias("snippet"), text("https://www.site", (F.col("p_partkey") % 3).cast("string"), ".org/x").alias("url"))
+    return consensus.release_years(rows, "p_partkey", "brand", "name", "title", "snippet", X.url_host(F.col("url")), 2024).select("p_partkey", "year", "domain")
+
+
+@query("fact_records", """WITH r AS (SELECT p_brand, p_name, p_size, min('r' || lpad(p_partkey::VARCHAR, 6, '0')) AS record_key FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL), u AS (SELECT p_size, min('r' || lpad(p_partkey::VARCHAR, 6, '0')) AS k FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 4 = 0 GROUP BY 1), n AS (SELECT p_brand, p_name, min(record_key) AS k FROM r GROUP BY 1, 2), i AS (SELECT p_partkey, p_brand, p_name, CASE WHEN p_partkey % 5 = 0 THEN p_size END AS s FROM part WHERE p_partkey % 2 = 1)
+  SELECT p_partkey, coalesce(u.k, n.k) AS record_key, CASE WHEN u.k IS NOT NULL THEN 'bn_url' ELSE 'identity' END AS by FROM i LEFT JOIN u ON i.s = u.p_size LEFT JOIN n USING (p_brand, p_name) WHERE coalesce(u.k, n.k) IS NOT NULL""")
+def fact_records(spark, d):
+    p, size = t(spark, d, "part"), F.col("p_size").cast("string")
+    page = F.concat(F.lit("https://b.org/"), size)
+    records = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("r"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("record_key"), F.col("p_name").alias("name"), F.col("p_brand").alias("house"), F.lit("").alias("fg_url"), F.when(F.col("p_partkey") % 4 == 0, page).alias("bn_url"))
+    items = p.where("p_partkey % 2 = 1").select("p_partkey", F.upper("p_name").alias("name"), F.col("p_brand").alias("house"), F.lit(None).cast("string").alias("fg_url"), F.when(F.col("p_partkey") % 5 == 0, page).alias("bn_url"))
+    return gates.fact_records(items, records, "p_partkey")
+
+
+@query("queueable_jobs", """WITH p AS (SELECT *, p_partkey % 5 AS k, lower(trim(regexp_replace(p_brand, '[^A-Za-z0-9]+', ' ', 'g'))) || '|' || lower(trim(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS ident FROM part)
+  SELECT CASE k WHEN 0 THEN 'https://www.fragrantica.com/perfume/A/B-' || (p_partkey // 10) || '.html' WHEN 1 THEN 'https://basenotes.com/fragrances/x.' || p_partkey ELSE 'id:' || ident END AS job_key, min(p_name) AS name, arg_min(p_brand, (p_name, p_brand)) AS house, -10 AS priority FROM p WHERE k < 4 GROUP BY 1""")
+def queueable_jobs(spark, d):
+    k = F.col("p_partkey") % 5
+    main = F.when(k == 0, F.concat(F.lit("fragrantica.com/perfume/A/B-"), F.floor(F.col("p_partkey") / 10), F.lit(".html?x")))
+    second = F.when(k == 1, F.concat(F.lit("https://www.basenotes.com/fragrances/x."), "p_partkey", F.lit("/")))
+    name = F.when(k == 4, F.concat("p_name", F.lit(" body lotion"))).otherwise(F.col("p_name"))
+    rows = t(spark, d, "part").select(name.alias("name"), F.col("p_brand").alias("house"), main.alias("fg"), second.alias("bn"), F.lit(None).cast("int").alias("year"))
+    return gates.queueable(rows, "name", "house", "fg", "bn", "year").select("job_key", "name", "house", "priority")
+
+
+@query("results_with_catalogue", """WITH r AS (SELECT p_size AS q, p_name, 0 AS origin, max(p_retailprice) AS s FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2), c AS (SELECT p_size AS q, p_name, 1 AS origin, max(p_retailprice) AS s FROM part GROUP BY 1, 2), b AS (SELECT * FROM r UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.q = c.q AND r.p_name = c.p_name))
+  SELECT q, p_name, origin, s, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY origin, s DESC, p_name) AS rank FROM b) WHERE rank <= 4""")
+def results_with_catalogue(spark, d):
+    rows = t(spark, d, "part").select(F.col("p_size").alias("q"), "p_name", F.col("p_retailprice").alias("s"), "p_partkey")
+    return gates.with_catalogue(rows.where("p_partkey % 3 = 0"), rows, "q", ["p_name"], "s", 4).select("q", "p_name", "origin", "s", "rank")
+
+
+@query("displayable_rows", """WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, replace(p_brand, '#', ' ') AS b, p_name AS n, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS title FROM part)
+  SELECT p_partkey, CASE WHEN k = 1 THEN title ELSE n END AS name, b AS house FROM p WHERE k < 2""")
+def displayable_rows(spark, d):
+    k, b = F.col("p_partkey") % 4, F.replace("p_brand", F.lit("#"), F.lit(" "))
+    slug = lambda c: F.replace(c, F.lit(" "), F.lit("-"))
+    url = F.when(k == 1, F.concat(F.lit("https://www.fragrantica.com/perfume/"), slug(b), F.lit("/"), slug(F.col("p_name")), F.lit("-"), "p_partkey", F.lit(".html")))
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, "votes").when(k == 2, b).otherwise("Unknown")
+    rows = t(spark, d, "part").select("p_partkey", name.alias("name"), b.alias("house"), url.alias("fg"), F.lit(None).cast("string").alias("bn"))
+    return gates.displayable(rows, "name", "house", "fg", "bn").select("p_partkey", "name", "house")

@@ -59,9 +59,18 @@ def saved_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
-def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """SRC16: the columns in their order, with a header in each part."""
-    rows.select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+def catalog_index(found: DataFrame) -> DataFrame:
+    """SRC13: (key, handle, raw): the product that an address's handle ("h:...") or an identity ("i:vendor|title") leads to; of several the least handle."""
+    text = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " "))
+    by = F.array_compact(F.array(F.when(F.col("handle") != "", F.concat(F.lit("h:"), "handle")), F.when((text("vendor") != "") & (text("title") != ""), F.concat(F.lit("i:"), text("vendor"), F.lit("|"), text("title")))))
+    rows = found.select(F.explode(by).alias("key"), "handle", "raw")
+    return rows.groupBy("key").agg(F.min(F.struct("handle", "raw")).alias("p")).select("key", "p.handle", "p.raw")
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str], mark: bool = True) -> None:
+    """SRC16: the columns in their order, with a header in each part that begins with the mark of UTF-8 (if asked for); quotes where they are needed."""
+    named = [F.col(c).alias("\ufeff" + c) if mark and i == 0 else F.col(c) for i, c in enumerate(columns)]
+    rows.select(*named).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def snapshot_id(issues: DataFrame) -> DataFrame:
