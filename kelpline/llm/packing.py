@@ -61,7 +61,7 @@ def _word_ids(vocabulary: str) -> WordIds:
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters that are encoded together.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
