@@ -400,7 +400,8 @@ def test_repeated_labels_and_texts(spark):
     docs = spark.createDataFrame(rows + [(3, "another text of one id")], "doc_id long, text string")
     twice = spark.createDataFrame(labels + [(1, 1, 0), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     runs = [sorted((r["doc_id"], r["score"]) for r in toxicity.predict(docs.repartition(n), twice.repartition(n)).collect()) for n in (1, 3)]
-    assert runs[0] == runs[1]
+    # the same network; single-precision sums differ in their last digits with how many windows are scored together
+    assert [i for i, _ in runs[0]] == [i for i, _ in runs[1]] and max(abs(a - b) for (_, a), (_, b) in zip(*runs)) < 1e-6
 
 
 def test_long_words_keep_all_n_grams():
