@@ -38,10 +38,11 @@ def near_words(spark, d):
 
 @query("repaired_words")
 def repaired_words(spark, d):
-    """Every word of the documents that the labelled half of them lacks, by the words that those have."""
-    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
-    known = _words(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), "text", "known").groupBy("known").agg(F.count("*").alias("often"))
-    return repair.repaired_words(_words(docs, "text", "word"), known, "word", "known", "often")
+    """Every word of benchmark texts and part names that lost its second letter, by the words of all documents."""
+    known = _words(t(spark, d, "documents"), "text", "known").groupBy("known").agg(F.count("*").alias("often"))
+    meant = _words(t(spark, d, "benchmark"), "text", "word").unionByName(_words(t(spark, d, "part"), "p_name", "word")).distinct()
+    lost = meant.select(F.concat(F.substring("word", 1, 1), F.substr("word", F.lit(3))).alias("word"))
+    return repair.repaired_words(lost, known, "word", "known", "often")
 
 
 @query("query_evidence", """WITH e AS (SELECT user_id % 40 AS q, event_type || ' item ' || (user_id % 7) AS key, CASE WHEN user_id % 3 = 0 THEN 'fragrantica.com' WHEN user_id % 3 = 1 THEN 'site' || user_id % 5 || '.org' ELSE '' END AS host, event_id % 4 = 0 AS proven, event_id % 5 = 0 AS direct, event_id % 2 = 0 AS title, (event_id % 8)::DOUBLE / 8 AS bonus FROM events)

@@ -141,3 +141,21 @@ def test_repaired_words(spark):
     asked = spark.createDataFrame([("suavage",), ("dior",), ("zzz",), (None,), ("tweeb",)], "w string")
     known = spark.createDataFrame([("sauvage", 3), ("dior", 9), ("tweed", 1), ("tweet", 5), ("tweed", 1)], "k string, n long")
     assert {(r["w"], r["k"]) for r in repair.repaired_words(asked, known, "w", "k", "n").collect()} == {("suavage", "sauvage"), ("tweeb", "tweet")}
+
+
+def test_repaired_words_of_tables(spark):
+    """The query equals the best of all pairs within two edits, scored in plain Python."""
+    import duckdb
+
+    from kelpline.plans.repairs import repaired_words as made
+
+    words = "SELECT DISTINCT unnest(regexp_extract_all(lower({}), '[a-z]+')) AS w FROM '{}'"
+    pairs = duckdb.sql(f"""WITH m AS ({words.format("text", f"{SF}/benchmark.parquet")} UNION {words.format("p_name", f"{SF}/part.parquet")}), a AS (SELECT DISTINCT w[1] || w[3:] AS a FROM m),
+      k AS (SELECT w AS b, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM '{SF}/documents.parquet') GROUP BY 1)
+      SELECT a, b, n FROM a, k WHERE abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2 AND a NOT IN (SELECT b FROM k)""").fetchall()
+    best = {}
+    for a, b, n in pairs:
+        if score(a, b) >= 0.74:
+            best[a] = min(best.get(a, (1,)), (-score(a, b), -n, b))
+    got = {r["word"]: (r["known"], round(r["score"], 9)) for r in made(spark, SF).collect()}
+    assert got == {a: (b, round(-s, 9)) for a, (s, _, b) in best.items()} and len(got) > 50
