@@ -62,7 +62,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes, owners = [], []
     rolling = np.zeros(len(flat), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        shifted = np.concatenate([flat[n - 1 :], np.zeros(n - 1, np.uint64)])
+        shifted = np.concatenate([flat[n - 1 :], np.zeros(min(n - 1, len(flat)), np.uint64)])  # a lone short word has fewer bytes than the longest n-gram
         rolling = rolling * np.uint64(0x100000001B3) + shifted
         if n in GRAMS or n == 2:
             ok = left >= n if n in GRAMS else (left >= n) & (np.repeat(sizes, sizes) == 2)
