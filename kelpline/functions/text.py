@@ -151,6 +151,14 @@ def third_url(url: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.lit("https://"), F.when(F.endswith(host, F.lit("parfumo.com")), THIRD_SITE).otherwise(host), path))
 
 
+def stored_url(url: Column) -> Column:
+    """SC1: an address as rows are keyed by it: scheme and host in lower case, no slash at its end, the rest as it stands; null for a blank one."""
+    plain = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "/+$", "")
+    head = F.regexp_extract(plain, "^([^:]*://[^/]*)", 1)
+    found = F.when(head != "", F.concat(F.lower(head), F.substr(plain, F.length(head) + 1))).otherwise(plain)
+    return F.nullif(F.regexp_replace(found, "/+$", ""), F.lit(""))
+
+
 def brand_in_url(url: Column) -> Column:
     """SC2: the brand that a perfume's address names; empty without one."""
     return title_from_slug(F.regexp_extract(url, "/perfume/([^/]+)/", 1))

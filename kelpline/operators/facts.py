@@ -112,3 +112,17 @@ def families(accords: Column, table: dict[str, str]) -> Column:
     mapping = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     parts = F.flatten(F.transform(accords, lambda a: F.split(F.lower(a), r"\s*[-,/]\s*")))
     return F.array_distinct(F.array_compact(F.transform(parts, lambda a: mapping[F.trim(a)])))
+
+
+def record_scalars(fields: dict[str, Column]) -> Column:
+    """SC12: struct of concentration, year, gender and image_url of a stored record: the column where it says a real one, else the JSON
+    text fg_raw, its raw_identity first for images. fields has year, gender, image_url and fg_raw; nulls where none is real."""
+    of = lambda path: F.get_json_object(fields["fg_raw"], f"$.{path}")
+    first = lambda field, *values: F.coalesce(*[F.when(complete(v, field), F.trim(v)) for v in values])
+    address = lambda *values: F.coalesce(*[F.when(F.trim(v).rlike("^https?://"), F.trim(v)) for v in values])
+    stated = lambda v: F.when((F.trim(v) != "") & (F.lower(F.trim(v)) != "unknown"), F.trim(v))
+    images = [of(p) for p in ("raw_identity.image_url", "raw_identity.imageUrl", "image_url", "imageUrl")]
+    return F.struct(
+        F.coalesce(stated(of("concentration")), stated(of("raw_identity.concentration"))).alias("concentration"), first("year", fields["year"].cast("string"), of("raw_identity.year")).alias("year"),
+        first("gender", fields["gender"], of("raw_identity.gender")).alias("gender"), address(fields["image_url"], *images).alias("image_url"),
+    )

@@ -38,6 +38,22 @@ def _unqualified(identity: Column, qualifiers: tuple[str, ...]) -> Column:
     return F.when(first.isNull(), "").otherwise(F.array_join(F.slice(words, first + 1, last - first + 1), " "))
 
 
+def _synonym(synonyms: dict[str, str]) -> Callable[[Column], Column]:
+    table = F.create_map(*[F.lit(x) for kv in (synonyms or {"": ""}).items() for x in kv])
+    return lambda x: F.coalesce(F.try_element_at(table, x), x)
+
+
+def _named(rows: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """rows plus __text, __raw without what says it twice: "outer (inner)" where both are synonyms."""
+    named = _synonym(synonyms)
+    outer = F.trim(F.regexp_extract("__raw", r"^(.*?)\s*\(([^()]+)\)\s*$", 1))
+    inner = F.trim(F.regexp_extract("__raw", r"^(.*?)\s*\(([^()]+)\)\s*$", 2))
+    rows = rows.withColumns({"__o": outer, "__i": inner}).withColumns({"__on": X.normalize_identity("__o"), "__in": X.normalize_identity("__i")})
+    same = (F.col("__o") != "") & (F.col("__i") != "") & (named(F.col("__on")) != "") & (named(F.col("__on")) == named(F.col("__in")))
+    plain_side = F.when(F.col("__in") == named(F.col("__on")), F.col("__i")).when(F.col("__on") == named(F.col("__on")), F.col("__o")).otherwise(F.col("__i"))
+    return rows.withColumn("__text", F.when(same, plain_side).otherwise(F.col("__raw")))
+
+
 def deduped(notes: DataFrame, key: str, layer: str, position: str, note: str, synonyms: dict[str, str], qualifiers: tuple[str, ...]) -> DataFrame:
     """AG32: the notes of each record, one row a note, with the layer that keeps it, its place there and how it is shown.
 
@@ -45,16 +61,8 @@ def deduped(notes: DataFrame, key: str, layer: str, position: str, note: str, sy
     that qualifies another, or its plural, is folded onto it only where the record has that other (or two that qualify it).
     The plain name is shown where it occurs, else the shortest. A record's notes meet by its key, which none has many of.
     """
-    table = F.create_map(*[F.lit(x) for kv in (synonyms or {"": ""}).items() for x in kv])
-    named: Callable[[Column], Column] = lambda x: F.coalesce(F.try_element_at(table, x), x)
-    rows = notes.select(key, layer, position, F.posexplode(pieces(F.col(note))).alias("__k", "__raw"))
-    # "outer (inner)" says one note twice where both are synonyms
-    outer = F.trim(F.regexp_extract("__raw", r"^(.*?)\s*\(([^()]+)\)\s*$", 1))
-    inner = F.trim(F.regexp_extract("__raw", r"^(.*?)\s*\(([^()]+)\)\s*$", 2))
-    rows = rows.withColumns({"__o": outer, "__i": inner}).withColumns({"__on": X.normalize_identity("__o"), "__in": X.normalize_identity("__i")})
-    same = (F.col("__o") != "") & (F.col("__i") != "") & (named(F.col("__on")) != "") & (named(F.col("__on")) == named(F.col("__in")))
-    plain_side = F.when(F.col("__in") == named(F.col("__on")), F.col("__i")).when(F.col("__on") == named(F.col("__on")), F.col("__o")).otherwise(F.col("__i"))
-    rows = rows.withColumn("__text", F.when(same, plain_side).otherwise(F.col("__raw")))
+    named = _synonym(synonyms)
+    rows = _named(notes.select(key, layer, position, F.posexplode(pieces(F.col(note))).alias("__k", "__raw")), synonyms)
     rows = rows.withColumn("__norm", X.normalize_identity("__text")).withColumn("__id", named(F.col("__norm")))
     rows = rows.withColumn("__core", named(_unqualified(F.col("__id"), qualifiers)))
     of = W.partitionBy(key)
@@ -72,6 +80,18 @@ def deduped(notes: DataFrame, key: str, layer: str, position: str, note: str, sy
     return found.select(key, F.col(f"p.{layer}").alias(layer), F.row_number().over(W.partitionBy(key, f"p.{layer}").orderBy("p")).alias("place"), "note")
 
 
+def tokens_cleaned(notes: DataFrame, key: str, layer: str, position: str, note: str, synonyms: dict[str, str]) -> DataFrame:
+    """SC15: each layer's notes on their own: names joined by "or" parted, a synonym in brackets folded, signs gone, each once (the first).
+
+    Rows as for deduped(), but nothing is folded across layers or onto plainer names. Blank notes go.
+    """
+    rows = _named(notes.select(key, layer, position, F.posexplode(pieces(F.col(note))).alias("__k", "__raw")), synonyms)
+    rows = X.with_clean(rows, {"__c": F.col("__text")}).withColumn("__shown", shown(F.col("__c")))
+    rows = X.with_clean(rows.drop("__c", "__c_n"), {"__s": F.col("__shown")}).where("__s_n <> '' and __shown <> ''")
+    first = rows.groupBy(key, layer, "__s_n").agg(F.min(F.struct(position, "__k", "__shown")).alias("f"))
+    return first.select(key, layer, F.row_number().over(W.partitionBy(key, layer).orderBy("f")).alias("place"), F.col("f.__shown").alias("note"))
+
+
 def from_product(notes: Column) -> Column:
     """SC13: struct of the four layers from a product's notes (name, pyramidLevel): those without a known level are flat."""
     level = lambda x: F.try_element_at(F.create_map(*[F.lit(v) for kv in LEVELS.items() for v in kv]), F.lower(F.trim(F.coalesce(x["pyramidLevel"], F.lit("")))))

@@ -178,3 +178,17 @@ def export_row(issues: Column, fields: dict[str, Column], accords: Column) -> li
     """PF32: the columns of an export row: plain fields, accords as one text, and the issues with their number."""
     named = F.filter(F.coalesce(accords, F.array().cast("array<string>")), lambda a: F.trim(F.coalesce(a, F.lit(""))) != "")
     return [*[c.alias(k) for k, c in fields.items()], F.size(named).alias("n_accords"), F.array_join(named, ", ").alias("accords"), F.size(issues).alias("n_issues"), F.array_join(issues, "; ").alias("issues")]
+
+
+#: Fields of a row of queue diagnostics.
+DIAGNOSED = ("group", "id", "status", "house", "name", "query", "failure_count", "error_bucket", "last_error", "fg_url", "bn_url", "priority", "last_requested_at")
+
+
+def queue_diagnostics(jobs: DataFrame) -> DataFrame:
+    """SRC19: the queue's failed jobs, those that failed before and are in it again, and ignored ones, as rows of 13 texts with the bucket of their error.
+
+    jobs has id, status, failure_count, last_error and what else of the fields it has; others are empty.
+    """
+    group = F.when(F.col("status") == "failed", "failed").when(F.col("status") == "ignored", "ignored").when(F.col("status").isin("pending", "processing") & (F.coalesce("failure_count", F.lit(0)) > 0), "retry_history")
+    made = jobs.withColumns({"group": group, "error_bucket": X.error_bucket(F.col("last_error"))}).where("group is not null")
+    return made.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in made.columns else F.lit("")).alias(c) for c in DIAGNOSED])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import asked, consensus, facts, gates, keys, ladder
+from ..operators import asked, consensus, facts, gates, keys, ladder, notes, records
 from ..sources.tables import table as t
 from ..streaming import timers
 
@@ -194,3 +194,41 @@ def displayable_rows(spark, d):
     name = F.when(k == 0, F.col("p_name")).when(k == 1, "votes").when(k == 2, b).otherwise("Unknown")
     rows = t(spark, d, "part").select("p_partkey", name.alias("name"), b.alias("house"), url.alias("fg"), F.lit(None).cast("string").alias("bn"))
     return gates.displayable(rows, "name", "house", "fg", "bn").select("p_partkey", "name", "house")
+
+
+@query("stored_urls", r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN upper(url) WHEN 1 THEN url || '//' WHEN 2 THEN ' ' || url ELSE '' END AS u FROM pages), p AS (SELECT page_id, regexp_replace(trim(u), '/+$', '') AS u FROM u)
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(u, '^[^:]*://[^/]*')) || substr(u, length(regexp_extract(u, '^[^:]*://[^/]*')) + 1), '/+$', ''), '') AS url FROM p""")
+def stored_urls(spark, d):
+    k, url = F.col("page_id") % 4, F.col("url")
+    typed = F.when(k == 0, F.upper(url)).when(k == 1, F.concat(url, F.lit("//"))).when(k == 2, F.concat(F.lit(" "), url)).otherwise("")
+    return t(spark, d, "pages").select("page_id", X.stored_url(typed).alias("url"))
+
+
+@query("record_scalars", """WITH p AS (SELECT *, p_partkey AS k FROM part)
+  SELECT p_partkey, CASE WHEN k % 3 < 2 THEN p_type END AS concentration, CASE WHEN k % 4 > 0 THEN p_size::VARCHAR ELSE '1999' END AS year, CASE WHEN k % 5 = 0 THEN 'Women' WHEN k % 5 = 1 THEN 'Men' END AS gender, CASE k % 4 WHEN 0 THEN 'https://i.org/' || k WHEN 1 THEN 'http://r.org/' || k WHEN 2 THEN 'https://f.org/' || k END AS image_url FROM p""")
+def record_scalars(spark, d):
+    k = F.col("p_partkey")
+    text = lambda name, c: F.concat(F.lit(f'"{name}": "'), c, F.lit('"'))
+    own = F.concat(F.lit('"raw_identity": {'), F.concat_ws(", ", F.when(k % 3 == 1, text("concentration", F.col("p_type"))), F.lit('"year": 1999'), F.when(k % 5 == 1, text("gender", F.lit("Men"))), F.when(k % 4 == 1, text("imageUrl", F.concat(F.lit(" http://r.org/"), k)))), F.lit("}"))
+    blob = F.concat(F.lit("{"), F.concat_ws(", ", F.when(k % 3 == 0, text("concentration", F.col("p_type"))).when(k % 3 == 1, text("concentration", F.lit("Unknown"))), own, F.when(k % 4 == 2, text("image_url", F.concat(F.lit("https://f.org/"), k))), F.when(k % 4 == 3, text("image_url", F.lit("/local.png")))), F.lit("}"))
+    fields = {"year": F.when(k % 4 > 0, F.col("p_size")), "gender": F.when(k % 5 == 0, "Women").otherwise("Unisex / Unspecified"), "image_url": F.when(k % 4 == 0, F.concat(F.lit("https://i.org/"), k)).otherwise("n/a"), "fg_raw": blob}
+    return t(spark, d, "part").select("p_partkey", facts.record_scalars(fields).alias("s")).select("p_partkey", "s.*")
+
+
+@query("note_tokens", """WITH p AS (SELECT p_partkey, p_name AS n, string_split(p_name, ' ') AS w FROM part)
+  SELECT p_partkey, 0 AS layer, 1 AS place, w[1] || ' one' AS note FROM p UNION ALL SELECT p_partkey, 0, 2, w[-1] || ' two' FROM p UNION ALL SELECT p_partkey, 1, 1, 'Oud' FROM p UNION ALL SELECT p_partkey, 1, 2, n FROM p""")
+def note_tokens(spark, d):
+    first, last = F.get(F.split("p_name", " "), F.lit(0)), F.element_at(F.split("p_name", " "), -1)
+    notes_of = F.array(
+        F.struct(F.lit(0).alias("layer"), F.lit(0).alias("pos"), F.concat(first, F.lit(" one or "), last, F.lit(" two™")).alias("note")), F.struct(F.lit(0).alias("layer"), F.lit(1).alias("pos"), F.concat(F.upper(last), F.lit(" Two.")).alias("note")),
+        F.struct(F.lit(1).alias("layer"), F.lit(0).alias("pos"), F.lit("Agarwood (Oud)").alias("note")), F.struct(F.lit(1).alias("layer"), F.lit(1).alias("pos"), F.concat(F.lit("· "), "p_name", F.lit(",")).alias("note")), F.struct(F.lit(1).alias("layer"), F.lit(2).alias("pos"), F.lit("oud").alias("note")),
+    )
+    rows = t(spark, d, "part").select("p_partkey", F.explode(notes_of).alias("x")).select("p_partkey", "x.*")
+    return notes.tokens_cleaned(rows, "p_partkey", "layer", "pos", "note", {"agarwood": "oud"})
+
+
+@query("queue_diagnostics", """SELECT CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'ignored' ELSE 'retry_history' END AS "group", o_orderkey::VARCHAR AS id, o_orderpriority AS name, (o_orderkey % 3)::VARCHAR AS failure_count, CASE WHEN o_orderkey % 2 = 0 THEN 'fg_resolver_blocked' ELSE 'none' END AS error_bucket FROM orders WHERE o_orderstatus IN ('F', 'P') OR o_orderkey % 3 > 0""")
+def queue_diagnostics(spark, d):
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "ignored").otherwise("pending")
+    jobs = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") % 3).alias("failure_count"), F.when(F.col("o_orderkey") % 2 == 0, "Rate limited by x").alias("last_error"))
+    return records.queue_diagnostics(jobs).select("group", "id", "name", "failure_count", "error_bucket")

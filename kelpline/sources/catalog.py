@@ -73,6 +73,14 @@ def write_csv(rows: DataFrame, path: str, columns: list[str], mark: bool = True)
     rows.select(*named).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_diagnostics(rows: DataFrame, folder: str, stamp: str) -> tuple[str, str]:
+    """SRC19: the same rows as JSON and as CSV, in folders whose names have a time stamp; both names."""
+    paths = tuple(f"{folder.rstrip('/')}/enrichment_queue_{stamp}.{kind}" for kind in ("json", "csv"))
+    rows.write.mode("overwrite").json(paths[0])
+    write_csv(rows, paths[1], rows.columns, mark=False)
+    return paths
+
+
 def snapshot_id(issues: DataFrame) -> DataFrame:
     """SRC18: one row with snapshot_id, the digest of a table (tag, row_id) whatever its order; rows meet in sums only."""
     part = lambda n: F.sum(F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "tag", "row_id"), 256), n, 12), 16, 10).cast("decimal(38,0)")).cast("string")

@@ -117,3 +117,32 @@ def test_files(spark, tmp_path):
     found = spark.createDataFrame([("k2", "b"), ("k1", "a")], "key string, brand string")
     catalog.write_identity_cache(found, str(tmp_path / "cache"))
     assert [r["key"] for r in spark.read.json(str(tmp_path / "cache")).collect()] == ["k1", "k2"]
+
+
+def test_scalars_and_urls(spark):
+    from kelpline.functions import text as X
+
+    rows = [(None, None, None, None), ("", "x", "ftp://y", "{broken"), ("Unknown", "unisex / unspecified", "http://a/b", '{"raw_identity": {"year": 2001, "gender": "Men", "concentration": "unknown"}, "concentration": " EDP "}')]
+    made = _column(spark, rows, "y string, g string, u string, b string", facts.record_scalars({"year": F.col("y"), "gender": F.col("g"), "image_url": F.col("u"), "fg_raw": F.col("b")}))
+    assert [tuple(m) for m in made] == [(None,) * 4, (None, None, "x", None), ("EDP", "2001", "Men", "http://a/b")]
+    urls = [("HTTP://A.org/B/?Q=1//", "http://a.org/B/?Q=1"), ("HTTPS://A.ORG", "https://a.org"), (" a/B/ ", "a/B"), ("", None), (None, None), ("/", None)]
+    assert _column(spark, [(u,) for u, _ in urls], "u string", X.stored_url(F.col("u"))) == [w for _, w in urls]
+
+
+def test_note_tokens(spark):
+    rows = [(1, 0, 0, "Pepperwood™ or Hercules Club"), (1, 0, 1, "pepperwood"), (1, 1, 0, "Agarwood (Oud)"), (1, 1, 1, "Oud"), (1, 2, 0, "Oud"), (1, 2, 1, None), (1, 2, 2, " . "), (2, 0, 0, "Vetiver (Bourbon)")]
+    df = spark.createDataFrame(rows, "k int, layer int, pos int, note string")
+    got = sorted(map(tuple, notes.tokens_cleaned(df, "k", "layer", "pos", "note", {"agarwood": "oud"}).collect()))
+    assert got == [(1, 0, 1, "Pepperwood"), (1, 0, 2, "Hercules Club"), (1, 1, 1, "Oud"), (1, 2, 1, "Oud"), (2, 0, 1, "Vetiver (Bourbon)")]
+    assert notes.tokens_cleaned(df.limit(0), "k", "layer", "pos", "note", {}).collect() == []
+
+
+def test_queue_diagnostics(spark, tmp_path):
+    jobs = spark.createDataFrame([("a", "failed", 3, "boom, \"x\""), ("b", "pending", 0, None), ("c", "processing", 2, None), ("d", "ignored", None, ""), ("e", "completed", 4, "x")], "id string, status string, failure_count int, last_error string")
+    rows = records.queue_diagnostics(jobs)
+    assert rows.columns == list(records.DIAGNOSED)
+    assert {(r["group"], r["id"], r["error_bucket"]) for r in rows.collect()} == {("failed", "a", 'boom, "x"'), ("retry_history", "c", "none"), ("ignored", "d", "none")}
+    as_json, as_csv = catalog.write_diagnostics(rows, str(tmp_path), "20240101T000000Z")
+    assert as_json.endswith("enrichment_queue_20240101T000000Z.json")
+    back = [{r["id"]: r["last_error"] or "" for r in read.collect()} for read in (spark.read.json(as_json), spark.read.option("header", True).option("escape", '"').csv(as_csv))]
+    assert back[0] == back[1] == {"a": 'boom, "x"', "c": "", "d": ""}
