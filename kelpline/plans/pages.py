@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detail, labels, listing
+from ..functions import text as X
+from ..operators import detail, identity, labels, listing, payloads
 from ..sources.tables import table as t
 
 QUERIES, ORACLES = {}, {}
@@ -123,3 +124,32 @@ def canonical_labels(spark, d):
     names = p.select(F.col("p_brand").alias("card"), F.col("p_name").alias("alias"), F.upper("p_name").alias("label")).unionByName(p.select(F.col("p_brand").alias("card"), last.alias("alias"), F.concat(F.lit("last "), last).alias("label")))
     texts = p.select("p_partkey", "p_brand", F.concat("p_type", F.lit(", "), "p_name", F.lit(" x")).alias("text"))
     return labels.canonical_labels(texts, "p_brand", "text", names, "label").select("p_partkey", "label")
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www[.]', '')"
+
+
+@query("page_rules", f"""SELECT page_id, 'https://' || {_HOST} || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS canonical, contains(lower(url), 'casino') OR contains(lower(url), 'ref=') OR contains({_HOST}, 'bets.example') AS blocked,
+  CASE WHEN contains({_HOST}, 'example.net') THEN 'primary' WHEN contains({_HOST}, 'blog.') THEN 'editorial' ELSE 'openweb' END AS tier FROM pages""")
+def page_rules(spark, d):
+    url = F.col("url")
+    return t(spark, d, "pages").select("page_id", X.canonical_url(url).alias("canonical"), payloads.blocked_url(url, ("casino", "ref="), ("bets.example",)).alias("blocked"), payloads.source_tier(url, {"example.net": "primary", "blog.": "editorial"}).alias("tier"))
+
+
+@query("compatible_names", "SELECT c_custkey, c_custkey % 3 > 0 AND c_custkey % 4 < 3 AS same FROM customer")
+def compatible_names(spark, d):
+    """Every customer's name as a house with a generic or another word at its end, against its own or another's name."""
+    k, name = F.col("c_custkey"), F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", " ")
+    other = F.when(k % 3 > 0, name).otherwise(F.concat(F.lit("no "), name))
+    full = F.concat(name, F.when(k % 4 == 0, "").when(k % 4 == 1, " parfums").when(k % 4 == 2, " beauty paris").otherwise(" rouge"))
+    rows, mine = identity.with_brand(t(spark, d, "customer").select("c_custkey", full.alias("a"), other.alias("b")), "a", "mine")
+    rows, theirs = identity.with_brand(rows, "b", "theirs")
+    return rows.select("c_custkey", identity.same_brand(mine, theirs).alias("same"))
+
+
+@query("stripped_names", "SELECT p_partkey, p_name AS name FROM part")
+def stripped_names(spark, d):
+    """Every part's name with its brand before it, after "by", or not at all."""
+    k, brand = F.col("p_partkey") % 3, F.replace("p_brand", F.lit("#"), F.lit(" "))
+    full = F.when(k == 0, F.concat_ws(" ", brand, "p_name")).when(k == 1, F.concat_ws(" ", "p_name", F.lit("by"), brand)).otherwise(F.col("p_name"))
+    return identity.with_stripped_name(t(spark, d, "part").select("p_partkey", full.alias("full"), F.col("p_brand").alias("house")), "full", "house", "name").select("p_partkey", "name")
