@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, settled, table
+from .common import BROADCAST_ROWS, by_batches, settled, table
 
 #: Rows of a shard (about), out-edges of a vector, width of the beam that builds and of the one that asks, factors of the two passes.
 SHARD, DEGREE, BUILD_BEAM, BEAM, FACTORS = 8192, 32, 64, 128, (1.0, 1.2)
@@ -207,8 +207,9 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
     rules of index() gets no rows; of several vectors of one id, asked or found, the nearest pair counts.
     A shard is one task's, with its queries in batches; at most `nearest` rows a query and shard meet.
     """
-    shards = graphs.select("dim", "shard").distinct()
-    asked = _clean(queries).withColumn("dim", F.size("embedding").cast("long")).join(F.broadcast(shards), "dim")  # a row for thousands of vectors
+    last = graphs.groupBy("dim").agg(F.max("shard").alias("last"))  # a row a dimension
+    last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last
+    asked = _clean(queries).withColumn("dim", F.size("embedding").cast("long")).join(last, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     empty = {"node": "long", "vec_ids": "array<bigint>", "edges": "array<bigint>", "start": "boolean"}
     rows = asked.select("dim", "shard", F.lit(1).alias("asks"), "vec_id", "embedding", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
     nodes = graphs.select("dim", "shard", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("vec_id"), "embedding", *empty)
@@ -224,6 +225,8 @@ def search(graphs: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam:
                 if not asks:
                     parts.append(part)
                     continue
+                if graph is None and not parts:
+                    continue  # a shard that no vector fell into
                 if graph is None:
                     whole = pd.concat(parts)
                     vectors, owners = np.stack(whole["embedding"].to_list()), [np.asarray(x, np.int64) for x in whole["vec_ids"]]
