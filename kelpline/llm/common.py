@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable
 
@@ -68,6 +69,12 @@ def by_batches(rows: DataFrame, function: Callable, schema: str, ids: tuple[str,
     return made.select(*[F.col(n).cast("long").alias(n) if n in ids else n for n, _ in fields])
 
 
+def give_back() -> None:
+    """Returns to the system what earlier tasks of this Python worker have freed and the C library kept; does nothing elsewhere than on glibc."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """What is run in here sends Python at most so many rows at a time: for rows that may each be large. The session's own number is put back."""

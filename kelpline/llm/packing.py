@@ -9,6 +9,7 @@ their length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED, _L, _N
-from .common import by_batches, settled, table
+from .common import by_batches, give_back, settled, table
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
+#: New words that the library is asked for at once.
+ASKED = 2048
 #: Characters that are the same before and after NFC and whose lower case is one character everywhere.
 _PLAIN = re.compile("[\t\n\r -~\xa0-įı-ɏ]*")
 #: How the vocabulary with word ends splits such texts (fixed value).
@@ -36,6 +39,7 @@ class WordIds:
     """Texts to ids as the library gives them; words of plain texts are asked for once and remembered."""
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already; threads of its own cost memory
         from tokenizers import Tokenizer
 
         self.library, self.known = Tokenizer.from_file(vocabulary), {}
@@ -45,8 +49,10 @@ class WordIds:
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = list({w for found in words if found for w in found} - self.known.keys())
-        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.asarray(got.ids, "<u4").tobytes()
+        for i in range(0, len(new), ASKED):
+            part = new[i : i + ASKED]
+            for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.asarray(got.ids, "<u4").tobytes()
         for text, found in zip(texts, words, strict=True):
             if found is None:
                 yield np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,6 +74,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """Every document's ids and the end id, cut into pieces of `capacity` tokens only where that is longer."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         ids_of, end = _word_ids(vocabulary), np.asarray([END_ID], "<u4").tobytes()
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
