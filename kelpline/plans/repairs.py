@@ -46,7 +46,7 @@ def repaired_words(spark, d):
 
 
 @query("query_evidence", """WITH e AS (SELECT user_id % 40 AS q, event_type || ' item ' || (user_id % 7) AS key, CASE WHEN user_id % 3 = 0 THEN 'fragrantica.com' WHEN user_id % 3 = 1 THEN 'site' || user_id % 5 || '.org' ELSE '' END AS host, event_id % 4 = 0 AS proven, event_id % 5 = 0 AS direct, event_id % 2 = 0 AS title, (event_id % 8)::DOUBLE / 8 AS bonus FROM events)
-  SELECT q, key, count(*) AS occurrences, count_if(proven) AS proven, count_if(title) AS title, count_if(direct) AS direct, sum(bonus) AS bonus, coalesce(string_agg(DISTINCT CASE WHEN host <> '' AND ((proven AND host = 'fragrantica.com') OR direct) THEN host END, '|' ORDER BY CASE WHEN host <> '' AND ((proven AND host = 'fragrantica.com') OR direct) THEN host END), '') AS domains FROM e GROUP BY 1, 2""")
+  SELECT q, key, count(*) AS occurrences, count(*) FILTER (proven) AS proven, count(*) FILTER (title) AS title, count(*) FILTER (direct) AS direct, sum(bonus) AS bonus, coalesce(string_agg(DISTINCT CASE WHEN host <> '' AND ((proven AND host = 'fragrantica.com') OR direct) THEN host END, '|' ORDER BY CASE WHEN host <> '' AND ((proven AND host = 'fragrantica.com') OR direct) THEN host END), '') AS domains FROM e GROUP BY 1, 2""")
 def query_evidence(spark, d):
     u, e = F.col("user_id"), F.col("event_id")
     text = F.concat(F.when(e % 2 == 0, F.initcap("event_type")).otherwise(F.upper("event_type")), F.lit(" Item  "), (u % 7).cast("string"), F.when(e % 3 == 0, F.lit(" perfume?")).otherwise(""))
