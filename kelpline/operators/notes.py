@@ -16,6 +16,25 @@ LEVELS = {"top": "top", "head": "top", "middle": "heart", "heart": "heart", "bas
 #: What parts two names of one note, and signs that no note has.
 OR = r"(?i)\s+or\s+|\s+/\s+"
 SIGNS = r"[.™®©℠℗•·¶§⁃◦]"
+#: Other names of a note, and words at the ends of its name that make it no other note: where it comes from, how it was made, and fillers.
+SYNONYMS = {
+    "cedarwood": "cedar", "cedar wood": "cedar", "agarwood": "oud", "agar wood": "oud", "oudh": "oud", "aoud": "oud", "oud wood": "oud",
+    "guaiacwood": "guaiac wood", "gaiac wood": "guaiac wood", "gaiacwood": "guaiac wood", "guaiac": "guaiac wood", "santal": "sandalwood",
+    "olibanum": "frankincense", "patchouly": "patchouli", "vetivert": "vetiver", "mandarine": "mandarin", "ylangylang": "ylang ylang",
+    "ylang": "ylang ylang", "ambrox": "ambroxan", "ambroxide": "ambroxan", "iso e": "iso e super", "isoe super": "iso e super",
+    "muguet": "lily of the valley", "helichrysum": "immortelle", "everlasting flower": "immortelle", "orris root": "orris", "iris root": "iris",
+    "tonka bean": "tonka", "tonka beans": "tonka", "vanilla bean": "vanilla", "vanilla beans": "vanilla", "ambrette seed": "ambrette",
+    "ambrette seeds": "ambrette",
+}
+QUALIFIERS = (
+    "madagascar", "madagascan", "papua", "guinea", "guinean", "new", "indonesian", "indonesia", "tahitian", "tahiti", "sicilian", "sicily",
+    "calabrian", "calabria", "italian", "egyptian", "bulgarian", "turkish", "moroccan", "morocco", "haitian", "brazilian", "australian", "russian",
+    "somalian", "somali", "ethiopian", "virginian", "virginia", "mysore", "ceylon", "javanese", "java", "bourbon", "reunion", "florida", "indian",
+    "india", "chinese", "china", "japanese", "japan", "vietnamese", "vietnam", "cambodian", "cambodia", "thai", "thailand", "sri", "lankan", "lanka",
+    "burmese", "spanish", "spain", "french", "greek", "portuguese", "tunisian", "algerian", "lebanese", "syrian", "iranian", "persian", "arabian",
+    "corsican", "corsica", "mexican", "peruvian", "guatemalan", "kenyan", "comorian", "comoros", "balkan", "absolute", "essence", "extract", "oil",
+    "co2", "infusion", "tincture", "resinoid", "resin", "concrete", "isolate", "accord", "note", "notes", "natural", "synthetic", "type", "scent",
+)
 
 
 def pieces(note: Column) -> Column:
@@ -54,7 +73,7 @@ def _named(rows: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     return rows.withColumn("__text", F.when(same, plain_side).otherwise(F.col("__raw")))
 
 
-def deduped(notes: DataFrame, key: str, layer: str, position: str, note: str, synonyms: dict[str, str], qualifiers: tuple[str, ...]) -> DataFrame:
+def deduped(notes: DataFrame, key: str, layer: str, position: str, note: str, synonyms: dict[str, str] = SYNONYMS, qualifiers: tuple[str, ...] = QUALIFIERS) -> DataFrame:
     """AG32: the notes of each record, one row a note, with the layer that keeps it, its place there and how it is shown.
 
     notes has a row for each note: key, layer (0 is first), position and note. Names that are synonyms are one note; one
@@ -80,7 +99,7 @@ def deduped(notes: DataFrame, key: str, layer: str, position: str, note: str, sy
     return found.select(key, F.col(f"p.{layer}").alias(layer), F.row_number().over(W.partitionBy(key, f"p.{layer}").orderBy("p")).alias("place"), "note")
 
 
-def tokens_cleaned(notes: DataFrame, key: str, layer: str, position: str, note: str, synonyms: dict[str, str]) -> DataFrame:
+def tokens_cleaned(notes: DataFrame, key: str, layer: str, position: str, note: str, synonyms: dict[str, str] = SYNONYMS) -> DataFrame:
     """SC15: each layer's notes on their own: names joined by "or" parted, a synonym in brackets folded, signs gone, each once (the first).
 
     Rows as for deduped(), but nothing is folded across layers or onto plainer names. Blank notes go.

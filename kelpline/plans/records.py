@@ -283,15 +283,11 @@ def weighted_ballots(spark, d):
     return cascade.vote(t(spark, d, "orders").withColumn("choice", F.col("o_orderstatus")), "o_custkey", "choice", weight)
 
 
-SYNONYMS = {"cedarwood": "cedar", "agarwood": "oud"}
-QUALIFIERS = ("madagascar", "accord", "absolute")
-
-
 @query("notes_deduped", """SELECT p_partkey, layer, place, note FROM (SELECT p_partkey, unnest([0, 0, 1]) AS layer, unnest([1, 2, 1]) AS place, unnest(['Vanilla', 'Oud', 'Cedar']) AS note FROM part)""")
 def notes_deduped(spark, d):
     asked = F.array(F.struct(F.lit(0).alias("layer"), F.array(F.lit("Madagascar Vanilla"), F.lit("Agarwood (Oud)")).alias("n")), F.struct(F.lit(1).alias("layer"), F.array(F.lit("Vanilla"), F.lit("Cedarwood or Cedar.")).alias("n")))
     rows = t(spark, d, "part").select("p_partkey", F.explode(asked).alias("l")).select("p_partkey", "l.layer", F.posexplode("l.n").alias("position", "note"))
-    return notes.deduped(rows, "p_partkey", "layer", "position", "note", SYNONYMS, QUALIFIERS)
+    return notes.deduped(rows, "p_partkey", "layer", "position", "note")
 
 
 @query("payload_urls", """SELECT page_id, 'https://fragrantica.com/perfume/House/N-' || page_id || '.html' AS url, 0 AS pos FROM pages""")
@@ -344,3 +340,17 @@ def blob_audit(spark, d):
     )
     blob = F.when(k % 27 == 0, "[1]").when(k % 9 == 0, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
     return t(spark, d, "part").select("p_partkey", F.array_join(audit.blob_tags(blob, F.lit("2024-01-31").cast("date")), ",").alias("issues"))
+
+
+@query("pyramids", """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
+  SELECT p_partkey, 0 AS layer, 1 AS place, w[1] || ' wood' AS note FROM p UNION ALL SELECT p_partkey, 0, 2, 'Oud' FROM p UNION ALL SELECT p_partkey, 1, 1, w[-1] FROM p UNION ALL SELECT p_partkey, 2, 1, 'Tonka' FROM p UNION ALL SELECT p_partkey, 2, 2, 'Leather' FROM p""")
+def pyramids(spark, d):
+    """Pyramids of every part's words: qualified, plural, synonymous and repeated notes across layers."""
+    first, last = F.get(F.split("p_name", " "), F.lit(0)), F.element_at(F.split("p_name", " "), -1)
+    note = lambda layer, position, name: F.struct(F.lit(layer).alias("layer"), F.lit(position).alias("position"), name.alias("note"))
+    made = F.array(
+        note(0, 0, F.concat(first, F.lit(" wood"))), note(0, 1, F.lit("Agarwood (Oud)")), note(1, 0, F.concat(F.lit("Sicilian "), last)), note(1, 1, last), note(1, 2, F.concat(F.upper(last), F.lit(" Absolute™"))),
+        note(2, 0, F.lit("Tonka or Oudh")), note(2, 1, F.lit("Leather accord")), note(2, 2, F.lit("Leather")), note(2, 3, F.concat(first, F.lit(" Wood oil"))),
+    )
+    rows = t(spark, d, "part").select("p_partkey", F.explode(made).alias("x")).select("p_partkey", "x.*")
+    return notes.deduped(rows, "p_partkey", "layer", "position", "note")
