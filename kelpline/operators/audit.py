@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import computed, unused
 from ..functions.text import audit_key
 from . import predicates as P
 
@@ -46,7 +47,7 @@ def identity_rules(name: Column, brand: Column) -> dict[str, Column]:
 
 
 def row_rules(row: dict[str, Column], today: Column | None = None) -> dict[str, Column]:
-    """The 23 rules of SF30 on a stored row that is an object, in the order that they are reported in; blob_tags() has the 24th.
+    """The 23 rules of SF30 on a stored row that is an object, in the order that they are reported in; with_blob_tags() has the 24th.
 
     row has brand (or, where that is blank, house), name, source_url, accords (array of strings), family, concentration, gender and year (text); a year is a
     number as text where year_is_text says so. today is the date that years are held against (the present one if not given).
@@ -89,14 +90,16 @@ def row_rules(row: dict[str, Column], today: Column | None = None) -> dict[str,
 BLOB = "name string, brand string, house string, source_url string, accords array<string>, family string, concentration string, gender string, year string"
 
 
-def blob_tags(blob: Column, today: Column | None = None) -> Column:
-    """SF30: the tags of a stored row as JSON text, in order: bad_blob alone where it is no object, else those of row_rules()."""
-    kind = F.schema_of_variant(F.try_parse_json(blob))
-    read, year = F.from_json(blob, BLOB), F.get_json_object(blob, "$.year")
-    quoted = F.schema_of_variant(F.try_variant_get(F.try_parse_json(blob), "$.year", "variant")) == "STRING"
-    row = {k: read[k] for k in ("name", "brand", "house", "source_url", "accords", "family", "concentration", "gender")}
-    row |= {"year": year, "year_is_text": F.coalesce(quoted, F.lit(False))}
-    return F.when(F.startswith(kind, F.lit("OBJECT")), tags(row_rules(row, today))).otherwise(F.array(F.lit("bad_blob")))
+def with_blob_tags(rows: DataFrame, blob: str, out: str = "tags", today: Column | None = None) -> DataFrame:
+    """SF30: rows plus the tags of a stored row as JSON text, in order: bad_blob alone where it is no object, else those of row_rules(). The text is read once."""
+    own = computed(unused(rows, out), {"__kind": F.schema_of_variant(F.try_parse_json(blob)), "__quoted": F.schema_of_variant(F.try_variant_get(F.try_parse_json(blob), "$.year", "variant")) == "STRING", "__year": F.get_json_object(blob, "$.year")})
+    own = own.withColumn("__read", F.from_json(blob, BLOB))
+    fields = ("name", "brand", "house", "source_url", "accords", "family", "concentration", "gender")
+    own = own.withColumns({f"__{k}": F.col("__read")[k] for k in fields}).drop("__read")
+    own = computed(own, {f"__f_{k}": F.col(f"__{k}") for k in fields})
+    row = {k: F.col(f"__f_{k}") for k in fields} | {"year": F.col("__year"), "year_is_text": F.coalesce("__quoted", F.lit(False))}
+    found = F.when(F.startswith("__kind", F.lit("OBJECT")), tags(row_rules(row, today))).otherwise(F.array(F.lit("bad_blob")))
+    return own.select(*rows.columns, found.alias(out))
 
 
 def review_copies(rows: DataFrame, scope: list[str], text: str, row_id: str, width: int | None = None, least: int = 30) -> DataFrame:

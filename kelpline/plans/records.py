@@ -339,7 +339,8 @@ def blob_audit(spark, d):
         F.concat(F.lit('"accords": '), accords), text("concentration", F.col("p_type")), F.concat(F.lit('"year": '), F.when(k % 2 == 0, F.concat(F.lit('"'), year, F.lit('"'))).otherwise(year)),
     )
     blob = F.when(k % 27 == 0, "[1]").when(k % 9 == 0, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
-    return t(spark, d, "part").select("p_partkey", F.array_join(audit.blob_tags(blob, F.lit("2024-01-31").cast("date")), ",").alias("issues"))
+    found = audit.with_blob_tags(t(spark, d, "part").select("p_partkey", blob.alias("blob")), "blob", "issues", F.lit("2024-01-31").cast("date"))
+    return found.select("p_partkey", F.array_join("issues", ",").alias("issues"))
 
 
 @query("pyramids", """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)
