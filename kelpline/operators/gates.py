@@ -24,7 +24,8 @@ def _weak(text: Column) -> Column:
 def displayable(rows: DataFrame, name: str, house: str, url: str, second_url: str) -> DataFrame:
     """PF13: rows whose name and house, read from their addresses where they are weak, can be shown; both are put right, and a name that is its house again is no name."""
     found = keys.recovered(rows, name, house, url, second_url)
-    return found.where(~_weak(F.col(name)) & ~_weak(F.col(house)) & ~P.house_echo(F.col(name), F.col(house)))
+    own = computed(found, {"__n": F.col(name), "__h": F.col(house)})
+    return own.where(~_weak(F.col("__n")) & ~_weak(F.col("__h")) & ~P.house_echo(F.col("__n"), F.col("__h"))).select(*found.columns)
 
 
 def storable(name: Column, house: Column, url: Column) -> Column:
