@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from kelpline.functions import markup
 from kelpline.operators import detail, labels
 
 THIRD = """<html lang=en><head><meta property="og:url" content="http://parfumo.com/Perfumes/Dior/Sauvage?x=1"><meta property="og:title" content="Sauvage by Dior">
@@ -71,3 +72,11 @@ def test_canonical_labels(spark):
     assert sorted((r["i"], r["canonical"]) for r in got.collect()) == sorted((i, plain(c, t)) for i, c, t in texts)
     titles = spark.createDataFrame([("Price/Value",), ("My Longevity votes",), ("x",), (None,)], "t string")
     assert [r["k"] for r in titles.select(labels.card_key(F.col("t")).alias("k")).collect()] == ["price value", "longevity", "", ""]
+
+
+def test_unclosed_references(spark):
+    """A reference without semicolon, as where a title was cut, stays as it is written; closed ones, and scripts, are as ever."""
+    page = "<html lang='a&ampb'><title>x &amp;&amp;&amp</title><h1>&lt;b &lt &#38; &#38 & c</h1><script>a&amp;&ampb</script><img src='/p?a=1&copy=2&amp;d'>"
+    row = detail.page_facts(_rows(spark, [page]), "i", "html").first()
+    assert tuple(row)[1:] == ("x &&&amp", "<b &lt & &#38 & c", "", "/p?a=1&copy=2&d", "a&ampb")
+    assert [e["raw"] for e in markup.tree(page)[1] if e["tag"] == "script"] == ["a&amp;&ampb"]
