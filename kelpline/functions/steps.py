@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ def computed(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     withColumns(): Spark loses those that a generator alone takes.
     """
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with value worked out once: inside the function of an array, Spark works out again for every element what it reads from without."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .steps import computed
+from .steps import computed, once
 
 #: Remains of broken encodings in scraped texts, in the order they go, and what they become.
 REMAINS = (
@@ -190,16 +190,19 @@ def title(text: Column) -> Column:
 
 def elided(text: Column) -> Column:
     """SF4: the apostrophes of French elisions that slugs lost: d and l before a vowel, and words known to be glued."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    low = lambda i: F.lower(F.get(words, i))
-    joins = lambda i: F.coalesce(low(i).isin(*PARTICLES) & F.get(words, i + 1).rlike(f"(?i)^[{VOWELS}]"), F.lit(False))
     glued = F.create_map(*[F.lit(x) for kv in GLUED.items() for x in kv])
 
-    def one(word: Column, i: Column) -> Column:
-        particle = F.when(i == 0, F.upper(word)).otherwise(F.lower(word))
-        return F.when(joins(i), F.concat(particle, F.lit("'"), F.get(words, i + 1))).when(~joins(i - 1), F.coalesce(F.try_element_at(glued, F.lower(word)), word))
+    def joined(words: Column) -> Column:
+        low = lambda i: F.lower(F.get(words, i))
+        joins = lambda i: F.coalesce(low(i).isin(*PARTICLES) & F.get(words, i + 1).rlike(f"(?i)^[{VOWELS}]"), F.lit(False))
 
-    return F.array_join(F.array_compact(F.transform(words, one)), " ")
+        def one(word: Column, i: Column) -> Column:
+            particle = F.when(i == 0, F.upper(word)).otherwise(F.lower(word))
+            return F.when(joins(i), F.concat(particle, F.lit("'"), F.get(words, i + 1))).when(~joins(i - 1), F.coalesce(F.try_element_at(glued, F.lower(word)), word))
+
+        return F.array_join(F.array_compact(F.transform(words, one)), " ")
+
+    return once(F.filter(F.split(text, " "), lambda w: w != ""), joined)
 
 
 def title_from_slug(slug: Column) -> Column:
