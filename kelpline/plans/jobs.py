@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import asked, consensus, facts, gates, keys, ladder, notes, records
+from ..sources.tables import spread
 from ..sources.tables import table as t
 from ..streaming import timers
 
@@ -66,7 +67,7 @@ _KEY = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
   SELECT p_partkey, {_KEY.format("b || ' ' || n")} || CASE WHEN alias <> '' THEN '|' || {_KEY.format("b || ' ' || alias")} ELSE '' END AS keys FROM c""")
 def identity_keys(spark, d):
     name = F.expr(_SPELT)
-    return t(spark, d, "part").select("p_partkey", F.array_join(keys.identity_keys(F.col("p_brand"), name), "|").alias("keys"))
+    return spread(t(spark, d, "part")).select("p_partkey", F.array_join(keys.identity_keys(F.col("p_brand"), name), "|").alias("keys"))
 
 
 @query("inherited_entries", """WITH e AS (SELECT p_partkey AS entry, p_brand AS b, p_name AS n FROM part WHERE p_size > 15), f AS (SELECT b, n, min(entry) AS entry FROM e WHERE entry % 3 > 0 GROUP BY 1, 2), g AS (SELECT b, n, min(entry) AS entry FROM e WHERE entry % 3 = 0 GROUP BY 1, 2 HAVING min(entry) = max(entry)), r AS (SELECT p_partkey, p_brand AS b, p_name AS n FROM part WHERE p_size <= 15)
@@ -89,7 +90,7 @@ def recovered_identities(spark, d):
     first = F.get(F.split("p_name", " "), F.lit(0))
     name = F.when(k == 0, "").when(k == 1, "342 votes").when(k == 2, first).when(k == 3, F.col("p_name"))
     house = F.when(k == 0, "Unknown").when(k == 1, b).when(k == 2, "Brand").when(k == 3, b)
-    rows = t(spark, d, "part").select("p_partkey", name.alias("name"), house.alias("house"), F.when(k == 4, F.lit(None)).otherwise(main).alias("fg_url"), second.alias("bn_url"))
+    rows = spread(t(spark, d, "part")).select("p_partkey", name.alias("name"), house.alias("house"), F.when(k == 4, F.lit(None)).otherwise(main).alias("fg_url"), second.alias("bn_url"))
     return keys.recovered(rows, "name", "house", "fg_url", "bn_url").select("p_partkey", "name", "house")
 
 
@@ -192,7 +193,7 @@ def displayable_rows(spark, d):
     slug = lambda c: F.replace(c, F.lit(" "), F.lit("-"))
     url = F.when(k == 1, F.concat(F.lit("https://www.fragrantica.com/perfume/"), slug(b), F.lit("/"), slug(F.col("p_name")), F.lit("-"), "p_partkey", F.lit(".html")))
     name = F.when(k == 0, F.col("p_name")).when(k == 1, "votes").when(k == 2, b).otherwise("Unknown")
-    rows = t(spark, d, "part").select("p_partkey", name.alias("name"), b.alias("house"), url.alias("fg"), F.lit(None).cast("string").alias("bn"))
+    rows = spread(t(spark, d, "part")).select("p_partkey", name.alias("name"), b.alias("house"), url.alias("fg"), F.lit(None).cast("string").alias("bn"))
     return gates.displayable(rows, "name", "house", "fg", "bn").select("p_partkey", "name", "house")
 
 
@@ -223,7 +224,7 @@ def note_tokens(spark, d):
         F.struct(F.lit(0).alias("layer"), F.lit(0).alias("pos"), F.concat(first, F.lit(" one or "), last, F.lit(" two™")).alias("note")), F.struct(F.lit(0).alias("layer"), F.lit(1).alias("pos"), F.concat(F.upper(last), F.lit(" Two.")).alias("note")),
         F.struct(F.lit(1).alias("layer"), F.lit(0).alias("pos"), F.lit("Agarwood (Oud)").alias("note")), F.struct(F.lit(1).alias("layer"), F.lit(1).alias("pos"), F.concat(F.lit("· "), "p_name", F.lit(",")).alias("note")), F.struct(F.lit(1).alias("layer"), F.lit(2).alias("pos"), F.lit("oud").alias("note")),
     )
-    rows = t(spark, d, "part").select("p_partkey", F.explode(notes_of).alias("x")).select("p_partkey", "x.*")
+    rows = spread(t(spark, d, "part")).select("p_partkey", F.explode(notes_of).alias("x")).select("p_partkey", "x.*")
     return notes.tokens_cleaned(rows, "p_partkey", "layer", "pos", "note", {"agarwood": "oud"})
 
 

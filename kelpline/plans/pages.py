@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import detail, identity, labels, listing, payloads
+from ..sources.tables import spread
 from ..sources.tables import table as t
 
 QUERIES, ORACLES = {}, {}
@@ -63,7 +64,7 @@ def result_cards(spark, d):
     CASE WHEN p_size % 2 = 0 THEN 'in_production' ELSE 'discontinued' END AS status, (1960 + p_size)::VARCHAR AS year, lower(w[1]) AS accord, p_retailprice::VARCHAR AS rating, p_size::VARCHAR AS rating_count,
     CASE WHEN p_size % 4 > 0 THEN w[1] ELSE '' END AS top, CASE WHEN p_size % 4 > 0 THEN w[-1] ELSE '' END AS base, CASE WHEN p_size % 4 > 0 THEN '' WHEN w[1] = w[-1] THEN w[1] ELSE w[1] || '|' || w[-1] END AS flat FROM p WHERE p_partkey % 10 > 0""")
 def third_source_facts(spark, d):
-    p = t(spark, d, "part").withColumn("w", F.split("p_name", " "))
+    p = spread(t(spark, d, "part")).withColumn("w", F.split("p_name", " "))
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     name, brand, size, first, last = F.col("p_name"), F.col("p_brand"), F.col("p_size"), F.get("w", F.lit(0)), F.element_at("w", -1)
     who = F.when(size % 3 == 0, "for women and men").when(size % 3 == 1, "for women").otherwise("for men")
@@ -80,7 +81,7 @@ def third_source_facts(spark, d):
 @query("second_source_facts", """SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'Unisex' WHEN 1 THEN 'Masculine' ELSE 'Feminine' END AS gender, c_name || chr(10) || c_mktsegment AS description, c_custkey % 97 AS pos, c_nationkey AS pos_pct, CASE WHEN c_nationkey % 2 = 0 THEN c_custkey % 89 END AS neg,
   CASE WHEN c_nationkey % 4 < 3 THEN lower(c_mktsegment) || '|Musk' ELSE '' END AS top, CASE WHEN c_nationkey % 4 < 3 THEN c_name ELSE '' END AS base, CASE WHEN c_nationkey % 4 = 3 THEN c_name || '|' || lower(c_mktsegment) ELSE '' END AS flat FROM customer""")
 def second_source_facts(spark, d):
-    c = t(spark, d, "customer")
+    c = spread(t(spark, d, "customer"))
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     name, segment, nation, key = F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey"), F.col("c_custkey")
     mark = F.when(nation % 3 == 0, "<i style='color: Dodger Blue'></i><i style='color:hotpink'>").when(nation % 3 == 1, "<i style='color:DodgerBlue'>").otherwise("<i style='color:HotPink'>")
@@ -119,7 +120,7 @@ def metric_cards(spark, d):
   t AS (SELECT p_partkey, p_brand, ' ' || lower(trim(regexp_replace(p_type || ', ' || p_name, '[^A-Za-z0-9]+', ' ', 'g'))) || ' x ' AS text FROM part)
   SELECT p_partkey, coalesce(max_by(label, (length(alias), label)), '') AS label FROM t LEFT JOIN a ON a.p_brand = t.p_brand AND contains(text, ' ' || alias || ' ') GROUP BY p_partkey""")
 def canonical_labels(spark, d):
-    p = t(spark, d, "part")
+    p = spread(t(spark, d, "part"))
     last = F.element_at(F.split(F.lower(F.trim(F.regexp_replace("p_name", "[^A-Za-z0-9]+", " "))), " "), -1)
     names = p.select(F.col("p_brand").alias("card"), F.col("p_name").alias("alias"), F.upper("p_name").alias("label")).unionByName(p.select(F.col("p_brand").alias("card"), last.alias("alias"), F.concat(F.lit("last "), last).alias("label")))
     texts = p.select("p_partkey", "p_brand", F.concat("p_type", F.lit(", "), "p_name", F.lit(" x")).alias("text"))
@@ -142,7 +143,7 @@ def compatible_names(spark, d):
     k, name = F.col("c_custkey"), F.regexp_replace(F.lower("c_name"), "[^a-z0-9]+", " ")
     other = F.when(k % 3 > 0, name).otherwise(F.concat(F.lit("no "), name))
     full = F.concat(name, F.when(k % 4 == 0, "").when(k % 4 == 1, " parfums").when(k % 4 == 2, " beauty paris").otherwise(" rouge"))
-    rows, mine = identity.with_brand(t(spark, d, "customer").select("c_custkey", full.alias("a"), other.alias("b")), "a", "mine")
+    rows, mine = identity.with_brand(spread(t(spark, d, "customer")).select("c_custkey", full.alias("a"), other.alias("b")), "a", "mine")
     rows, theirs = identity.with_brand(rows, "b", "theirs")
     return rows.select("c_custkey", identity.same_brand(mine, theirs).alias("same"))
 
@@ -152,4 +153,4 @@ def stripped_names(spark, d):
     """Every part's name with its brand before it, after "by", or not at all."""
     k, brand = F.col("p_partkey") % 3, F.replace("p_brand", F.lit("#"), F.lit(" "))
     full = F.when(k == 0, F.concat_ws(" ", brand, "p_name")).when(k == 1, F.concat_ws(" ", "p_name", F.lit("by"), brand)).otherwise(F.col("p_name"))
-    return identity.with_stripped_name(t(spark, d, "part").select("p_partkey", full.alias("full"), F.col("p_brand").alias("house")), "full", "house", "name").select("p_partkey", "name")
+    return identity.with_stripped_name(spread(t(spark, d, "part")).select("p_partkey", full.alias("full"), F.col("p_brand").alias("house")), "full", "house", "name").select("p_partkey", "name")

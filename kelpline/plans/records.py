@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import audit, bundle, cascade, identity, notes, payloads, records
+from ..sources.tables import spread
 from ..sources.tables import table as t
 
 QUERIES, ORACLES = {}, {}
@@ -136,7 +137,7 @@ def brand_compatible(spark, d):
 @query("house_stripped", "SELECT p_partkey, p_name AS name FROM part")
 def house_stripped(spark, d):
     named = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", F.lit("Hermès"), "p_name")).otherwise(F.concat_ws(" ", "p_name", F.lit("by Hermès")))
-    rows = t(spark, d, "part").select("p_partkey", named.alias("full"), F.lit("Hermes").alias("house"))
+    rows = spread(t(spark, d, "part")).select("p_partkey", named.alias("full"), F.lit("Hermes").alias("house"))
     return identity.with_stripped_name(rows, "full", "house", "name").select("p_partkey", "name")
 
 
@@ -153,7 +154,7 @@ def relevance_scores(spark, d):
 
 @query("identity_scores")
 def identity_scores(spark, d):
-    rows = t(spark, d, "part").select("p_partkey", "p_brand", "p_name", (F.col("p_size") + 1990).cast("string").alias("y"))
+    rows = spread(t(spark, d, "part")).select("p_partkey", "p_brand", "p_name", (F.col("p_size") + 1990).cast("string").alias("y"))
     other = F.concat_ws(" ", F.element_at(F.split("p_name", " "), -1), F.get(F.split("p_name", " "), F.lit(0)))
     pairs = rows.withColumns({"other": other, "z": F.lit("2001")})
     return identity.with_identity_score(pairs, ("p_brand", "p_name", "y"), ("p_brand", "other", "z")).select("p_partkey", F.round("score", 6).alias("score"))
@@ -286,7 +287,7 @@ def weighted_ballots(spark, d):
 @query("notes_deduped", """SELECT p_partkey, layer, place, note FROM (SELECT p_partkey, unnest([0, 0, 1]) AS layer, unnest([1, 2, 1]) AS place, unnest(['Vanilla', 'Oud', 'Cedar']) AS note FROM part)""")
 def notes_deduped(spark, d):
     asked = F.array(F.struct(F.lit(0).alias("layer"), F.array(F.lit("Madagascar Vanilla"), F.lit("Agarwood (Oud)")).alias("n")), F.struct(F.lit(1).alias("layer"), F.array(F.lit("Vanilla"), F.lit("Cedarwood or Cedar.")).alias("n")))
-    rows = t(spark, d, "part").select("p_partkey", F.explode(asked).alias("l")).select("p_partkey", "l.layer", F.posexplode("l.n").alias("position", "note"))
+    rows = spread(t(spark, d, "part")).select("p_partkey", F.explode(asked).alias("l")).select("p_partkey", "l.layer", F.posexplode("l.n").alias("position", "note"))
     return notes.deduped(rows, "p_partkey", "layer", "position", "note")
 
 
@@ -353,5 +354,5 @@ def pyramids(spark, d):
         note(0, 0, F.concat(first, F.lit(" wood"))), note(0, 1, F.lit("Agarwood (Oud)")), note(1, 0, F.concat(F.lit("Sicilian "), last)), note(1, 1, last), note(1, 2, F.concat(F.upper(last), F.lit(" Absolute™"))),
         note(2, 0, F.lit("Tonka or Oudh")), note(2, 1, F.lit("Leather accord")), note(2, 2, F.lit("Leather")), note(2, 3, F.concat(first, F.lit(" Wood oil"))),
     )
-    rows = t(spark, d, "part").select("p_partkey", F.explode(made).alias("x")).select("p_partkey", "x.*")
+    rows = spread(t(spark, d, "part")).select("p_partkey", F.explode(made).alias("x")).select("p_partkey", "x.*")
     return notes.deduped(rows, "p_partkey", "layer", "position", "note")
