@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,8 @@ REMAINS = (
 )
 #: Characters without width.
 ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff\ufe00-\ufe0f]"
+#: Texts of a batch that are Python's at once.
+PACKED = 256
 #: French particles that lose their vowel, the letters they lose it before, and words that slugs glue together.
 PARTICLES, VOWELS = ("d", "l"), "aeiouyh"
 GLUED = {
@@ -34,16 +37,21 @@ def _column(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(text: pd.Series) -> pd.Series:
+def _each(text: pa.Array, made: Callable[[str], str]) -> pa.Array:
+    """made() of each text, a null as an empty one; PACKED at a time are Python's, the rest stays packed."""
+    return pa.concat_arrays([pa.array([made(x or "") for x in text.slice(k, PACKED).to_pylist()], pa.string()) for k in range(0, max(len(text), 1), PACKED)])
+
+
+@F.arrow_udf(T.StringType())
+def unescaped(text: pa.Array) -> pa.Array:
     """Entities resolved; a null is empty."""
-    return text.map(lambda x: html.unescape(x) if x and "&" in x else x or "")
+    return _each(text, lambda x: html.unescape(x) if "&" in x else x)
 
 
-@F.pandas_udf(T.StringType())
-def unaccented(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def unaccented(text: pa.Array) -> pa.Array:
     """Compatibility forms without combining marks; a null is empty."""
-    return text.map(lambda x: x or "" if not x or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+    return _each(text, lambda x: x if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
 def _cleaned(plain: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from kelpline.functions import markup
+from kelpline.functions import markup, text
 from kelpline.plans import jobs, pages, records
 from kelpline.sources import tables
 
@@ -24,3 +24,10 @@ def test_elements_are_packed(spark, monkeypatch):
     monkeypatch.setattr(markup, "HELD", 30)
     assert markup.dom.func(pa.array(texts)).to_pylist() == whole and [len(x["elements"]) for x in whole] == [5, 0, 0, 1, 9]
     assert markup.dom.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_texts_are_packed(monkeypatch):
+    """Parts of a batch come out in order, nulls as empty texts."""
+    monkeypatch.setattr(text, "PACKED", 2)
+    assert text.unescaped.func(pa.array(["a&amp;b", None, "", "&lt", "x"])).to_pylist() == ["a&b", "", "", "<", "x"]
+    assert text.unaccented.func(pa.array(["é", None, "x"])).to_pylist() == ["e", "", "x"] and text.unaccented.func(pa.array([], pa.string())).to_pylist() == []
