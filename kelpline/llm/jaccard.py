@@ -6,7 +6,8 @@ that, so copies cost nothing. Four steps, none of which drops a link:
 
 1. A first cut that is a prefix filter, not yet a Voronoi diagram: random texts all lie about as far from each
    other, so nearest pivots alone would copy every set to every region. A set goes to the regions of its
-   n - ceil(t n) + 1 rarest shingles, where linked sets must meet.
+   n - ceil(t n) + 1 rarest shingles, where linked sets must meet. Most of these are nobody else's: they are
+   found by 38 bits of each, sorted part by part, and left out before any set is shuffled.
 2. Pivots. In every region the set of highest rank (its rare shingles are those of many others: it is the likely
    original) becomes the pivot. As the ranks are of the whole corpus, a set meets few different pivots though it
    is in many regions. Sets within twice their reach of a pivot form its Voronoi region; those it links are one
@@ -41,6 +42,10 @@ WIDTH, PERCENT = 3, 90
 STAGE_WIDTH, STAGE_PERCENT = 5, 80
 #: Bits of the histogram that ranks shingles (8 MB whatever the corpus), and parts that it is summed in.
 BITS, PARTS = 20, 64
+#: Bits of the slots that regions of several sets are marked in: at least 3 slots for each region, 32 MB of bits at most.
+LEAST_SLOTS, MOST_SLOTS = 16, 28
+#: Regions that a part of them holds, about, and a task packs at once.
+PACKED = 1 << 20
 #: Pairs of whole sets that a Python worker holds at once.
 PAIRS = 512
 #: Pivots of a region in the first round of a recursion, and times as many each round after it.
@@ -204,7 +209,7 @@ def _apart(a: bytes, b: bytes) -> int:
 
 def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, digest (null if empty), the set's regions, rank and counts, settled."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))  # counts of a fixed number of buckets
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +226,81 @@ def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "rank", "regions", "v"])
 
-    return settled(_texts(docs).mapInArrow(rows, "doc_id long, n long, digest binary, rank long, regions array<long>, v binary"))
+    own = settled(_texts(docs).mapInArrow(rows, "doc_id long, n long, digest binary, rank long, regions array<long>, v binary"))
+    shared.destroy()
+    return own
+
+
+def _flat(regions: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All regions of a batch, and where those of each set begin and end."""
+    ends = regions.offsets.to_numpy()
+    return regions.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64), ends - ends[0]
+
+
+def _marked(own: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each of 2^bits slots of regions, by their first bits, and bits: set where rows of own share a region.
+
+    Of a region a row sends 32 bits to one of the parts, which rise in number with the regions; a part sorts its own. Regions that agree in all
+    of these bits, or in their slot, may be marked without being shared, never the other way.
+    """
+    total = own.agg(F.sum(F.size("regions"))).first()[0] or 0
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, (3 * total).bit_length()))
+    of_part = min(12, max(6, (total // PACKED).bit_length()))  # bits of a part's number
+    low = np.uint64(64 - of_part - 32)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(waiting) >> low)
+            cuts = np.searchsorted(keys, np.arange(1, 1 << of_part, dtype=np.uint64) << np.uint64(32))
+            parts = [p.astype(np.uint32).tobytes() for p in np.split(keys, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "keys"])
+
+        for batch in batches:
+            waiting.append(_flat(batch.column("regions"))[0])
+            size += len(waiting[-1])
+            if size >= PACKED:
+                yield sent()
+                waiting, size = [], 0
+        if size:
+            yield sent()
+
+    def shared(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for batch in batches for x in batch["keys"]]))
+        # slots of a part follow each other
+        slots = np.zeros(1 << (bits - of_part), bool)
+        slots[keys[1:][keys[1:] == keys[:-1]] >> np.uint32(32 - bits + of_part)] = True
+        yield pd.DataFrame({"part": [key[0]], "slots": [np.packbits(slots).tobytes()]})
+
+    parts = own.select("regions").mapInArrow(packed, "part int, keys binary").groupBy("part").applyInPandas(shared, "part int, slots binary")
+    marked = np.zeros((1 << of_part, 1 << (bits - of_part - 3)), np.uint8)
+    for r in parts.collect():  # bits of a bounded number of slots
+        marked[r["part"]] = np.frombuffer(r["slots"], np.uint8)
+    return marked.reshape(-1), bits
+
+
+def _shared_only(own: DataFrame) -> DataFrame:
+    """own without the regions that no two rows of it share; some of these may stay."""
+    marked, bits = _marked(own)
+    sent = own.sparkSession.sparkContext.broadcast(marked)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("regions")
+            flat, ends = _flat(batch.column(at))
+            slots = flat >> np.uint64(64 - bits)
+            kept = (sent.value[slots >> np.uint64(3)] << (slots & np.uint64(7)).astype(np.uint8) & 128).astype(bool)
+            before = np.concatenate([[0], np.cumsum(kept)])
+            regions = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(flat[kept].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([regions if k == at else x for k, x in enumerate(batch.columns)], batch.schema.names)
+
+    return own.mapInArrow(rows, own.schema)
 
 
 def _classes(own: DataFrame) -> DataFrame:
-    """c, digest, n, rep (an id of a document that has it), regions and v of every distinct set; ids rise with the rank."""
-    found = own.where("digest is not null").groupBy("digest").agg(F.min(_key("doc_id")).alias("rep"), *[F.first(x).alias(x) for x in ("n", "rank", "regions", "v")])
+    """c, digest, n, rep (an id of a document that has it), regions that it may share and v of every distinct set; ids rise with the rank."""
+    found = _shared_only(own).where("digest is not null").groupBy("digest").agg(F.min(_key("doc_id")).alias("rep"), *[F.first(x).alias(x) for x in ("n", "rank", "regions", "v")])
     place = F.monotonically_increasing_id()
     return settled(found.select((F.shiftleft("rank", PLACE) + place).alias("c"), "digest", "n", "rep", "regions", "v"))
 
@@ -247,7 +321,7 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 def _first_cut(classes: DataFrame) -> DataFrame:
     """s, c and p, the pivot, of every set in a region of several, with their sizes n and np."""
     placed = classes.select("c", "n", F.explode("regions").alias("s"))
-    tops = held(placed.groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("c", "n")).alias("top")).where("k > 1").select("s", "k", F.col("top.c").alias("p"), F.col("top.n").alias("np")))
+    tops = held(placed.groupBy("s").agg(F.count("*").alias("k"), F.max("c").alias("p"), F.max_by("n", "c").alias("np")).where("k > 1"))
     met = settled(join_hot(placed, tops, "s", hot=hot_keys(tops, "s")[0].get(None, [])).select("s", "c", "n", "p", "np"))
     forget(tops)
     return met
@@ -451,9 +525,10 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     """
     own = _measured(docs, width, percent)
     found = _classes(own)
+    ids = settled(own.select("doc_id", F.col("n").alias("n_shingles"), "digest"))
+    forget(own)
     roots = _roots(docs, found, width, percent)
     named = settled(roots.join(found.select("c", "digest"), "c").select("digest", "root"))
-    ids = own.select("doc_id", F.col("n").alias("n_shingles"), "digest")
     lone = ids.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # a component of one class has the class for its root
     full = join_small(ids.where("digest is not null"), named, ["digest"]).withColumn("root", F.coalesce(F.col("root").cast("string"), F.hex("digest")))

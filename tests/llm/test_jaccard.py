@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from kelpline.llm import jaccard
@@ -97,6 +98,24 @@ def test_near_copies_are_met_through_their_original(spark):
     assert {r["component_id"] for r in found} == {0} and sum(asked) < 4 * len(docs)
 
 
+def test_regions_of_one_set_are_left_out(spark, monkeypatch):
+    """Of a corpus so large that every bucket of the histogram is filled, only regions that sets share are shuffled."""
+    monkeypatch.setattr(jaccard, "rarity", lambda docs, width: np.full(1 << jaccard.BITS, 99))
+    monkeypatch.setattr(jaccard, "PACKED", 500)
+    texts = family(4, 120, 12, (1, 6), (0, 1)) + [" ".join(f"v{i}x{k}" for k in range(150)) for i in range(60)] + ["", None]
+    docs = list(enumerate(texts))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    own = jaccard._measured(table, 3, 90)
+    placed = [(r["digest"], s) for r in own.collect() for s in r["regions"]]
+    left = {(r["digest"], s) for r in jaccard._classes(own).collect() for s in r["regions"]}
+    times = {}
+    for _, s in set(placed):
+        times[s] = times.get(s, 0) + 1
+    shared = {(d, s) for d, s in placed if times[s] > 1}
+    assert shared and shared <= left and len(left - shared) < 0.4 * (len(set(placed)) - len(shared))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(table).collect()} == brute(docs, 3, 90)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c"), (7, "a b c"), (7, "a b c"), (None, None), (3, "A B  C")]
     found = jaccard.classes(spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, c string"))
