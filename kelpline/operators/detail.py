@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as H
 from ..functions import text as X
 from ..functions.steps import computed
+from ..sources.tables import settled
 from . import labels
 from .listing import with_dom
 
@@ -209,13 +210,9 @@ def bar_share(e: Column) -> Column:
     return F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)))
 
 
-def metric_bars(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """HX4: key, pos, card, text, pct, count: the bars of the part of a page with its performance (else of the whole page).
-
-    A bar is of the last card title before it; its row is the nearest element around it that shows a text which is no
-    title, text is what that says but for its first number, count that number. Bars without title or text are dropped.
-    """
-    read = selected(pages.select(key, html), html, {"part": tagged("", id="performance")})
+def _with_bars(pages: DataFrame, html: str) -> DataFrame:
+    """pages with __elements and __bars, the bars of each, instead of their markup."""
+    read = selected(pages, html, {"part": tagged("", id="performance")})
     s, every = F.col("__strings"), F.col("__elements")
     scope = F.when(F.col("__part").isNull(), every).otherwise(H.inside(every, F.col("__part")))
     read = computed(read, {"__scope": scope})
@@ -231,18 +228,37 @@ def metric_bars(pages: DataFrame, key: str, html: str) -> DataFrame:
         number = r"\d[\d,.]*\s*[kKmM]?\b"
         return F.struct(card.alias("card"), F.trim(F.regexp_replace(F.regexp_replace(text, rf"{number}%?", " "), r"\s+", " ")).alias("text"), bar_share(e).alias("pct"), F.trim(F.regexp_extract(text, rf"({number})(?!\s*%)", 1)).alias("count"))
 
-    rows = read.select(key, F.posexplode(F.transform(F.filter("__scope", lambda e: bar_share(e).isNotNull()), row)).alias("pos", "__r"))
+    return read.withColumn("__bars", F.transform(F.filter("__scope", lambda e: bar_share(e).isNotNull()), row))
+
+
+def _bar_rows(rows: DataFrame, key: str) -> DataFrame:
+    rows = rows.select(key, F.posexplode("__bars").alias("pos", "__r"))
     return rows.select(key, F.col("pos").cast("long").alias("pos"), "__r.*").where("card is not null and text <> ''")
 
 
+def metric_bars(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """HX4: key, pos, card, text, pct, count: the bars of the part of a page with its performance (else of the whole page).
+
+    A bar is of the last card title before it; its row is the nearest element around it that shows a text which is no
+    title, text is what that says but for its first number, count that number. Bars without title or text are dropped.
+    """
+    return _bar_rows(_with_bars(pages.select(key, html), html), key)
+
+
 def metric_data(pages: DataFrame, key: str, html: str) -> DataFrame:
     """HX4: key, pos, card, text, pct, count of votes in the data that a page's scripts hold: objects of labels and percents, or of label, pct and count.
 
     The innermost objects and lists are read wherever they stand, so nesting has no limit; percents beyond 0 to 100 are dropped.
     """
-    read = with_dom(pages.select(key, html), html)
-    raw = F.array_join(F.transform(F.filter("__elements", lambda e: (e["tag"] == "script") & e["raw"].isNotNull()), lambda e: e["raw"]), "\n")
-    read = computed(read, {"__raw": raw})
+    return _data_rows(computed(with_dom(pages.select(key, html), html), {"__raw": _scripts()}), key)
+
+
+def _scripts() -> Column:
+    """What the scripts among __elements hold."""
+    return F.array_join(F.transform(F.filter("__elements", lambda e: (e["tag"] == "script") & e["raw"].isNotNull()), lambda e: e["raw"]), "\n")
+
+
+def _data_rows(read: DataFrame, key: str) -> DataFrame:
     found = F.regexp_extract_all("__raw", F.lit(r'"[^"\\]*"\s*:\s*(?:\{[^{}\[\]]*\}|\[\s*\{[^{}\[\]]*\}(?:\s*,\s*\{[^{}\[\]]*\})*\s*\])'), F.lit(0))
     rows = read.select(key, F.posexplode(found).alias("__i", "__text"))
     table = F.create_map(*[F.lit(x) for kv in VOTE_KEYS.items() for x in kv])
@@ -261,10 +277,11 @@ def metric_cards(pages: DataFrame, key: str, html: str) -> DataFrame:
     """HX4: key, card, label, pct, count, source (data or bars): a page's metrics with their labels as they are known.
 
     Each label of a card comes from the data if that has it, else from the bars; the first row of a label counts. Labels that
-    are not known stand as they are.
+    are not known stand as they are. Each page is read once: its bars and scripts are settled, and what follows reads those.
     """
-    data = metric_data(pages, key, html).select(key, F.lit(0).alias("__pass"), "pos", F.lower("card").alias("card"), "text", "pct", "count")
-    bars = metric_bars(pages, key, html).select(key, F.lit(1).alias("__pass"), "pos", "card", "text", "pct", "count")
+    read = settled(_with_bars(pages.select(key, html), html).select(key, _scripts().alias("__raw"), "__bars"))
+    data = _data_rows(read, key).select(key, F.lit(0).alias("__pass"), "pos", F.lower("card").alias("card"), "text", "pct", "count")
+    bars = _bar_rows(read, key).select(key, F.lit(1).alias("__pass"), "pos", "card", "text", "pct", "count")
     named = labels.canonical_labels(data.unionByName(bars), "card", "text", labels.known_aliases(pages.sparkSession))
     own = named.withColumn("label", F.coalesce(F.nullif("canonical", F.lit("")), F.initcap(F.trim("text"))))
     once = own.groupBy(key, "card", "label").agg(F.min(F.struct("__pass", "pos", "pct", "count")).alias("r"))
