@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 #: Most labelled texts that training sees: those of least hash of their id.
 SAMPLE = 5000
@@ -30,8 +32,8 @@ GRAMS, LEAST_TEXTS = (3, 4, 5, 6), 3
 #: Bytes of a word; longer ones are several.
 LONGEST = 64
 EPOCHS, STEPS, BATCH, RATE = 3, 250, 64, 0.05
-#: Words that a worker remembers, and windows that it scores together.
-REMEMBERED, BLOCK = 300_000, 2048
+#: Words that a worker remembers, windows that it scores together, and words whose n-grams it has in hand at once.
+REMEMBERED, BLOCK, PART = 300_000, 2048, 8192
 _WORD = re.compile(r"\w+")
 
 
@@ -114,11 +116,14 @@ class Network:
         return np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words)), np.where(self.gram_keys[at] == h, at + 1, 0), first
 
     def inputs(self, words: list[str]) -> np.ndarray:
-        own, chars, first = self.reads(words)
+        return np.concatenate([self.embedded(*self.reads(words[i : i + PART])) for i in range(0, len(words), PART)])
+
+    def embedded(self, own: np.ndarray, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The inputs of words that read these rows."""
         return np.concatenate([self.p["words"][own], np.maximum.reduceat(self.p["chars"][chars], first)], 1)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
-        """What both directions read of a word, before any state: once per word, not per place."""
+        """What both directions read of words, before any state."""
         return np.concatenate([x @ self.p[f"W{w}"] + self.p[f"c{w}"] for w in "fb"], 1)
 
     def _pass(self, gates: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
@@ -198,19 +203,63 @@ def _prior(found: Iterable[np.ndarray], n: int, labels: np.ndarray) -> tuple[np.
     return kept, np.array([0, *odds], np.float32) / 3
 
 
-def _indexed(texts: Iterable[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words ('' first), each window's word indices and mask, and the text that each window is of."""
-    known: dict[str, int] = {"": 0}
-    rows, masks, owners = [], [], []
-    for k, words in enumerate(texts):
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
-        starts = np.array(windows(len(ids)))
-        pad = np.zeros(max(len(ids), WINDOW), np.int32)
-        pad[: len(ids)] = ids
-        rows.append(pad[starts[:, None] + np.arange(WINDOW)])
-        masks.append((starts[:, None] + np.arange(WINDOW) < max(1, len(ids))).astype(np.float32))
-        owners.append(np.full(len(starts), k))
-    return list(known), np.concatenate(rows), np.concatenate(masks), np.concatenate(owners)
+class _Windows:
+    """The windows of texts, as places in the words of all of them: a word is stored once, however many windows it is in."""
+
+    def __init__(self, texts: Iterable[list[str]]):
+        known: dict[str, int] = {"": 0}
+        flat, starts, filled, counts = [], [], [], []
+        end = 0
+        for words in texts:
+            ids = np.zeros(max(len(words), WINDOW), np.int32)
+            ids[: len(words)] = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+            own = windows(len(words))
+            flat.append(ids)
+            starts += [end + s for s in own]
+            filled += [min(WINDOW, max(1, len(words)))] * len(own)
+            counts.append(len(own))
+            end += len(ids)
+        #: Distinct words, '' first; the words of all texts by their places in it, each text's filled up to a window.
+        self.words, self.flat = list(known), np.concatenate(flat)
+        #: Where each window starts, its words, and the text that it is of.
+        self.starts, self.filled, self.owner = np.array(starts), np.array(filled, np.int8), np.repeat(np.arange(len(counts)), counts)
+
+    def __getitem__(self, part) -> tuple[np.ndarray, np.ndarray]:
+        """Word indices of some windows, and their mask."""
+        places = np.arange(WINDOW)
+        return self.flat[self.starts[part, None] + places], (places < self.filled[part, None]).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def blocks(self) -> Iterator[slice]:
+        """All windows, BLOCK at a time."""
+        return (slice(i, i + BLOCK) for i in range(0, len(self), BLOCK))
+
+    def texts(self) -> Iterator[np.ndarray]:
+        """The distinct words of each text, as indices."""
+        last = np.append(np.flatnonzero(np.diff(self.owner)), len(self) - 1)
+        begin = 0
+        for end in self.starts[last] + WINDOW:
+            own = np.unique(self.flat[begin:end])
+            yield own[own > 0]
+            begin = end
+
+
+def _known_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of words in order, those of each word as places among them, and where each word's begin."""
+    parts, sizes = [], []
+    for i in range(0, len(words), PART):
+        h, first = grams(words[i : i + PART])
+        own, at = np.unique(h, return_inverse=True)
+        parts.append((own, at.astype(np.int32)))
+        sizes.append(np.diff(np.append(first, len(h))))
+    known, n = np.unique(np.concatenate([own for own, _ in parts])), np.concatenate(sizes)
+    placed, begin = np.empty(n.sum(), np.int32), 0
+    for own, at in parts:
+        placed[begin : begin + len(at)] = np.searchsorted(known, own)[at]
+        begin += len(at)
+    return known, placed, np.cumsum(n) - n
 
 
 def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Network | None:
@@ -218,18 +267,16 @@ def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Ne
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
-    words, rows, mask, owner = _indexed(words_of(t) for t in texts)
-    ends = np.searchsorted(owner, np.arange(len(y) + 1))
-    texts_words = [np.unique(rows[a:b][mask[a:b] > 0]) for a, b in zip(ends, ends[1:])]
-    texts_words = [w[w > 0] for w in texts_words]
+    met = _Windows(words_of(t) for t in texts)
+    words, owner = met.words, met.owner
+    texts_words = list(met.texts())
     kept_words, word_prior = _prior(texts_words, len(words), y)
-    h, first = grams(words)
-    known, placed = np.unique(h, return_inverse=True)
-    sizes = np.diff(np.append(first, len(h)))
+    known, placed, first = _known_grams(words)
+    last = np.append(first[1:], len(placed))
 
     def grams_of(own: np.ndarray) -> np.ndarray:
         """The distinct n-grams of some words, as places in known."""
-        n = sizes[own]
+        n = last[own] - first[own]
         return np.unique(placed[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
 
     kept_grams, gram_prior = _prior(map(grams_of, texts_words), len(known), y)
@@ -237,9 +284,17 @@ def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Ne
     if not priors:
         word_prior, gram_prior = 0 * word_prior, 0 * gram_prior
     net = Network({words[i]: k + 1 for k, i in enumerate(kept_words.tolist())}, known[kept_grams] if some else np.zeros(1, np.uint64), word_prior, gram_prior if some else np.zeros(2, np.float32))
-    del h, known, placed, texts_words
-    own, chars, first = net.reads(words)
-    last = np.append(first[1:], len(chars))
+    own = np.zeros(len(words), np.int32)
+    own[kept_words] = np.arange(len(kept_words)) + 1
+    row = np.zeros(len(known), np.int32)
+    row[kept_grams] = np.arange(len(kept_grams)) + 1
+    chars = row[placed]
+    del known, placed, texts_words, row
+
+    def by_word(made: Callable[[slice, slice, np.ndarray], np.ndarray]) -> np.ndarray:
+        """made() of all words, PART at a time: the words, their n-grams, and where each word's begin among these."""
+        return np.concatenate([made(slice(i, i + PART), slice(first[i], last[min(i + PART, len(words)) - 1]), first[i : i + PART] - first[i]) for i in range(0, len(words), PART)])
+
     speed = {k: np.zeros_like(v) for k, v in net.p.items()}
     rng = np.random.default_rng(1)
 
@@ -248,17 +303,21 @@ def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Ne
         speed[name][at] += grad * grad
         net.p[name][at] -= RATE * grad / np.sqrt(speed[name][at] + 1e-8)
 
-    weight = np.maximum(word_prior[own], np.maximum.reduceat(gram_prior[chars], first)) if some else word_prior[own]
-    score = np.where(mask > 0, weight[rows], -9).max(1)
+    weight = by_word(lambda w, g, begin: np.maximum(word_prior[own[w]], np.maximum.reduceat(gram_prior[chars[g]], begin))) if some else word_prior[own]
+    score = np.concatenate([np.where(mask > 0, weight[rows], -9).max(1) for rows, mask in map(met.__getitem__, met.blocks())])
     # each text's worst window learns; the counts choose it at first, then the network itself
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
+        if epoch:
+            table = by_word(lambda w, g, begin: net.embedded(own[w], chars[g], begin))
+            score = np.concatenate([scored(net, table, *met[part]) for part in met.blocks()])
         worst = np.lexsort((-score, owner))
         worst = worst[np.unique(owner[worst], return_index=True)[1]]
         chosen = np.concatenate([worst, rng.choice(np.flatnonzero(y[owner] == 0), len(worst) // 2)])
         rng.shuffle(chosen)
         for step in range(STEPS):
             part = chosen[np.arange(step * BATCH, (step + 1) * BATCH) % len(chosen)]
-            used, inverse = np.unique(rows[part], return_inverse=True)
+            rows, mask = met[part]
+            used, inverse = np.unique(rows, return_inverse=True)
             vectors, winners = [], []
             for u in used:
                 g = chars[first[u] : last[u]]
@@ -267,7 +326,7 @@ def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Ne
                 winners.append(g[best])
                 vectors.append(e[best, np.arange(CHAR_DIMS)])
             x = np.concatenate([net.p["words"][own[used]], np.array(vectors)], 1)[inverse.reshape(len(part), WINDOW)]
-            grads, dx = net.gradients(x, mask[part], y[owner[part]])
+            grads, dx = net.gradients(x, mask, y[owner[part]])
             for name, grad in grads.items():
                 descend(name, slice(None), grad)
             each = np.zeros((len(used), WORD_DIMS + CHAR_DIMS), np.float32)
@@ -275,41 +334,39 @@ def train(texts: list[str | None], labels: list[int], priors: bool = True) -> Ne
             descend("words", own[used], each[:, :WORD_DIMS])
             descend("chars", (np.array(winners), np.arange(CHAR_DIMS)), each[:, WORD_DIMS:])
             net.p["words"][0], net.p["chars"][0] = 0, 0
-        score = scored(net, net.projected(net.inputs(words)), rows, mask)
     return net
 
 
 def scored(net: Network, table: np.ndarray, rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Scores of windows of word indices into a table of projections."""
-    out = np.empty(len(rows), np.float32)
-    for i in range(0, len(rows), BLOCK):
-        out[i : i + BLOCK] = net.forward(table[rows[i : i + BLOCK]], mask[i : i + BLOCK])
-    return out
+    """Scores of windows of word indices into a table of inputs."""
+    return net.forward(net.projected(table[rows.ravel()]).reshape(*rows.shape, -1), mask)
 
 
 class Scorer:
-    """A worker's network and the projections of the words it has met."""
+    """A worker's network and the inputs of the words it has met."""
 
     def __init__(self, net: Network):
         self.net, self.known = net, {}
-        self.table = np.empty((0, 6 * HIDDEN), np.float32)
+        self.table = np.empty((0, WORD_DIMS + CHAR_DIMS), np.float32)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        words, rows, mask, owner = _indexed([words_of(t) for t in texts])
+        if not texts:
+            return np.zeros(0, np.float32)
+        met = _Windows(words_of(t) for t in texts)
         if len(self.known) > REMEMBERED:
             self.__init__(self.net)
-        new = [w for w in words if w not in self.known]
+        new = [w for w in met.words if w not in self.known]
         if new:
             start = len(self.known)
             self.known |= {w: start + i for i, w in enumerate(new)}
             if len(self.known) > len(self.table):
-                self.table = np.concatenate([self.table[:start], np.empty((2 * len(self.known) - start, 6 * HIDDEN), np.float32)])
-            self.table[start : len(self.known)] = self.net.projected(self.net.inputs(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                self.table = np.concatenate([self.table[:start], np.empty((2 * len(self.known) - start, WORD_DIMS + CHAR_DIMS), np.float32)])
+            self.table[start : len(self.known)] = self.net.inputs(new)
+        at = np.fromiter(map(self.known.__getitem__, met.words), np.int64, len(met.words))
         out = np.zeros(len(texts), np.float32)
-        for i in range(0, len(rows), BLOCK):
-            part = slice(i, i + BLOCK)
-            np.maximum.at(out, owner[part], self.net.forward(self.table[at[rows[part]]], mask[part]))
+        for part in met.blocks():
+            rows, mask = met[part]
+            np.maximum.at(out, met.owner[part], scored(self.net, self.table, at[rows], mask))
         return out
 
 
@@ -330,7 +387,9 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network |
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches]).sort_values("doc_id")
-        yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))]})
+        model = pickle.dumps(train(rows["text"].tolist(), rows["toxic"].astype(int).tolist()))
+        give_back()
+        yield pd.DataFrame({"model": [model]})
 
     model = sample.repartition(1).mapInPandas(fit, "model binary").first()
     return None if model is None else pickle.loads(model["model"])
@@ -340,6 +399,14 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network |
 CHARS = 2_000_000
 
 
+def _blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in slices of about CHARS characters, one at least: only a slice's texts are Python's at once, the others stay packed."""
+    chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.append(np.flatnonzero(np.diff(chars.cumsum() // CHARS)) + 1, len(texts))
+    for begin, end in zip([0, *ends], ends):
+        yield texts.slice(begin, end - begin)
+
+
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, sample_of: DataFrame | None = None) -> DataFrame:
     """docs plus score (0 to 1), the worst window's; texts alone are read, no other column.
 
@@ -353,15 +420,14 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, sample_of: Dat
     shared = spark.sparkContext.broadcast(learned(docs if sample_of is None else sample_of, labels, most))
     state: dict[str, Scorer] = {}
 
-    @F.pandas_udf("double")
-    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             if shared.value is None:
-                yield pd.Series(np.zeros(len(batch)))
+                yield pa.array(np.zeros(len(batch)))
                 continue
             scorer = state.setdefault("scorer", Scorer(shared.value))
-            block = (batch.str.len().fillna(0).cumsum() // CHARS).to_numpy()
-            yield pd.Series(np.concatenate([scorer.scores(batch[block == b].tolist()) for b in np.unique(block)] or [np.zeros(0)]).astype(float))
+            yield pa.array(np.concatenate([scorer.scores(block.to_pylist()) for block in _blocks(batch)]).astype(float))
 
     return docs.withColumn("score", scores(F.col("text").cast("string")))
 
