@@ -375,7 +375,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network | None:
-    """A network from at most `most` labelled rows that aren't held out, trained by one task.
+    """A network from at most `most` labelled rows that aren't held out, trained by one task; None where one of the labels is missing."""
+    return pickle.loads(_pickled(docs, labels, most))
+
+
+def _pickled(docs: DataFrame, labels: DataFrame, most: int) -> bytes:
+    """learned() as it comes from its task: the driver passes it on packed.
 
     An id that is labelled more than once is toxic if one of its labels says so; of several texts of an id, that of least hash is read.
     """
@@ -392,7 +397,7 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network |
         yield pd.DataFrame({"model": [model]})
 
     model = sample.repartition(1).mapInPandas(fit, "model binary").first()
-    return None if model is None else pickle.loads(model["model"])
+    return pickle.dumps(None) if model is None else bytes(model["model"])
 
 
 #: Characters of texts that are scored together.
@@ -417,16 +422,16 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, sample_of: Dat
     but that of the sample; the network is a few MB whatever the corpus.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(learned(docs if sample_of is None else sample_of, labels, most))
-    state: dict[str, Scorer] = {}
+    shared = spark.sparkContext.broadcast(_pickled(docs if sample_of is None else sample_of, labels, most))
 
     @F.arrow_udf("double")
     def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        net = pickle.loads(shared.value)
+        scorer = net and Scorer(net)
         for batch in texts:
-            if shared.value is None:
+            if scorer is None:
                 yield pa.array(np.zeros(len(batch)))
                 continue
-            scorer = state.setdefault("scorer", Scorer(shared.value))
             yield pa.array(np.concatenate([scorer.scores(block.to_pylist()) for block in _blocks(batch)]).astype(float))
 
     return docs.withColumn("score", scores(F.col("text").cast("string")))
